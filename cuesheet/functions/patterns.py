@@ -12,9 +12,10 @@ WS_CHARS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+# Latin-1 blanks one by one: Java tests those with a single bit lookup
 WS_SET = (
-    r"\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+    r" \t\n\x0B\f\r\x1C\x1D\x1E\x1F\x85\xA0\x{3000}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}"
 )
 WS = f"[{WS_SET}]"
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
@@ -28,6 +29,7 @@ EMOJI = (
     r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}\x{200D}]"
 )
 LEAD_SET = WS_SET + r"\x{FE0F}\x{200E}\x{200F}\x{2060}"
+LEAD_CHARS = WS_CHARS + "\ufe0f\u200e\u200f\u2060"
 DASHES = r"\-—–−"
 PIPES = r"|｜￤∣丨"
 DELIMS = r"/／" + PIPES

@@ -68,6 +68,7 @@ _TS_IN_LINE = (
     rf"(^|[^0-9])((?:{P.TS_OPEN}{P.WS}*)?{P.TS}(?:{P.WS}*{P.TS_CLOSE})?)(?![0-9])"
 )
 _CUT_OFF_INVALID = rf"{_CUT}(?!(?:{P.TS_OPEN}{P.WS}*)?{P.TS_VALID})"
+_TWO_TIMES = r"(?s)[0-9]:[0-9]{2}(?::[0-9]{2})?+.*?[0-9]:[0-9]{2}"
 # "Nth song 38:12~43:24 title" keeps both times on one line
 INLINE_RANGE_KEEP = (
     rf"(?s)^第?{P.WS}*[0-9]{{1,3}}{P.WS}*(?:曲目|曲)[：:{P.WS_SET}]*{P.TS}{P.WS}*"
@@ -83,8 +84,8 @@ def _split_line(line: Column) -> Column:
     ).otherwise(F.array(F.translate(marked, _CUT, "")))
     return let(
         strip(markers(line)),
-        # a line with fewer than two colons holds fewer than two times
-        lambda l: F.when(~l.rlike(r"(?s):.*:"), F.array(l))
+        # most lines hold one time at most
+        lambda l: F.when(~l.rlike(_TWO_TIMES), F.array(l))
         .when(l.rlike(INLINE_RANGE_KEEP), F.array(l))
         .otherwise(let(cut(l), pieces)),
     )

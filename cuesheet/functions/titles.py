@@ -79,12 +79,27 @@ _PROTECTED = P.words(P.PROTECTED_TITLES)
 _PLAIN_NUMBER = r"^[0-9]{1,4}[.．][0-9]{1,4}$"
 
 
+HAS_BRACKET = r"[(（\[［【]"
+
+
 def rule_step(c: Column, rule: Rule) -> Column:
     if rule.action == "translate":
         return F.translate(c, rule.regex, rule.replacement)
     return sub(c, rule.regex, rule.replacement)
 
 
+def suffix_steps(c: Column, rules) -> Column:
+    """Suffix rules in order; all of them remove brackets, so most fields skip them."""
+
+    def steps(t: Column) -> Column:
+        out = t
+        for rule in rules:
+            out = rule_step(out, rule)
+        return F.when(t.rlike(HAS_BRACKET), out).otherwise(t)
+
+    return let(c, steps) if rules else c
+
+
 def protected_pattern(rules=DEFAULT_RULES) -> str:
     titles = sorted({t for r in rules for t in r.protection}, key=lambda t: (-len(t), t))
     return P.words(titles) if titles else r"(?!)"
@@ -110,7 +125,7 @@ def join_song_artist(song: Column, artist: Column) -> Column:
     )
 
 
-def apply_rules(c: Column, rules=DEFAULT_RULES) -> Column:
+def apply_rules(c: Column, rules=DEFAULT_RULES, check_protected: bool = True) -> Column:
     """The rule table on one field value, as one expression."""
     ordered = sorted(rules, key=lambda r: r.ord)
     prefix = [r for r in ordered if r.scope == "field"]
@@ -123,8 +138,7 @@ def apply_rules(c: Column, rules=DEFAULT_RULES) -> Column:
             song = F.when(b["at"].isNull(), b["t"]).otherwise(
                 F.substring(b["t"], F.lit(1), b["at"])
             )
-            for rule in suffix:
-                song = rule_step(song, rule)
+            song = suffix_steps(song, suffix)
             artist = F.when(b["at"].isNotNull(), F.substring(b["t"], b["at"] + 2, F.length(b["t"])))
             return join_song_artist(song, artist)
 
@@ -134,7 +148,9 @@ def apply_rules(c: Column, rules=DEFAULT_RULES) -> Column:
         t = raw
         for rule in prefix:
             t = rule_step(t, rule)
-        guard = (raw == "") | raw.rlike(protected_pattern(rules)) | raw.rlike(_PLAIN_NUMBER)
+        guard = (raw == "") | raw.rlike(_PLAIN_NUMBER)
+        if check_protected:
+            guard = guard | raw.rlike(protected_pattern(rules))
         return F.when(guard, raw).otherwise(let(strip(t), song_part))
 
     return let(strip(c), body)
@@ -210,7 +226,7 @@ _INDEX_MARK = (
     rf"|[0-9]{{1,3}}{W}*[.)．。]{W}*(?=[A-Za-z\x{{3040}}-\x{{30ff}}\x{{3400}}-\x{{4dbf}}\x{{4e00}}-\x{{9fff}}])"
     rf"|[#＃]{W}*[0-9]{{1,3}}{W}+)"
 )
-_EDGE = rf"[{P.DASHES}{P.DELIMS}:：;；]"
+_EDGE_CHARS = "-—–−/／|｜￤∣丨:：;；"
 _YEAR = rf"{W}*[\[［【(（]{W}*(?:18|19|20|21)[0-9]{{2}}{W}*年?{W}*[\]］】)）]?{W}*\z"
 _TRAILING = (
     rf"(?:[{P.WS_SET}\x{{FE0F}}\x{{200D}}]*(?:{P.EMOJI}|{P.TRAIL_MARKS}){W}*){{0,6}}"
@@ -223,16 +239,23 @@ def drop_tree(c: Column) -> Column:
 
 
 def drop_weird_lead(c: Column) -> Column:
-    return strip(sub(c, rf"^[{P.LEAD_SET}]+"))
+    return strip(F.ltrim(c, F.lit(P.LEAD_CHARS)))
 
 
 def drop_quotes(c: Column) -> Column:
-    c = sub(c, rf"^{W}*(?:{P.QUOTE_OPEN}+{W}*){{0,3}}")
-    return strip(sub(c, rf"(?:{W}*{P.QUOTE_CLOSE}+){{0,3}}{W}*\z"))
+    c = strip(c)
+    for _ in range(3):
+        c = strip(F.rtrim(F.ltrim(c, F.lit("「『｢《〈【")), F.lit("」』｣》〉】")))
+    return c
 
 
 def drop_trailing_marks(c: Column) -> Column:
-    return strip(sub(c, _TRAILING))
+    return let(
+        strip(c),
+        lambda t: F.when(
+            F.right(t, F.lit(1)).rlike(rf"^(?:{P.EMOJI}|{P.TRAIL_MARKS})"), strip(sub(t, _TRAILING))
+        ).otherwise(t),
+    )
 
 
 def drop_year(c: Column) -> Column:
@@ -241,24 +264,46 @@ def drop_year(c: Column) -> Column:
 
 def tidy_field(c: Column) -> Column:
     """Cleanup that follows the rule table."""
-    c = drop_tree(strip(drop_transliterations(c)))
-    c = drop_latin_suffix(c)
+    bracketed = lambda t: F.when(
+        t.rlike(HAS_BRACKET), drop_latin_suffix(drop_tree(strip(drop_transliterations(t))))
+    ).otherwise(drop_tree(t))
+    c = let(strip(c), bracketed)
     c = strip(sub(c, _INDEX_MARK))
     c = strip(sub(c, rf"(?i)^(?:encore|アンコール){W}+"))
     c = drop_quotes(c)
-    c = sub(c, rf"^[\[［]*{_EDGE}*")
-    c = strip(sub(c, rf"{_EDGE}*[\]］]*\z"))
-    return drop_trailing_marks(drop_quotes(drop_year(c)))
+    c = F.rtrim(F.ltrim(c, F.lit("[［")), F.lit("]］"))
+    c = strip(F.rtrim(F.ltrim(c, F.lit(_EDGE_CHARS)), F.lit(_EDGE_CHARS)))
+    dated = lambda t: F.when(t.rlike(HAS_BRACKET), drop_year(t)).otherwise(t)
+    return drop_trailing_marks(drop_quotes(let(c, dated)))
+
+
+# --- short cut for plain names ---------------------------------------------------------
+# A name of letters, digits, single marks and inner blanks that starts with a letter is
+# changed by no cleanup step: every step needs a bracket, a quote, an edge mark, a leading
+# number or a full-width character.  Names that a word list could match are left out.
+_LETTER = (
+    r"A-Za-z\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}"
+)
+_PLAIN_TAIL = rf"(?:[{_LETTER}0-9ー々 #&!?,]*[{_LETTER}0-9ー々!?])?"
+_NOT_PLAIN = (
+    rf"(?!(?i:encore|アンコール) )(?!(?i:{P.words(P.BAD_FIELD_WORDS)}|{P.words(P.TALK_WORDS)})"
+    rf"(?![{_LETTER}0-9ー々!?]))"
+)
+_PLAIN_NAME = rf"{_NOT_PLAIN}[{_LETTER}]{_PLAIN_TAIL}"
+_PLAIN_FIELD = rf"^{_PLAIN_NAME}$"
 
 
 def clean_field(c: Column, rules=DEFAULT_RULES) -> Column:
     """Rule table plus field cleanup; protected titles come back untouched."""
-    return let(
-        c,
-        lambda raw: F.when(raw.rlike(protected_pattern(rules)), strip(raw)).otherwise(
-            tidy_field(apply_rules(raw, rules))
-        ),
-    )
+
+    def body(raw: Column) -> Column:
+        full = F.when(raw.rlike(protected_pattern(rules)), strip(raw)).otherwise(
+            tidy_field(apply_rules(raw, rules, check_protected=False))
+        )
+        # the short cut knows the default rules only
+        return F.when(raw.rlike(_PLAIN_FIELD), raw).otherwise(full) if rules is DEFAULT_RULES else full
+
+    return let(c, body)
 
 
 # the two suffix rules that the numbered extraction uses, without slash handling
@@ -266,13 +311,12 @@ SUFFIX_RULES = tuple(r for r in DEFAULT_RULES if r.rule_id in ("R07", "R06"))
 
 
 def clean_field_light(c: Column) -> Column:
-    def body(raw: Column) -> Column:
-        t = raw
-        for rule in SUFFIX_RULES:
-            t = rule_step(t, rule)
-        return F.when(raw.rlike(_PROTECTED), raw).otherwise(tidy_field(t))
-
-    return let(strip(c), body)
+    return let(
+        strip(c),
+        lambda raw: F.when(raw.rlike(_PLAIN_FIELD) | raw.rlike(_PROTECTED), raw).otherwise(
+            tidy_field(suffix_steps(raw, SUFFIX_RULES))
+        ),
+    )
 
 
 _BAD = (
@@ -346,8 +390,8 @@ def clean_artist(c: Column) -> Column:
 _SPACED_SLASHES = rf"(?s)^(.*?{W})//(?={W})"
 _SPACED_DELIM = rf"(?s)^(.*?{W})[{P.DELIMS}](?={W})"
 _SPACED_PIPE = rf"(?s)^(.*?{W})[{P.PIPES}](?={W})"
-_GREEDY_DELIM = rf"(?s)^(.+){W}+[{P.DELIMS}]{W}+(.+)$"
-_GREEDY_DASH = rf"(?s)^(.+){W}+[{P.DASHES}]{W}+(.+)$"
+_GREEDY_DELIM = rf"(?s)^(.+){W}[{P.DELIMS}]{W}+."
+_GREEDY_DASH = rf"(?s)^(.+){W}[{P.DASHES}]{W}+."
 _NOT_A_DATE = rf"(?!(?<=[0-9]{W}{{0,9}}/){W}*[0-9]{{1,2}}(?:[^0-9]|\z))"
 _TIGHT_SLASH = rf"(?s)^(.+?)/{_NOT_A_DATE}."
 _TIGHT_PIPE = rf"(?s)^(.+)[{P.PIPES}]."
@@ -377,20 +421,23 @@ def _pieces(pair: Column) -> Column:
 
 def _cut(raw: Column, mask: Column, pattern: str, width: int = 1) -> Column:
     """Candidate at the delimiter that ends the first group of ``pattern``."""
-    return F.when(
-        mask.rlike(pattern),
-        let(
-            F.length(first_match(mask, pattern, 1)),
-            lambda n: _pair(
-                F.substring(raw, F.lit(1), n), F.substring(raw, n + 1 + width, F.length(raw))
-            ),
+    return let(
+        F.length(first_match(mask, pattern, 1)),
+        lambda n: F.when(
+            n > 0,
+            _pair(F.substring(raw, F.lit(1), n), F.substring(raw, n + 1 + width, F.length(raw))),
         ),
     )
 
 
 def _regex_cut(raw: Column, pattern: str) -> Column:
-    return F.when(
-        raw.rlike(pattern), _pair(first_match(raw, pattern, 1), first_match(raw, pattern, 2))
+    """Candidate at the last delimiter with blanks on both sides, brackets or not."""
+    after = lambda n: F.substring(
+        strip(F.substring(raw, n + 1, F.length(raw))), F.lit(2), F.length(raw)
+    )
+    return let(
+        F.length(first_match(raw, pattern, 1)),
+        lambda n: F.when(n > 0, _pair(F.substring(raw, F.lit(1), n), after(n))),
     )
 
 
@@ -585,8 +632,34 @@ _NUMBER_AFTER_TIME = (
 )
 
 
+# "1:02:03 04. title / performer" with two plain names; nothing else needs the long way
+_SPACED_WORDS = "|".join(" *".join(w) for w in P.SECTION_WORDS)
+_PLAIN_LINE = (
+    rf"^({P.TS_VALID}) +(?:([0-9]{{1,3}})\. +)?(?!.*(?:宣伝|告知|お知らせ|編集中です))"
+    rf"(?!(?i:{_SPACED_WORDS}))({_PLAIN_NAME})(?: [{P.DELIMS}{P.DASHES}] |/)({_PLAIN_NAME})$"
+)
+
+
 def parse_line(line: Column) -> Column:
     """Timed line to a track struct (without position), or null."""
+    short = lambda p: track(
+        F.lit(None), F.get(p, F.lit(1)).try_cast("int"), seconds_of(F.get(p, F.lit(0))),
+        F.get(p, F.lit(0)), F.get(p, F.lit(2)), F.get(p, F.lit(3)),
+    )
+
+    def body(l: Column) -> Column:
+        return let(
+            sub(l, _PLAIN_LINE, "$1\x02$2\x02$3\x02$4"),
+            lambda r: F.when(r.contains("\x02"), let(F.split(r, "\x02"), short)).otherwise(
+                parse_any_line(l)
+            ),
+        )
+
+    return let(line, body)
+
+
+def parse_any_line(line: Column) -> Column:
+    """``parse_line`` without the short cut."""
 
     def build(fields: Column) -> Column:
         keep = fields.isNotNull() & ~is_section_pair(fields["song"], fields["artist"])

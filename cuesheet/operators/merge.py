@@ -16,6 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
+from ..functions.memo import per_context
+from ..functions.rows import explode_rows
 from ..functions.text import let, strip, sub
 from .text import line_flags, with_lines
 
@@ -45,6 +48,13 @@ _WALK = "|".join(
 )
 _MERGED = "$2$3$4$6$9$10 $1$5$7$8$11$12\n"
 
+# a valid time in front and two letters in a row behind it: no other class can apply,
+# except the word lists that end a line
+_SURELY_TIMED = (
+    rf"^(?:[0-9]{{1,3}}\. )?{P.TS_OPEN}?{P.TS_VALID}(?!.*(?:宣伝|告知|お知らせ){P.WS}*$)"
+    rf".*?(?:[A-Za-z]{{2}}|{P.JAPANESE}{{2}})"
+)
+
 
 def _tagged(f: Column) -> Column:
     joined = F.concat(f["fields"]["song"], F.lit(" / "), f["fields"]["artist"])
@@ -78,19 +88,23 @@ def _tagged(f: Column) -> Column:
 
 def merged_lines(lines: Column, strict_range: bool = False) -> Column:
     """Array of merged lines; lines that can never become a track are dropped."""
-    tagged = F.array_join(
-        F.transform(lines, lambda l: let(line_flags(l, strict_range), _tagged)), ""
-    )
+    tag = lambda l: F.when(
+        l.rlike(_SURELY_TIMED), F.concat(F.lit("W"), l, F.lit("\n"))
+    ).otherwise(let(line_flags(l, strict_range), _tagged))
+    tagged = F.array_join(F.transform(lines, tag), "")
     walked = F.split(sub(tagged, _WALK, _MERGED), "\n")
     return F.filter(F.transform(walked, strip), lambda l: l != "")
 
 
+@per_context
+def _merged_of(lines: str, strict_range: bool) -> Column:
+    return merged_lines(F.col(lines), strict_range)
+
+
 def merge_timeline_lines(
     comments: DataFrame, text: str = "text", strict_range: bool = False
 ) -> DataFrame:
     """One row per merged line, with its position from 1."""
     src = comments if "lines" in comments.columns else with_lines(comments, text)
     keep = [c for c in comments.columns if c not in (text, "lines")]
-    return src.select(
-        *keep, F.posexplode(merged_lines(F.col("lines"), strict_range)).alias("item_pos", "line")
-    ).withColumn("item_pos", F.col("item_pos") + 1)
+    return explode_rows(src, _merged_of("lines", strict_range), keep, "line", "item_pos")

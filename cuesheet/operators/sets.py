@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,10 +138,11 @@ def select_best_source(setlists: DataFrame) -> DataFrame:
 
     ``max_by`` combines on the map side: each task sends at most one list per video.
     """
-    scored = setlists.where(F.size("tracks") > 0).select(
+    # an empty list scores null; a filter here would parse every text twice
+    scored = setlists.select(
         "*",
         F.struct(
-            F.size("tracks").alias("n"),
+            F.when(F.size("tracks") > 0, F.size("tracks")).alias("n"),
             F.size(
                 F.filter("tracks", lambda t: F.coalesce(t["artist"], F.lit("")) != "")
             ).alias("with_artist"),
@@ -153,7 +151,10 @@ def select_best_source(setlists: DataFrame) -> DataFrame:
         ).alias("_score"),
     )
     value = F.struct("source", "source_pos", "comment_id", "tracks")
-    best = scored.groupBy("video_id").agg(F.max_by(value, F.col("_score")).alias("b"))
+    score = F.when(F.col("_score.n").isNotNull(), F.col("_score"))
+    best = scored.groupBy("video_id").agg(F.max_by(value, score).alias("b")).where(
+        F.col("b").isNotNull()
+    )
     return best.select("video_id", "b.source", "b.source_pos", "b.comment_id", "b.tracks")
 
 
@@ -244,32 +245,48 @@ def parse_rendered(messages: DataFrame) -> DataFrame:
 # --- equal messages ------------------------------------------------------------------
 
 
-@F.pandas_udf("string")
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Unicode compatibility form; Spark has no function for it."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def with_nfkc(df: DataFrame, text: str) -> DataFrame:
+    """Replace a column by its Unicode compatibility form; Spark has no function for it.
+
+    Arrow batches go through one map, so the optimiser cannot run it twice.
+    """
+
+    def fold(batches):
+        import unicodedata
+
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            folded = pa.array(
+                [None if t is None else unicodedata.normalize("NFKC", t)
+                 for t in batch.column(at).to_pylist()],
+                batch.schema.field(at).type,
+            )
+            columns = list(batch.columns)
+            columns[at] = folded
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
+    return df.mapInArrow(fold, df.schema)
 
-def signature(message: Column) -> Column:
-    """Hash of a message without numbers, blanks and case."""
+
+def unnumbered(message: Column) -> Column:
+    """Lines of a message without their numbers."""
     lines = F.filter(
         F.transform(clean_lines(message), lambda l: strip(sub(l, r"^[0-9]{1,3}\.\s*"))),
         lambda l: l != "",
     )
-    return sub(F.lower(nfkc(F.array_join(lines, "\n"))), rf"{W}+")
+    return F.array_join(lines, "\n")
 
 
 def with_signature(messages: DataFrame, timed: str = "message", plain: str | None = None):
     """Add ``sig``; the timed form counts, the plain form only where it is empty."""
-    sig = signature(F.col(timed))
+    text = F.col(timed)
     if plain:
-        text = F.when(strip(F.coalesce(F.col(timed), F.lit(""))) != "", F.col(timed)).otherwise(
-            F.col(plain)
-        )
-        sig = signature(text)
-    return messages.withColumn("_s", sig).withColumn(
-        "sig", F.when(F.col("_s") != "", F.sha2("_s", 256))
-    ).drop("_s")
+        text = F.when(strip(F.coalesce(text, F.lit(""))) != "", text).otherwise(F.col(plain))
+    folded = with_nfkc(messages.withColumn("_s", unnumbered(text)), "_s")
+    key = sub(F.lower("_s"), rf"{W}+")
+    return folded.withColumn("sig", F.when(key != "", F.sha2(key, 256))).drop("_s")
 
 
 def dedupe_setlists(

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import skew
+from ..functions.memo import per_context
+from ..functions.rows import explode_rows
 from ..functions.text import (
     clean_lines, let, logical_lines, markers, normalize, section_key, seconds_of, strip, sub,
 )
@@ -28,19 +30,22 @@ def normalize_comments(comments: DataFrame, text: str = "text") -> DataFrame:
     return comments.withColumn("norm_text", markers(normalize(F.col(text))))
 
 
+@per_context
+def lines_of(text: str) -> Column:
+    lines = F.transform(logical_lines(F.col(text)), drop_weird_lead)
+    return F.filter(lines, lambda l: l != "")
+
+
 def with_lines(comments: DataFrame, text: str = "text") -> DataFrame:
     """Add ``lines``, the logical lines of the text as an array."""
-    lines = F.transform(logical_lines(F.col(text)), drop_weird_lead)
-    return comments.withColumn("lines", F.filter(lines, lambda l: l != ""))
+    return comments.withColumn("lines", lines_of(text))
 
 
 def explode_lines(comments: DataFrame, text: str = "text") -> DataFrame:
     """One row per logical line, with its position from 1."""
     keep = [c for c in comments.columns if c not in (text, "lines")]
     src = comments if "lines" in comments.columns else with_lines(comments, text)
-    return src.select(*keep, F.posexplode("lines").alias("line_pos", "line")).withColumn(
-        "line_pos", F.col("line_pos") + 1
-    )
+    return explode_rows(src, F.col("lines"), keep, "line", "line_pos")
 
 
 _DIGIT = "[0-9０-９]"
@@ -56,8 +61,8 @@ def times_in(c: Column) -> Column:
 def extract_timestamps(comments: DataFrame, text: str = "text") -> DataFrame:
     """One row per distinct time label: ``pos, label, secs``."""
     keep = [c for c in comments.columns if c != text]
-    rows = comments.select(*keep, F.posexplode(times_in(F.col(text))).alias("pos", "label"))
-    return rows.withColumn("secs", seconds_of(F.col("label"))).withColumn("pos", F.col("pos") + 1)
+    rows = explode_rows(comments, times_in(F.col(text)), keep, "label", "pos")
+    return rows.withColumn("secs", seconds_of(F.col("label")))
 
 
 # --- line classes ------------------------------------------------------------------
@@ -154,9 +159,14 @@ FLAG_COLUMNS = (
 )
 
 
+@per_context
+def _flags_of(line: str, strict_range: bool) -> Column:
+    return line_flags(F.col(line), strict_range)
+
+
 def classify_lines(lines: DataFrame, strict_range: bool = False) -> DataFrame:
     """Add one boolean column per line class."""
-    flagged = lines.withColumn("_f", line_flags(F.col("line"), strict_range))
+    flagged = lines.withColumn("_f", _flags_of("line", strict_range))
     return flagged.select(*lines.columns, *[F.col("_f")[c].alias(c) for c in FLAG_COLUMNS])
 
 
@@ -226,10 +236,15 @@ def section_lines(lines: Column) -> Column:
     )
 
 
+@per_context
+def _section_of(lines: str) -> Column:
+    return section_lines(F.col(lines))
+
+
 def select_setlist_section(comments: DataFrame, text: str = "text") -> DataFrame:
     """Add ``lines`` cut down to the preferred section."""
     src = comments if "lines" in comments.columns else with_lines(comments, text)
-    return src.withColumn("lines", section_lines(F.col("lines")))
+    return src.withColumn("lines", _section_of("lines"))
 
 
 # --- ranking --------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.memo import per_context
+from ..functions.rows import explode_rows, keep_found
 from ..functions.text import clean_lines, first_match, let, logical_lines, markers, outside_brackets
 from ..functions.text import seconds_of, strip, sub
 from ..functions.titles import (
@@ -49,7 +50,7 @@ def parse_setlists(
 def explode_tracks(setlists: DataFrame) -> DataFrame:
     """One row per track."""
     keep = [c for c in setlists.columns if c != "tracks"]
-    return setlists.select(*keep, F.explode("tracks").alias("t")).select(
+    return explode_rows(setlists, F.col("tracks"), keep, "t").select(
         *keep, *[F.col("t")[f].alias(f) for f in TRACK_FIELDS]
     )
 
@@ -62,7 +63,7 @@ def _parsed_line(line: str) -> Column:
 def split_tracks(lines: DataFrame, line: str = "line") -> DataFrame:
     """Timed lines to rows with ``num, secs, label, song, artist``; others are dropped."""
     keep = [c for c in lines.columns if c != line]
-    parsed = lines.select(*keep, _parsed_line(line).alias("t")).where(F.col("t").isNotNull())
+    parsed = keep_found(lines, _parsed_line(line), keep, "t")
     return parsed.select(*keep, *[F.col("t")[f].alias(f) for f in TRACK_FIELDS[1:]])
 
 
@@ -97,13 +98,20 @@ def split_multifield(lines: DataFrame, line: str = "line") -> DataFrame:
             raw.contains("／"), let(outside_brackets(raw), lambda m: multi_fields(raw, m))
         ),
     )
-    cut = lines.select(*keep, fields.alias("_f")).where(F.col("_f").isNotNull())
-    cleaned = cut.select(
-        *keep,
-        clean_field(F.get("_f", F.lit(0))).alias("song"),
-        clean_artist(F.get("_f", F.lit(1))).alias("artist"),
+    cleaned = let(
+        fields,
+        lambda f: F.when(
+            f.isNotNull(),
+            let(
+                F.struct(
+                    clean_field(F.get(f, F.lit(0))).alias("song"),
+                    clean_artist(F.get(f, F.lit(1))).alias("artist"),
+                ),
+                lambda s: F.when(~is_bad_field(s["song"]) & ~is_bad_field(s["artist"]), s),
+            ),
+        ),
     )
-    return cleaned.where(~is_bad_field(F.col("song")) & ~is_bad_field(F.col("artist")))
+    return keep_found(lines, cleaned, keep, "_s").select(*keep, "_s.song", "_s.artist")
 
 
 # --- numbered lists ---------------------------------------------------------------------

@@ -12,6 +12,8 @@ _SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # parsing costs far more time per byte than a scan: keep all cores busy on small inputs
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 
