@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import explode_rows
 from ..functions.text import strip
 from ..functions.titles import (
     DEFAULT_RULES, Rule, _PLAIN_NUMBER, join_song_artist, protected_pattern, rule_step, song_slash,
@@ -104,3 +105,80 @@ def rule_stats(cleaned: DataFrame, column: str = "song") -> DataFrame:
     return per_rule.select(
         "rule_id", "hits", "titles", (F.col("hits") / total).alias("share")
     ).where(F.col("rule_id") != "")
+
+
+# --- proposals and the regression gate ------------------------------------------------------
+
+_PROPOSAL = """
+rules ARRAY<STRUCT<category: STRING, description: STRING, action: STRING, regex: STRING,
+  examples: ARRAY<STRUCT<input: STRING, output: STRING>>, protection: ARRAY<STRING>>>,
+notes ARRAY<STRING>
+"""
+
+
+def collect_rule_proposals(responses: DataFrame, key: str, text: str = "response") -> DataFrame:
+    """One row per proposed rule or note; a response without valid JSON becomes a note.
+
+    The JSON is what lies between the first ``{`` and the last ``}`` of the text.
+    """
+    body = F.regexp_extract(F.coalesce(F.col(text), F.lit("")), r"(?s)\{.*\}", 0)
+    parsed = responses.select(key, F.from_json(body, _PROPOSAL).alias("p"), body.alias("_b"))
+    failed = F.col("p").isNull() | (F.col("p.rules").isNull() & F.col("p.notes").isNull())
+    empty_rules = F.col("p.rules")
+    rows = F.when(
+        failed,
+        F.array(
+            F.struct(
+                F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("action"),
+                F.lit(None).cast("string").alias("regex"),
+                F.when(F.col("_b") == "", "no JSON object").otherwise("not valid JSON").alias("note"),
+            )
+        ),
+    ).otherwise(
+        F.concat(
+            F.coalesce(
+                F.transform(
+                    empty_rules,
+                    lambda r: F.struct(
+                        r["category"].alias("category"), r["action"].alias("action"),
+                        r["regex"].alias("regex"), F.lit(None).cast("string").alias("note"),
+                    ),
+                ),
+                F.array().cast("array<struct<category:string,action:string,regex:string,note:string>>"),
+            ),
+            F.coalesce(
+                F.transform(
+                    F.col("p.notes"),
+                    lambda n: F.struct(
+                        F.lit(None).cast("string").alias("category"),
+                        F.lit(None).cast("string").alias("action"),
+                        F.lit(None).cast("string").alias("regex"), n.alias("note"),
+                    ),
+                ),
+                F.array().cast("array<struct<category:string,action:string,regex:string,note:string>>"),
+            ),
+        )
+    )
+    return explode_rows(parsed, rows, [key], "r").select(key, "r.*")
+
+
+def check_rules(
+    rule_sets: dict[str, tuple[Rule, ...]], cases: DataFrame, detail: bool = False
+) -> DataFrame:
+    """Run candidate rule sets over golden cases; a set passes when no case fails.
+
+    A case fails when the cleaned input lacks the expected title or performer.  The few
+    rule sets are plan literals; the cases are the table that grows.
+    """
+    checked = None
+    for name, rules in rule_sets.items():
+        out = apply_title_rules(cases, rules, "input").withColumn("rule_set", F.lit(name))
+        checked = out if checked is None else checked.unionByName(out)
+    missing = lambda c: (F.coalesce(F.col(c), F.lit("")) != "") & ~F.col("input_clean").contains(F.col(c))
+    result = checked.withColumn("failed", missing("expect_song") | missing("expect_artist"))
+    if detail:
+        return result
+    return result.groupBy("rule_set").agg(
+        F.count("*").alias("cases"), F.count_if("failed").alias("failures"),
+        (~F.bool_or("failed")).alias("passed"),
+    )
