@@ -24,17 +24,20 @@ from .tracks import is_contiguous, renumber
 W = P.WS
 TRACKS = f"array<{TRACK_TYPE}>"
 
+_SEPARATOR = "\n\n---\n\n"
+
 # --- requests and responses -------------------------------------------------------------
 
 
 def build_requests(
     comments: DataFrame, template: str, text: str = "text", preclean: bool = False,
-    separator: str = "\n\n---\n\n",
+    part_size: int = 1000,
 ) -> DataFrame:
-    """One request per video that has setlist comments: template, then the texts in order.
+    """Request text per video that has setlist comments: template, then the texts in order.
 
-    ``comments`` must already be the setlist comments; a request is one text cell, so its
-    size is that of what the video's setlist comments say.
+    ``comments`` must already be the setlist comments.  A part holds ``part_size`` texts
+    at most; the parts of a video in order are its request, and nearly every video has
+    one.  So no group of unlimited size is ever put into one cell.
     """
     value = F.col(text)
     if preclean:
@@ -42,15 +45,18 @@ def build_requests(
             F.transform(clean_lines(value), lambda l: drop_latin_suffix(drop_transliterations(l))),
             "\n",
         )
-    parts = comments.select("video_id", "source_pos", value.alias("_t"))
-    body = F.listagg("_t", F.lit(separator))
-    joined = parts.groupBy("video_id").agg(
-        F.expr("listagg(_t, '\\n\\n---\\n\\n') WITHIN GROUP (ORDER BY source_pos)").alias("_b")
-        if separator == "\n\n---\n\n" else body.alias("_b"),
-        F.count("*").alias("n_comments"),
+    numbered = skew.ranked(
+        comments.select("video_id", "source_pos", value.alias("_t")),
+        ["video_id"], [F.floor(F.col("source_pos") / 100_000)], [F.col("source_pos")], "_rank",
     )
-    return joined.select(
-        "video_id", F.concat(F.lit(template + "\n"), F.col("_b")).alias("request"), "n_comments"
+    lead = F.when(F.col("_rank") == 1, F.lit(template + "\n")).otherwise(F.lit(_SEPARATOR))
+    pieces = numbered.select(
+        "video_id", "_rank", F.floor((F.col("_rank") - 1) / part_size).cast("int").alias("part_no"),
+        F.concat(lead, F.col("_t")).alias("_t"),
+    )
+    return pieces.groupBy("video_id", "part_no").agg(
+        F.expr("listagg(_t, '') WITHIN GROUP (ORDER BY _rank)").alias("request"),
+        F.count("*").alias("n_comments"),
     )
 
 

@@ -16,7 +16,7 @@ from .lists import setlists_of
     "a01_build_requests",
     f"""WITH c AS (SELECT video_id, comment_id, {agg(HMS + " || printf(' %02d. ', item_no) || song || ' / ' || artist")}
                AS t FROM ({I}) GROUP BY 1, 2 HAVING count(*) >= 2)
-        SELECT video_id, 'List:' || chr(10) || string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10)
+        SELECT video_id, 0 AS part_no, 'List:' || chr(10) || string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10)
                ORDER BY comment_id) AS request, count(*) AS n_comments FROM c GROUP BY video_id""",
 )
 def a01(spark, sf):
