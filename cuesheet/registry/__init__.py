@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import lines, lists, planning, raw, second  # noqa: F401
+    from . import lines, lists, planning, raw, second, streaming  # noqa: F401
