@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of few splits; a large scan is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per track: ``video_id, comment_id, item_no, secs, song, artist``."""
     names = ("lineitem", "orders", "part", "supplier")

@@ -11,8 +11,11 @@ from . import patterns as P
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once and use it many times without repeating its tree."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """Bind ``value`` once and use it many times without repeating its tree.
+
+    A fold over nothing: the start value goes straight to the finishing lambda.
+    """
+    return F.aggregate(F.array(), value, lambda bound, _: bound, body)
 
 
 def strip(c: Column) -> Column:

@@ -614,6 +614,11 @@ def line_body(c: Column) -> Column:
     )
 
 
+def number(digits: Column) -> Column:
+    """Digits to a number; null for the empty string (a failing cast is slow)."""
+    return F.when(digits != "", digits.cast("int"))
+
+
 TRACK_TYPE = (
     "struct<item_pos:int,num:int,secs:int,label:string,song:string,artist:string>"
 )
@@ -632,24 +637,26 @@ _NUMBER_AFTER_TIME = (
 )
 
 
-# "1:02:03 04. title / performer" with two plain names; nothing else needs the long way
+# "1:02:03 04. title / performer" with two plain names, the time bare, numbered or in
+# brackets; everything else needs the long way
 _SPACED_WORDS = "|".join(" *".join(w) for w in P.SECTION_WORDS)
 _PLAIN_LINE = (
-    rf"^({P.TS_VALID}) +(?:([0-9]{{1,3}})\. +)?(?!.*(?:宣伝|告知|お知らせ|編集中です))"
-    rf"(?!(?i:{_SPACED_WORDS}))({_PLAIN_NAME})(?: [{P.DELIMS}{P.DASHES}] |/)({_PLAIN_NAME})$"
+    rf"^(?:(?:[0-9]{{1,3}}[.)] +)?({P.TS_VALID}) +|{P.TS_OPEN}({P.TS_VALID}){P.TS_CLOSE} *)"
+    rf"(?:([0-9]{{1,3}})\. +)?(?!.*(?:宣伝|告知|お知らせ|編集中です))"
+    rf"(?!(?i:{_SPACED_WORDS}))({_PLAIN_NAME})(?: [{P.DELIMS}{P.DASHES}] |[/／|])({_PLAIN_NAME})$"
 )
 
 
 def parse_line(line: Column) -> Column:
     """Timed line to a track struct (without position), or null."""
     short = lambda p: track(
-        F.lit(None), F.get(p, F.lit(1)).try_cast("int"), seconds_of(F.get(p, F.lit(0))),
+        F.lit(None), number(F.get(p, F.lit(1))), seconds_of(F.get(p, F.lit(0))),
         F.get(p, F.lit(0)), F.get(p, F.lit(2)), F.get(p, F.lit(3)),
     )
 
     def body(l: Column) -> Column:
         return let(
-            sub(l, _PLAIN_LINE, "$1\x02$2\x02$3\x02$4"),
+            sub(l, _PLAIN_LINE, "$1$2\x02$3\x02$4\x02$5"),
             lambda r: F.when(r.contains("\x02"), let(F.split(r, "\x02"), short)).otherwise(
                 parse_any_line(l)
             ),
@@ -668,7 +675,7 @@ def parse_any_line(line: Column) -> Column:
             let(
                 first_time(line),
                 lambda label: track(
-                    F.lit(None), first_match(markers(line), _NUMBER_AFTER_TIME, 1).try_cast("int"),
+                    F.lit(None), number(first_match(markers(line), _NUMBER_AFTER_TIME, 1)),
                     seconds_of(label), label, fields["song"], fields["artist"],
                 ),
             ),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rows import explode_rows
 from ..functions.text import strip
 from ..functions.titles import (
-    DEFAULT_RULES, Rule, _PLAIN_NUMBER, join_song_artist, protected_pattern, rule_step, song_slash,
+    DEFAULT_RULES, HAS_BRACKET, Rule, _PLAIN_FIELD, _PLAIN_NUMBER, join_song_artist, protected_pattern, rule_step, song_slash,
     tidy_field,
 )
 
@@ -54,9 +54,13 @@ def apply_title_rules(
     df = df.withColumn(
         "_guard", (raw == "") | raw.rlike(protected_pattern(rules)) | raw.rlike(_PLAIN_NUMBER)
     )
+    # a plain name is changed by no rule, and a field without brackets by no suffix rule
+    plain = raw.rlike(_PLAIN_FIELD) if rules is DEFAULT_RULES else F.lit(False)
+    df = df.withColumn("_plain", plain).withColumn("_flat", ~raw.rlike(HAS_BRACKET))
+    skip = lambda flag, c, out: F.when(F.col(flag), F.col(c)).otherwise(out)
     prev, marks = "_raw", []
     for i, rule in enumerate(r for r in ordered if r.scope == "field"):
-        df = df.withColumn(f"_p{i}", rule_step(F.col(prev), rule))
+        df = df.withColumn(f"_p{i}", skip("_plain", prev, rule_step(F.col(prev), rule)))
         marks.append((rule.rule_id, prev, f"_p{i}"))
         prev = f"_p{i}"
     df = df.withColumn("_t", strip(F.col(prev))).withColumn("_at", song_slash(F.col("_t")))
@@ -68,7 +72,10 @@ def apply_title_rules(
     )
     prev = "_s"
     for i, rule in enumerate(r for r in ordered if r.scope == "song"):
-        df = df.withColumn(f"_q{i}", rule_step(F.col(prev), rule))
+        step = rule_step(F.col(prev), rule)
+        if rules is DEFAULT_RULES:
+            step = skip("_flat", prev, step)
+        df = df.withColumn(f"_q{i}", step)
         marks.append((rule.rule_id, prev, f"_q{i}"))
         prev = f"_q{i}"
     artist = F.when(F.col("_at").isNotNull(), F.substring("_t", F.col("_at") + 2, F.length("_t")))
@@ -80,7 +87,8 @@ def apply_title_rules(
     protected = raw.rlike(protected_pattern(rules))
     return df.withColumn("_ruled", ruled).select(
         *keep,
-        F.when(protected, raw).otherwise(tidy_field(F.col("_ruled"))).alias(f"{column}_clean"),
+        F.when(F.col("_plain") | protected, raw).otherwise(tidy_field(F.col("_ruled")))
+        .alias(f"{column}_clean"),
         F.when(F.col("_guard"), F.array().cast("array<string>")).otherwise(fired).alias("fired"),
     )
 

@@ -18,7 +18,7 @@ from ..functions.text import (
     clean_lines, first_match, let, loose_key, normalize, seconds_of, strip, sub,
 )
 from ..functions.titles import TRACK_TYPE, drop_latin_suffix, drop_transliterations, track
-from .sets import rendered_lines
+from ..session import written
 from .tracks import is_contiguous, renumber
 
 W = P.WS
@@ -46,7 +46,7 @@ def build_requests(
             "\n",
         )
     numbered = skew.ranked(
-        comments.select("video_id", "source_pos", value.alias("_t")),
+        written(comments.select("video_id", "source_pos", value.alias("_t")), "requests"),
         ["video_id"], [F.floor(F.col("source_pos") / 100_000)], [F.col("source_pos")], "_rank",
     )
     lead = F.when(F.col("_rank") == 1, F.lit(template + "\n")).otherwise(F.lit(_SEPARATOR))
@@ -143,7 +143,7 @@ def response_line(line: Column) -> Column:
             let(body, fields),
             lambda f: F.when(
                 f["song"] != "",
-                track(F.lit(None), F.get(p, F.lit(1)).try_cast("int"), seconds_of(label), label,
+                track(F.lit(None), F.get(p, F.lit(1)).cast("int"), seconds_of(label), label,
                       f["song"], f["artist"]),
             ),
         )
@@ -421,7 +421,7 @@ def _contains_any(c: Column, words: list[str]) -> Column:
 def batch_samples(diff: DataFrame, order: str, size: int = 9, block: int = 100_000) -> DataFrame:
     """Number samples in order and cut them into batches of ``size``."""
     numbered = skew.ranked(
-        diff, [], [F.floor(F.col(order) / block)], [F.col(order)], "sample_no"
+        written(diff, "samples"), [], [F.floor(F.col(order) / block)], [F.col(order)], "sample_no"
     )
     return numbered.withColumn(
         "batch_no", F.floor((F.col("sample_no") - 1) / size).cast("bigint")

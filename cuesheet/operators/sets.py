@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import skew
 from ..functions.text import clean_lines, let, loose_key, markers, seconds_of, strip, sub
-from .tracks import first_by_key, renumber
+from ..session import written
+from .tracks import first_by_key
 
 W = P.WS
 _HONORIFIC = rf"(?:さん|様|氏){W}*$"
@@ -294,9 +295,11 @@ def dedupe_setlists(
 ) -> DataFrame:
     """Mark equal messages of the corpus: ``kept`` and ``dup_of`` (the first by ``order``).
 
-    Only hashes move; a signature shared by very many messages does not make a hot task.
+    The result has the columns of ``messages`` without the texts.  Only hashes move; a
+    signature shared by very many messages does not make a hot task.
     """
-    signed = with_signature(messages, timed, plain)
+    keep = [c for c in messages.columns if c not in (timed, plain)]
+    signed = written(with_signature(messages, timed, plain).select(*keep, "sig"), "signatures")
     groups = (
         signed.where(F.col("sig").isNotNull())
         .groupBy("sig")
@@ -305,6 +308,6 @@ def dedupe_setlists(
     joined = skew.attach_groups(signed, groups, ["sig"], "_copies", [order])
     kept = F.col("sig").isNull() | (F.col("_first") == F.col(order))
     return joined.select(
-        *messages.columns, "sig", kept.alias("kept"),
+        *keep, "sig", kept.alias("kept"),
         F.when(~kept, F.col("_first")).alias("dup_of"),
     )

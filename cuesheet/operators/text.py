@@ -14,6 +14,7 @@ from ..functions import patterns as P
 from ..functions import skew
 from ..functions.memo import per_context
 from ..functions.rows import explode_rows
+from ..session import written
 from ..functions.text import (
     clean_lines, let, logical_lines, markers, normalize, section_key, seconds_of, strip, sub,
 )
@@ -253,7 +254,9 @@ def select_setlist_section(comments: DataFrame, text: str = "text") -> DataFrame
 def rank_comments(comments: DataFrame, text: str = "text", block: int = 100_000) -> DataFrame:
     """Rank comments of a video: more times first, then the original order."""
     keep = [c for c in comments.columns if c != text]
-    counted = comments.select(*keep, F.size(times_in(F.col(text))).alias("ts_count"))
+    counted = written(
+        comments.select(*keep, F.size(times_in(F.col(text))).alias("ts_count")), "ts-count"
+    )
     return skew.ranked(
         counted, ["video_id"],
         [-F.col("ts_count"), F.floor(F.col("source_pos") / block)],

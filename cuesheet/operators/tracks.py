@@ -167,7 +167,7 @@ def numbered_line(line: Column) -> Column:
         canonical = sub(rest, _NUMBERED, "$1$2$3$4$5$6$7$8$9$10\x02$11")
 
         def build(c: Column) -> Column:
-            num = F.substring_index(c, "\x02", 1).try_cast("int")
+            num = F.substring_index(c, "\x02", 1).cast("int")
             fields = _performer_fields(drop_line_lead(F.substring_index(c, "\x02", -1)))
             label = first_time(t)
             return F.when(

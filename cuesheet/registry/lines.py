@@ -205,7 +205,7 @@ _FIRED_SQL = "([" + ", ".join(f"'{r}'" for _, r in TITLE_FORMS) + \
 
 
 def _written_titles(spark, sf):
-    return fx.table(spark, sf, "lineitem").join(
+    return fx.spread(fx.table(spark, sf, "lineitem")).join(
         fx.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")
     ).select("l_orderkey", "l_linenumber", "p_partkey", _title_form().alias("song"))
 
@@ -255,7 +255,7 @@ def t11(spark, sf):
         .when(at == 4, "リクエスト").when(at == 5, "10:15").otherwise(F.col("p_name"))
     )
     artist = F.when(at == 3, "Opening").otherwise(F.col("p_brand"))
-    rows = fx.table(spark, sf, "lineitem").join(
+    rows = fx.spread(fx.table(spark, sf, "lineitem")).join(
         fx.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")
     ).select("l_orderkey", "l_linenumber", "p_partkey", song.alias("song"), artist.alias("artist"))
     return tracks.drop_noise(rows).drop("artist")
@@ -280,7 +280,7 @@ def t12(spark, sf):
     for i, form in enumerate(ARTIST_FORMS):
         a, b = form.split("{}")
         artist = F.when(at == i, F.concat(F.lit(a), F.col("s_name"), F.lit(b))).otherwise(artist)
-    rows = fx.table(spark, sf, "lineitem").join(
+    rows = fx.spread(fx.table(spark, sf, "lineitem")).join(
         fx.table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")
     ).select("l_orderkey", "l_linenumber", "l_suppkey", artist.alias("artist"))
     return tracks.clean_artist_metadata(rows)

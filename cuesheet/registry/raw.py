@@ -150,7 +150,7 @@ def raw_payloads(spark, sf):
                ORDER BY item_no % 2, item_no) AS comment_pos, 'c' || item_no || ' ' || song AS text FROM ({I})""",
 )
 def s03(spark, sf):
-    return bronze.extract_comments(bronze.walk_payloads(raw_payloads(spark, sf)))
+    return bronze.extract_comments(raw_payloads(spark, sf))
 
 
 @query(
@@ -160,7 +160,7 @@ def s03(spark, sf):
 )
 def s04(spark, sf):
     """Bare times are no description, and a repeated text counts once."""
-    return bronze.extract_descriptions(bronze.walk_payloads(raw_payloads(spark, sf)))
+    return bronze.extract_descriptions(raw_payloads(spark, sf))
 
 
 @query(
@@ -179,8 +179,7 @@ def s05(spark, sf):
         F.format_string("yt%09d", "comment_id").alias("yt_id"),
         F.concat(F.lit("tok-"), F.col("comment_id").cast("string"), F.lit("-2")).alias("token"),
     )
-    walked = bronze.walk_payloads(raw_payloads(spark, sf))
-    return bronze.crawl_frontier(walked, seen, cap=3)
+    return bronze.crawl_frontier(raw_payloads(spark, sf), seen, cap=3)
 
 
 @query(

@@ -15,6 +15,7 @@ from ..functions import skew
 from ..functions.rows import explode_rows
 from ..functions.text import logical_lines, normalize, sub
 from ..operators.text import times_in
+from ..session import written
 
 W = P.WS
 
@@ -142,13 +143,18 @@ WALK_SCHEMA = (
 )
 
 
-def walk_payloads(payloads: DataFrame) -> DataFrame:
+ALL_KINDS = ("comment", "simple", "runs", "token", "any_token", "reply")
+
+
+def walk_payloads(payloads: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> DataFrame:
     """Findings of each payload (``yt_id, part, part_pos, json``) in document order.
 
     Kinds: ``comment`` text, ``simple`` and ``runs`` texts, ``token`` of a continuation
     (``hint``: its object mentions comments), ``any_token``, ``reply`` token.
     """
 
+    wanted = frozenset(kinds)
+
     def walk(batches):
         import json
 
@@ -163,7 +169,11 @@ def walk_payloads(payloads: DataFrame) -> DataFrame:
             return node
 
         def findings(item):
-            content = get(item, "commentEntityPayload", "properties", "content", "content")
+            # most objects hold none of the keys
+            if "commentEntityPayload" in item:
+                content = get(item, "commentEntityPayload", "properties", "content", "content")
+            else:
+                content = None
             if isinstance(content, str):
                 yield "comment", content, None
             if isinstance(item.get("simpleText"), str):
@@ -172,7 +182,7 @@ def walk_payloads(payloads: DataFrame) -> DataFrame:
                 texts = (r.get("text", "") for r in item["runs"] if isinstance(r, dict))
                 yield "runs", "".join(texts), None
             token = get(item, "continuationEndpoint", "continuationCommand", "token")
-            if token:
+            if token and "token" in wanted:
                 told = json.dumps(item, ensure_ascii=False)
                 yield "token", str(token), "comment" in told.lower() or "コメント" in told
             token = get(item, "continuationCommand", "token")
@@ -200,6 +210,8 @@ def walk_payloads(payloads: DataFrame) -> DataFrame:
                     if isinstance(node, dict):
                         for kind, text, hint in findings(node):
                             ordinal += 1
+                            if kind not in wanted:
+                                continue
                             for column, value in zip(
                                 out,
                                 (row["yt_id"], row["part"], row["part_pos"], ordinal, kind, text, hint),
@@ -219,9 +231,19 @@ def _part_rank() -> Column:
     return F.when(F.col("part") == "initial", 0).when(F.col("part") == "comments", 1).otherwise(2)
 
 
-def extract_comments(walked: DataFrame) -> DataFrame:
+def _walked(payloads: DataFrame, parts: Column, kinds: tuple[str, ...]) -> DataFrame:
+    """Findings of the wanted parts; a table that was walked before is only filtered.
+
+    The walk is opaque to the optimiser, so parts and kinds are chosen in front of it.
+    """
+    if "kind" in payloads.columns:
+        return payloads.where(parts & F.col("kind").isin(*kinds))
+    return walk_payloads(payloads.where(parts), kinds)
+
+
+def extract_comments(payloads: DataFrame) -> DataFrame:
     """Comment texts in order: the main response first, then the replies."""
-    found = walked.where((F.col("kind") == "comment") & (F.col("part") != "initial"))
+    found = written(_walked(payloads, F.col("part") != "initial", ("comment",)), "comments")
     ranked = skew.ranked(
         found, ["yt_id"],
         [_part_rank(), F.col("part_pos"), F.floor(F.col("ordinal") / 10_000)],
@@ -243,35 +265,34 @@ def is_timed_text(c: Column) -> Column:
     return value.rlike(_ANY_TIME) & rest.rlike("[A-Za-zぁ-んァ-ヶ一-龯々]")
 
 
-def extract_descriptions(walked: DataFrame) -> DataFrame:
+def extract_descriptions(payloads: DataFrame) -> DataFrame:
     """Distinct timed texts of the first page, in order, joined by a blank line.
 
     All texts of a video come from its one initial payload, so a group is one payload.
     """
-    found = walked.where(
-        F.col("kind").isin("simple", "runs") & (F.col("part") == "initial") & is_timed_text(F.col("text"))
-    )
+    texts = _walked(payloads, F.col("part") == "initial", ("simple", "runs"))
+    found = texts.where(is_timed_text(F.col("text")))
     first = found.groupBy("yt_id", "text").agg(F.min("ordinal").alias("_o"))
     return first.groupBy("yt_id").agg(
         F.expr("listagg(text, '\\n\\n') WITHIN GROUP (ORDER BY _o)").alias("description")
     )
 
 
-def crawl_frontier(walked: DataFrame, seen: DataFrame, cap: int = 20) -> DataFrame:
+def crawl_frontier(payloads: DataFrame, seen: DataFrame, cap: int = 20) -> DataFrame:
     """Tokens to fetch next: the comments of a video, then reply pages first in, first out.
 
     Tokens in ``seen`` (``yt_id, token``) are left out, and with them a video gets at most
     ``cap`` reply pages.
     """
-    initial = walked.where(
-        (F.col("part") == "initial") & (F.col("hint") | (F.col("kind") == "any_token"))
+    initial = _walked(payloads, F.col("part") == "initial", ("token", "any_token")).where(
+        F.col("hint") | (F.col("kind") == "any_token")
     )
     order = F.struct((F.col("kind") != "token").alias("late"), "part_pos", "ordinal")
     start = initial.groupBy("yt_id").agg(F.min_by("text", order).alias("token")).select(
         "yt_id", F.lit("comments").alias("kind"), "token", F.lit(1).alias("pos")
     )
     start = start.join(seen.select("yt_id", "token"), ["yt_id", "token"], "left_anti")
-    replies = walked.where((F.col("kind") == "reply") & (F.col("part") != "initial"))
+    replies = _walked(payloads, F.col("part") != "initial", ("reply",))
     first = replies.groupBy("yt_id", F.col("text").alias("token")).agg(
         F.min(F.struct(_part_rank().alias("r"), "part_pos", "ordinal")).alias("_o")
     )

@@ -27,7 +27,7 @@ def run_available(writer, checkpoint: str):
 
 def tracks_of_payloads(payloads: DataFrame) -> DataFrame:
     """Raw payloads to track rows; one payload at a time, no shuffle."""
-    comments = walk_payloads(payloads).where((F.col("kind") == "comment") & (F.col("part") != "initial"))
+    comments = walk_payloads(payloads.where(F.col("part") != "initial"), ("comment",))
     listed = classify_songlist_comments(comments).where("is_songlist")
     texts = listed.select(
         "yt_id", "part", "part_pos", F.col("ordinal").cast("bigint").alias("comment_id"), "text"
