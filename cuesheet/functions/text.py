@@ -107,12 +107,16 @@ _HIDDEN = "\x02"
 def outside_brackets(
     c: Column, opens: str = P.BRACKETS_OPEN, closes: str = P.BRACKETS_CLOSE
 ) -> Column:
-    """Same-length copy of ``c`` in which brackets and their content are hidden.
+    """Same-length copy of ``c`` in which delimiters inside brackets are hidden.
 
-    All bracket kinds share one depth, and the depth never falls below zero.  The
-    character fold runs only for texts that hold an opening bracket.
+    All bracket kinds share one depth, and the depth never falls below zero.  Texts
+    without nested or unclosed brackets need one pattern; the others are folded
+    character by character.
     """
     o, z = P.char_set(opens), P.char_set(closes)
+    other = P.char_set(opens + closes).replace("[", "[^", 1)
+    side_by_side = rf"(?s)^{other}*+(?:{o}{other}*+{z}{other}*+)*+$"
+    inside = rf"[{P.DELIMS}](?={other}*+{z})"
 
     def step(state: Column, ch: Column) -> Column:
         opening, closing = ch.rlike(o), ch.rlike(z)
@@ -130,7 +134,12 @@ def outside_brackets(
         step,
         lambda s: s["mask"],
     )
-    return let(c, lambda t: F.when(t.rlike(o), fold(t)).otherwise(sub(t, z, _HIDDEN)))
+    return let(
+        c,
+        lambda t: F.when(~t.rlike(o), t)
+        .when(t.rlike(side_by_side), sub(t, inside, _HIDDEN))
+        .otherwise(fold(t)),
+    )
 
 
 # --- loose comparison --------------------------------------------------------------

@@ -291,6 +291,7 @@ _NOT_PLAIN = (
 )
 _PLAIN_NAME = rf"{_NOT_PLAIN}[{_LETTER}]{_PLAIN_TAIL}"
 _PLAIN_FIELD = rf"^{_PLAIN_NAME}$"
+PLAIN_PAIR = rf"^({_PLAIN_NAME})(?: [{P.DELIMS}{P.DASHES}] |[/／|])({_PLAIN_NAME})$"
 
 
 def clean_field(c: Column, rules=DEFAULT_RULES) -> Column:
@@ -497,7 +498,21 @@ def split_fields(c: Column, clean=clean_field, clean_performer=None, extended=Fa
         fields = F.transform(options, lambda o: let(cleaned(_pieces(o)), assemble))
         return F.get(F.filter(fields, good), F.lit(0))
 
-    return let(strip(c), lambda raw: F.when(raw.rlike(_HAS_DELIM), choose(raw)))
+    def general(raw: Column) -> Column:
+        return F.when(raw.rlike(_HAS_DELIM), choose(raw))
+
+    def short(raw: Column) -> Column:
+        pair = lambda p: F.struct(
+            F.substring_index(p, "\x02", 1).alias("song"),
+            F.substring_index(p, "\x02", -1).alias("artist"),
+        )
+        return let(
+            sub(raw, PLAIN_PAIR, "$1\x02$2"),
+            lambda p: F.when(p.contains("\x02"), pair(p)).otherwise(general(raw)),
+        )
+
+    # two plain names need no candidates; a performer cleanup of its own may change them
+    return let(strip(c), short if same_cleanup and clean is clean_field else general)
 
 
 # --- multi-field records ---------------------------------------------------------------

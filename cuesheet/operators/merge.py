@@ -20,6 +20,7 @@ from ..functions import patterns as P
 from ..functions.memo import per_context
 from ..functions.rows import explode_rows
 from ..functions.text import let, strip, sub
+from ..functions.titles import PLAIN_PAIR
 from .text import line_flags, with_lines
 
 _SEP = "\x02"
@@ -54,6 +55,9 @@ _SURELY_TIMED = (
     rf"^(?:[0-9]{{1,3}}\. )?{P.TS_OPEN}?{P.TS_VALID}(?!.*(?:宣伝|告知|お知らせ){P.WS}*$)"
     rf".*?(?:[A-Za-z]{{2}}|{P.JAPANESE}{{2}})"
 )
+_SURELY_TIME = rf"^{P.TS_VALID}$"
+# two plain names and no word that ends or starts a notice
+_SURELY_SONG = rf"(?!.*(?:宣伝|告知|お知らせ|編集中です)){PLAIN_PAIR}"
 
 
 def _tagged(f: Column) -> Column:
@@ -88,9 +92,12 @@ def _tagged(f: Column) -> Column:
 
 def merged_lines(lines: Column, strict_range: bool = False) -> Column:
     """Array of merged lines; lines that can never become a track are dropped."""
-    tag = lambda l: F.when(
-        l.rlike(_SURELY_TIMED), F.concat(F.lit("W"), l, F.lit("\n"))
-    ).otherwise(let(line_flags(l, strict_range), _tagged))
+    tag = lambda l: (
+        F.when(l.rlike(_SURELY_TIMED), F.concat(F.lit("W"), l, F.lit("\n")))
+        .when(l.rlike(_SURELY_TIME), F.concat(F.lit("S"), l, F.lit("\n")))
+        .when(l.rlike(_SURELY_SONG), F.concat(F.lit("L"), l, F.lit("\n")))
+        .otherwise(let(line_flags(l, strict_range), _tagged))
+    )
     tagged = F.array_join(F.transform(lines, tag), "")
     walked = F.split(sub(tagged, _WALK, _MERGED), "\n")
     return F.filter(F.transform(walked, strip), lambda l: l != "")

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from cuesheet.functions import text as X
@@ -31,9 +33,21 @@ def test_logical_lines(one):
 
 
 def test_bracket_mask(one):
-    got = one(X.outside_brackets, ["a(b)c", "a(b]c", "a)b", "a(b", "😀(x)/y"])
-    h = "\x02"
-    assert got == [f"a{h*3}c", f"a{h*3}c", f"a{h}b", f"a{h*2}", f"😀{h*3}/y"]
+    def mask(t):
+        depth, out = 0, ""
+        for ch in t:
+            opening, closing = ch in "([{（［【「『《〈｢", ch in ")]}）］】」』》〉｣"
+            out += "\x02" if depth and ch == "/" else ch
+            depth = depth + 1 if opening else max(0, depth - 1) if closing else depth
+        return out
+
+    rng = random.Random(3)
+    texts = ["a(b)c", "a(b]c", "a)b", "a(b", "😀(x)/y", "a(b(c)d)e", "x)(y)z"]
+    texts += ["".join(rng.choice("a/ ()「」[😀") for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    got = one(X.outside_brackets, texts)
+    assert [len(g) for g in got] == [len(t) for t in texts]
+    slashes = lambda t: [i for i, ch in enumerate(t) if ch == "/"]
+    assert [slashes(g) for g in got] == [slashes(mask(t)) for t in texts]
 
 
 def merged(spark, texts):

@@ -66,7 +66,7 @@ def test_split(one):
     assert got == [
         ("441", "miwa"), ("366日", "HY"), ("曖昧劣情Lover", "電ポルP"), ("God knows...", "涼宮ハルヒ(平野綾)"),
         # the bracket with blanks inside goes as a translation note
-        ("a", "d"), ("a／b", "c"), None, None, ("title", "artist [album]"),
+        ("a", "d"), ("a / b", "c"), None, None, ("title", "artist [album]"),
         # an unclosed bracket hides the slash from the bracket-aware steps only
         ("x [y", "z"), ("A", "B / C"),
     ]
