@@ -114,7 +114,9 @@ def outside_brackets(
     character by character.
     """
     o, z = P.char_set(opens), P.char_set(closes)
-    other = P.char_set(opens + closes).replace("[", "[^", 1)
+    # the CJK brackets are one run of code points
+    rest = "".join(ch for ch in opens + closes if not "\u3008" <= ch <= "\u3011")
+    other = P.char_set(rest).replace("[", "[^", 1)[:-1] + r"\x{3008}-\x{3011}]"
     side_by_side = rf"(?s)^{other}*+(?:{o}{other}*+{z}{other}*+)*+$"
     inside = rf"[{P.DELIMS}](?={other}*+{z})"
 

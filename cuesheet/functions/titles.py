@@ -193,9 +193,14 @@ def drop_latin_suffix(c: Column) -> Column:
     """Remove a closing bracket that repeats the name or romanises a Japanese name."""
 
     def pieces(raw: Column, pattern: str) -> Column:
-        content = F.concat(*[first_match(raw, pattern, g) for g in range(2, 6)])
-        return F.struct(
-            strip(first_match(raw, pattern, 1)).alias("before"), strip(content).alias("content")
+        # one pass: the groups of the other bracket kinds are empty
+        return let(
+            sub(raw, pattern, "$1\x02$2$3$4$5"),
+            lambda cut: F.struct(
+                F.when(cut.contains("\x02"), strip(F.substring_index(cut, "\x02", 1)))
+                .otherwise("").alias("before"),
+                strip(F.substring_index(cut, "\x02", -1)).alias("content"),
+            ),
         )
 
     def redundant(p: Column) -> Column:
@@ -203,8 +208,8 @@ def drop_latin_suffix(c: Column) -> Column:
             annotation_key(p["before"]) != ""
         )
         return (p["before"] != "") & (
-            same | (p["before"].rlike(P.JAPANESE) & is_latin_note(p["content"])
-                    & ~p["content"].rlike(P.JAPANESE))
+            (is_latin_note(p["content"]) & p["before"].rlike(P.JAPANESE)
+             & ~p["content"].rlike(P.JAPANESE)) | same
         )
 
     def body(raw: Column) -> Column:
