@@ -149,14 +149,14 @@ def outside_brackets(
 
 def loose_key(c: Column) -> Column:
     """Spelling-independent key of a title or performer."""
-    return F.lower(sub(c, rf"[“”‘’\"'`，,、｡。!！?？~～.．…{P.WS_SET}]+"))
+    return F.lower(F.translate(c, "“”‘’\"'`，,、｡。!！?？~～.．…" + P.WS_CHARS, ""))
 
 
 def annotation_key(c: Column) -> Column:
     return F.lower(
-        sub(c, rf"[“”‘’\"'`.．。｡、,，:：;；!！?？~～{P.DASHES}_{P.DELIMS}{P.WS_SET}]+")
+        F.translate(c, "“”‘’\"'`.．。｡、,，:：;；!！?？~～-—–−_" + P.DELIMS + P.WS_CHARS, "")
     )
 
 
 def section_key(c: Column) -> Column:
-    return F.lower(sub(c, rf"[_{P.DASHES}{P.DELIMS}:：;；,，.。!！?？~～・･{P.WS_SET}]+"))
+    return F.lower(F.translate(c, "_-—–−" + P.DELIMS + ":：;；,，.。!！?？~～・･" + P.WS_CHARS, ""))
