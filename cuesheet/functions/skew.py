@@ -31,9 +31,13 @@ def attach_groups(
         .select(*keys, F.struct(*values).alias("_hot"))
     )
     cold = groups.select(*keys, F.struct(*values).alias("_cold"), F.lit(0).alias("_salt"))
+    # rows without a key match nothing and are spread out as well
+    keyed = F.lit(True)
+    for k in keys:
+        keyed = keyed & F.col(k).isNotNull()
     salted = rows.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt",
-        F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(
+        F.when(F.col("_hot").isNull() & keyed, F.lit(0)).otherwise(
             F.pmod(F.xxhash64(*spread), F.lit(SPREAD)).cast("int") + 1
         ),
     )

@@ -35,10 +35,18 @@ def load_rules(table: DataFrame) -> tuple[Rule, ...]:
     return tuple(
         Rule(r.rule_id, r.ord, r.category, r.action, r.regex, r.replacement or "", r.scope,
              tuple(r.protection or ()))
-        for r in table.orderBy("ord").limit(1000).collect()
+        for r in small_table(table.orderBy("ord"))
     )
 
 
+def small_table(table: DataFrame, most: int = 1000) -> list:
+    """Rows of a table that must be small; a larger one is an error, never cut."""
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows in a rule table")
+    return rows
+
+
 def apply_title_rules(
     tracks: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, column: str = "song"
 ) -> DataFrame:

@@ -19,6 +19,7 @@ from ..functions.text import (
 )
 from ..functions.titles import TRACK_TYPE, drop_latin_suffix, drop_transliterations, track
 from ..session import written
+from .rules import small_table
 from .tracks import is_contiguous, renumber
 
 W = P.WS
@@ -395,9 +396,7 @@ def route_samples(diff: DataFrame, keywords: DataFrame, k: int = 5, order: str =
         order, "local", "model",
         F.concat_ws(" ", F.array_join("removed", " "), F.array_join("added", " ")).alias("_h"),
     ).where(strip(F.col("_h")) != "")
-    table = [
-        (r.rule_id, list(r.words)) for r in keywords.orderBy("rule_id").limit(1000).collect()
-    ]
+    table = [(r.rule_id, list(r.words)) for r in small_table(keywords.orderBy("rule_id"))]
     hits = F.filter(
         F.array(
             *[
