@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cuesheet import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -26,10 +27,10 @@ def ordered(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, name):
     got = entry.queries()[name](spark, SF)
     done = con.execute(entry.oracle_sql()[name])
