@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, secret_scan
+from . import decontaminate, exact_dedup, packing, secret_scan, warc
 
 QUERIES = {
     "op1_secret_scans": secret_scan.op1_secret_scans,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_warc": warc.op8_warc,
+}
+ORACLE = {
+    "op2_benchmark_decontamination": decontaminate.SQL,
+    "op4_exact_dedup": exact_dedup.SQL,
 }
-ORACLE = {"op2_benchmark_decontamination": decontaminate.SQL}
