@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, packing, secret_scan, warc
+from . import decontaminate, exact_dedup, packing, secret_scan, toxicity, warc
 
 QUERIES = {
     "op1_secret_scans": secret_scan.op1_secret_scans,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_warc": warc.op8_warc,
 }
