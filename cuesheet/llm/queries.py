@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, lm_score, packing, secret_scan, toxicity, warc
+from . import decontaminate, exact_dedup, lm_score, packing, secret_scan, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_secret_scans": secret_scan.op1_secret_scans,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_warc": warc.op8_warc,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_lm_scoring": lm_score.op10_lm_scoring,
 }
 ORACLE = {
