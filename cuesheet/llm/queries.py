@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, lm_score, packing, secret_scan, substring_dedup, toxicity, warc
+from . import decontaminate, exact_dedup, lm_score, ngram_join, packing, secret_scan, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_secret_scans": secret_scan.op1_secret_scans,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_warc": warc.op8_warc,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
