@@ -16,7 +16,7 @@ from .common import blobs, table, written
 LENGTH = 1024
 END = 2
 #: Rows of one ranking task.
-RANK_ROWS = 50_000
+RANK_ROWS = 5_000
 #: Words whose ids a worker keeps.
 CACHE_WORDS = 300_000
 
