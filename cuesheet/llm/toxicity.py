@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, table
+from .common import blobs, table, written
 
 FOLDS = 5
-#: Labelled training rows that the lexicon is learned from, at most (about) per label.
+#: Labelled training rows that the lexicon is learned from, at most, per label.
 SAMPLE = 5_000
 #: Lexicon entries and exception phrases at most; those of most weight stay.
 ENTRIES = 2_000
@@ -137,17 +137,21 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """About ``bound`` training rows of each label (all if fewer), spread by a hash of the id."""
+    """``bound`` training rows of each label (all if fewer), the first by a hash of the id.
+
+    Their ids are a fixed number, so they are sent to every task and the texts are picked
+    out in place; the sample is written once.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(
-        "doc_id", "toxic"
+        "doc_id", F.col("toxic").cast("int").alias("toxic")
     )
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000))
-    keep = F.lit(False)
-    for label, n in sizes.items():
-        keep |= (F.col("toxic") == label) & (place < int(1_000_000 * min(1.0, bound / n)))
-    return docs.select("doc_id", "text").join(known.where(keep), "doc_id")
+    place = F.xxhash64(F.lit("sample"), "doc_id")
+    chosen = [
+        known.where(F.col("toxic") == label).orderBy(place, "doc_id").limit(bound) for label in (0, 1)
+    ]
+    ids = F.broadcast(chosen[0].unionByName(chosen[1]))
+    return written(docs.select("doc_id", "text").join(ids, "doc_id"), "sample")
 
 
 def _counts(sample: DataFrame) -> DataFrame:
@@ -174,7 +178,7 @@ def _counts(sample: DataFrame) -> DataFrame:
         yield from flush()
 
     return (
-        sample.select("text", F.col("toxic").cast("int").alias("toxic"))
+        sample.select("text", "toxic")
         .mapInArrow(count, "entry string, toxic long, clean long")
         .groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     )
@@ -234,7 +238,7 @@ def _phrases(sample: DataFrame, entries: dict[str, float]) -> DataFrame:
             )
 
     return (
-        sample.select("text", F.col("toxic").cast("int").alias("toxic"))
+        sample.select("text", "toxic")
         .mapInArrow(look, "phrase string, toxic long")
         .groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
     )
@@ -284,7 +288,7 @@ def learn(
 ) -> Lexicon:
     """Lexicon, exception phrases and score curve from labelled training rows.
 
-    Uses a spread sample of about ``sample`` rows of each label, whole texts. What reaches
+    Uses a spread sample of at most ``sample`` rows of each label, whole texts. What reaches
     the driver is bounded: ``entries`` candidates, as many phrases, three numbers a sample
     row. Without rows of both labels the lexicon is empty and every score is 0.
     """
@@ -307,7 +311,7 @@ def learn(
         .orderBy(F.desc("clean"), "phrase").limit(entries)
     )
     lexicon = Lexicon(found, tuple(r["phrase"] for r in spare.collect()), ())
-    at = _matched(rows.select("text", F.col("toxic").cast("int").alias("toxic")), lexicon, "toxic")
+    at = _matched(rows.select("text", "toxic"), lexicon, "toxic")
     points = at.collect()
     x = np.array([features(r["weight"], r["hits"], r["n_words"]) for r in points])
     y = np.array([r["toxic"] for r in points], dtype=float)
