@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir, written
 
-__all__ = ["blobs", "table", "tune", "text_key", "written", "shared_dir", "batches"]
+__all__ = ["blobs", "kept_rows", "only_keys", "shared_dir", "table", "text_key", "tune", "written"]
 
 #: Rows of one Arrow batch: long texts stay within tens of megabytes.
 BATCH_ROWS = 500
@@ -46,9 +46,24 @@ def blobs(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [b or b"" for b in column.to_pylist()]
 
 
-def batches(columns: dict[str, list], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """One record batch of the columns, nothing where they are empty."""
-    if next(iter(columns.values())):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[f.name], f.type) for f in schema], schema=schema
-        )
+def only_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns as they are, whose key is listed; one row a key."""
+    rows = docs.select(F.struct("*").alias("doc"), *text_key())
+    return (
+        rows.join(keys.distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+        .select("doc.*")
+    )
+
+
+def kept_rows(docs: DataFrame, keep: Callable[[], Callable[[list[bytes]], list[bool]]]) -> DataFrame:
+    """Rows of ``docs``, all columns as they are, whose text ``keep`` says yes to.
+
+    ``keep`` comes from a zero-argument maker, called once a task; nothing is shuffled.
+    """
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = keep()
+        for batch in source:
+            yield batch.filter(pa.array(decide(blobs(batch)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

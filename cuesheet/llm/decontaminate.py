@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, table
+from .common import blobs, kept_rows, table
 
 WINDOW = 10
 #: Item text of one automaton; more items are scanned for in further blocks.
@@ -118,6 +118,19 @@ def _scan(docs: DataFrame, items: list[tuple[int | None, str]], width: int) -> D
     )
 
 
+def _items(benchmark: DataFrame, part_bytes: int) -> tuple[DataFrame, int]:
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    size = items.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    return items, -(-size // part_bytes)
+
+
+def _block(items: DataFrame, parts: int, k: int) -> list[tuple[int | None, str]]:
+    """Items of one block: bounded in bytes, whatever the benchmark holds."""
+    if parts > 1:
+        items = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+    return [tuple(r) for r in items.collect()]
+
+
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, part_bytes: int = PART_BYTES
 ) -> DataFrame:
@@ -134,17 +147,14 @@ def find_contamination(
     cut into blocks of that size; the texts are scanned once per block, and the hits of the
     blocks are united per row.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = items.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-size // part_bytes)
+    items, parts = _items(benchmark, part_bytes)
     texts = docs.select("doc_id", "text")
     if parts <= 1:
-        return _scan(texts, [tuple(r) for r in items.collect()], width).drop("ranges")
+        return _scan(texts, _block(items, 1, 0), width).drop("ranges")
     texts = texts.withColumns({"_row1": F.xxhash64("doc_id"), "_row2": F.xxhash64("text")})
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
     found = None
-    for k in range(parts):  # each block is bounded, whatever the benchmark holds
-        block = _scan(texts, [tuple(r) for r in items.where(part == k).collect()], width)
+    for k in range(parts):
+        block = _scan(texts, _block(items, parts, k), width)
         found = block if found is None else found.unionByName(block)
     return _united(found, parts)
 
@@ -183,6 +193,25 @@ def _united(found: DataFrame, parts: int) -> DataFrame:
     )
 
 
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, part_bytes: int = PART_BYTES
+) -> DataFrame:
+    """Rows of ``docs``, all columns, in whose text no benchmark window occurs.
+
+    Filters in place, one block of the benchmark after the other.
+    """
+    items, parts = _items(benchmark, part_bytes)
+    for k in range(parts):
+        shared = docs.sparkSession.sparkContext.broadcast(_block(items, parts, k))
+
+        def maker(shared=shared):
+            windows = Windows(shared.value, width)
+            return lambda texts: [not windows.find(words(t))[0] for t in texts]
+
+        docs = kept_rows(docs, maker)
+    return docs
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document, those hit by benchmark windows, and a digest of the items."""
     found = find_contamination(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_key, written
+from .common import only_keys, table, text_key, written
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -136,6 +136,11 @@ def find_copies(docs: DataFrame, size: int = BLOCK, route=F.xxhash64) -> DataFra
     )
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with all their columns, one of equal texts (see :func:`find_copies`)."""
+    return only_keys(docs, find_copies(docs).where("kept").select("k1", "k2"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The copy that stays, for every document."""
     return find_copies(table(spark, sf_dir, "documents")).select(

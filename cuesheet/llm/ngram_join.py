@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, table, written
+from .common import blobs, only_keys, table, text_key, written
 from .components import components
 from .recompress import Sums, mix, word_names
 
@@ -60,19 +60,20 @@ def _sets(docs: DataFrame, texts: bool) -> DataFrame:
     """``set, n`` of every row with its id, or with group counts, hashes and packed text."""
     narrow = [("set", pa.int64()), ("n", pa.int64())]
     wide = [("counts", pa.binary()), ("least", pa.list_(pa.int64())), ("packed", pa.binary())]
-    schema = pa.schema(narrow + (wide if texts else [("doc_id", pa.int64())]))
+    keys = [(k, pa.int64()) for k in ("doc_id", "k1", "k2")]
+    schema = pa.schema(narrow + (wide if texts else keys))
 
     def build(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for batch in source:
             out: list[list] = [[] for _ in schema.names]
-            ids = batch.column("doc_id").to_pylist()
-            for doc_id, data in zip(ids, blobs(batch), strict=True):
+            ids = [batch.column(k).to_pylist() for k, _ in keys]
+            for *key, data in zip(*ids, blobs(batch), strict=True):
                 names = shingles(data)
                 n = len(names)
                 name = mix(mix(names).sum(dtype=U, keepdims=True) + U(n)).view(np.int64)[0]
                 if not texts:
-                    values = (int(name), n, doc_id)
+                    values = (int(name), n, *key)
                 elif n:
                     least = [
                         int(names[np.argmin(mix(names + U(i + 1)))].view(np.int64)) for i in range(FIRST)
@@ -89,9 +90,11 @@ def _sets(docs: DataFrame, texts: bool) -> DataFrame:
             )
 
     ddl = "set long, n long, " + (
-        "counts binary, least array<long>, packed binary" if texts else "doc_id long"
+        "counts binary, least array<long>, packed binary" if texts
+        else "doc_id long, k1 long, k2 long"
     )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, ddl)
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), *text_key(), "text"]
+    return docs.select(*columns).mapInArrow(build, ddl)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -385,6 +388,17 @@ def links(sets: DataFrame) -> DataFrame:
     return near.unionByName(_verified(pairs, sets))
 
 
+def _rooted(docs: DataFrame) -> DataFrame:
+    """``doc_id, k1, k2, n, root`` of every row; equal roots are one component."""
+    rows = written(_sets(docs, texts=False), "sets")
+    sets = written(_sets(docs, texts=True).dropDuplicates(["set"]), "texts")
+    roots = components(links(sets))
+    named = rows.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn(
+        "root", F.coalesce("root", "set")
+    )
+    return written(named.select("doc_id", "k1", "k2", "n", "root"), "roots")
+
+
 def find_near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row.
 
@@ -395,13 +409,7 @@ def find_near_copies(docs: DataFrame) -> DataFrame:
     without an id have the smallest id of their component. Shingles and sets are known by
     64-bit names. Other columns are not read.
     """
-    rows = written(_sets(docs, texts=False), "sets")
-    sets = written(_sets(docs, texts=True).dropDuplicates(["set"]), "texts")
-    roots = components(links(sets))
-    named = rows.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn(
-        "root", F.coalesce("root", "set")
-    )
-    named = written(named.select("doc_id", "n", "root"), "roots")
+    named = _rooted(docs)
     least = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     alone = named.where("n = 0").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")
@@ -411,6 +419,18 @@ def find_near_copies(docs: DataFrame) -> DataFrame:
     ).unionByName(alone)
 
 
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with all their columns, one of each component: the smallest id.
+
+    Texts without words all stay.
+    """
+    named = _rooted(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "k1", "k2")
+    first = named.where("n > 0").groupBy("root").agg(F.min(order).alias("o"))
+    kept = first.select("o.k1", "o.k2").unionByName(named.where("n = 0").select("k1", "k2"))
+    return only_keys(docs, kept)
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near copies of every document."""
     return find_near_copies(table(spark, sf_dir, "documents"))

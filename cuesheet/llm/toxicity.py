@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, table, written
+from .common import blobs, kept_rows, table, written
 
 FOLDS = 5
 #: Labelled training rows that the lexicon is learned from, at most, per label.
@@ -339,6 +339,26 @@ def rate(docs: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
     return _matched(docs, lexicon, *keep).mapInArrow(scored, f"{ddl}score double")
 
 
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, limit: float = 0.5) -> DataFrame:
+    """Rows of ``docs``, all columns, that score below ``limit``; filters in place."""
+
+    def maker():
+        matcher = Matcher(lexicon)
+
+        def keep(texts: list[bytes]) -> list[bool]:
+            out = []
+            for data in texts:
+                words = fold(data.decode("utf-8", "replace"))
+                found = matcher.matches(words)
+                x = features(sum(m[2] for m in found), len(found), len(words))
+                out.append(score(lexicon.curve, x) < limit)
+            return out
+
+        return keep
+
+    return kept_rows(docs, maker)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and class of every document, learned from the training folds."""
     docs = table(spark, sf_dir, "documents")
