@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, lm_score, ngram_join, packing, secret_scan, substring_dedup, toxicity, warc
+from . import decontaminate, exact_dedup, langid, lm_score, ngram_join, packing, secret_scan, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_secret_scans": secret_scan.op1_secret_scans,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op3_language_id": langid.op3_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
