@@ -142,7 +142,7 @@ def _evidence(rows: DataFrame, names: list[str], chances: np.ndarray, pages: boo
                     says = "none" if says is None else says if says in known else "other"
                     data = visible(data)
                 at = triples(data)
-                sums = chances[:, at].sum(axis=1, dtype=np.float64) * min(1.0, WEIGHT / len(at))
+                sums = chances[:, at].sum(axis=1, dtype=np.float64) * min(1.0, WEIGHT / max(1, len(at)))
                 values = (
                     "page" if pages else "document", key, host, suffix, says or "none",
                     (sums - sums.max()).tolist() if len(sums) else [],
