@@ -327,6 +327,27 @@ def build_model(train: DataFrame) -> Model:
 # ---- scores
 
 
+def commonest(counts: DataFrame, most: int | None = None) -> tuple[pa.Array, pa.Array]:
+    """Words and counts from the least count on for which they are at most ``most``.
+
+    Words longer than ``HEAD_BYTES`` are left out. The bound is looked up in a histogram of
+    the counts (a row for each sixteenth of a power of two).
+    """
+    step = F.floor(16 * F.log2(F.col("n").cast("double"))).cast("int").alias("step")
+    short = counts.where(F.octet_length("key") <= HEAD_BYTES).select("key", "n", step)
+    rows = sorted(
+        (r["step"], r["words"]) for r in short.groupBy("step").agg(F.count("*").alias("words")).collect()
+    )
+    least, room = 1 << 20, HEAD if most is None else most
+    for at, many in reversed(rows):
+        room -= many
+        if room < 0:
+            break
+        least = at
+    found = short.where(F.col("step") >= least).select("key", "n").toArrow()
+    return found.column("key").combine_chunks(), found.column("n").combine_chunks()
+
+
 def score_texts(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row.
 
@@ -346,12 +367,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     counts = written(word_counts(train), "words")
     sizes = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = sizes["n"] or 0, sizes["v"]
-    head = {
-        bytes(r["key"]): r["n"] for r in
-        counts.where(F.octet_length("key") <= HEAD_BYTES).orderBy(F.desc("n"), "key").limit(HEAD).collect()
-    }
+    head = commonest(counts)
     shared = spark.sparkContext.broadcast((head, build_model(train)))
-    least = min(head.values()) if len(head) >= HEAD else 0
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()),
          ("logs", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.binary())),
@@ -359,7 +376,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     )
 
     def scan(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, model = shared.value
+        (words, times), model = shared.value
+        head = dict(zip(words.to_pylist(), times.to_pylist(), strict=True))
         for batch in source:
             out: list[list] = [[] for _ in schema.names]
             for key, data in zip(batch.column("doc_id").to_pylist(), blobs(batch), strict=True):
@@ -389,8 +407,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     rest = rows.select("_row", F.explode(F.arrays_zip("words", "times")).alias("w")).select(
         "_row", F.col("w.words").alias("key"), F.col("w.times").alias("times")
     )
-    tail = counts.where((F.col("n") <= least) | (F.octet_length("key") > HEAD_BYTES)) if least else counts
-    met = rest.join(tail, "key").groupBy("_row").agg(
+    met = rest.join(counts, "key").groupBy("_row").agg(
         F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs")
     )
     size = math.log10(tokens + distinct + 1)
