@@ -27,21 +27,25 @@ def _blocks(data: Column, size: int, value) -> Column:
     )
 
 
-def _first_names(docs: DataFrame, size: int, route) -> DataFrame:
+def _first_names(texts: DataFrame, size: int, route) -> DataFrame:
     """``h, block_name``: a number for every distinct block.
 
     Blocks are grouped by content (``route`` only decides where they meet), and a group is
     named by the number of its first occurrence, so equal names mean equal blocks.
     """
-    blocks = docs.select(F.explode(_blocks(normalised(), size, lambda b: b)).alias("block"))
+    blocks = texts.select(F.explode(_blocks(F.col("data"), size, lambda b: b)).alias("block"))
     numbered = blocks.select("block", F.monotonically_increasing_id().alias("at"))
     return numbered.groupBy(route(F.col("block")).alias("h"), "block").agg(
         F.min("at").alias("block_name")
     )
 
 
-def block_names(docs: DataFrame, size: int = BLOCK, route=F.xxhash64) -> DataFrame:
-    """``k1, k2, tier, name``: the collision-free identity of every key's text.
+def block_names(
+    docs: DataFrame, size: int = BLOCK, route=F.xxhash64
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with their digests, and the collision-free identity of every key's text.
+
+    The first has ``doc_id, k1, k2, text_sha256`` per row, the second ``k1, k2, tier, name``.
 
     ``k1, k2`` (see :func:`text_key`) name a row; two keys get the same ``tier, name`` if
     and only if their normalised texts are the same bytes.
@@ -58,20 +62,24 @@ def block_names(docs: DataFrame, size: int = BLOCK, route=F.xxhash64) -> DataFra
 
     Every round is written to the shared folder. A text of one block has tier 0, others 1.
     """
-    keyed = docs.select(*text_key(), "text")
-    hashes = written(
-        keyed.select("k1", "k2", _blocks(normalised(), size, route).alias("hs")), "blocks"
+    # a column of its own: an expression inside the cut would be evaluated for each block
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), *text_key(), normalised().alias("data")
     )
-    names = written(
-        _first_names(docs, size, route).drop("block"),
-        "names",
+    hashes = written(
+        texts.select(
+            "doc_id", "k1", "k2", F.unhex(F.sha2("data", 256)).alias("sha"),
+            _blocks(F.col("data"), size, route).alias("hs"),
+        ),
+        "blocks",
     )
+    names = written(_first_names(texts, size, route).drop("block"), "names")
     shared = names.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     apart = hashes.select("k1", "k2", F.size("hs").alias("n"), F.posexplode("hs").alias("pos", "h"))
     if shared.isEmpty():
         level = apart.join(names, "h").select("k1", "k2", "n", "pos", F.col("block_name").alias("name"))
     else:
-        level = _named_by_content(keyed, apart, names, shared, docs, size, route)
+        level = _named_by_content(texts, apart, names, shared, size, route)
     longest = hashes.select(F.max(F.size("hs"))).first()[0] or 0
     level = written(level.dropDuplicates(["k1", "k2", "pos"]), "level")
     one = level.where("n = 1").select("k1", "k2", F.lit(0).alias("tier"), "name")
@@ -93,14 +101,15 @@ def block_names(docs: DataFrame, size: int = BLOCK, route=F.xxhash64) -> DataFra
         )
         many = pairs.join(named, ["a", "b"]).select("k1", "k2", "n", "pos", "name")
         width = (width + 1) // 2
-    return one.unionByName(many.select("k1", "k2", F.lit(1).alias("tier"), "name"))
+    named = one.unionByName(many.select("k1", "k2", F.lit(1).alias("tier"), "name"))
+    return hashes.select("doc_id", "k1", "k2", F.lower(F.hex("sha")).alias("text_sha256")), named
 
 
-def _named_by_content(keyed, apart, names, shared, docs, size, route) -> DataFrame:
+def _named_by_content(texts, apart, names, shared, size, route) -> DataFrame:
     """Names of all occurrences, by content where a ``route`` value is shared."""
     plain = apart.join(shared, "h", "left_anti").join(names, "h")
-    numbers = _first_names(docs, size, route).join(shared, "h", "left_semi")
-    texts = keyed.select("k1", "k2", _blocks(normalised(), size, lambda b: b).alias("bs"))
+    numbers = _first_names(texts, size, route).join(shared, "h", "left_semi")
+    texts = texts.select("k1", "k2", _blocks(F.col("data"), size, lambda b: b).alias("bs"))
     exact = (
         texts.select("k1", "k2", F.size("bs").alias("n"), F.posexplode("bs").alias("pos", "block"))
         .withColumn("h", route(F.col("block"))).join(shared, "h", "left_semi")
@@ -118,11 +127,7 @@ def find_copies(docs: DataFrame, size: int = BLOCK, route=F.xxhash64) -> DataFra
     null come last); of rows that share this id too, one stays. An empty table gives no
     rows; other columns are not read.
     """
-    names = block_names(docs, size, route)
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), *text_key(),
-        F.sha2(normalised(), 256).alias("text_sha256"),
-    )
+    rows, names = block_names(docs, size, route)
     rows = written(
         rows.join(names, ["k1", "k2"]).withColumn("_row", F.monotonically_increasing_id()), "texts"
     )
