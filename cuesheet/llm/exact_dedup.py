@@ -115,8 +115,11 @@ def _named_by_content(texts, apart, names, shared, size, route) -> DataFrame:
         .withColumn("h", route(F.col("block"))).join(shared, "h", "left_semi")
         .join(numbers, ["h", "block"])
     )
-    columns = ["k1", "k2", "n", "pos", F.col("block_name").alias("name")]
-    return plain.select(*columns).unionByName(exact.select(*columns))
+    columns = ["k1", "k2", "n", "pos"]
+    # these numbers were counted anew: below all others
+    return plain.select(*columns, F.col("block_name").alias("name")).unionByName(
+        exact.select(*columns, (-F.col("block_name") - 2).alias("name"))
+    )
 
 
 def find_copies(docs: DataFrame, size: int = BLOCK, route=F.xxhash64) -> DataFrame:
