@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 HOT_GROUPS = 1000
 SPREAD = 1024
 
@@ -46,34 +48,31 @@ def attach_groups(
     return joined.select(*rows.columns, *pick)
 
 
-def ranked(
-    rows: DataFrame, keys: list[str], coarse: list[Column], order: list[Column], out: str
-) -> DataFrame:
-    """``row_number`` over ``keys`` by (``coarse``, ``order``), split into small buckets.
+def ranked(rows: DataFrame, keys: list[str], order: list[str | Column], out: str) -> DataFrame:
+    """``row_number`` over ``keys`` by ``order``, balanced for any key and any kind of order.
 
-    ``coarse`` cuts each group into ordered buckets.  Buckets are counted with a
-    combining aggregate, a window over the bucket counts gives each bucket its offset,
-    and the row order is computed inside one bucket only.
+    Rows are dealt into ranges of (``keys``, ``order``) by sampled bounds, so a key with a
+    third of all rows spans many ranges, and sparse or textual orders make no more ranges
+    than dense ones.  The dealt rows are written once, as the bounds may differ from run to
+    run.  Each (key, range) is counted, a window over these counts (one row per range that a
+    key spans) gives the offsets, and rows are numbered inside one range only.
     """
-    names = [f"_b{i}" for i in range(len(coarse))]
-    rows_b = rows.select("*", *[c.alias(n) for c, n in zip(coarse, names)])
-    sizes = rows_b.groupBy(*keys, *names).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = sizes.select(
-        *keys, *names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    names = [f"_o{i}" for i in range(len(order))]
+    dealt = rows.select("*", *[c.alias(n) for c, n in zip(order, names, strict=True)])
+    dealt = written(
+        dealt.repartitionByRange(*keys, *names).withColumn("_range", F.spark_partition_id()), out
     )
-    inside = Window.partitionBy(*keys, *names).orderBy(*order)
-    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys + names]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    joined = rows_b.alias("r").join(offsets.alias("o"), cond, "inner")
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*names)
+    cond = F.lit(True)
+    for k in [*keys, "_range"]:
+        cond = cond & F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}"))
+    numbered = dealt.withColumn("_in", F.row_number().over(inside))
+    joined = numbered.alias("r").join(offsets.alias("o"), cond)
     return joined.select(
         *[F.col(f"r.{c}") for c in rows.columns],
-        *[F.col(f"r.{n}").alias(n) for n in names],
-        F.col("o._off").alias("_off"),
-    ).select(
-        *rows.columns, (F.col("_off") + F.row_number().over(inside)).cast("bigint").alias(out)
+        (F.col("o._off") + F.col("r._in")).cast("bigint").alias(out),
     )

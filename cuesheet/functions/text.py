@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -144,6 +145,28 @@ def outside_brackets(
     )
 
 
+# --- character width ---------------------------------------------------------------
+
+# from the compatibility forms of the block U+FF01 to U+FF9F, by rule
+_WIDTH = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF01, 0xFFA0)}
+_SINGLE = {a: b for a, b in _WIDTH.items() if len(b) == 1 and a not in "ﾞﾟ"}
+_VOICED = [
+    (a + mark, joined)
+    for a, b in _SINGLE.items() for mark in "ﾞﾟ"
+    if len(joined := unicodedata.normalize("NFKC", a + mark)) == 1
+]
+
+
+def fold_width(c: Column) -> Column:
+    """Full-width letters and half-width kana in their usual width."""
+    voiced = c
+    for pair, joined in _VOICED:
+        voiced = F.replace(voiced, F.lit(pair), F.lit(joined))
+    t = F.when(c.rlike("[ﾞﾟ]"), voiced).otherwise(c)
+    folded = F.translate(t, "".join(_SINGLE) + "　", "".join(_SINGLE.values()) + " ")
+    return F.when(c.rlike(r"[\x{FF01}-\x{FF9F}\x{3000}]"), folded).otherwise(c)
+
+
 # --- loose comparison --------------------------------------------------------------
 
 

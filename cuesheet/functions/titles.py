@@ -106,13 +106,13 @@ def protected_pattern(rules=DEFAULT_RULES) -> str:
 
 
 def song_slash(c: Column) -> Column:
-    """Characters before the first single slash outside brackets; null if none."""
+    """Characters before the first single slash outside brackets; null if there are none."""
     prefix = lambda m: first_match(m, r"(?s)^(.*?(?<![/／]))[/／](?![/／])", 1)
     return F.when(
         c.rlike("[/／]"),
         let(
             outside_brackets(c, P.RULE_BRACKETS_OPEN, P.RULE_BRACKETS_CLOSE),
-            lambda m: F.when(m.rlike(r"(?s)^.+?(?<![/／])[/／](?![/／])"), F.length(prefix(m))),
+            lambda m: F.when(prefix(m) != "", F.length(prefix(m))),
         ),
     )
 
@@ -398,11 +398,10 @@ _SPACED_DELIM = rf"(?s)^(.*?{W})[{P.DELIMS}](?={W})"
 _SPACED_PIPE = rf"(?s)^(.*?{W})[{P.PIPES}](?={W})"
 _GREEDY_DELIM = rf"(?s)^(.+){W}[{P.DELIMS}]{W}+."
 _GREEDY_DASH = rf"(?s)^(.+){W}[{P.DASHES}]{W}+."
-_NOT_A_DATE = rf"(?!(?<=[0-9]{W}{{0,9}}/){W}*[0-9]{{1,2}}(?:[^0-9]|\z))"
-_TIGHT_SLASH = rf"(?s)^(.+?)/{_NOT_A_DATE}."
+_DATE_SLASH = rf"([0-9]{W}*+)/(?={W}*[0-9]{{1,2}}(?:[^0-9]|\z))"
+_TIGHT_SLASH = r"(?s)^(.+?)/."
 _TIGHT_PIPE = rf"(?s)^(.+)[{P.PIPES}]."
 _TIGHT_WIDE = r"(?s)^(.+)／."
-_ANY_TIGHT_SLASH = rf"(?s)^(.*?)/{_NOT_A_DATE}"
 _HAS_DELIM = rf"[{P.DELIMS}]|{W}[{P.DASHES}]{W}"
 
 
@@ -425,6 +424,23 @@ def _pieces(pair: Column) -> Column:
     )
 
 
+def performer_with_note(c: Column) -> Column:
+    """Performer of a record; what follows a spaced pipe becomes a note in brackets."""
+
+    def joined(p: Column) -> Column:
+        head, meta = clean_artist(F.get(p, F.lit(1))), F.get(p, F.lit(2))
+        return F.when(meta.isNull(), head).otherwise(
+            let(
+                F.struct(head.alias("h"), clean_field_light(meta).alias("m")),
+                lambda s: F.when(s["h"] == "", clean_artist(F.get(p, F.lit(3))))
+                .when(s["m"] == "", s["h"])
+                .otherwise(F.concat(s["h"], F.lit(" ["), s["m"], F.lit("]"))),
+            )
+        )
+
+    return let(_pieces(_pair(F.lit(""), c)), joined)
+
+
 def _cut(raw: Column, mask: Column, pattern: str, width: int = 1) -> Column:
     """Candidate at the delimiter that ends the first group of ``pattern``."""
     return let(
@@ -459,8 +475,9 @@ def split_fields(c: Column, clean=clean_field, clean_performer=None, extended=Fa
 
     def candidates(raw: Column, mask: Column) -> Column:
         # a dated slash is no delimiter; pipes come before full-width slashes
+        undated = sub(mask, _DATE_SLASH, "$1\x02")
         tight = (
-            F.when(mask.rlike(_ANY_TIGHT_SLASH), _cut(raw, mask, _TIGHT_SLASH))
+            F.when(undated.contains("/"), _cut(raw, undated, _TIGHT_SLASH))
             .when(mask.rlike(f"[{P.PIPES}]"), _cut(raw, mask, _TIGHT_PIPE))
             .otherwise(_cut(raw, mask, _TIGHT_WIDE))
         )

@@ -30,17 +30,22 @@ def rules_table(spark: SparkSession, rules=DEFAULT_RULES) -> DataFrame:
     )
 
 
-def load_rules(table: DataFrame) -> tuple[Rule, ...]:
+def load_rules(table: DataFrame, most: int | None = 10_000) -> tuple[Rule, ...]:
     """Read a rule table (a few dozen rows) back, so that patterns are plan literals."""
     return tuple(
         Rule(r.rule_id, r.ord, r.category, r.action, r.regex, r.replacement or "", r.scope,
              tuple(r.protection or ()))
-        for r in small_table(table.orderBy("ord"))
+        for r in small_table(table.orderBy("ord"), most)
     )
 
 
-def small_table(table: DataFrame, most: int = 1000) -> list:
-    """Rows of a table that must be small; a larger one is an error, never cut."""
+def small_table(table: DataFrame, most: int | None = 10_000) -> list:
+    """Rows of a table that must be small; a larger one is an error, never cut.
+
+    ``most`` is the number of plan literals that the caller is ready for; None: any.
+    """
+    if most is None:
+        return table.collect()
     rows = table.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} rows in a rule table")
@@ -130,50 +135,54 @@ rules ARRAY<STRUCT<category: STRING, description: STRING, action: STRING, regex:
   examples: ARRAY<STRUCT<input: STRING, output: STRING>>, protection: ARRAY<STRING>>>,
 notes ARRAY<STRING>
 """
+_CHANGES = """ARRAY<STRUCT<function: STRING, kind: STRING, old_regex: STRING, new_regex: STRING,
+  js_function: STRING, py_regex: STRING,
+  tests: ARRAY<STRUCT<input: STRING, expect_song: STRING, expect_artist: STRING>>>>"""
+_FIELDS = {
+    "category": "string", "description": "string", "action": "string", "regex": "string",
+    "examples": "array<struct<input:string,output:string>>", "protection": "array<string>",
+    "function": "string", "kind": "string", "old_regex": "string", "new_regex": "string",
+    "js_function": "string", "py_regex": "string",
+    "tests": "array<struct<input:string,expect_song:string,expect_artist:string>>", "note": "string",
+}
 
 
 def collect_rule_proposals(responses: DataFrame, key: str, text: str = "response") -> DataFrame:
-    """One row per proposed rule or note; a response without valid JSON becomes a note.
+    """One row per proposed rule, change or note; a response without valid JSON is a note.
 
-    The JSON is what lies between the first ``{`` and the last ``}`` of the text.
+    Two shapes are read: an object with ``rules`` and ``notes`` between the first ``{`` and
+    the last ``}``, and an array of changes between the first ``[`` and the last ``]``.  All
+    their fields are columns; those of the other shape are null.
     """
-    body = F.regexp_extract(F.coalesce(F.col(text), F.lit("")), r"(?s)\{.*\}", 0)
-    parsed = responses.select(key, F.from_json(body, _PROPOSAL).alias("p"), body.alias("_b"))
-    failed = F.col("p").isNull() | (F.col("p.rules").isNull() & F.col("p.notes").isNull())
-    empty_rules = F.col("p.rules")
-    rows = F.when(
-        failed,
-        F.array(
-            F.struct(
-                F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("action"),
-                F.lit(None).cast("string").alias("regex"),
-                F.when(F.col("_b") == "", "no JSON object").otherwise("not valid JSON").alias("note"),
-            )
-        ),
-    ).otherwise(
-        F.concat(
-            F.coalesce(
-                F.transform(
-                    empty_rules,
-                    lambda r: F.struct(
-                        r["category"].alias("category"), r["action"].alias("action"),
-                        r["regex"].alias("regex"), F.lit(None).cast("string").alias("note"),
-                    ),
-                ),
-                F.array().cast("array<struct<category:string,action:string,regex:string,note:string>>"),
-            ),
-            F.coalesce(
-                F.transform(
-                    F.col("p.notes"),
-                    lambda n: F.struct(
-                        F.lit(None).cast("string").alias("category"),
-                        F.lit(None).cast("string").alias("action"),
-                        F.lit(None).cast("string").alias("regex"), n.alias("note"),
-                    ),
-                ),
-                F.array().cast("array<struct<category:string,action:string,regex:string,note:string>>"),
-            ),
+    said = F.coalesce(F.col(text), F.lit(""))
+    body = F.regexp_extract(said, r"(?s)\{.*\}", 0)
+    listed = F.regexp_extract(said, r"(?s)\[.*\]", 0)
+    parsed = responses.select(
+        key, F.from_json(body, _PROPOSAL).alias("p"), F.from_json(listed, _CHANGES).alias("c"),
+        body.alias("_b"),
+    )
+
+    def row(**values):
+        return F.struct(
+            *[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in _FIELDS.items()]
         )
+
+    none = F.array().cast("array<struct<" + ",".join(f"{n}:{t}" for n, t in _FIELDS.items()) + ">>")
+    no_object = F.col("p").isNull() | (F.col("p.rules").isNull() & F.col("p.notes").isNull())
+    changes = F.filter("c", lambda c: c["function"].isNotNull() | c["kind"].isNotNull())
+    is_list = no_object & (F.coalesce(F.size(changes), F.lit(0)) > 0)
+    empty_list = no_object & (F.size("c") == 0)
+    old = ("category", "description", "action", "regex", "examples", "protection")
+    new = ("function", "kind", "old_regex", "new_regex", "js_function", "py_regex", "tests")
+    proposed = F.concat(
+        F.coalesce(F.transform("p.rules", lambda r: row(**{n: r[n] for n in old})), none),
+        F.coalesce(F.transform("p.notes", lambda n: row(note=n)), none),
+    )
+    reason = F.when(F.col("_b") == "", "no JSON object").otherwise("not valid JSON")
+    rows = (
+        F.when(is_list, F.transform(changes, lambda c: row(**{n: c[n] for n in new})))
+        .when(F.coalesce(empty_list, F.lit(False)), none)
+        .when(no_object, F.array(row(note=reason))).otherwise(proposed)
     )
     return explode_rows(parsed, rows, [key], "r").select(key, "r.*")
 

@@ -15,7 +15,7 @@ from ..functions import skew
 from ..functions.memo import per_context
 from ..functions.rows import explode_rows
 from ..functions.text import (
-    clean_lines, first_match, let, loose_key, normalize, seconds_of, strip, sub,
+    clean_lines, first_match, fold_width, let, loose_key, normalize, seconds_of, strip, sub,
 )
 from ..functions.titles import TRACK_TYPE, drop_latin_suffix, drop_transliterations, track
 from ..session import written
@@ -32,13 +32,13 @@ _SEPARATOR = "\n\n---\n\n"
 
 def build_requests(
     comments: DataFrame, template: str, text: str = "text", preclean: bool = False,
-    part_size: int = 1000,
+    part_size: int | None = None,
 ) -> DataFrame:
     """Request text per video that has setlist comments: template, then the texts in order.
 
-    ``comments`` must already be the setlist comments.  A part holds ``part_size`` texts
-    at most; the parts of a video in order are its request, and nearly every video has
-    one.  So no group of unlimited size is ever put into one cell.
+    ``comments`` must already be the setlist comments.  Every video has one row with all
+    its texts, whatever their number.  With ``part_size`` a video has a row per so many
+    texts, each a request of its own that begins with the template.
     """
     value = F.col(text)
     if preclean:
@@ -48,11 +48,13 @@ def build_requests(
         )
     numbered = skew.ranked(
         written(comments.select("video_id", "source_pos", value.alias("_t")), "requests"),
-        ["video_id"], [F.floor(F.col("source_pos") / 100_000)], [F.col("source_pos")], "_rank",
+        ["video_id"], ["source_pos"], "_rank",
     )
-    lead = F.when(F.col("_rank") == 1, F.lit(template + "\n")).otherwise(F.lit(_SEPARATOR))
+    part = F.floor((F.col("_rank") - 1) / part_size).cast("int") if part_size else F.lit(0)
+    first = F.col("_rank") == (part * (part_size or 0) + 1)
+    lead = F.when(first, F.lit(template + "\n")).otherwise(F.lit(_SEPARATOR))
     pieces = numbered.select(
-        "video_id", "_rank", F.floor((F.col("_rank") - 1) / part_size).cast("int").alias("part_no"),
+        "video_id", "_rank", part.alias("part_no"),
         F.concat(lead, F.col("_t")).alias("_t"),
     )
     return pieces.groupBy("video_id", "part_no").agg(
@@ -174,7 +176,7 @@ _PAREN_TAIL = r"[(（]([^()（）]{1,30})[)）][" + P.WS_SET + r"]*$"
 
 def _merge_reason(source: Column, model: Column, paren_ok: Column, is_song: bool) -> Column:
     """Why a field keeps its value; the name starts with the side that wins."""
-    s_key, m_key = loose_key(source), loose_key(model)
+    s_key, m_key = loose_key(fold_width(source)), loose_key(fold_width(model))
     latin = F.length(sub(model, "[^A-Za-z]"))
     cjk = F.length(sub(model, rf"[^{P.CJK_RUN[1:-1]}]"))
     japanese_lost = (
@@ -189,7 +191,7 @@ def _merge_reason(source: Column, model: Column, paren_ok: Column, is_song: bool
         & ~model.rlike(P.JAPANESE) & (s_key != "") & (m_key != "") & (s_key != m_key)
         & F.startswith(longer, shorter) & tail.rlike("^[a-z]{1,3}$")
     )
-    bare = loose_key(strip(sub(source, _PAREN_TAIL)))
+    bare = loose_key(fold_width(strip(sub(source, _PAREN_TAIL))))
     inner = first_match(source, _PAREN_TAIL, 1)
     if is_song:
         paren = paren_ok & (bare != "") & (bare == m_key) & inner.rlike(P.CJK_RUN) & ~inner.rlike("[A-Za-z]")
@@ -295,21 +297,24 @@ def _plain_merged(model: str, source: str) -> Column:
 
 def choose_result(
     pairs: DataFrame, policy: str = "pipeline", sentinel: str | None = None,
-    raw_text: str | None = None,
+    raw_text: str | None = None, numbered: str | None = None,
 ) -> DataFrame:
     """Pick one list per video and say which: ``chosen``, ``tracks`` (and ``fallback_text``).
 
     ``pipeline``: the model list if it has rows, else the source list.  ``strict``: a
     source numbered 1..n wins unless the counts agree, equal counts are reconciled, a
-    longer source wins, then the model, then the source, then the raw text.
+    longer source wins, then the model, then the source, then the raw text.  ``numbered``
+    is a flag column that says whether the numbered extraction of the source is 1..n (the
+    chosen list may be another one); without it the source list itself is looked at.
     """
-    keep = [c for c in pairs.columns if c not in ("model", "source", sentinel, raw_text)]
+    used = ("model", "source", sentinel, raw_text, numbered)
+    keep = [c for c in pairs.columns if c not in used]
     m, s = F.size("model"), F.size("source")
     asks = F.col(sentinel) if sentinel else F.lit(False)
     if policy == "pipeline":
         chosen = F.when((m > 0) & ~asks, "model").when(s > 0, "source").otherwise("none")
     elif policy == "strict":
-        contiguous = is_contiguous(F.col("source"))
+        contiguous = F.col(numbered) if numbered else is_contiguous(F.col("source"))
         chosen = (
             F.when(asks & (s > 0), "source").when(asks, "none")
             .when((s > 0) & contiguous & (m != s), "source")
@@ -359,8 +364,13 @@ def second_pass(responses: DataFrame, text: str = "response") -> DataFrame:
 # --- difference and routing ---------------------------------------------------------------
 
 
-def diff_extractions(pairs: DataFrame, source_lines: str | None = None, sample: int = 6) -> DataFrame:
-    """Rendered lines only the source has (``removed``) and only the model has (``added``)."""
+def diff_extractions(
+    pairs: DataFrame, source_lines: str | None = None, sample: int | None = None
+) -> DataFrame:
+    """Rendered lines only the source has (``removed``) and only the model has (``added``).
+
+    ``sample`` limits the source lines that go along.
+    """
     key = [c for c in pairs.columns if c not in ("model", "source", source_lines)]
     fields = lambda ts: F.transform(
         ts,
@@ -369,7 +379,8 @@ def diff_extractions(pairs: DataFrame, source_lines: str | None = None, sample:
         ),
     )
     local, model = fields(F.col("source")), fields(F.col("model"))
-    lines = F.slice(F.col(source_lines), 1, sample) if source_lines else F.array().cast("array<string>")
+    lines = F.col(source_lines) if source_lines else F.array().cast("array<string>")
+    lines = F.slice(lines, 1, sample) if sample is not None else lines
     return pairs.select(
         *key, F.size("source").alias("local"), F.size("model").alias("model"),
         F.array_except(local, model).alias("removed"), F.array_except(model, local).alias("added"),
@@ -386,8 +397,10 @@ def agreement(diff: DataFrame) -> DataFrame:
     )
 
 
-def route_samples(diff: DataFrame, keywords: DataFrame, k: int = 5, order: str = "video_id") -> DataFrame:
-    """First ``k`` samples per rule whose changed lines hold one of its keywords.
+def route_samples(
+    diff: DataFrame, keywords: DataFrame, k: int | None = None, order: str = "video_id"
+) -> DataFrame:
+    """Samples per rule whose changed lines hold one of its keywords; the first ``k``, if given.
 
     ``keywords`` is ``rule_id, words ARRAY<STRING>`` and one row per rule (a few dozen);
     the ranking keeps ``k`` rows per rule on the map side before it shuffles.
@@ -406,6 +419,8 @@ def route_samples(diff: DataFrame, keywords: DataFrame, k: int = 5, order: str =
         lambda r: r.isNotNull(),
     )
     routed = explode_rows(changed, hits, [order, "local", "model"], "rule_id")
+    if k is None:
+        return routed
     first = Window.partitionBy("rule_id").orderBy(order)
     return routed.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
 
@@ -417,11 +432,9 @@ def _contains_any(c: Column, words: list[str]) -> Column:
     return out
 
 
-def batch_samples(diff: DataFrame, order: str, size: int = 9, block: int = 100_000) -> DataFrame:
-    """Number samples in order and cut them into batches of ``size``."""
-    numbered = skew.ranked(
-        written(diff, "samples"), [], [F.floor(F.col(order) / block)], [F.col(order)], "sample_no"
-    )
+def batch_samples(diff: DataFrame, order: str, size: int = 9) -> DataFrame:
+    """Number samples in order (a key of any type) and cut them into batches of ``size``."""
+    numbered = skew.ranked(written(diff, "samples"), [], [order], "sample_no")
     return numbered.withColumn(
         "batch_no", F.floor((F.col("sample_no") - 1) / size).cast("bigint")
     )

@@ -16,7 +16,8 @@ from ..functions.memo import per_context
 from ..functions.rows import explode_rows
 from ..session import written
 from ..functions.text import (
-    clean_lines, let, logical_lines, markers, normalize, section_key, seconds_of, strip, sub,
+    clean_lines, fold_width, let, logical_lines, markers, normalize, section_key, seconds_of,
+    strip, sub,
 )
 from ..functions.titles import (
     drop_line_lead, drop_quotes, drop_tree, drop_trailing_marks, drop_weird_lead, first_time,
@@ -206,7 +207,7 @@ def classify_songlist_comments(
 
 
 def _heading_key(line: Column) -> Column:
-    key = section_key(drop_tree(sub(line, rf"^(?:[{P.LEAD_SET}]*(?:{P.EMOJI}|{P.ICON_MARKS}))+{W}*")))
+    key = section_key(drop_tree(sub(fold_width(line), rf"^(?:[{P.LEAD_SET}]*(?:{P.EMOJI}|{P.ICON_MARKS}))+{W}*")))
     return strip(sub(key, rf"[【】\[\]［］()（）<>＜＞《》〈〉「」『』#＃&＆＋+]|{P.EMOJI}"))
 
 
@@ -251,14 +252,10 @@ def select_setlist_section(comments: DataFrame, text: str = "text") -> DataFrame
 # --- ranking --------------------------------------------------------------------------
 
 
-def rank_comments(comments: DataFrame, text: str = "text", block: int = 100_000) -> DataFrame:
+def rank_comments(comments: DataFrame, text: str = "text") -> DataFrame:
     """Rank comments of a video: more times first, then the original order."""
     keep = [c for c in comments.columns if c != text]
     counted = written(
         comments.select(*keep, F.size(times_in(F.col(text))).alias("ts_count")), "ts-count"
     )
-    return skew.ranked(
-        counted, ["video_id"],
-        [-F.col("ts_count"), F.floor(F.col("source_pos") / block)],
-        [F.col("source_pos")], "rank",
-    )
+    return skew.ranked(counted, ["video_id"], [-F.col("ts_count"), "source_pos"], "rank")

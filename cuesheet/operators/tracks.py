@@ -16,8 +16,9 @@ from ..functions.text import clean_lines, first_match, let, logical_lines, marke
 from ..functions.text import seconds_of, strip, sub
 from ..functions.titles import (
     NOISE_LINE, TRACK_TYPE, _ICONS, _TIME_LEAD, clean_artist, clean_field, clean_field_light,
-    drop_line_lead, drop_performance_notes, drop_release_date, drop_weird_lead, first_time,
-    is_bad_field, is_section_pair, multi_fields, parse_line, split_fields, track,
+    drop_line_lead, drop_performance_notes, drop_release_date, drop_release_tail, drop_weird_lead,
+    first_time, is_bad_field, is_section_pair, multi_fields, parse_line, performer_with_note,
+    split_fields, track,
 )
 from .merge import merged_lines
 
@@ -104,8 +105,8 @@ def split_multifield(lines: DataFrame, line: str = "line") -> DataFrame:
             f.isNotNull(),
             let(
                 F.struct(
-                    clean_field(F.get(f, F.lit(0))).alias("song"),
-                    clean_artist(F.get(f, F.lit(1))).alias("artist"),
+                    clean_field_light(F.get(f, F.lit(0))).alias("song"),
+                    performer_with_note(drop_release_tail(F.get(f, F.lit(1)))).alias("artist"),
                 ),
                 lambda s: F.when(~is_bad_field(s["song"]) & ~is_bad_field(s["artist"]), s),
             ),

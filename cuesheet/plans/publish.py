@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -77,8 +77,10 @@ def select_candidates(
         rest = [c for c in videos.columns if c != "video_id"]
         first = picked.groupBy("video_id").agg(F.min_by(F.struct(*rest), "pos").alias("_v"))
         picked = first.select("video_id", "_v.*").select(*videos.columns)
-    else:
-        picked = picked.dropDuplicates(["video_id"])
+    else:  # without a place in the list, the smallest row: the same one in every run
+        rest = [c for c in videos.columns if c != "video_id"]
+        first = picked.groupBy("video_id").agg(F.min(F.struct(*rest)).alias("_v"))
+        picked = first.select("video_id", "_v.*").select(*videos.columns)
     return newest_first(picked, limit)
 
 
@@ -248,27 +250,46 @@ def published_after(results: DataFrame, published: DataFrame) -> DataFrame:
 
 def close_run(
     results: DataFrame, published: DataFrame, videos: DataFrame, path: str | None = None,
-    dry_run: bool = True,
+    dry_run: bool = True, run_id: str | None = None, run_at: Column | None = None,
 ) -> dict[str, DataFrame]:
-    """Tables of the finished run; with ``path`` they are written.
+    """Tables of the finished run; with ``path`` they are written, one partition per run.
 
     A dry run writes its results and summary only, never the snapshot or published keys.
+    Writing a run again replaces its own partition and nothing else, and the keys that were
+    published before stay as they are in the partition of their run.  Results are written
+    first; summary and published keys are taken from what was written.
     """
+    spark = results.sparkSession
+    if path:
+        _write_run(results.drop("message"), f"{path}/video_results")
+        if run_id is None:
+            first = results.select("run_id").first()
+            run_id = first[0] if first else None
+        stored = spark.read.schema(results.drop("message").schema).parquet(f"{path}/video_results")
+        results = stored.where(F.col("run_id") == F.lit(run_id))
+    total = F.sum("videos").over(Window.partitionBy("run_id"))  # a row per status
     tables = {
         "video_results": results.drop("message"),
-        "runs": run_summary(results),
+        "runs": run_summary(results).withColumn("total", total).withColumn(
+            "run_at", F.current_timestamp() if run_at is None else run_at
+        ),
         "published": published_after(results, published),
         "video_snapshots": videos.drop("raw_part"),
     }
-    if path:
-        for name in ("video_results", "runs"):
-            tables[name].write.mode("append").partitionBy("run_id").parquet(f"{path}/{name}")
+    if path and run_id is not None:
+        _write_run(tables["runs"], f"{path}/runs")
         if not dry_run:
             for name in ("published", "video_snapshots"):
-                tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
+                _write_run(tables[name].withColumn("run_id", F.lit(run_id)), f"{path}/{name}")
     return tables
 
 
+def _write_run(table: DataFrame, path: str) -> None:
+    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "run_id"
+    ).parquet(path)
+
+
 def scan_report(videos: DataFrame, snapshot: DataFrame) -> DataFrame:
     """All videos, with a mark on those the snapshot does not hold."""
     known = snapshot.select("video_id").distinct().withColumn("_known", F.lit(True))

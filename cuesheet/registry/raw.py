@@ -36,7 +36,7 @@ def collection_payloads(spark, sf):
 )
 def s01(spark, sf):
     v = bronze.load_videos(collection_payloads(spark, sf), {"building": "Builders"})
-    return v.drop("raw_part")
+    return v.drop("raw_part", "pos")
 
 
 @query(
@@ -249,7 +249,7 @@ def s08(spark, sf):
             )
         ).alias("json"),
     )
-    found = bronze.load_published(pages)
+    found = bronze.load_published(pages, max_pages=3)
     return found.select(
         "video_id", "rpid", "mid", "message", (F.col("pos") / 1000).cast("int").alias("seq")
     )

@@ -229,7 +229,7 @@ ROUTES = (("capitals", ["RING", "WIDGET", "BOLT"]), ("suppliers", ["Supplier#"])
 def a08(spark, sf):
     words = spark.createDataFrame(list(ROUTES), "rule_id STRING, words ARRAY<STRING>")
     diff = second_pass.diff_extractions(_pairs(spark, sf))
-    return second_pass.route_samples(diff, words, order="comment_id").select(
+    return second_pass.route_samples(diff, words, k=5, order="comment_id").select(
         "rule_id", "comment_id", "local", "model", "rank"
     )
 

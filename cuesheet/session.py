@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -38,10 +40,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """New folder below the cluster's ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, one machine) gets a local folder.
+    Only a session in one process (local master, as in tests) may lack that setting; it gets
+    a folder that goes with the process. Elsewhere a local folder would be another one on
+    every executor, so the missing setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="cuesheet-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/cuesheet/{name}-{uuid.uuid4().hex}"

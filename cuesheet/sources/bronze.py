@@ -33,7 +33,9 @@ def load_videos(payloads: DataFrame, names: dict[str, str] | None = None) -> Dat
     """One row per episode of the collection payloads (``source, seq, json``).
 
     ``names`` maps an anchor to its collection name; the default is
-    ``collection-<anchor>``.  Payloads with an error code yield no rows.
+    ``collection-<anchor>``.  Payloads with an error code yield no rows; those that are no
+    valid JSON are rows of :func:`bad_collections`.  ``pos`` (payload, section, episode) is
+    the place in the lists.
     """
     text = lambda c: F.coalesce(c, F.lit(""))
     named = F.lit(None).cast("string")
@@ -41,20 +43,32 @@ def load_videos(payloads: DataFrame, names: dict[str, str] | None = None) -> Dat
         named = F.when(F.col("source") == anchor, F.lit(name)).otherwise(named)
     doc = payloads.select(
         F.coalesce(named, F.concat(F.lit("collection-"), "source")).alias("collection"),
-        F.from_json("json", _COLLECTION).alias("p"),
+        F.from_json("json", _COLLECTION).alias("p"), F.col("seq").cast("long").alias("seq"),
     )
     sections = explode_rows(
-        doc, F.when(F.col("p.code") == 0, F.col("p.data.ugc_season.sections")), ["collection"], "s"
+        doc, F.when(F.col("p.code") == 0, F.col("p.data.ugc_season.sections")),
+        ["collection", "seq"], "s", "_s",
     )
     episodes = explode_rows(
-        sections.select("collection", text(F.col("s.title")).alias("section"), F.col("s.episodes").alias("_e")),
-        F.col("_e"), ["collection", "section"], "e",
+        sections.select(
+            "collection", "seq", "_s", text(F.col("s.title")).alias("section"), F.col("s.episodes").alias("_e")
+        ),
+        F.col("_e"), ["collection", "seq", "_s", "section"], "e", "_i",
     )
     part = text(F.col("e.page.part"))
     return episodes.select(
         "collection", "section", text(F.col("e.bvid")).alias("video_id"),
         text(F.col("e.title")).alias("title"), F.regexp_extract(part, _PART, 1).alias("part_date"),
         F.regexp_extract(part, _PART, 2).alias("yt_id"), part.alias("raw_part"),
+        F.struct("seq", F.col("_s").alias("section"), F.col("_i").alias("episode")).alias("pos"),
+    )
+
+
+def bad_collections(payloads: DataFrame) -> DataFrame:
+    """``source, seq, error`` of the payloads that are no valid JSON."""
+    found = F.get_json_object("json", "$")
+    return payloads.where(F.col("json").isNull() | found.isNull()).select(
+        "source", "seq", F.lit("not valid JSON").alias("error")
     )
 
 
@@ -143,14 +157,15 @@ WALK_SCHEMA = (
 )
 
 
-ALL_KINDS = ("comment", "simple", "runs", "token", "any_token", "reply")
+ALL_KINDS = ("comment", "simple", "runs", "token", "any_token", "reply", "error")
 
 
 def walk_payloads(payloads: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> DataFrame:
     """Findings of each payload (``yt_id, part, part_pos, json``) in document order.
 
     Kinds: ``comment`` text, ``simple`` and ``runs`` texts, ``token`` of a continuation
-    (``hint``: its object mentions comments), ``any_token``, ``reply`` token.
+    (``hint``: its object mentions comments), ``any_token``, ``reply`` token, and ``error``,
+    the one finding of a payload that is no valid JSON (see :func:`bad_payloads`).
     """
 
     wanted = frozenset(kinds)
@@ -168,6 +183,11 @@ def walk_payloads(payloads: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> Da
                 node = node.get(key) if isinstance(node, dict) else None
             return node
 
+        def made(out):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(out, types)], names=names
+            )
+
         def findings(item):
             # most objects hold none of the keys
             if "commentEntityPayload" in item:
@@ -179,8 +199,8 @@ def walk_payloads(payloads: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> Da
             if isinstance(item.get("simpleText"), str):
                 yield "simple", item["simpleText"], None
             if isinstance(item.get("runs"), list):
-                texts = (r.get("text", "") for r in item["runs"] if isinstance(r, dict))
-                yield "runs", "".join(texts), None
+                texts = (r.get("text") for r in item["runs"] if isinstance(r, dict))
+                yield "runs", "".join(t for t in texts if isinstance(t, str)), None
             token = get(item, "continuationEndpoint", "continuationCommand", "token")
             if token and "token" in wanted:
                 told = json.dumps(item, ensure_ascii=False)
@@ -198,10 +218,20 @@ def walk_payloads(payloads: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> Da
 
         for batch in batches:
             out = [[] for _ in names]
-            for row in batch.to_pylist():
+            keys = [batch.column(i).to_pylist() for i in range(3)]
+            texts = batch.column(3)
+            # one payload at a time leaves the column
+            for i, key in enumerate(zip(*keys)):
+                if len(out[0]) >= 5000:
+                    yield made(out)
+                    out = [[] for _ in names]
                 try:
-                    root = json.loads(row["json"] or "null")
-                except ValueError:
+                    root = json.loads(texts[i].as_py() or "null")
+                except (ValueError, RecursionError) as problem:
+                    if "error" in wanted:
+                        reason = "nested too deeply" if isinstance(problem, RecursionError) else "not valid JSON"
+                        for column, value in zip(out, (*key, 0, "error", reason, None)):
+                            column.append(value)
                     continue
                 # explicit stack: depth of the tree is not limited by the call stack
                 stack, ordinal = [root], 0
@@ -212,17 +242,12 @@ def walk_payloads(payloads: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> Da
                             ordinal += 1
                             if kind not in wanted:
                                 continue
-                            for column, value in zip(
-                                out,
-                                (row["yt_id"], row["part"], row["part_pos"], ordinal, kind, text, hint),
-                            ):
+                            for column, value in zip(out, (*key, ordinal, kind, text, hint)):
                                 column.append(value)
                         stack.extend(reversed(list(node.values())))
                     elif isinstance(node, list):
                         stack.extend(reversed(node))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, types)], names=names
-            )
+            yield made(out)
 
     return payloads.select("yt_id", "part", "part_pos", "json").mapInArrow(walk, WALK_SCHEMA)
 
@@ -241,13 +266,18 @@ def _walked(payloads: DataFrame, parts: Column, kinds: tuple[str, ...]) -> DataF
     return walk_payloads(payloads.where(parts), kinds)
 
 
+def bad_payloads(payloads: DataFrame) -> DataFrame:
+    """``yt_id, part, part_pos, error`` of the payloads that could not be read."""
+    return _walked(payloads, F.lit(True), ("error",)).select(
+        "yt_id", "part", "part_pos", F.col("text").alias("error")
+    )
+
+
 def extract_comments(payloads: DataFrame) -> DataFrame:
     """Comment texts in order: the main response first, then the replies."""
     found = written(_walked(payloads, F.col("part") != "initial", ("comment",)), "comments")
     ranked = skew.ranked(
-        found, ["yt_id"],
-        [_part_rank(), F.col("part_pos"), F.floor(F.col("ordinal") / 10_000)],
-        [F.col("ordinal")], "comment_pos",
+        found, ["yt_id"], [_part_rank(), "part_pos", "ordinal"], "comment_pos"
     )
     return ranked.select("yt_id", "comment_pos", "text")
 
@@ -278,11 +308,11 @@ def extract_descriptions(payloads: DataFrame) -> DataFrame:
     )
 
 
-def crawl_frontier(payloads: DataFrame, seen: DataFrame, cap: int = 20) -> DataFrame:
+def crawl_frontier(payloads: DataFrame, seen: DataFrame, cap: int | None = None) -> DataFrame:
     """Tokens to fetch next: the comments of a video, then reply pages first in, first out.
 
-    Tokens in ``seen`` (``yt_id, token``) are left out, and with them a video gets at most
-    ``cap`` reply pages.
+    Tokens in ``seen`` (``yt_id, token``) are left out.  With ``cap`` a video gets at most
+    so many reply pages, the reply tokens already in ``seen`` included.
     """
     initial = _walked(payloads, F.col("part") == "initial", ("token", "any_token")).where(
         F.col("hint") | (F.col("kind") == "any_token")
@@ -297,14 +327,18 @@ def crawl_frontier(payloads: DataFrame, seen: DataFrame, cap: int = 20) -> DataF
         F.min(F.struct(_part_rank().alias("r"), "part_pos", "ordinal")).alias("_o")
     )
     fresh = first.join(seen.select("yt_id", "token"), ["yt_id", "token"], "left_anti")
-    used = seen.groupBy("yt_id").agg(F.count("*").alias("_used"))
-    # the constant bound keeps cap rows per video on the map side
     numbered = fresh.withColumn(
         "pos", F.row_number().over(Window.partitionBy("yt_id").orderBy("_o"))
-    ).where(F.col("pos") <= cap)
-    allowed = numbered.join(used, "yt_id", "left").where(
-        F.col("pos") <= cap - F.coalesce(F.col("_used"), F.lit(0))
     )
+    if cap is None:
+        allowed = numbered
+    else:
+        used = first.join(seen.select("yt_id", "token").distinct(), ["yt_id", "token"], "left_semi")
+        used = used.groupBy("yt_id").agg(F.count("*").alias("_used"))
+        # the constant bound keeps cap rows per video on the map side
+        allowed = numbered.where(F.col("pos") <= cap).join(used, "yt_id", "left").where(
+            F.col("pos") <= cap - F.coalesce(F.col("_used"), F.lit(0))
+        )
     queue = allowed.select("yt_id", F.lit("reply").alias("kind"), "token", "pos")
     return start.select("yt_id", "kind", "token", "pos").unionByName(queue)
 
@@ -349,16 +383,17 @@ code INT, data STRUCT<replies: ARRAY<STRUCT<rpid: STRING, ctime: BIGINT, like: I
 """
 
 
-def load_published(payload_pages: DataFrame, max_pages: int = 3) -> DataFrame:
-    """Published top-level comments, up to the first bad or empty page.
+def load_published(payload_pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Published top-level comments, up to the first bad or empty page (or ``max_pages``).
 
     Input is ``source`` (the video), ``seq`` (page from 1) and ``json``.
     """
-    pages = payload_pages.where(F.col("seq") <= max_pages).select(
+    wanted = payload_pages if max_pages is None else payload_pages.where(F.col("seq") <= max_pages)
+    pages = wanted.select(
         F.col("source").alias("video_id"), "seq", F.from_json("json", _PUBLISHED).alias("p")
     )
     ok = (F.coalesce(F.col("p.code"), F.lit(-1)) == 0) & (F.coalesce(F.size("p.data.replies"), F.lit(0)) > 0)
-    # at most max_pages rows per video
+    # one narrow row per page of a video
     so_far = Window.partitionBy("video_id").orderBy("seq")
     good = pages.withColumn("_ok", F.min(ok.cast("int")).over(so_far)).where(F.col("_ok") == 1)
     rows = explode_rows(good, F.col("p.data.replies"), ["video_id", "seq"], "r", "_i")

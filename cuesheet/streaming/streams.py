@@ -57,7 +57,11 @@ def stream_tracks(
 # --- R2 upgrades ----------------------------------------------------------------------------
 
 STEP = 3  # fixed value: an own list this long is final, an upgrade must add this many
-UPGRADE_SCHEMA = "video_id BIGINT, version BIGINT, song_count INT"
+
+
+def upgrade_schema(key: str = "BIGINT") -> str:
+    """Columns of :func:`stream_upgrades` for a key of the given type."""
+    return f"video_id {key}, version BIGINT, song_count INT"
 
 
 def _first_per_threshold(frame, step):
@@ -86,6 +90,8 @@ def stream_upgrades(setlists: DataFrame, step: int = STEP) -> DataFrame:
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     first_rows = _detached(_first_per_threshold)
+    schema = upgrade_schema(setlists.schema["video_id"].dataType.simpleString())
+    as_number = setlists.schema["video_id"].dataType.simpleString() == "bigint"
 
     def thin(frames):
         for frame in frames:
@@ -113,18 +119,19 @@ def stream_upgrades(setlists: DataFrame, step: int = STEP) -> DataFrame:
                     out.append((key[0], int(row.version), count))
             if out:
                 self.published.update((count,))
-            yield pd.DataFrame(out, columns=["video_id", "version", "song_count"]).astype(
-                {"video_id": "int64", "version": "int64", "song_count": "int32"}
-            )
+            kinds = {"version": "int64", "song_count": "int32"}
+            if as_number:
+                kinds["video_id"] = "int64"
+            yield pd.DataFrame(out, columns=["video_id", "version", "song_count"]).astype(kinds)
 
         def close(self):
             pass
 
     thinned = setlists.select("video_id", "version", F.col("song_count").cast("int")).mapInPandas(
-        thin, UPGRADE_SCHEMA
+        thin, schema
     )
     return thinned.groupBy("video_id").transformWithStateInPandas(
-        Upgrades(), UPGRADE_SCHEMA, "append", "none"
+        Upgrades(), schema, "append", "none"
     )
 
 
@@ -149,9 +156,13 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def stream_dedupe(messages: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame:
-    """First message per video and signature, with bounded state."""
-    signed = with_signature(messages)
-    return signed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["video_id", "sig"])
+    """First message per video and signature, with bounded state.
+
+    Messages without a signature are no copies of each other: all of them stay.
+    """
+    signed = with_signature(messages).withWatermark(ts, delay)
+    once = signed.where("sig is not null").dropDuplicatesWithinWatermark(["video_id", "sig"])
+    return once.unionByName(signed.where("sig is null"))
 
 
 # --- R4 counts -------------------------------------------------------------------------------
