@@ -18,7 +18,7 @@ from .recompress import BREAK, Sums, segments, word_names
 WIDTH = 35
 ROUNDS = 6
 #: Words that are worked on at once; longer texts are cut into overlapping pieces.
-CHUNK = 200_000
+CHUNK = 100_000
 
 _STEP = 64  # more than the windows of one segment
 
@@ -186,9 +186,14 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Dat
     rows = survey.select("row", F.explode(F.arrays_zip("name", "span", "at")).alias("s")).select(
         "row", "s.name", "s.span", "s.at"
     )
-    shared = survey.select(F.explode("name").alias("name")).groupBy("name").agg(
-        F.count("*").alias("n")
-    ).where("n > 1").select("name")
+    # written, as Spark can split a frequent key only where both sides come straight from a
+    # shuffle
+    shared = written(
+        survey.select(F.explode("name").alias("name")).groupBy("name").agg(
+            F.count("*").alias("n")
+        ).where("n > 1").select("name"),
+        "shared",
+    )
     live = written(rows.join(shared, "name"), "live")
     spans = written(
         live.groupBy("name", "span").agg(
