@@ -96,8 +96,13 @@ def block_names(
             .withColumn("b", F.coalesce("b", F.lit(-1))),
             "pairs",
         )
-        named = pairs.withColumn("at", F.monotonically_increasing_id()).groupBy("a", "b").agg(
-            F.min("at").alias("name")
+        # written, as Spark can split a frequent pair only where both sides of a join come
+        # straight from a shuffle
+        named = written(
+            pairs.withColumn("at", F.monotonically_increasing_id()).groupBy("a", "b").agg(
+                F.min("at").alias("name")
+            ),
+            "pair-names",
         )
         many = pairs.join(named, ["a", "b"]).select("k1", "k2", "n", "pos", "name")
         width = (width + 1) // 2
@@ -135,8 +140,11 @@ def find_copies(docs: DataFrame, size: int = BLOCK, route=F.xxhash64) -> DataFra
         rows.join(names, ["k1", "k2"]).withColumn("_row", F.monotonically_increasing_id()), "texts"
     )
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    groups = rows.groupBy("tier", "name").agg(
-        F.min(order).alias("_keep"), F.count("*").alias("group_size")
+    groups = written(
+        rows.groupBy("tier", "name").agg(
+            F.min(order).alias("_keep"), F.count("*").alias("group_size")
+        ),
+        "groups",
     )
     return rows.join(groups, ["tier", "name"]).select(
         "doc_id", "k1", "k2", F.col("_keep.doc_id").alias("keep_id"), "group_size",
