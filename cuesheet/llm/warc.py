@@ -74,7 +74,11 @@ def write_archives(
         payload.alias("html"), F.sha1(payload).alias("_sha"),
         F.octet_length(payload).cast("long").alias("_size"),
     )
-    first = rows.groupBy("_sha", "_size").agg(F.max("page_id").alias("_keep"))
+    # written, as Spark can split a frequent payload only where both sides of the join come
+    # straight from a shuffle
+    first = written(
+        rows.groupBy("_sha", "_size").agg(F.max("page_id").alias("_keep")), "payloads"
+    )
     revisit = (F.col("_size") >= least) & ~F.col("page_id").eqNullSafe(F.col("_keep"))
     joined = rows.join(first, ["_sha", "_size"]).select(
         "page_id", "url", "html", "_sha", F.when(revisit, F.col("_keep")).alias("_refers")
