@@ -310,6 +310,7 @@ def _candidates(live: DataFrame, sets: DataFrame) -> DataFrame:
     counted = live.groupBy("token").agg(
         F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")
     ).where("low < high").select("token", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
+    counted = written(counted, "tokens")
     rows = live.join(counted, "token").withColumn("tile", F.pmod(F.xxhash64("set"), "tiles").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     rows = rows.withColumn("other", other).select(
@@ -377,7 +378,10 @@ def links(sets: DataFrame) -> DataFrame:
        minima allow, and those are verified.
     """
     first = sets.select("set", "n", F.posexplode("least").alias("i", "key"))
-    pivots = first.groupBy("i", "key").agg(F.min("set").alias("b"), F.count("*").alias("m")).where("m > 1")
+    # small tables are written before a join: Spark can split a frequent key only where both
+    # sides come straight from a shuffle
+    pivots = first.groupBy("i", "key").agg(F.min("set").alias("b"), F.count("*").alias("m"))
+    pivots = written(pivots.where("m > 1"), "pivots")
     pairs = first.join(pivots, ["i", "key"]).where("set <> b").select(
         F.col("set").alias("a"), "b"
     ).distinct()
@@ -410,7 +414,9 @@ def find_near_copies(docs: DataFrame) -> DataFrame:
     64-bit names. Other columns are not read.
     """
     named = _rooted(docs)
-    least = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = written(
+        named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least"
+    )
     alone = named.where("n = 0").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")
     )
