@@ -189,13 +189,42 @@ _TIGHT_SUFFIX = (
 )
 
 
+def _cut_deep_suffix(raw: Column) -> Column:
+    """``before`` and content of a closing bracket of any depth, \\x02 between them.
+
+    Counts brackets of the closing one's kind from the end; a text without a blank before
+    the matching bracket stays as it is.
+    """
+    close = F.right(raw, F.lit(1))
+    opening = F.translate(close, ")）]］", "(（[［")
+
+    def step(s: Column, ch: Column) -> Column:
+        depth = s["depth"] + F.when(ch == close, 1).when(ch == opening, -1).otherwise(0)
+        found = s["at"].isNull() & (ch == opening) & (depth == 0)
+        return F.struct(
+            depth.alias("depth"), (s["i"] + 1).alias("i"),
+            F.when(found, s["i"] + 1).otherwise(s["at"]).alias("at"),
+        )
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("at"))
+    at = F.aggregate(F.reverse(F.split(raw, "")), start, step, lambda s: s["at"])
+    before = F.substring(raw, F.lit(1), F.length(raw) - at)
+    content = F.substring(raw, F.length(raw) - at + 2, at - 2)
+    return F.when(before.rlike(rf"{W}\z"), F.concat(before, F.lit("\x02"), content)).otherwise(raw)
+
+
 def drop_latin_suffix(c: Column) -> Column:
     """Remove a closing bracket that repeats the name or romanises a Japanese name."""
 
     def pieces(raw: Column, pattern: str) -> Column:
         # one pass: the groups of the other bracket kinds are empty
+        cut = sub(raw, pattern, "$1\x02$2$3$4$5")
+        if pattern is _SPACED_SUFFIX:  # the pattern follows three levels
+            cut = F.when(
+                F.regexp_count(raw, F.lit(r"[(（\[［]")) > 3, _cut_deep_suffix(raw)
+            ).otherwise(cut)
         return let(
-            sub(raw, pattern, "$1\x02$2$3$4$5"),
+            cut,
             lambda cut: F.struct(
                 F.when(cut.contains("\x02"), strip(F.substring_index(cut, "\x02", 1)))
                 .otherwise("").alias("before"),

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    # field cleanup nests lambdas deeper than the analyser follows by default
+    "spark.sql.analyzer.maxIterations": "400",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -50,6 +50,12 @@ def test_slash_at_the_start_is_no_delimiter(one):
     assert one(T.apply_rules, ["/a (練習)/b", "/a"]) == ["/a/b", "/a"]
 
 
+def test_bracket_suffix_of_any_depth(one):
+    deep = lambda k: "曲 " + "".join(f"(n{i} " for i in range(k)) + "x" + ")" * k
+    got = one(T.drop_latin_suffix, [deep(1), deep(3), deep(4), deep(5), deep(12), "曲(a (b (c (d))))", "曲 a (b (c) (d) (e)"])
+    assert got == ["曲"] * 5 + ["曲(a (b (c (d))))", "曲 a (b (c) (d)"]
+
+
 def test_dated_slash_after_many_blanks(one):
     (got,) = one(T.split_fields, ["歌3" + " " * 30 + "/5月/人"])
     assert got.song.startswith("歌3") and got.song.endswith("5月") and got.artist == "人"
