@@ -26,6 +26,8 @@ _PIECE = 4096
 #: Points of one tree; documents of a more frequent shingle are dealt into several.
 TILE = 2048
 _LEAF = 16
+#: Groups of so many points need no boxes above them.
+ONE_LEAF = 64
 _SATURATED = 255
 
 U = np.uint64
@@ -232,14 +234,37 @@ def _postings(sets: DataFrame, labels: DataFrame, total: np.ndarray) -> DataFram
     )
 
 
+def _widened(points: np.ndarray) -> np.ndarray:
+    """Counts in which a saturated one is more than any sum that matters."""
+    wide = points.astype(np.int32)
+    wide[points == _SATURATED] = 1 << 24
+    return wide
+
+
+def _within_leaves(edge, many, counts, sizes, labels, side) -> np.ndarray:
+    """Pairs of rows that pass the bound, of groups that are one leaf; all groups at once.
+
+    ``edge`` and ``many`` are the first row and the rows of each group; rows of the same
+    ``side`` (where it is not negative) are not paired.
+    """
+    row = np.repeat(edge - np.cumsum(many) + many, many) + np.arange(many.sum())
+    place = row - np.repeat(edge, many)
+    a = np.repeat(row, place)
+    within = np.arange(len(a)) - np.repeat(np.cumsum(place) - place, place)
+    b = np.repeat(row - place, place) + within
+    keep = (labels[a] != labels[b]) & ((side[a] < 0) | (side[a] != side[b]))
+    keep &= (5 * sizes[a] >= 4 * sizes[b]) & (5 * sizes[b] >= 4 * sizes[a])
+    pairs = np.column_stack([a[keep], b[keep]])
+    return pairs[_reach(_widened(counts), sizes, pairs)]
+
+
 class Tree:
     """Packed R-tree over group counts: leaves of neighbouring sizes, boxes above them."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> None:
         order = np.lexsort((*points.T[:4], sizes))
         self.order = order
-        wide = points[order].astype(np.int32)
-        wide[wide == _SATURATED] = 1 << 24
+        wide = _widened(points[order])
         self.points, self.sizes, self.labels = wide, sizes[order], labels[order]
         m = len(order)
         self.levels = []
@@ -319,21 +344,20 @@ def _candidates(live: DataFrame, sets: DataFrame) -> DataFrame:
     ).join(sets.select("set", "counts"), "set")
 
     def search(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, seen = None, set()
+        rest = None
         for batch in source:
             both = pa.Table.from_batches([rest, batch] if rest is not None else [batch])
             keys = np.column_stack([both.column(n).to_numpy() for n in ("token", "p", "q")])
-            cut = len(keys)
-            while cut and (keys[cut - 1] == keys[-1]).all():
-                cut -= 1
-            yield from found(both.slice(0, cut), keys[:cut], seen)
+            # the last group may go on in the next batch
+            other = np.flatnonzero((keys != keys[-1]).any(axis=1))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            yield from found(both.slice(0, cut), keys[:cut])
             rest = both.slice(cut).combine_chunks().to_batches()[0]
         if rest is not None:
             one = pa.Table.from_batches([rest])
-            keys = np.column_stack([one.column(n).to_numpy() for n in ("token", "p", "q")])
-            yield from found(one, keys, seen)
+            yield from found(one, np.column_stack([one.column(n).to_numpy() for n in ("token", "p", "q")]))
 
-    def found(rows: pa.Table, keys: np.ndarray, seen: set) -> Iterator[pa.RecordBatch]:
+    def found(rows: pa.Table, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not rows.num_rows:
             return
         label, name, size, tile = (
@@ -342,22 +366,20 @@ def _candidates(live: DataFrame, sets: DataFrame) -> DataFrame:
         counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8)
         counts = counts.reshape(-1, GROUPS)
         edge = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-        out = []
-        for low, high in zip(edge, np.r_[edge[1:], len(keys)], strict=True):
+        many = np.diff(np.r_[edge, len(keys)])
+        side = np.where(keys[:, 1] != keys[:, 2], tile, -1)
+        out = [_within_leaves(edge[many <= ONE_LEAF], many[many <= ONE_LEAF], counts, size, label, side)]
+        for low, high in zip(edge[many > ONE_LEAF], (edge + many)[many > ONE_LEAF], strict=True):
             part = slice(low, high)
-            cross = tile[part] if keys[low, 1] != keys[low, 2] else None
-            pairs = Tree(counts[part], size[part], label[part]).pairs(cross)
-            if len(pairs):
-                out.append(np.sort(name[part][pairs], axis=1))
-        if out:
-            fresh = np.unique(np.concatenate(out), axis=0)
-            if len(seen) > 500_000:  # what a task has given out already, as far as it fits
-                seen.clear()
-            new = [p for p in map(tuple, fresh.tolist()) if p not in seen]
-            seen.update(new)
-            if new:
-                a, b = zip(*new, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            cross = side[part] if side[low] >= 0 else None
+            out.append(Tree(counts[part], size[part], label[part]).pairs(cross) + low)
+        pairs = np.sort(name[np.concatenate(out)], axis=1)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        if len(pairs):
+            pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"]
+            )
 
     return (
         rows.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")

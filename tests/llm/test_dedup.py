@@ -95,6 +95,7 @@ def test_near_copies(docs, rows, monkeypatch):
 def test_near_copies_without_first_links_and_with_tiles(docs, rows, monkeypatch):
     # all links have to come from the trees, whose shingles are dealt into tiles of two sets
     monkeypatch.setattr(ngram_join, "TILE", 2)
+    monkeypatch.setattr(ngram_join, "ONE_LEAF", 1)
     monkeypatch.setattr(ngram_join, "_verified", _without_first(ngram_join._verified))
     want, _ = plain_components(rows)
     got = ngram_join.find_near_copies(docs)
@@ -138,6 +139,24 @@ def test_tree_gives_every_pair_within_the_bound():
     assert got == want and want
 
 
+def test_leaves_give_every_pair_within_the_bound():
+    rng = np.random.default_rng(0)
+    points = np.minimum(rng.integers(0, 3, (60, 64)) + np.repeat(rng.integers(0, 9, (12, 64)), 5, axis=0), 255)
+    sizes, labels = points.sum(axis=1), rng.integers(0, 9, 60)
+    many = np.array([1, 7, 20, 2, 30])
+    edge = np.cumsum(many) - many
+    side = np.where(np.arange(60) >= 30, rng.integers(0, 2, 60), -1)
+    got = ngram_join._within_leaves(edge, many, points.astype(np.uint8), sizes, labels, side)
+    group = np.repeat(np.arange(5), many)
+    want = {
+        (j, i) for i in range(60) for j in range(i)
+        if group[i] == group[j] and labels[i] != labels[j] and (side[i] < 0 or side[i] != side[j])
+        and 9 * np.minimum(points[i], points[j]).sum() >= 4 * (sizes[i] + sizes[j])
+        and 5 * sizes[i] >= 4 * sizes[j] and 5 * sizes[j] >= 4 * sizes[i]
+    }
+    assert {tuple(sorted(p)) for p in got.tolist()} == want and want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 5), (200, 201), (202, 201), (7, 7)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
