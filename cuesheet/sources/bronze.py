@@ -145,7 +145,13 @@ def extract_embedded_json(
     return pages.select(
         *keep, key.alias("api_key"),
         F.when(version != "", version).otherwise(F.lit(default_version)).alias("client_version"),
-        F.pandas_udf(found, shape)(F.col(html)).alias("_j"),
+        # only what follows the marker leaves the JVM
+        F.pandas_udf(found, shape)(
+            F.when(
+                F.instr(F.col(html), F.lit(marker)) > 0,
+                F.substring(F.col(html), F.instr(F.col(html), F.lit(marker)), F.length(F.col(html))),
+            )
+        ).alias("_j"),
     ).select(*keep, "api_key", "client_version", "_j.json", "_j.error")
 
 
