@@ -53,7 +53,7 @@ def word_counts(train: DataFrame) -> DataFrame:
             for data in blobs(batch):
                 held.update(data.lower().split())
                 held[b""] += 1
-                if len(held) > 400_000:
+                if len(held) > 200_000:
                     yield _pairs(pa.array(list(held), pa.binary()), list(held.values()))
                     held.clear()
         yield _pairs(pa.array(list(held), pa.binary()), list(held.values()))
@@ -138,9 +138,9 @@ def context_counts(train: DataFrame, classes: np.ndarray) -> DataFrame:
                 for code, escaped, pair in context_codes(data, classes):
                     fresh += [code, pair[escaped] + _SPAN]
                     size += len(code)
-                    if size > 4_000_000:
+                    if size > 2_000_000:
                         settle()
-                        if len(keys) > 4_000_000:
+                        if len(keys) > 2_000_000:
                             yield _pairs(pa.array(keys.astype(np.int64)), counts)
                             keys, counts = keys[:0], counts[:0]
         settle()
@@ -404,6 +404,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         "words array<binary>, times array<long>"
     )
     rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "scored")
+    shared.destroy()  # the scores are stored; nothing computes them again
     rest = rows.select("_row", F.explode(F.arrays_zip("words", "times")).alias("w")).select(
         "_row", F.col("w.words").alias("key"), F.col("w.times").alias("times")
     )
