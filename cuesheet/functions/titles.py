@@ -401,8 +401,12 @@ def drop_release_tail(c: Column) -> Column:
 def clean_artist(c: Column) -> Column:
     """Performer without dates, work title, notes and Latin alias; ``X//`` stays."""
     work = strip(sub(drop_release_date(drop_release_tail(c)), rf"{W}*【[^】]{{1,120}}】{W}*$"))
+    # the alias can only begin behind the last character that it cannot hold; the Japanese
+    # characters are among these
+    held = rf"{_ALIAS[1:-2]}{P.DELIMS}{P.WS_SET}"
+    part = rf"(?>{_ALIAS})"
     alias = (
-        rf"(?s)^(.*?{P.JAPANESE}.*?){W}+{_ALIAS}(?:{W}*[{P.DELIMS}]{W}*{_ALIAS})+{W}*$"
+        rf"(?s)^((?>.*[^{held}])[{held}]*?){W}+{part}(?:{W}*[{P.DELIMS}]{W}*{part})+{W}*$"
     )
 
     def restore(raw: Column) -> Column:
@@ -417,7 +421,8 @@ def clean_artist(c: Column) -> Column:
             ).otherwise(v),
         )
 
-    return let(strip(sub(work, alias, "$1")), restore)
+    named = let(work, lambda w: F.when(w.rlike(P.JAPANESE), sub(w, alias, "$1")).otherwise(w))
+    return let(strip(named), restore)
 
 
 # --- song / artist -------------------------------------------------------------------
