@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .common import blobs, table, written
 
 FOLDS = 5
-#: Training rows of one language and languages at most.
-SAMPLE, LANGUAGES = 2_000, 100
+#: Training rows of one language and languages at most (so many rows are ranked per task, not
+#: per language: Spark limits groups of up to 1,000 before it shuffles).
+SAMPLE, LANGUAGES = 1_000, 100
 #: Hash buckets of byte triples.
 BUCKETS = 1 << 15
 #: Triples that a text counts for at most, as neighbouring ones say the same thing.
