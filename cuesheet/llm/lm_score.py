@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from .common import blobs, table, written
 
 FOLDS, HELD_OUT = 7, 2
-#: Depth of the context tree, in byte classes.
-DEPTH = 4
+#: Depth of the whole context tree, and of its frequent branches, in byte classes.
+DEPTH, DEEP = 4, 6
+#: A branch goes on to ``DEEP`` if at least one in so many bytes of the corpus follows it; so
+#: there are at most so many such branches, whatever the corpus.
+SHARE = 1 << 19
 #: The commonest bytes have a class each, all others share class 0 (escape).
 CLASSES = 32
 BITS = 5
@@ -87,22 +90,37 @@ def byte_classes(train: DataFrame) -> np.ndarray:
 # ---- the tree
 
 
-def context_codes(data: bytes, classes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(code of context and class, escaped?, code of previous byte and byte) by pieces.
+def context_codes(data: bytes, classes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(codes, codes two bytes longer, escaped?, codes of previous byte and byte) by pieces.
 
     Before a text stand END bytes, one END closes it. A code is the classes of the last
-    four bytes, oldest first, then the class of the byte itself, in base 32.
+    four bytes, oldest first, then the class of the byte itself, in base 32; the first array
+    has the codes at the two bytes before the piece in front.
     """
-    whole = bytes([END] * DEPTH) + data + bytes([END])
-    for at in range(DEPTH, len(whole), PIECE):
-        raw = np.frombuffer(whole[at - DEPTH : at + PIECE], np.uint8)
+    pad = 2 * DEEP
+    whole = bytes([END] * pad) + data + bytes([END])
+    for at in range(pad, len(whole), PIECE):
+        raw = np.frombuffer(whole[at - pad : at + PIECE], np.uint8)
         cls = classes[raw]
-        code = cls[: -DEPTH].copy()
+        begin = pad - 2  # where the first code ends
+        size = len(cls) - begin
+        code = cls[begin - DEPTH : begin - DEPTH + size].copy()
         for i in range(1, DEPTH + 1):
             code *= CLASSES
-            code += cls[i : len(cls) - DEPTH + i]
-        last = raw[DEPTH:].astype(np.int32)
-        yield code, cls[DEPTH:] == 0, raw[DEPTH - 1 : -1].astype(np.int32) * 256 + last
+            code += cls[begin - DEPTH + i : begin - DEPTH + i + size]
+        older = cls[pad - DEEP : len(cls) - DEEP].astype(np.int64) * CLASSES
+        older += cls[pad - DEEP + 1 : len(cls) - DEEP + 1]
+        last = raw[pad:].astype(np.int32)
+        yield (
+            code, older * _SPAN + code[2:], cls[pad:] == 0,
+            raw[pad - 1 : -1].astype(np.int32) * 256 + last,
+        )
+
+
+def frequent(bits: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Whether both five-class stretches of the last six classes are frequent, by byte."""
+    found = (bits[code >> 3] >> (code & 7).astype(np.uint8)) & 1
+    return (found[1:-1] & found[:-2]).astype(bool)
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,9 +131,14 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return joined[first], np.add.reduceat(weight, first)
 
 
-def context_counts(train: DataFrame, classes: np.ndarray) -> DataFrame:
+def context_counts(
+    train: DataFrame, classes: np.ndarray, bits: np.ndarray | None = None
+) -> DataFrame:
     """``key, n`` of all context codes; escapes follow from ``_SPAN`` on.
 
+    With ``bits`` (one for each frequent code) the longer codes are counted instead, where
+    the six classes before the byte can be a frequent branch.
+
     A task sums in sorted arrays and gives a row for each code it met; the rows are summed
     in a shuffle, so what is gathered grows with the corpus until all codes are met.
     """
@@ -123,7 +146,7 @@ def context_counts(train: DataFrame, classes: np.ndarray) -> DataFrame:
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh: list[np.ndarray] = []
         size = 0
-        keys, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def settle():
             nonlocal keys, counts, size
@@ -135,8 +158,11 @@ def context_counts(train: DataFrame, classes: np.ndarray) -> DataFrame:
 
         for batch in source:
             for data in blobs(batch):
-                for code, escaped, pair in context_codes(data, classes):
-                    fresh += [code, pair[escaped] + _SPAN]
+                for code, longer, escaped, pair in context_codes(data, classes):
+                    if bits is None:
+                        fresh += [code[2:], pair[escaped] + _SPAN]
+                    else:
+                        fresh.append(longer[frequent(bits, code)])
                     size += len(code)
                     if size > 2_000_000:
                         settle()
@@ -183,19 +209,21 @@ def estimate(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return log_all, (n[..., 1] + 0.5) / (total + 1)
 
 
-def weigh(n: np.ndarray, below: np.ndarray, children: np.ndarray, p_below: np.ndarray, seen_below: np.ndarray):
-    """One step towards the root.
+def weigh(n: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log weighted probability of a node, weight of its own estimate, and that estimate.
 
     ``n``: outcomes at the node; ``below``: sum over the children of their weighted log
     probability. Half the weight is the node's own estimate's, half the children's; what
-    was seen tells which of both is right. ``p_below`` is mixed in along ``children``; a
-    child that has seen nothing of a decision leaves it to the node.
+    was seen tells which of both is right.
     """
     own, p_own = estimate(n)
     weighted = math.log(0.5) + np.logaddexp(own, below)
-    weight = np.exp(math.log(0.5) + own - weighted)[children]
-    p_own = p_own[children]
-    return weighted, np.where(seen_below, weight * p_own + (1 - weight) * p_below, p_own)
+    return weighted, np.exp(math.log(0.5) + own - weighted), p_own
+
+
+def mixed(weight, p_own, p_below, seen_below):
+    """Chance at a node; a child that has seen nothing of a decision leaves it to the node."""
+    return np.where(seen_below, weight * p_own + (1 - weight) * p_below, p_own)
 
 
 def spread(p_one: np.ndarray, bits: int) -> np.ndarray:
@@ -203,66 +231,108 @@ def spread(p_one: np.ndarray, bits: int) -> np.ndarray:
     out, at = np.ones((*p_one.shape[:-1], 1)), 0
     for level in range(bits):
         p = p_one[..., at : at + (1 << level)]
-        out = np.stack([out * (1 - p), out * p], axis=-1).reshape(*out.shape[:-1], -1)
+        out = np.stack([out * (1 - p), out * p], axis=-1).reshape(*out.shape[:-1], 2 << level)
         at += 1 << level
     return out
 
 
-def _block(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Depths 4 to 2 for one pair of latest classes; ``counts[oldest, third, class]``.
+def _block(counts: np.ndarray, cell: np.ndarray, deep: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The tree below one pair of latest classes.
+
+    ``counts[oldest, third, class]``; ``deep[i, class]`` are those after the frequent branch
+    ``i`` that goes on from ``cell[i]`` (oldest * 32 + third). A node with such branches has
+    them as children, and a further child for all else that was seen at it.
 
-    Gives the block's own counts, its weighted log probability per decision, and the chance
-    of a one per oldest, third, decision.
+    Gives the block's counts, its weighted log probability per decision, and the chance of a
+    one per oldest, third, decision, and per branch, decision.
     """
-    n4 = decisions(counts, BITS)
-    log4, p = estimate(n4)
+    third = cell % CLASSES
+    n4 = decisions(counts.reshape(CLASSES**2, CLASSES), BITS)
+    n6 = decisions(deep, BITS)
+    log6, p6 = estimate(n6)
+    sums, held = np.zeros(n4.shape[:-1]), np.zeros_like(n4)
+    np.add.at(sums, cell, log6)
+    np.add.at(held, cell, n6)
+    log_rest, p_rest = estimate(n4 - held)
+    log4, weight, p_own = weigh(n4, sums + log_rest)
+    whole = np.ones(CLASSES**2, bool)  # nodes without branches are leaves
+    whole[cell] = False
+    log4[whole], weight[whole] = estimate(n4[whole])[0], 1.0
+    p = mixed(weight, p_own, p_rest, (n4 - held).sum(axis=-1) > 0)
+    q = mixed(weight[cell], p_own[cell], p6, n6.sum(axis=-1) > 0)
+
+    square = (CLASSES, CLASSES, -1)
+    seen4 = n4.sum(axis=-1) > 0
     n3 = decisions(counts.sum(axis=0), BITS)
-    log3, p = weigh(n3, log4.sum(axis=0), (None, ...), p, n4.sum(axis=-1) > 0)
+    log3, weight, p_own = weigh(n3, log4.reshape(square).sum(axis=0))
+    p = mixed(weight, p_own, p.reshape(square), seen4.reshape(square))
+    q = mixed(weight[third], p_own[third], q, seen4[cell])
     n2 = decisions(counts.sum(axis=(0, 1)), BITS)
-    log2, p = weigh(
-        n2, log3.sum(axis=0), (None, None, ...), p, (n3.sum(axis=-1) > 0)[None]
-    )
-    return counts.sum(axis=(0, 1)), log2, p
+    log2, weight, p_own = weigh(n2, log3.sum(axis=0))
+    seen3 = n3.sum(axis=-1) > 0
+    p, q = mixed(weight, p_own, p, seen3), mixed(weight, p_own, q, seen3[third])
+    return counts.sum(axis=(0, 1)), log2, p, q
 
 
-def _blocks(counts: DataFrame) -> DataFrame:
+def _blocks(counts: DataFrame, deep: DataFrame) -> DataFrame:
     """The lower part of the tree, a row per pair of latest classes (1,024 rows)."""
     spark = counts.sparkSession
     every = spark.range(CLASSES**2).select(
         (F.col("id") * CLASSES).alias("key"), F.lit(0).cast("long").alias("n")
     )
-    rows = counts.where(F.col("key") < _SPAN).unionByName(every).withColumn(
-        "block", F.expr(f"(key div {CLASSES}) % {CLASSES**2}")
+    block = F.expr(f"(key div {CLASSES}) % {CLASSES**2}").alias("block")
+    plain = counts.where(F.col("key") < _SPAN).unionByName(every)
+    rows = plain.select(block, "key", "n", F.lit(False).alias("deep")).unionByName(
+        deep.select(block, "key", "n", F.lit(True).alias("deep"))
     )
 
     def build(key, source):
-        code = source.column("key").to_numpy()
+        code, n = source.column("key").to_numpy(), source.column("n").to_numpy()
+        long = source.column("deep").to_numpy()
         dense = np.zeros((CLASSES**2, CLASSES), dtype=np.int64)
-        np.add.at(dense, (code // CLASSES**3, code % CLASSES), source.column("n").to_numpy())
-        own, log2, p = _block(dense.reshape(CLASSES, CLASSES, CLASSES))
+        np.add.at(dense, (code[~long] // CLASSES**3, code[~long] % CLASSES), n[~long])
+        branch, at = np.unique(code[long] // CLASSES, return_inverse=True)
+        below = np.zeros((len(branch), CLASSES), dtype=np.int64)
+        np.add.at(below, (at, code[long] % CLASSES), n[long])
+        cell = branch // CLASSES**2 % CLASSES**2
+        own, log2, p, q = _block(dense.reshape(CLASSES, CLASSES, CLASSES), cell, below)
         return pa.table(
             {"block": [key[0].as_py()], "own": [own.tobytes()], "weighted": [log2.tobytes()],
-             "p": [p.astype(np.float32).tobytes()]}
+             "p": [p.astype(np.float32).tobytes()], "branches": [branch.tobytes()],
+             "q": [q.astype(np.float32).tobytes()]}
         )
 
     return rows.groupBy("block").applyInArrow(
-        build, "block long, own binary, weighted binary, p binary"
+        build, "block long, own binary, weighted binary, p binary, branches binary, q binary"
     )
 
 
 class Model:
-    """Log10 chances in steps of 1/5000, by context code and by escaped byte pair."""
+    """Log10 chances in steps of 1/5000.
+
+    ``by_context`` by code; ``by_branch`` by place of the last six classes in the sorted
+    ``branches``, class; ``by_pair`` by escaped byte pair. ``bits`` as in :func:`frequent`.
+    """
 
     STEP = 5000
     LEAST = 1e-6
 
-    def __init__(self, classes: np.ndarray, by_context: np.ndarray, by_pair: np.ndarray) -> None:
-        self.classes, self.by_context, self.by_pair = classes, by_context, by_pair
+    def __init__(self, classes, bits, by_context, branches, by_branch, by_pair) -> None:
+        self.classes, self.bits, self.by_context = classes, bits, by_context
+        self.branches, self.by_branch, self.by_pair = branches, by_branch, by_pair
 
     def log10(self, data: bytes) -> float:
         total = 0
-        for code, escaped, pair in context_codes(data, self.classes):
-            total += int(self.by_context[code].sum(dtype=np.int64))
+        for code, longer, escaped, pair in context_codes(data, self.classes):
+            steps = self.by_context[code[2:]]
+            if len(self.branches):
+                maybe = np.flatnonzero(frequent(self.bits, code))
+                branch = longer[maybe] // CLASSES
+                at = np.searchsorted(self.branches, branch)
+                at[at == len(self.branches)] = 0
+                met = self.branches[at] == branch
+                steps[maybe[met]] = self.by_branch[at[met], longer[maybe[met]] % CLASSES]
+            total += int(steps.sum(dtype=np.int64))
             total += int(self.by_pair[pair[escaped]].sum(dtype=np.int64))
         return total / self.STEP
 
@@ -273,55 +343,85 @@ def _steps(p: np.ndarray) -> np.ndarray:
     return np.round(np.log10(p) * Model.STEP).astype(np.int16)
 
 
+def _frequent_bits(counts: DataFrame, least: int) -> np.ndarray:
+    """A bit for each code that is met ``least`` times (at most ``SHARE`` codes are)."""
+    bits = np.zeros(_SPAN // 8, np.uint8)
+    found = counts.where((F.col("key") < _SPAN) & (F.col("n") >= least)).select("key").toArrow()
+    keys = found.column("key").to_numpy()
+    np.bitwise_or.at(bits, keys >> 3, (1 << (keys & 7)).astype(np.uint8))
+    return bits
+
+
 def build_model(train: DataFrame) -> Model:
-    """Count, weigh and tabulate; the tables have a fixed size (64 MB), whatever the corpus.
+    """Count, weigh and tabulate; the tables have a bounded size (106 MB), whatever the corpus.
 
     Byte by byte, five binary decisions give the class of the byte in the context of the
-    last four classes, mixed over depths 0 to 4; eight more give an escaped byte after the
-    last byte, mixed over depths 0 and 1. Weights and estimates rest on all training texts.
+    last classes, mixed over depths 0 to 4 and, on branches that are frequent, depth 6;
+    eight more give an escaped byte after the last byte, mixed over depths 0 and 1. Weights
+    and estimates rest on all training texts. A branch is frequent if its share of the
+    corpus is at least 1/``SHARE``; only bytes after two frequent stretches of five classes
+    can follow one, so a second count of the corpus is limited to these.
     """
     classes = byte_classes(train)
     counts = written(context_counts(train, classes), "contexts")
-    blocks = written(_blocks(counts), "blocks")
+    size = counts.where(F.col("key") < _SPAN).agg(F.sum("n")).first()[0] or 0
+    least = max(2, -(-size // SHARE))
+    bits = _frequent_bits(counts, least)
+    longer = written(context_counts(train, classes, bits), "longer-contexts")
+    branch = F.expr(f"key div {CLASSES}")
+    often = longer.groupBy(branch.alias("branch")).agg(F.sum("n").alias("m")).where(
+        F.col("m") >= least
+    ).select("branch")
+    deep = longer.withColumn("branch", branch).join(often, "branch", "left_semi").select("key", "n")
+    blocks = written(_blocks(counts, deep), "blocks")
     top = {r["block"]: r for r in blocks.select("block", "own", "weighted").collect()}
     own = np.stack([np.frombuffer(top[b]["own"], np.int64) for b in range(CLASSES**2)])
     log2 = np.stack([np.frombuffer(top[b]["weighted"]) for b in range(CLASSES**2)])
     # block = second latest class * 32 + latest class
     own, log2 = own.reshape(CLASSES, CLASSES, -1), log2.reshape(CLASSES, CLASSES, -1)
-    n2 = decisions(own, BITS).sum(axis=-1) > 0
     n1, n0 = decisions(own.sum(axis=0), BITS), decisions(own.sum(axis=(0, 1)), BITS)
+    seen2, seen1 = decisions(own, BITS).sum(axis=-1) > 0, n1.sum(axis=-1) > 0
+    log1, weight1, own1 = weigh(n1, log2.sum(axis=0))
+    _, weight0, own0 = weigh(n0, log1.sum(axis=0))
 
-    def upper(p2: np.ndarray, second: int, latest: int) -> np.ndarray:
-        log1, p1 = weigh(n1[latest], log2[:, latest].sum(axis=0), (None, ...), p2, n2[second, latest])
-        sums = log_one.sum(axis=0)
-        _, p0 = weigh(n0, sums, (None, ...), p1, n1[latest].sum(axis=-1) > 0)
-        return p0
-
-    own1, _ = estimate(n1)
-    log_one = math.log(0.5) + np.logaddexp(own1, log2.sum(axis=0))
+    def upper(p: bytes, second: int, latest: int) -> np.ndarray:
+        chance = np.frombuffer(p, np.float32).astype(np.float64).reshape(-1, CLASSES - 1)
+        chance = mixed(weight1[latest], own1[latest], chance, seen2[second, latest])
+        return _steps(spread(mixed(weight0, own0, chance, seen1[latest]), BITS))
 
     def finish(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            steps = []
-            for block, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p2 = np.frombuffer(p, np.float32).astype(np.float64).reshape(CLASSES**2, -1)
-                steps.append(_steps(spread(upper(p2, block // CLASSES, block % CLASSES), BITS)).tobytes())
+            out: tuple[list, list] = ([], [])
+            for block, *chances in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for column, p in zip(out, chances, strict=True):
+                    column.append(upper(p, block // CLASSES, block % CLASSES).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), pa.array(steps, pa.binary())], names=["block", "steps"]
+                [batch.column("block"), *(pa.array(c, pa.binary()) for c in out)],
+                names=["block", "steps", "deep"],
             )
 
     table_ = np.zeros((CLASSES**2, CLASSES**2, CLASSES), dtype=np.int16)
-    for r in blocks.select("block", "p").mapInArrow(finish, "block long, steps binary").toLocalIterator():
+    keys, rows = [np.zeros(0, np.int64)], [np.zeros((0, CLASSES), np.int16)]
+    tabled = blocks.select("block", "p", "q").mapInArrow(finish, "block long, steps binary, deep binary")
+    for r in tabled.join(blocks.select("block", "branches"), "block").toLocalIterator():
         table_[:, r["block"]] = np.frombuffer(r["steps"], np.int16).reshape(CLASSES**2, CLASSES)
+        keys.append(np.frombuffer(r["branches"], np.int64))
+        rows.append(np.frombuffer(r["deep"], np.int16).reshape(-1, CLASSES))
+    branches, by_branch = np.concatenate(keys), np.concatenate(rows)
+    order = np.argsort(branches)
 
     pairs = np.zeros(65536, dtype=np.int64)
     for r in counts.where(F.col("key") >= _SPAN).collect():  # at most 65,536 rows
         pairs[r["key"] - _SPAN] = r["n"]
     pairs = pairs.reshape(256, 256)
     below = decisions(pairs, 8)
-    log1, p = estimate(below)
-    _, p = weigh(decisions(pairs.sum(axis=0), 8), log1.sum(axis=0), (None, ...), p, below.sum(axis=-1) > 0)
-    return Model(classes, table_.reshape(-1), _steps(spread(p, 8)).reshape(-1))
+    log_pair, p = estimate(below)
+    _, weight, p_own = weigh(decisions(pairs.sum(axis=0), 8), log_pair.sum(axis=0))
+    p = mixed(weight, p_own, p, below.sum(axis=-1) > 0)
+    return Model(
+        classes, bits, table_.reshape(-1), branches[order], by_branch[order],
+        _steps(spread(p, 8)).reshape(-1),
+    )
 
 
 # ---- scores

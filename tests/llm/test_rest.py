@@ -190,8 +190,25 @@ def test_without_training_rows(spark):
 def test_next_symbol_chances_sum_to_one():
     rng = np.random.default_rng(1)
     counts = rng.poisson(0.3, (32, 32, 32)) * (rng.random((32, 32, 1)) < 0.2)
-    _, _, p = lm_score._block(counts)
+    cell = np.array([3, 3, 700])
+    deep = np.minimum(counts.reshape(1024, 32)[cell], [[1], [0], [2]])
+    _, _, p, q = lm_score._block(counts, cell, deep)
+    assert p.shape == (32, 32, 31) and q.shape == (3, 31)
     assert np.allclose(lm_score.spread(p, 5).sum(axis=-1), 1)
+    assert np.allclose(lm_score.spread(q, 5).sum(axis=-1), 1)
+
+
+def test_frequent_branches_sharpen_the_chances():
+    """A byte that always follows six others, and seldom the last four of them."""
+    counts = np.zeros((32, 32, 32), np.int64)
+    counts[4, 5, 7], counts[4, 5, 9] = 60, 60
+    deep = np.zeros((1, 32), np.int64)
+    deep[0, 7] = 60
+    _, log_deep, p, q = lm_score._block(counts, np.array([4 * 32 + 5]), deep)
+    _, log_plain, plain, _ = lm_score._block(counts, np.zeros(0, np.int64), np.zeros((0, 32), np.int64))
+    chance = lambda x: lm_score.spread(x, 5)[..., 7]
+    assert chance(q)[0] > 0.9 > 0.6 > chance(plain)[4, 5] > 0.4 > 0.1 > chance(p)[4, 5]
+    assert log_deep.sum() > log_plain.sum()
 
 
 def test_weighting_is_the_mean_of_all_prunings():
@@ -199,7 +216,8 @@ def test_weighting_is_the_mean_of_all_prunings():
     below = np.array([[[3, 1]], [[0, 5]]])
     log1, p1 = lm_score.estimate(below)
     root = below.sum(axis=0)
-    weighted, p = lm_score.weigh(root, log1.sum(axis=0), (None, ...), p1, below.sum(axis=-1) > 0)
+    weighted, weight, own = lm_score.weigh(root, log1.sum(axis=0))
+    p = lm_score.mixed(weight, own, p1, below.sum(axis=-1) > 0)
 
     def kt(a, b):
         value, n = 1.0, [0, 0]
