@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blobs, only_keys, table, text_key, written
@@ -25,6 +25,10 @@ COUNTERS = 1 << 20
 _PIECE = 4096
 #: Points of one tree; documents of a more frequent shingle are dealt into several.
 TILE = 2048
+#: Shingles of the sets that a verifying task keeps.
+HELD = 2_000_000
+#: Most promising candidates of a set that are verified before all others.
+BEST = 4
 _LEAF = 16
 #: Groups of so many points need no boxes above them.
 ONE_LEAF = 64
@@ -112,13 +116,21 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def check(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, other = None, None
+        known: dict[int, np.ndarray] = {}  # sets met lately, as far as they fit
+        held = 0
         for batch in source:
             keep = []
-            columns = (batch.column(n).to_pylist() for n in ("b", "pa", "pb"))
-            for b, pa_, pb in zip(*columns, strict=True):
+            columns = (batch.column(n).to_pylist() for n in ("a", "b", "pa", "pb"))
+            for a, b, pa_, pb in zip(*columns, strict=True):
                 if b != last:
                     last, other = b, _unpacked(pb)
-                keep.append(linked(_unpacked(pa_), other))
+                if a not in known:
+                    if held > HELD:
+                        known.clear()
+                        held = 0
+                    known[a] = _unpacked(pa_)
+                    held += len(known[a])
+                keep.append(linked(known[a], other))
             mask = pa.array(keep, pa.bool_())
             yield batch.select(["a", "b"]).filter(mask)
 
@@ -308,11 +320,15 @@ class Tree:
 
 
 def _reach(high: np.ndarray, sizes: np.ndarray, todo: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(todo), bool)
+    return 9 * _overlap(high, todo) >= 4 * (sizes[todo[:, 0]] + sizes[todo[:, 1]])
+
+
+def _overlap(high: np.ndarray, todo: np.ndarray) -> np.ndarray:
+    """Sums of the smaller counts of both rows of each pair."""
+    out = np.zeros(len(todo), np.int64)
     for at in range(0, len(todo), 20_000):
         a, b = todo[at : at + 20_000].T
-        bound = np.minimum(high[a], high[b]).sum(axis=1)
-        out[at : at + 20_000] = 9 * bound >= 4 * (sizes[a] + sizes[b])
+        out[at : at + 20_000] = np.minimum(high[a], high[b]).sum(axis=1)
     return out
 
 
@@ -326,7 +342,7 @@ def _children(todo: np.ndarray, count: int) -> np.ndarray:
 
 
 def _candidates(live: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b``: pairs with different labels that share a prefix shingle and pass the bound.
+    """``a, b, near``: pairs with different labels that share a prefix shingle and pass the bound.
 
     The sets of a shingle are one tree. A shingle of more than ``TILE`` sets is dealt into
     tiles by set, and each pair of tiles is a tree of its own, so no task holds more than
@@ -368,23 +384,31 @@ def _candidates(live: DataFrame, sets: DataFrame) -> DataFrame:
         edge = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
         many = np.diff(np.r_[edge, len(keys)])
         side = np.where(keys[:, 1] != keys[:, 2], tile, -1)
+        sums = _widened(counts)
         out = [_within_leaves(edge[many <= ONE_LEAF], many[many <= ONE_LEAF], counts, size, label, side)]
         for low, high in zip(edge[many > ONE_LEAF], (edge + many)[many > ONE_LEAF], strict=True):
             part = slice(low, high)
             cross = side[part] if side[low] >= 0 else None
             out.append(Tree(counts[part], size[part], label[part]).pairs(cross) + low)
-        pairs = np.sort(name[np.concatenate(out)], axis=1)
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        at = np.concatenate(out)
+        pairs = np.sort(name[at], axis=1)
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        pairs, at = pairs[order], at[order]
         if len(pairs):
-            pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]]
+            first = np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]
+            pairs, at = pairs[first], at[first]
+            bound = np.minimum(_overlap(sums, at), size[at].min(axis=1))
+            # the similarity that the bound leaves possible, per mille
+            near = 1000 * bound // (size[at].sum(axis=1) - bound)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"]
+                [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(near)],
+                names=["a", "b", "near"],
             )
 
     return (
         rows.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
         .select("token", "p", "q", "tile", "label", "set", "n", "counts")
-        .mapInArrow(search, "a long, b long").distinct()
+        .mapInArrow(search, "a long, b long, near long").distinct()
     )
 
 
@@ -397,7 +421,10 @@ def links(sets: DataFrame) -> DataFrame:
     2. Every pair of linked sets shares a prefix shingle (an exact filter; see
        :func:`_postings`). Shingles whose sets all have one label are done. For all others
        the R-trees over group counts give the pairs of different labels that the summed
-       minima allow, and those are verified.
+       minima allow.
+    3. The ``BEST`` most promising pairs of each set are verified first and renew the labels.
+       Of all other pairs, those with different labels are verified. So in a large group of
+       near copies most pairs are connected before they would be compared.
     """
     first = sets.select("set", "n", F.posexplode("least").alias("i", "key"))
     # small tables are written before a join: Spark can split a frequent key only where both
@@ -411,7 +438,22 @@ def links(sets: DataFrame) -> DataFrame:
     labels = components(near, rounds=2)
     live = written(_postings(sets, labels, _sketch(sets)), "postings")
     pairs = written(_candidates(live, sets), "pairs")
-    return near.unionByName(_verified(pairs, sets))
+    best = written(
+        _most_promising(pairs, "a").unionByName(_most_promising(pairs, "b")).distinct(), "best"
+    )
+    near = written(near.unionByName(_verified(best, sets)), "links")
+    labels = components(near, rounds=3)
+    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        of_side = labels.withColumnsRenamed({"node": side, "root": f"of_{side}"})
+        rest = rest.join(of_side, side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+    rest = written(rest.where("of_a <> of_b").select("a", "b"), "rest")
+    return near.unionByName(_verified(rest, sets))
+
+
+def _most_promising(pairs: DataFrame, side: str) -> DataFrame:
+    order = Window.partitionBy(side).orderBy(F.desc("near"), "a", "b")
+    return pairs.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= BEST).select("a", "b")
 
 
 def _rooted(docs: DataFrame) -> DataFrame:

@@ -96,6 +96,8 @@ def test_near_copies_without_first_links_and_with_tiles(docs, rows, monkeypatch)
     # all links have to come from the trees, whose shingles are dealt into tiles of two sets
     monkeypatch.setattr(ngram_join, "TILE", 2)
     monkeypatch.setattr(ngram_join, "ONE_LEAF", 1)
+    monkeypatch.setattr(ngram_join, "BEST", 1)
+    monkeypatch.setattr(ngram_join, "HELD", 100)
     monkeypatch.setattr(ngram_join, "_verified", _without_first(ngram_join._verified))
     want, _ = plain_components(rows)
     got = ngram_join.find_near_copies(docs)
