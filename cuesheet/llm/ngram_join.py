@@ -17,7 +17,7 @@ from .recompress import Sums, mix, word_names
 #: Words of a shingle; links have 100 * intersection >= 80 * union.
 SHINGLE = 5
 #: Groups that the shingles of a document are counted in.
-GROUPS = 64
+GROUPS = 256
 #: Smallest hash values that the first round of links goes by.
 FIRST = 4
 #: Counters of the shingle frequency sketch (fixed; 4 MB).
@@ -27,8 +27,8 @@ _PIECE = 4096
 TILE = 2048
 #: Shingles of the sets that a verifying task keeps.
 HELD = 2_000_000
-#: Most promising candidates of a set that are verified before all others.
-BEST = 4
+#: Most promising candidates of a set that are verified before all others, and how often.
+BEST, ROUNDS = 4, 2
 _LEAF = 16
 #: Groups of so many points need no boxes above them.
 ONE_LEAF = 64
@@ -54,7 +54,7 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 def group_counts(names: np.ndarray) -> np.ndarray:
     """Shingles per hash group; 255 stands for 255 and more."""
-    counts = np.bincount((mix(names) >> U(58)).astype(np.int64), minlength=GROUPS)
+    counts = np.bincount((mix(names) >> U(56)).astype(np.int64), minlength=GROUPS)
     return np.minimum(counts, _SATURATED).astype(np.uint8)
 
 
@@ -319,6 +319,17 @@ class Tree:
         return self.order[todo]
 
 
+def _first_of_each(key: np.ndarray, value: np.ndarray, many: int) -> np.ndarray:
+    """Mask of the ``many`` smallest values of each key."""
+    order = np.lexsort((value, key))
+    ranked = key[order]
+    edge = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    place = np.arange(len(key)) - np.repeat(edge, np.diff(np.r_[edge, len(key)]))
+    out = np.zeros(len(key), bool)
+    out[order[place < many]] = True
+    return out
+
+
 def _reach(high: np.ndarray, sizes: np.ndarray, todo: np.ndarray) -> np.ndarray:
     return 9 * _overlap(high, todo) >= 4 * (sizes[todo[:, 0]] + sizes[todo[:, 1]])
 
@@ -326,9 +337,9 @@ def _reach(high: np.ndarray, sizes: np.ndarray, todo: np.ndarray) -> np.ndarray:
 def _overlap(high: np.ndarray, todo: np.ndarray) -> np.ndarray:
     """Sums of the smaller counts of both rows of each pair."""
     out = np.zeros(len(todo), np.int64)
-    for at in range(0, len(todo), 20_000):
-        a, b = todo[at : at + 20_000].T
-        out[at : at + 20_000] = np.minimum(high[a], high[b]).sum(axis=1)
+    for at in range(0, len(todo), 8_000):
+        a, b = todo[at : at + 8_000].T
+        out[at : at + 8_000] = np.minimum(high[a], high[b]).sum(axis=1)
     return out
 
 
@@ -341,9 +352,11 @@ def _children(todo: np.ndarray, count: int) -> np.ndarray:
     return np.column_stack([a[keep], b[keep]])
 
 
-def _candidates(live: DataFrame, sets: DataFrame) -> DataFrame:
+def _candidates(live: DataFrame, sets: DataFrame, best: int | None = None) -> DataFrame:
     """``a, b, near``: pairs with different labels that share a prefix shingle and pass the bound.
 
+    With ``best`` a tree gives only the so many most promising pairs of each of its points.
+
     The sets of a shingle are one tree. A shingle of more than ``TILE`` sets is dealt into
     tiles by set, and each pair of tiles is a tree of its own, so no task holds more than
     two tiles; every pair of sets still meets.
@@ -392,14 +405,13 @@ def _candidates(live: DataFrame, sets: DataFrame) -> DataFrame:
             out.append(Tree(counts[part], size[part], label[part]).pairs(cross) + low)
         at = np.concatenate(out)
         pairs = np.sort(name[at], axis=1)
-        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        pairs, at = pairs[order], at[order]
         if len(pairs):
-            first = np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]
-            pairs, at = pairs[first], at[first]
             bound = np.minimum(_overlap(sums, at), size[at].min(axis=1))
             # the similarity that the bound leaves possible, per mille
             near = 1000 * bound // (size[at].sum(axis=1) - bound)
+            if best is not None:
+                top = _first_of_each(at[:, 0], -near, best) | _first_of_each(at[:, 1], -near, best)
+                pairs, near = pairs[top], near[top]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(near)],
                 names=["a", "b", "near"],
@@ -422,8 +434,8 @@ def links(sets: DataFrame) -> DataFrame:
        :func:`_postings`). Shingles whose sets all have one label are done. For all others
        the R-trees over group counts give the pairs of different labels that the summed
        minima allow.
-    3. The ``BEST`` most promising pairs of each set are verified first and renew the labels.
-       Of all other pairs, those with different labels are verified. So in a large group of
+    3. In ``ROUNDS`` the ``BEST`` most promising pairs of each set are verified and renew the
+       labels. Then all pairs whose labels still differ are verified. So in a large group of
        near copies most pairs are connected before they would be compared.
     """
     first = sets.select("set", "n", F.posexplode("least").alias("i", "key"))
@@ -437,17 +449,18 @@ def links(sets: DataFrame) -> DataFrame:
     near = written(_verified(pairs, sets), "links")
     labels = components(near, rounds=2)
     live = written(_postings(sets, labels, _sketch(sets)), "postings")
-    pairs = written(_candidates(live, sets), "pairs")
-    best = written(
-        _most_promising(pairs, "a").unionByName(_most_promising(pairs, "b")).distinct(), "best"
-    )
-    near = written(near.unionByName(_verified(best, sets)), "links")
-    labels = components(near, rounds=3)
-    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
-    for side in ("a", "b"):
-        of_side = labels.withColumnsRenamed({"node": side, "root": f"of_{side}"})
-        rest = rest.join(of_side, side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
-    rest = written(rest.where("of_a <> of_b").select("a", "b"), "rest")
+    for _ in range(ROUNDS):
+        pairs = written(_candidates(live, sets, BEST), "pairs")
+        best = written(
+            _most_promising(pairs, "a").unionByName(_most_promising(pairs, "b")).distinct(), "best"
+        )
+        near = written(near.unionByName(_verified(best, sets)), "links")
+        labels = components(near, rounds=3).withColumnsRenamed({"node": "set", "root": "_root"})
+        live = written(
+            live.join(labels, "set", "left").withColumn("label", F.coalesce("_root", "set")).drop("_root"),
+            "postings",
+        )
+    rest = written(_candidates(live, sets).select("a", "b"), "pairs")
     return near.unionByName(_verified(rest, sets))
 
 
