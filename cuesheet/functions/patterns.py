@@ -22,6 +22,7 @@ JAPANESE = r"[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faf
 CJK_RUN = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{f900}-\x{faff}]"
 KANJI = r"[\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]"
 WORD = r"[\p{L}\p{N}_]"
+# fixed values: ranges of picture characters
 EMOJI = (
     r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}\x{200D}]"
 )
@@ -51,6 +52,7 @@ RULE_BRACKETS_OPEN = "([{（［【「『《〈"
 RULE_BRACKETS_CLOSE = ")]}）］】」』》〉"
 
 # --- Latin annotations ----------------------------------------------------------
+# fixed values: characters of a romanised note
 LATIN_INNER = (
     r"[A-Za-zÀ-ÖØ-öø-ÿ\x{0100}-\x{024F}0-9 .,:'’\"“”&+_\-/!?~～#＃♯♭★☆♪♫♡♥◎･=×∞]"
 )
@@ -63,6 +65,7 @@ QUALIFIER = (
 )
 
 # --- line decorations --------------------------------------------------------
+# fixed values: line decorations
 TREE = (
     rf"[{LEAD_SET}]*(?:[├└┣┗┝┖│┃┆┇┊┋]+|[>＞]+|[\-－—–−]+|[・･●○◆◇■□]+){WS}*"
 )

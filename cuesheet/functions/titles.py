@@ -365,6 +365,7 @@ def is_bad_field(c: Column) -> Column:
 
 # --- performers with dates, work titles and notes -----------------------------------
 
+# fixed values: words of performance notes
 _NOTE_WORDS = (
     "Original Song|Original song|ORIGINAL SONG|Original|オリジナル(?:曲|ソング)?"
     "|弾き語り(?:初披露)?|初披露|初公開|途中まで|ワンコーラス|挑戦枠?"
@@ -573,6 +574,7 @@ def split_fields(c: Column, clean=clean_field, clean_performer=None, extended=Fa
 
 # --- multi-field records ---------------------------------------------------------------
 
+# fixed values: words that mark a work title
 _METADATA_SHAPE = (
     r"(?i)^[「『《〈【]|OP|ED|オープニング|エンディング|Opening|Ending|テーマ|主題歌|挿入歌"
     r"|ゲーム|アニメ|映画|ドラマ|ソフト|ブランド|レーベル|project|CIRCUS"
@@ -623,6 +625,7 @@ _TIME_LEAD = (
     rf"(?:{P.TS_OPEN}{W}*)?{P.TS}{W}*{P.TS_CLOSE}?(?:{W}*[;；,，、~～{P.DASHES}]+{W}*)?"
 )
 _ICONS = rf"(?:[{P.LEAD_SET}]*(?:{P.EMOJI}|{P.ICON_MARKS}))+{W}*"
+# fixed values: forms of a line number
 _SERIAL = (
     r"(?:(?i:Re)" + rf"{W}*[:：]{W}*(?![A-Za-z])"
     rf"|【{W}*[0-9]{{1,3}}{W}*】{W}*"
@@ -644,6 +647,7 @@ _NUMBERED_TIME = rf"^[0-9]{{1,3}}{W}*[.)．。、,，：:]{W}+(?={P.TS})"
 TIMED_LINE = (
     rf"^(?:{P.TS}|{P.TS_OPEN}{W}*{P.TS}{W}*{P.TS_CLOSE}|[0-9]{{1,3}}{W}*[.)．。、,，：:]{W}+{P.TS})"
 )
+# fixed values: words of lines that are no songs
 _NON_SONG = (
     rf"^$|^(?i:{P.words(P.NON_SONG_EDGES)})$|^{P.words(P.NON_SONG_TALK)}$"
     rf"|(?:宣伝|告知|お知らせ){W}*$|^[（(]?{W}*(?:宣伝|告知|お知らせ)|^編集中です"
