@@ -28,7 +28,7 @@ TILE = 2048
 #: Shingles of the sets that a verifying task keeps.
 HELD = 2_000_000
 #: Most promising candidates of a set that are verified before all others, and how often.
-BEST, ROUNDS = 4, 2
+BEST, ROUNDS = 4, 1
 _LEAF = 16
 #: Groups of so many points need no boxes above them.
 ONE_LEAF = 64
@@ -62,57 +62,54 @@ def _unpacked(data: bytes) -> np.ndarray:
     return shingles(zstandard.ZstdDecompressor().decompress(data))
 
 
-def _sets(docs: DataFrame, texts: bool) -> DataFrame:
-    """``set, n`` of every row with its id, or with group counts, hashes and packed text."""
-    narrow = [("set", pa.int64()), ("n", pa.int64())]
-    wide = [("counts", pa.binary()), ("least", pa.list_(pa.int64())), ("packed", pa.binary())]
-    keys = [(k, pa.int64()) for k in ("doc_id", "k1", "k2")]
-    schema = pa.schema(narrow + (wide if texts else keys))
+def _sets(docs: DataFrame) -> DataFrame:
+    """Every row's keys, its set and size, with group counts, hashes and packed text."""
+    fields = [
+        *((k, pa.int64()) for k in ("doc_id", "k1", "k2", "set", "n")), ("counts", pa.binary()),
+        ("least", pa.list_(pa.int64())), ("packed", pa.binary()),
+    ]
+    schema = pa.schema(fields)
 
     def build(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for batch in source:
             out: list[list] = [[] for _ in schema.names]
-            ids = [batch.column(k).to_pylist() for k, _ in keys]
+            ids = [batch.column(k).to_pylist() for k in ("doc_id", "k1", "k2")]
             for *key, data in zip(*ids, blobs(batch), strict=True):
                 names = shingles(data)
                 n = len(names)
                 name = mix(mix(names).sum(dtype=U, keepdims=True) + U(n)).view(np.int64)[0]
-                if not texts:
-                    values = (int(name), n, *key)
-                elif n:
-                    least = [
-                        int(names[np.argmin(mix(names + U(i + 1)))].view(np.int64)) for i in range(FIRST)
-                    ]
-                    values = (
-                        int(name), n, group_counts(names).tobytes(), least, packer.compress(data)
-                    )
-                else:
-                    continue
+                least = [
+                    int(names[np.argmin(mix(names + U(i + 1)))].view(np.int64))
+                    for i in range(FIRST if n else 0)
+                ]
+                values = (
+                    *key, int(name), n, group_counts(names).tobytes(), least, packer.compress(data)
+                )
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema
             )
 
-    ddl = "set long, n long, " + (
-        "counts binary, least array<long>, packed binary" if texts
-        else "doc_id long, k1 long, k2 long"
-    )
     columns = [F.col("doc_id").cast("long").alias("doc_id"), *text_key(), "text"]
-    return docs.select(*columns).mapInArrow(build, ddl)
+    return docs.select(*columns).mapInArrow(
+        build, "doc_id long, k1 long, k2 long, set long, n long, counts binary, "
+        "least array<long>, packed binary"
+    )
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of ``a, b`` those that link: the sets of both are built from their texts again.
 
-    ``a`` meets its text first; ``b``, of which a pair may have many, is the sorted side of
-    the second join, where Spark may split it and a task builds its set once in a row.
+    The texts that are needed are picked out once. ``a`` meets its text first; ``b``, of which
+    a pair may have many, is the sorted side of the second join, where Spark may split it and
+    a task builds its set once in a row.
     """
-    texts = sets.select("set", "packed")
+    needed = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set")))
+    texts = written(sets.select("set", "packed").join(needed.distinct(), "set"), "needed")
     left = pairs.join(texts.withColumnsRenamed({"set": "a", "packed": "pa"}), "a")
-    few = pairs.select("b").distinct()
-    right = few.join(texts.withColumnsRenamed({"set": "b", "packed": "pb"}), "b")
+    right = texts.withColumnsRenamed({"set": "b", "packed": "pb"})
 
     def check(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, other = None, None
@@ -443,9 +440,10 @@ def links(sets: DataFrame) -> DataFrame:
     # sides come straight from a shuffle
     pivots = first.groupBy("i", "key").agg(F.min("set").alias("b"), F.count("*").alias("m"))
     pivots = written(pivots.where("m > 1"), "pivots")
-    pairs = first.join(pivots, ["i", "key"]).where("set <> b").select(
-        F.col("set").alias("a"), "b"
-    ).distinct()
+    pairs = written(
+        first.join(pivots, ["i", "key"]).where("set <> b").select(F.col("set").alias("a"), "b").distinct(),
+        "pairs",
+    )
     near = written(_verified(pairs, sets), "links")
     labels = components(near, rounds=2)
     live = written(_postings(sets, labels, _sketch(sets)), "postings")
@@ -471,8 +469,10 @@ def _most_promising(pairs: DataFrame, side: str) -> DataFrame:
 
 def _rooted(docs: DataFrame) -> DataFrame:
     """``doc_id, k1, k2, n, root`` of every row; equal roots are one component."""
-    rows = written(_sets(docs, texts=False), "sets")
-    sets = written(_sets(docs, texts=True).dropDuplicates(["set"]), "texts")
+    every = written(_sets(docs), "sets")
+    rows = every.select("doc_id", "k1", "k2", "set", "n")
+    sets = every.where("n > 0").select("set", "n", "counts", "least", "packed")
+    sets = written(sets.dropDuplicates(["set"]), "texts")
     roots = components(links(sets))
     named = rows.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn(
         "root", F.coalesce("root", "set")
