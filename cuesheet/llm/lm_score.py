@@ -26,7 +26,7 @@ BITS = 5
 END = 0xFF
 #: Commonest words whose counts every task holds (bounded: at most this many, each at most
 #: ``HEAD_BYTES`` long); counts of all other words come by a join.
-HEAD, HEAD_BYTES = 1 << 18, 32
+HEAD, HEAD_BYTES = 1 << 16, 32
 PIECE = 1 << 20
 
 _SPAN = CLASSES**DEPTH * CLASSES
@@ -164,9 +164,9 @@ def context_counts(
                     else:
                         fresh.append(longer[frequent(bits, code)])
                     size += len(code)
-                    if size > 2_000_000:
+                    if size > 1_000_000:
                         settle()
-                        if len(keys) > 2_000_000:
+                        if len(keys) > 1_000_000:
                             yield _pairs(pa.array(keys.astype(np.int64)), counts)
                             keys, counts = keys[:0], counts[:0]
         settle()
