@@ -5,31 +5,36 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count as numbers
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blobs, table, written
 
 FOLDS, HELD_OUT = 7, 2
-#: Depth of the whole context tree, and of its frequent branches, in byte classes.
-DEPTH, DEEP = 4, 6
-#: A branch goes on to ``DEEP`` if at least one in so many bytes of the corpus follows it; so
-#: there are at most so many such branches, whatever the corpus.
-SHARE = 1 << 19
-#: The commonest bytes have a class each, all others share class 0 (escape).
-CLASSES = 32
-BITS = 5
-#: Byte that ends a text; it is no part of UTF-8.
+#: Depth of the context tree in bytes; a code is so many bytes and the one after them.
+DEPTH = 6
+#: Latest bytes of a context that are never parted by two blocks; the tree above is made of sums.
+CUT = 3
+#: Bytes of text of one chunk of texts, and of the corpus for one block of contexts: they say
+#: what a task holds, and no result depends on them.
+CHUNK, BLOCK = 8 << 20, 16 << 20
+#: Bytes of text that the borders of the blocks are sampled from.
+BORDERS = 8 << 20
+#: Byte that stands before a text and ends it; it is no part of UTF-8.
 END = 0xFF
+#: Log10 chances are kept in steps of so many a unit.
+STEP = 5000
 #: Commonest words whose counts every task holds (bounded: at most this many, each at most
 #: ``HEAD_BYTES`` long); counts of all other words come by a join.
 HEAD, HEAD_BYTES = 1 << 16, 32
-PIECE = 1 << 20
-
-_SPAN = CLASSES**DEPTH * CLASSES
+#: Symbols and bits of the small tree of :func:`_block`.
+CLASSES = 32
+BITS = 5
 
 
 def held_out(doc_id: Column) -> Column:
@@ -66,118 +71,147 @@ def word_counts(train: DataFrame) -> DataFrame:
     )
 
 
-def byte_classes(train: DataFrame) -> np.ndarray:
-    """Class of each byte: 1 to 31 for the commonest of the training texts, else 0."""
-
-    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, dtype=np.int64)
-        for batch in source:
-            for data in blobs(batch):
-                total += np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-                total[END] += 1
-        yield _pairs(pa.array(np.arange(256), pa.int64()), total)
-
-    rows = train.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(
-        F.sum("n").alias("n")
-    ).where("n > 0").collect()
-    out = np.zeros(256, dtype=np.int32)
-    top = sorted(rows, key=lambda r: (-r["n"], r["key"]))[: CLASSES - 1]
-    for i, r in enumerate(top):
-        out[r["key"]] = i + 1
-    return out
-
-
-# ---- the tree
+# ---- contexts
 
 
-def context_codes(data: bytes, classes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(codes, codes two bytes longer, escaped?, codes of previous byte and byte) by pieces.
+def context_codes(texts: list[bytes]) -> np.ndarray:
+    """A code for each byte of the texts and the END of each, text by text.
 
-    Before a text stand END bytes, one END closes it. A code is the classes of the last
-    four bytes, oldest first, then the class of the byte itself, in base 32; the first array
-    has the codes at the two bytes before the piece in front.
+    The highest byte of a code is the last byte before, then the one before that and so on,
+    the lowest is the byte itself; END stands before a text. So the contexts of any depth
+    are ranges of codes.
     """
-    pad = 2 * DEEP
-    whole = bytes([END] * pad) + data + bytes([END])
-    for at in range(pad, len(whole), PIECE):
-        raw = np.frombuffer(whole[at - pad : at + PIECE], np.uint8)
-        cls = classes[raw]
-        begin = pad - 2  # where the first code ends
-        size = len(cls) - begin
-        code = cls[begin - DEPTH : begin - DEPTH + size].copy()
-        for i in range(1, DEPTH + 1):
-            code *= CLASSES
-            code += cls[begin - DEPTH + i : begin - DEPTH + i + size]
-        older = cls[pad - DEEP : len(cls) - DEEP].astype(np.int64) * CLASSES
-        older += cls[pad - DEEP + 1 : len(cls) - DEEP + 1]
-        last = raw[pad:].astype(np.int32)
-        yield (
-            code, older * _SPAN + code[2:], cls[pad:] == 0,
-            raw[pad - 1 : -1].astype(np.int32) * 256 + last,
-        )
-
-
-def frequent(bits: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Whether both five-class stretches of the last six classes are frequent, by byte."""
-    found = (bits[code >> 3] >> (code & 7).astype(np.uint8)) & 1
-    return (found[1:-1] & found[:-2]).astype(bool)
-
-
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    joined, weight = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(joined, kind="stable")
-    joined, weight = joined[order], weight[order]
-    first = np.flatnonzero(np.r_[True, joined[1:] != joined[:-1]])
-    return joined[first], np.add.reduceat(weight, first)
-
-
-def context_counts(
-    train: DataFrame, classes: np.ndarray, bits: np.ndarray | None = None
-) -> DataFrame:
-    """``key, n`` of all context codes; escapes follow from ``_SPAN`` on.
+    if not texts:
+        return np.zeros(0, np.int64)
+    raw = b"".join(part for text in texts for part in (b"\xff" * DEPTH, text, b"\xff"))
+    byte = np.frombuffer(raw, np.uint8)
+    code = np.zeros(len(byte) - DEPTH, np.int64)
+    for back in (*range(1, DEPTH + 1), 0):
+        code <<= 8
+        code |= byte[DEPTH - back : len(byte) - back]
+    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    skip = np.ones(len(code), bool)  # what stands before the second text and so on is no symbol
+    begin = np.cumsum(sizes + DEPTH)[:-1]
+    for back in range(1, DEPTH + 1):
+        skip[begin - back] = False
+    return code[skip]
+
+
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes in order, and the place of each code among them."""
+    if not len(codes):
+        return codes, np.zeros(0, np.int64)
+    coded = pa.array(codes).dictionary_encode()
+    found = coded.dictionary.to_numpy()
+    order = np.argsort(found)
+    place = np.empty(len(found), np.int64)
+    place[order] = np.arange(len(found))
+    return found[order], place[coded.indices.to_numpy()]
+
+
+def _stored(values: np.ndarray) -> bytes:
+    """Compressed, equal bytes of the numbers next to each other."""
+    plain = np.ascontiguousarray(values, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(plain, "zstd", asbytes=True)
+
+
+def _loaded(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    plain = pa.decompress(data[8:], decompressed_size=8 * size, codec="zstd", asbytes=True)
+    return np.frombuffer(plain, np.uint8).reshape(8, size).T.copy().view("<i8").reshape(-1)
+
+
+def _borders(texts: DataFrame) -> np.ndarray:
+    """First heads (latest ``CUT`` bytes) of the blocks, the smallest left out.
+
+    A block is for ``BLOCK`` bytes of the corpus. Where it begins comes from the codes of a
+    sample of the texts; that only says which task works on which contexts.
+    """
+    size = texts.agg(F.sum(F.octet_length("text") + 1).alias("n")).first()["n"] or 0
+    many = -(-size // BLOCK)
+    if many < 2:
+        return np.zeros(0, np.int64)
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < max(1, (BORDERS << 20) // size)
 
-    With ``bits`` (one for each frequent code) the longer codes are counted instead, where
-    the six classes before the byte can be a frequent branch.
+    def heads(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            found, _ = distinct(context_codes(blobs(batch)))
+            head, n = np.unique(found >> 8 * (DEPTH + 1 - CUT), return_counts=True)
+            yield _pairs(pa.array(head), n)
 
-    A task sums in sorted arrays and gives a row for each code it met; the rows are summed
-    in a shuffle, so what is gathered grows with the corpus until all codes are met.
+    rows = texts.where(part).select("text").mapInArrow(heads, "key long, n long").groupBy("key").agg(
+        F.sum("n").alias("n")
+    ).toArrow()
+    head, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
+    order = np.argsort(head)
+    head, upto = head[order], np.cumsum(n[order])
+    if not len(head):
+        return head
+    ends = upto[-1] * np.arange(1, many) // many
+    return np.unique(head[np.searchsorted(upto, ends, side="right")])
+
+
+def _chunks(texts: DataFrame, borders: np.ndarray) -> DataFrame:
+    """``chunk, block, codes, counts, docs``: the written table that all later steps read.
+
+    A chunk is a task's next texts, about ``CHUNK`` bytes. One row (block -1) has its texts
+    in ``docs``; a row for each block that it meets has its different codes in the block
+    and how often the training texts among them hold each (0: only others do).
     """
 
-    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh: list[np.ndarray] = []
+    def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = numbers(TaskContext.get().partitionId() << 32)
+        held: list[pa.RecordBatch] = []
         size = 0
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def settle():
-            nonlocal keys, counts, size
-            if fresh:
-                k, n = np.unique(np.concatenate(fresh), return_counts=True)
-                keys, counts = _merge([keys, k], [counts, n]) if len(keys) else (k, n)
-            fresh.clear()
-            size = 0
-
         for batch in source:
-            for data in blobs(batch):
-                for code, longer, escaped, pair in context_codes(data, classes):
-                    if bits is None:
-                        fresh += [code[2:], pair[escaped] + _SPAN]
-                    else:
-                        fresh.append(longer[frequent(bits, code)])
-                    size += len(code)
-                    if size > 1_000_000:
-                        settle()
-                        if len(keys) > 1_000_000:
-                            yield _pairs(pa.array(keys.astype(np.int64)), counts)
-                            keys, counts = keys[:0], counts[:0]
-        settle()
-        if len(keys):
-            yield _pairs(pa.array(keys.astype(np.int64)), counts)
-
-    return train.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(
-        F.sum("n").alias("n")
+            first = 0
+            for i, n in enumerate(batch.column("size").to_pylist()):
+                size += n
+                if size >= CHUNK:
+                    held.append(batch.slice(first, i + 1 - first))
+                    yield from chunk(next(ids), held)
+                    held, size, first = [], 0, i + 1
+            if first < batch.num_rows:
+                held.append(batch.slice(first))
+        if held:
+            yield from chunk(next(ids), held)
+
+    def chunk(key: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+        data = blobs(rows)
+        found, place = distinct(context_codes(data))
+        learn = np.repeat(rows.column("train").to_numpy(zero_copy_only=False), [len(t) + 1 for t in data])
+        n = np.bincount(place[learn], minlength=len(found))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(rows)
+        yield row(key, -1, b"", b"", sink.getvalue().to_pybytes())
+        edge = np.searchsorted(found >> 8 * (DEPTH + 1 - CUT), borders)
+        edge = np.r_[0, edge, len(found)]
+        for block in np.flatnonzero(edge[1:] > edge[:-1]):
+            at = slice(edge[block], edge[block + 1])
+            yield row(key, block, _stored(np.diff(found[at], prepend=0)), _stored(n[at]), b"")
+
+    def row(chunk: int, block: int, *cells: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([chunk], pa.int64()), pa.array([block], pa.int64()),
+             *(pa.array([c], pa.binary()) for c in cells)],
+            names=["chunk", "block", "codes", "counts", "docs"],
+        )
+
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size")
+    rows = texts.select(
+        "doc_id", "text", size, (~held_out(F.col("doc_id"))).alias("train"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    return written(
+        rows.mapInArrow(cut, "chunk long, block long, codes binary, counts binary, docs binary"), "chunks"
     )
 
 
+# ---- the tree
+
+
 def _lgamma(x: np.ndarray) -> np.ndarray:
     """Log gamma for x >= 0.5: Stirling's series after a shift by eight."""
     x = x.astype(np.float64)
@@ -199,13 +233,22 @@ def decisions(counts: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate(out, axis=-2)
 
 
+def _log_estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1.0) - math.log(math.pi)
+
+
+#: The same for small counts, as most are.
+_SMALL = _log_estimate(*np.indices((256, 256)))
+
+
 def estimate(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Krichevsky-Trofimov: log probability of all outcomes seen, chance of a one next."""
     total = n.sum(axis=-1)
-    log_all = np.zeros(total.shape)
-    seen = total > 0
-    a, b, t = n[..., 0][seen], n[..., 1][seen], total[seen]
-    log_all[seen] = _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(t + 1.0) - math.log(math.pi)
+    a, b = n[..., 0].astype(np.int64), n[..., 1].astype(np.int64)
+    log_all = _SMALL[np.minimum(a, 255), np.minimum(b, 255)]
+    large = (a > 255) | (b > 255)
+    log_all[large] = _log_estimate(a[large], b[large])
+    log_all[total == 0] = 0.0
     return log_all, (n[..., 1] + 0.5) / (total + 1)
 
 
@@ -237,7 +280,9 @@ def spread(p_one: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _block(counts: np.ndarray, cell: np.ndarray, deep: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The tree below one pair of latest classes.
+    """The same weighting in dense arrays over 32 symbols, below one pair of latest ones.
+
+    Scoring goes by :class:`Block`; this small form is what tests look into.
 
     ``counts[oldest, third, class]``; ``deep[i, class]`` are those after the frequent branch
     ``i`` that goes on from ``cell[i]`` (oldest * 32 + third). A node with such branches has
@@ -274,154 +319,165 @@ def _block(counts: np.ndarray, cell: np.ndarray, deep: np.ndarray) -> tuple[np.n
     return counts.sum(axis=(0, 1)), log2, p, q
 
 
-def _blocks(counts: DataFrame, deep: DataFrame) -> DataFrame:
-    """The lower part of the tree, a row per pair of latest classes (1,024 rows)."""
-    spark = counts.sparkSession
-    every = spark.range(CLASSES**2).select(
-        (F.col("id") * CLASSES).alias("key"), F.lit(0).cast("long").alias("n")
-    )
-    block = F.expr(f"(key div {CLASSES}) % {CLASSES**2}").alias("block")
-    plain = counts.where(F.col("key") < _SPAN).unionByName(every)
-    rows = plain.select(block, "key", "n", F.lit(False).alias("deep")).unionByName(
-        deep.select(block, "key", "n", F.lit(True).alias("deep"))
-    )
+class Block:
+    """The tree from depth ``CUT`` on over the sorted codes of one block, level by level.
+
+    A level is one of the eight binary decisions on a byte. A node is a context and the
+    decisions before; codes that only held-out texts have are nodes that have seen nothing.
+    """
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray) -> None:
+        #: For depths ``DEPTH`` to ``CUT - 1``: codes without the older bytes, their counts, and
+        #: the place of each code of the depth before among them.
+        self.depths = [(codes, n, None)]
+        for _ in range(DEPTH - CUT + 1):
+            older, weight, _ = self.depths[-1]
+            found, place = distinct(older >> 16 << 8 | older & 255)
+            self.depths.append((found, np.bincount(place, weight, len(found)).astype(np.int64), place))
+
+    def nodes(self, level: int) -> list[tuple]:
+        """For depths ``DEPTH`` to ``CUT - 1``: outcomes, own and weighted log probability, node of each code.
+
+        The weighted one of the last depth is the sum of its children.
+        """
+        out: list[tuple] = []
+        for codes, n, place in self.depths:
+            key = codes >> (8 - level)
+            new = np.r_[True, key[1:] != key[:-1]]
+            first, node = np.flatnonzero(new), np.cumsum(new) - 1
+            one = np.add.reduceat(n * (codes >> (7 - level) & 1), first)
+            seen = np.stack([np.add.reduceat(n, first) - one, one], axis=-1)
+            if place is None:
+                own, _ = estimate(seen)
+                weighted = own
+            else:
+                _, weighted, born = out[-1][1:]
+                parent = np.empty(len(weighted), np.int64)
+                parent[born] = node[place]
+                own, below = None, np.bincount(parent, weighted, len(first))
+                weighted = below
+                if len(out) < DEPTH - CUT + 1:
+                    own, _ = estimate(seen)
+                    weighted = math.log(0.5) + np.logaddexp(own, below)
+            out.append((seen, own, weighted, node))
+        return out
+
+    def top(self) -> tuple[np.ndarray, ...]:
+        """Nodes one depth above the block: key, both outcomes, sum of their children here."""
+        codes = self.depths[-1][0]
+        keys, seen, below = [], [], []
+        for level in range(8):
+            n, _, weighted, node = self.nodes(level)[-1]
+            first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            keys.append(node_key(codes[first], level))
+            seen.append(n)
+            below.append(weighted)
+        return np.concatenate(keys), np.concatenate(seen), np.concatenate(below)
+
+    def steps(self, upper: Upper) -> np.ndarray:
+        """Log10 chance of each code in steps."""
+        codes = self.depths[0][0]
+        total = np.zeros(len(codes))
+        for level in range(8):
+            nodes = self.nodes(level)
+            at = np.arange(len(codes))
+            chance = has = None
+            for (_, _, place), (n, own, weighted, node) in zip(self.depths[:-1], nodes[:-1], strict=True):
+                at = at if place is None else place[at]
+                mine = node[at]
+                p = ((n[:, 1] + 0.5) / (n.sum(axis=1) + 1))[mine]
+                if chance is not None:
+                    p = mixed(np.exp(math.log(0.5) + own - weighted)[mine], p, chance, has)
+                chance, has = p, (n.sum(axis=1) > 0)[mine]
+            at = self.depths[-1][2][at]
+            chance = upper.chance(node_key(self.depths[-1][0], level)[at], chance, has)
+            total += np.log10(np.where(codes >> (7 - level) & 1, chance, 1 - chance))
+        return np.round(total * STEP).astype(np.int64)
+
+
+def node_key(codes: np.ndarray, level: int) -> np.ndarray:
+    """Context, and the decisions before with a one in front."""
+    return codes >> 8 << 8 | 1 << level | (codes & 255) >> (8 - level)
+
+
+class Upper:
+    """The tree above the blocks: at most 256 ** (CUT - 1) contexts, those met."""
+
+    def __init__(self, keys: np.ndarray, seen: np.ndarray, below: np.ndarray) -> None:
+        #: From depth ``CUT - 1`` to 0: keys, weight of the own estimate, that estimate, any seen.
+        self.depths = []
+        for depth in range(CUT - 1, -1, -1):
+            order = np.argsort(keys, kind="stable")
+            keys, seen, below = keys[order], seen[order], below[order]
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+            if len(first):
+                keys, seen, below = (
+                    keys[first], np.add.reduceat(seen, first), np.add.reduceat(below, first)
+                )
+            weighted, weight, own = weigh(seen, below)
+            self.depths.append((keys, weight, own, seen.sum(axis=-1) > 0))
+            if depth:
+                keys, below = keys >> 16 << 8 | keys & 255, weighted
+
+    def chance(self, keys: np.ndarray, p: np.ndarray, has: np.ndarray) -> np.ndarray:
+        """Chances at the root from those at the nodes below ``keys``."""
+        for held, weight, own, seen in self.depths:
+            at = np.searchsorted(held, keys)
+            p, has = mixed(weight[at], own[at], p, has), seen[at]
+            keys = keys >> 16 << 8 | keys & 255
+        return p
+
+
+def _merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+    """A block's codes in order, their counts, the chunks' sizes, and the place of each of their codes."""
+    parts = [np.cumsum(_loaded(c)) for c in rows.column("codes").to_pylist()]
+    codes, place = distinct(np.concatenate(parts))
+    n = np.concatenate([_loaded(c) for c in rows.column("counts").to_pylist()])
+    return codes, np.bincount(place, n, len(codes)).astype(np.int64), [len(p) for p in parts], place
+
+
+def _answers(chunks: DataFrame) -> DataFrame:
+    """``chunk, block, data``: the steps of the codes of each row of ``chunks``, in their order.
+
+    Every byte is eight binary decisions, each mixed over all depths from 0 to ``DEPTH``;
+    every context that the training texts hold is a node, however seldom it is met. Blocks
+    are weighed twice: first for the sums that the tree above them needs, then from the root
+    down for the chances.
+    """
+    rows = chunks.where("block >= 0").select("chunk", "block", "codes", "counts")
 
-    def build(key, source):
-        code, n = source.column("key").to_numpy(), source.column("n").to_numpy()
-        long = source.column("deep").to_numpy()
-        dense = np.zeros((CLASSES**2, CLASSES), dtype=np.int64)
-        np.add.at(dense, (code[~long] // CLASSES**3, code[~long] % CLASSES), n[~long])
-        branch, at = np.unique(code[long] // CLASSES, return_inverse=True)
-        below = np.zeros((len(branch), CLASSES), dtype=np.int64)
-        np.add.at(below, (at, code[long] % CLASSES), n[long])
-        cell = branch // CLASSES**2 % CLASSES**2
-        own, log2, p, q = _block(dense.reshape(CLASSES, CLASSES, CLASSES), cell, below)
+    def up(key, source):
+        codes, n, _, _ = _merged(source)
+        keys, seen, below = Block(codes, n).top()
         return pa.table(
-            {"block": [key[0].as_py()], "own": [own.tobytes()], "weighted": [log2.tobytes()],
-             "p": [p.astype(np.float32).tobytes()], "branches": [branch.tobytes()],
-             "q": [q.astype(np.float32).tobytes()]}
+            {"block": [key[0].as_py()], "keys": [keys.tobytes()], "seen": [seen.tobytes()],
+             "below": [below.tobytes()]}
         )
 
-    return rows.groupBy("block").applyInArrow(
-        build, "block long, own binary, weighted binary, p binary, branches binary, q binary"
+    tops = written(
+        rows.groupBy("block").applyInArrow(up, "block long, keys binary, seen binary, below binary"), "tops"
+    )
+    keys, seen, below = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)], [np.zeros(0)]
+    for r in tops.orderBy("block").toLocalIterator():
+        keys.append(np.frombuffer(r["keys"], np.int64))
+        seen.append(np.frombuffer(r["seen"], np.int64).reshape(-1, 2))
+        below.append(np.frombuffer(r["below"]))
+    shared = chunks.sparkSession.sparkContext.broadcast(
+        Upper(np.concatenate(keys), np.concatenate(seen), np.concatenate(below))
     )
 
+    def down(key, source):
+        codes, n, sizes, place = _merged(source)
+        steps = Block(codes, n).steps(shared.value)[place]
+        cells = [_stored(part) for part in np.split(steps, np.cumsum(sizes)[:-1])]
+        return pa.table(
+            {"chunk": source.column("chunk"), "block": source.column("block"),
+             "data": pa.array(cells, pa.binary())}
+        )
 
-class Model:
-    """Log10 chances in steps of 1/5000.
-
-    ``by_context`` by code; ``by_branch`` by place of the last six classes in the sorted
-    ``branches``, class; ``by_pair`` by escaped byte pair. ``bits`` as in :func:`frequent`.
-    """
-
-    STEP = 5000
-    LEAST = 1e-6
-
-    def __init__(self, classes, bits, by_context, branches, by_branch, by_pair) -> None:
-        self.classes, self.bits, self.by_context = classes, bits, by_context
-        self.branches, self.by_branch, self.by_pair = branches, by_branch, by_pair
-
-    def log10(self, data: bytes) -> float:
-        total = 0
-        for code, longer, escaped, pair in context_codes(data, self.classes):
-            steps = self.by_context[code[2:]]
-            if len(self.branches):
-                maybe = np.flatnonzero(frequent(self.bits, code))
-                branch = longer[maybe] // CLASSES
-                at = np.searchsorted(self.branches, branch)
-                at[at == len(self.branches)] = 0
-                met = self.branches[at] == branch
-                steps[maybe[met]] = self.by_branch[at[met], longer[maybe[met]] % CLASSES]
-            total += int(steps.sum(dtype=np.int64))
-            total += int(self.by_pair[pair[escaped]].sum(dtype=np.int64))
-        return total / self.STEP
-
-
-def _steps(p: np.ndarray) -> np.ndarray:
-    size = p.shape[-1]
-    p = p * (1 - size * Model.LEAST) + Model.LEAST
-    return np.round(np.log10(p) * Model.STEP).astype(np.int16)
-
-
-def _frequent_bits(counts: DataFrame, least: int) -> np.ndarray:
-    """A bit for each code that is met ``least`` times (at most ``SHARE`` codes are)."""
-    bits = np.zeros(_SPAN // 8, np.uint8)
-    found = counts.where((F.col("key") < _SPAN) & (F.col("n") >= least)).select("key").toArrow()
-    keys = found.column("key").to_numpy()
-    np.bitwise_or.at(bits, keys >> 3, (1 << (keys & 7)).astype(np.uint8))
-    return bits
-
-
-def build_model(train: DataFrame) -> Model:
-    """Count, weigh and tabulate; the tables have a bounded size (106 MB), whatever the corpus.
-
-    Byte by byte, five binary decisions give the class of the byte in the context of the
-    last classes, mixed over depths 0 to 4 and, on branches that are frequent, depth 6;
-    eight more give an escaped byte after the last byte, mixed over depths 0 and 1. Weights
-    and estimates rest on all training texts. A branch is frequent if its share of the
-    corpus is at least 1/``SHARE``; only bytes after two frequent stretches of five classes
-    can follow one, so a second count of the corpus is limited to these.
-    """
-    classes = byte_classes(train)
-    counts = written(context_counts(train, classes), "contexts")
-    size = counts.where(F.col("key") < _SPAN).agg(F.sum("n")).first()[0] or 0
-    least = max(2, -(-size // SHARE))
-    bits = _frequent_bits(counts, least)
-    longer = written(context_counts(train, classes, bits), "longer-contexts")
-    branch = F.expr(f"key div {CLASSES}")
-    often = longer.groupBy(branch.alias("branch")).agg(F.sum("n").alias("m")).where(
-        F.col("m") >= least
-    ).select("branch")
-    deep = longer.withColumn("branch", branch).join(often, "branch", "left_semi").select("key", "n")
-    blocks = written(_blocks(counts, deep), "blocks")
-    top = {r["block"]: r for r in blocks.select("block", "own", "weighted").collect()}
-    own = np.stack([np.frombuffer(top[b]["own"], np.int64) for b in range(CLASSES**2)])
-    log2 = np.stack([np.frombuffer(top[b]["weighted"]) for b in range(CLASSES**2)])
-    # block = second latest class * 32 + latest class
-    own, log2 = own.reshape(CLASSES, CLASSES, -1), log2.reshape(CLASSES, CLASSES, -1)
-    n1, n0 = decisions(own.sum(axis=0), BITS), decisions(own.sum(axis=(0, 1)), BITS)
-    seen2, seen1 = decisions(own, BITS).sum(axis=-1) > 0, n1.sum(axis=-1) > 0
-    log1, weight1, own1 = weigh(n1, log2.sum(axis=0))
-    _, weight0, own0 = weigh(n0, log1.sum(axis=0))
-
-    def upper(p: bytes, second: int, latest: int) -> np.ndarray:
-        chance = np.frombuffer(p, np.float32).astype(np.float64).reshape(-1, CLASSES - 1)
-        chance = mixed(weight1[latest], own1[latest], chance, seen2[second, latest])
-        return _steps(spread(mixed(weight0, own0, chance, seen1[latest]), BITS))
-
-    def finish(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            out: tuple[list, list] = ([], [])
-            for block, *chances in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for column, p in zip(out, chances, strict=True):
-                    column.append(upper(p, block // CLASSES, block % CLASSES).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), *(pa.array(c, pa.binary()) for c in out)],
-                names=["block", "steps", "deep"],
-            )
-
-    table_ = np.zeros((CLASSES**2, CLASSES**2, CLASSES), dtype=np.int16)
-    keys, rows = [np.zeros(0, np.int64)], [np.zeros((0, CLASSES), np.int16)]
-    tabled = blocks.select("block", "p", "q").mapInArrow(finish, "block long, steps binary, deep binary")
-    for r in tabled.join(blocks.select("block", "branches"), "block").toLocalIterator():
-        table_[:, r["block"]] = np.frombuffer(r["steps"], np.int16).reshape(CLASSES**2, CLASSES)
-        keys.append(np.frombuffer(r["branches"], np.int64))
-        rows.append(np.frombuffer(r["deep"], np.int16).reshape(-1, CLASSES))
-    branches, by_branch = np.concatenate(keys), np.concatenate(rows)
-    order = np.argsort(branches)
-
-    pairs = np.zeros(65536, dtype=np.int64)
-    for r in counts.where(F.col("key") >= _SPAN).collect():  # at most 65,536 rows
-        pairs[r["key"] - _SPAN] = r["n"]
-    pairs = pairs.reshape(256, 256)
-    below = decisions(pairs, 8)
-    log_pair, p = estimate(below)
-    _, weight, p_own = weigh(decisions(pairs.sum(axis=0), 8), log_pair.sum(axis=0))
-    p = mixed(weight, p_own, p, below.sum(axis=-1) > 0)
-    return Model(
-        classes, bits, table_.reshape(-1), branches[order], by_branch[order],
-        _steps(spread(p, 8)).reshape(-1),
-    )
+    out = written(rows.groupBy("block").applyInArrow(down, "chunk long, block long, data binary"), "answers")
+    shared.destroy()
+    return out
 
 
 # ---- scores
@@ -457,53 +513,65 @@ def score_texts(docs: DataFrame) -> DataFrame:
     alone. Without training rows all counts are 0. Equal rows stay as many as they are;
     other columns are not read.
 
+    All contexts of up to ``DEPTH`` bytes that training texts hold count, however seldom
+    they are met; they are dealt into blocks, whose number grows with the corpus, and the
+    texts are scored chunk by chunk from the blocks' answers.
+
     Counts of the commonest words are with every task (a fixed number). The remaining
     words of a text, a few per cent, meet their counts in a join.
     """
     spark = docs.sparkSession
     doc_id = F.col("doc_id").cast("long")
     texts = docs.select(doc_id.alias("doc_id"), "text")
-    train = texts.where(~held_out(F.col("doc_id")))
-    counts = written(word_counts(train), "words")
+    counts = written(word_counts(texts.where(~held_out(F.col("doc_id")))), "words")
     sizes = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    tokens, distinct = sizes["n"] or 0, sizes["v"]
-    head = commonest(counts)
-    shared = spark.sparkContext.broadcast((head, build_model(train)))
+    tokens, distinct_ = sizes["n"] or 0, sizes["v"]
+    chunks = _chunks(texts, _borders(texts))
+    answers = _answers(chunks)
+    shared = spark.sparkContext.broadcast(commonest(counts))
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()),
+        [("_row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()),
          ("logs", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.binary())),
          ("times", pa.list_(pa.int64()))]
     )
 
-    def scan(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (words, times), model = shared.value
+    def scan(key, source):
+        words, times = shared.value
         head = dict(zip(words.to_pylist(), times.to_pylist(), strict=True))
-        for batch in source:
-            out: list[list] = [[] for _ in schema.names]
-            for key, data in zip(batch.column("doc_id").to_pylist(), blobs(batch), strict=True):
-                held = Counter(data.lower().split())
-                held[b""] += 1
-                known, logs, words, times = 0, 0.0, [], []
-                for word, n in held.items():
-                    c = head.get(word)
-                    if c is None:
-                        words.append(word)
-                        times.append(n)
-                    else:
-                        known += n
-                        logs += n * math.log10(c + 1)
-                values = (key, sum(held.values()), known, logs, model.log10(data), words, times)
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema
-            )
-
-    rows = texts.mapInArrow(
-        scan, "doc_id long, n_tokens long, known long, logs double, score double, "
+        cells = dict(zip(source.column("block").to_pylist(), source.column("data").to_pylist(), strict=True))
+        docs = pa.ipc.open_stream(cells.pop(-1)).read_all().combine_chunks().to_batches()[0]
+        data = blobs(docs)
+        _, place = distinct(context_codes(data))
+        steps = np.concatenate([_loaded(cells[block]) for block in sorted(cells)])[place]
+        scores = np.add.reduceat(steps, np.cumsum([0, *(len(t) + 1 for t in data[:-1])])) / STEP
+        out: list[list] = [[] for _ in schema.names]
+        ids = (docs.column(n).to_pylist() for n in ("_row", "doc_id"))
+        for row, doc, text, score in zip(*ids, data, scores.tolist(), strict=True):
+            held = Counter(text.lower().split())
+            held[b""] += 1
+            known, logs, words, times = 0, 0.0, [], []
+            for word, n in held.items():
+                c = head.get(word)
+                if c is None:
+                    words.append(word)
+                    times.append(n)
+                else:
+                    known += n
+                    logs += n * math.log10(c + 1)
+            values = (row, doc, sum(held.values()), known, logs, score, words, times)
+            for column, value in zip(out, values, strict=True):
+                column.append(value)
+        return pa.Table.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema
+        )
+
+    rows = chunks.where("block = -1").select("chunk", "block", F.col("docs").alias("data")).unionByName(
+        answers
+    ).groupBy("chunk").applyInArrow(
+        scan, "_row long, doc_id long, n_tokens long, known long, logs double, score double, "
         "words array<binary>, times array<long>"
     )
-    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "scored")
+    rows = written(rows, "scored")
     shared.destroy()  # the scores are stored; nothing computes them again
     rest = rows.select("_row", F.explode(F.arrays_zip("words", "times")).alias("w")).select(
         "_row", F.col("w.words").alias("key"), F.col("w.times").alias("times")
@@ -511,7 +579,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     met = rest.join(counts, "key").groupBy("_row").agg(
         F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs")
     )
-    size = math.log10(tokens + distinct + 1)
+    size = math.log10(tokens + distinct_ + 1)
     zero = F.lit(0)
     return rows.drop("words", "times").join(met, "_row", "left").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens",

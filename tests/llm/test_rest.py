@@ -232,6 +232,58 @@ def test_weighting_is_the_mean_of_all_prunings():
     assert math.isclose(p[0, 0], after)
 
 
+def plain_tree(texts, train, depth=6):
+    """Log10 chance of each text, node by node in dictionaries."""
+    symbols = lambda t: [(b"\xff" * depth + t)[i : i + depth] + bytes([c]) for i, c in enumerate(t + b"\xff")]
+    nodes = defaultdict(lambda: [0, 0])
+    for t in train:
+        for code in symbols(t):
+            for k in range(depth + 1):
+                for level in range(8):
+                    at = code[depth - k : depth], level, code[-1] >> (8 - level)
+                    nodes[at][code[-1] >> (7 - level) & 1] += 1
+    kt = lambda n: math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.lgamma(sum(n) + 1) - math.log(math.pi)
+    own, weighted, below = {}, {}, Counter()
+    for at in sorted(nodes, key=lambda a: -len(a[0])):
+        own[at] = weighted[at] = kt(nodes[at])
+        if len(at[0]) < depth:
+            weighted[at] = math.log(0.5) + np.logaddexp(own[at], below[at])
+        if at[0]:
+            below[at[0][1:], *at[1:]] += weighted[at]
+
+    def one(code, level):
+        p = None
+        for k in range(depth, -1, -1):
+            at = code[depth - k : depth], level, code[-1] >> (8 - level)
+            if at in nodes:
+                mine, share = (nodes[at][1] + 0.5) / (sum(nodes[at]) + 1), 0.5 * math.exp(own[at] - weighted[at])
+                p = mine if p is None else share * mine + (1 - share) * p
+        return 0.5 if p is None else p
+
+    def log10(code):
+        chances = [(code[-1] >> (7 - level) & 1, one(code, level)) for level in range(8)]
+        return sum(math.log10(p if bit else 1 - p) for bit, p in chances)
+
+    return {t: sum(map(log10, symbols(t))) for t in texts}
+
+
+@pytest.mark.parametrize("block", [1 << 30, 700])
+def test_every_context_counts_however_seldom(spark, block, monkeypatch):
+    """Long common texts, and passages that a few training texts share."""
+    monkeypatch.setattr(lm_score, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    common = [" ".join(rng.choice(["over", "under", "the", "hill", "and"], 40)) for _ in range(30)]
+    texts = [f"{t} {'rare zyx' if i % 9 == 0 else ''} {i}" for i, t in enumerate(common)] + ["", "zyx rare", "Q"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    train = [t.encode() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    want = plain_tree([t.encode() for t in texts], train)
+    found = lm_score.score_texts(docs).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        data = texts[r["doc_id"]].encode()
+        assert abs(r["score"] - want[data]) <= (len(data) + 1) / lm_score.STEP
+
+
 def test_registered():
     names = set(entry.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
