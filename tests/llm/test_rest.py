@@ -284,6 +284,23 @@ def test_every_context_counts_however_seldom(spark, block, monkeypatch):
         assert abs(r["score"] - want[data]) <= (len(data) + 1) / lm_score.STEP
 
 
+def test_a_rare_script_has_contexts_of_its_own(spark):
+    """Few Greek texts among many Latin ones, whose letters are the commonest bytes by far."""
+    rng = np.random.default_rng(6)
+    latin = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz ABCDEFGH"), 400)) for _ in range(40)]
+    greek = "το γρήγορο καφέ άλογο πηδά πάνω από το τεμπέλικο σκυλί"
+    texts = [greek if i % 8 == 0 else t for i, t in enumerate(latin)]
+    alone = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [*enumerate(texts), (alone, greek)]
+    train = [t.encode() for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert 2 <= train.count(greek.encode()) <= 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    (score,) = [r["score"] for r in lm_score.score_texts(docs).collect() if r["doc_id"] == alone]
+    size = len(greek.encode()) + 1
+    assert abs(score - plain_tree([greek.encode()], train)[greek.encode()]) <= size / lm_score.STEP
+    assert -score * math.log2(10) / size < 2.5
+
+
 def test_registered():
     names = set(entry.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
