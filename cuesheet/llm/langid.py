@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from .common import blobs, table, written
 
 FOLDS = 5
-#: Training rows of one language and languages at most (so many rows are ranked per task, not
-#: per language: Spark limits groups of up to 1,000 before it shuffles).
-SAMPLE, LANGUAGES = 1_000, 100
+#: Training rows of one language and languages at most.
+SAMPLE, LANGUAGES = 2_000, 100
+#: Bits of the hash that part the rows of a language before the last few are ranked.
+PARTS = 12
 #: Hash buckets of byte triples.
 BUCKETS = 1 << 15
 #: Triples that a text counts for at most, as neighbouring ones say the same thing.
@@ -62,6 +63,36 @@ def address(url: str | None) -> tuple[str, str]:
     return host, "" if suffix.isdigit() else suffix
 
 
+def first_ids(known: DataFrame, most: int) -> DataFrame:
+    """``doc_id`` of the first ``most`` rows of each language by a hash of the id.
+
+    Counts by the first bits of the hash tell in which part the last of them is: rows of the
+    parts before are in, and only ids of that part are ranked, so no task meets all rows of
+    a common language.
+    """
+    place = F.xxhash64("doc_id")
+    rows = known.select("lang", "doc_id", F.shiftright(place, 64 - PARTS).alias("part"))
+    sizes: dict[str, list[tuple[int, int]]] = {}
+    for r in rows.groupBy("lang", "part").agg(F.count("*").alias("n")).collect():
+        sizes.setdefault(r["lang"], []).append((r["part"], r["n"]))
+    cuts = []
+    for lang, parts in sizes.items():
+        room = most
+        for part, n in sorted(parts):
+            if n >= room:
+                break
+            room -= n
+        cuts.append((lang, part, room))
+    cut = F.broadcast(known.sparkSession.createDataFrame(cuts, "lang string, cut long, room long"))
+    rows = rows.join(cut, "lang").where("part <= cut")
+    order = Window.partitionBy("lang").orderBy(place, "doc_id").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    last = rows.where("part = cut").groupBy("lang", "doc_id", "room").agg(F.count("*").alias("n"))
+    last = last.withColumn("upto", F.sum("n").over(order)).where("upto - n < room")
+    return rows.where("part < cut").select("doc_id").unionByName(last.select("doc_id")).distinct()
+
+
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and log chances of the triple buckets, from a bounded sample.
 
@@ -78,10 +109,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     names.sort()
     if not names:
         return [], np.zeros((0, BUCKETS), np.float32)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.where(F.col("lang").isin(names)).select("doc_id", "lang").withColumn(
-        "place", F.row_number().over(order)
-    ).where(F.col("place") <= SAMPLE).select("doc_id").distinct()
+    ids = first_ids(known.where(F.col("lang").isin(names)), SAMPLE)
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}

@@ -206,6 +206,22 @@ def test_languages(spark):
             assert r["lang"] == ({100: "aa", 101: "bb"}.get(r["page_id"]) or ["aa", "bb"][r["page_id"] % 2])
 
 
+def test_language_sample_is_the_first_rows_by_hash(spark):
+    """2,000 rows of a common language, repeated ids counted, all of a rare one."""
+    assert langid.SAMPLE >= 2_000
+    ids = [*range(6_000), *[17] * 50, *range(500)]
+    rows = [(i, "aa") for i in ids] + [(i, "bb") for i in range(10_000, 10_300)]
+    known = spark.createDataFrame(rows, "doc_id long, lang string")
+    placed = sorted(
+        (r["h"], r["doc_id"]) for r in known.where("lang = 'aa'").select("doc_id", F.xxhash64("doc_id").alias("h")).collect()
+    )
+    for most in (1, 299, 2_000, 6_549, 6_550, 7_000):
+        found = [r["doc_id"] for r in langid.first_ids(known, most).collect()]
+        rare = [i for i in found if i >= 10_000]
+        assert len(found) == len(set(found)) and len(rare) == min(most, 300)
+        assert set(found) - set(rare) == {i for _, i in placed[:most]}
+
+
 def test_languages_without_training(no_docs, spark):
     pages = spark.createDataFrame([(1, "http://a.b/", "<p>x</p>")], "page_id long, url string, html string")
     (row,) = langid.identify(no_docs, pages).collect()
