@@ -136,11 +136,12 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
+def _sample(docs: DataFrame, labels: DataFrame, bound: int) -> tuple[DataFrame, dict[int, float]]:
     """``bound`` training rows of each label (all if fewer), the first by a hash of the id.
 
     Their ids are a fixed number, so they are sent to every task and the texts are picked
-    out in place; the sample is written once.
+    out in place; the sample is written once. With it, the share of each label's ids that
+    are in it, counted over all labels.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(
         "doc_id", F.col("toxic").cast("int").alias("toxic")
@@ -151,7 +152,13 @@ def _sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
         known.where(F.col("toxic") == label).orderBy(place, "doc_id").limit(bound) for label in (0, 1)
     ]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))
-    return written(docs.select("doc_id", "text").join(ids, "doc_id"), "sample")
+    present = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    shares = {
+        r["toxic"]: r["n"] for r in present.groupBy("toxic").agg(F.count("*").alias("n")).collect()
+    }
+    sample = written(docs.select("doc_id", "text").join(ids, "doc_id"), "sample")
+    taken = sample.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()
+    return sample, {r["toxic"]: r["n"] / shares[r["toxic"]] for r in taken}
 
 
 def _counts(sample: DataFrame) -> DataFrame:
@@ -290,9 +297,10 @@ def learn(
 
     Uses a spread sample of at most ``sample`` rows of each label, whole texts. What reaches
     the driver is bounded: ``entries`` candidates, as many phrases, three numbers a sample
-    row. Without rows of both labels the lexicon is empty and every score is 0.
+    row. The curve's odds are those of all labelled rows, however many are in the sample.
+    Without rows of both labels the lexicon is empty and every score is 0.
     """
-    rows = _sample(docs, labels, sample)
+    rows, shares = _sample(docs, labels, sample)
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Lexicon({}, (), (-60.0, 0.0, 0.0, 0.0))
@@ -315,7 +323,9 @@ def learn(
     points = at.collect()
     x = np.array([features(r["weight"], r["hits"], r["n_words"]) for r in points])
     y = np.array([r["toxic"] for r in points], dtype=float)
-    return lexicon._replace(curve=logistic(x, y))
+    curve = logistic(x, y)
+    # the odds of all labelled rows, not those of the sample
+    return lexicon._replace(curve=(curve[0] + math.log(shares[0] / shares[1]), *curve[1:]))
 
 
 def rate(docs: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Secret scan, decontamination, toxicity, language: per-text operators against plain code."""
 
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +170,25 @@ def test_toxicity_of_held_out_rows(labelled):
     assert kept.columns == docs.columns and 490 <= kept.count() <= 510
 
 
+def test_toxicity_odds_are_those_of_all_labelled_rows(spark, labelled):
+    """Thinning the clean rows to as many as the toxic ones leaves no trace in the odds."""
+    docs, labels = labelled
+    known = {r["doc_id"]: r["toxic"] for r in labels.where("doc_id is not null and toxic is not null and doc_id <> 3").collect()}
+    train = docs.where(~toxicity.held_out(F.col("doc_id"))).collect()
+    sizes = [sum(known.get(r["doc_id"], 0 if r["doc_id"] == 3 else None) == k for r in train) for k in (0, 1)]
+    bound = sizes[1] // 2
+    _, all_in = toxicity._sample(docs, labels, 10_000)
+    _, thinned = toxicity._sample(docs, labels, bound)
+    assert all_in == {0: 1.0, 1: 1.0}
+    assert thinned == {k: pytest.approx(bound / sizes[k]) for k in (0, 1)}
+    rows, _ = toxicity._sample(docs, labels, bound)
+    lexicon = toxicity.learn(docs, labels, sample=bound)
+    points = toxicity._matched(rows.select("text", "toxic"), lexicon, "toxic").collect()
+    x = np.array([toxicity.features(r["weight"], r["hits"], r["n_words"]) for r in points])
+    plain = toxicity.logistic(x, np.array([r["toxic"] for r in points], dtype=float))
+    assert lexicon.curve[0] - plain[0] == pytest.approx(math.log(sizes[1] / sizes[0]))
+
+
 def test_toxicity_of_odd_rows(spark, docs, no_docs, rows, labelled):
     lexicon = toxicity.learn(*labelled)
     assert toxicity.rate(docs, lexicon, "doc_id").where("score between 0 and 1").count() == len(rows)
