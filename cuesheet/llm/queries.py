@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, lm_score, ngram_join, packing, secret_scan, substring_dedup, toxicity, warc
+from . import (
+    decontaminate, embedding_dedup, exact_dedup, langid, lm_score, ngram_join, packing, resample, search,
+    secret_scan, substring_dedup, toxicity, warc,
+)
 
 QUERIES = {
     "op1_secret_scans": secret_scan.op1_secret_scans,
@@ -15,8 +18,14 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_lm_scoring": lm_score.op10_lm_scoring,
+    "op11_ranked_search": search.op11_ranked_search,
+    "op12_importance_resampling": resample.op12_importance_resampling,
+    "op13_embedding_near_dedup": embedding_dedup.op13_embedding_near_dedup,
 }
 ORACLE = {
     "op2_benchmark_decontamination": decontaminate.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
+    "op11_ranked_search": search.SQL,
+    "op12_importance_resampling": resample.SQL,
+    "op13_embedding_near_dedup": embedding_dedup.SQL,
 }
