@@ -214,11 +214,8 @@ def weigh(docs: DataFrame, target: DataFrame) -> DataFrame:
     )
     gain = docs.sparkSession.sparkContext.broadcast(gains(corpus, aim))
     groups = written(_weighed(lines, ["line", "n"], gain), "line-weights")
-    met = written(
-        rows.select("_row", F.explode(F.arrays_zip("lines", "times")).alias("l")).select(
-            "_row", F.col("l.lines").alias("line"), F.col("l.times").alias("times")
-        ),
-        "met",
+    met = rows.select("_row", F.explode(F.arrays_zip("lines", "times")).alias("l")).select(
+        "_row", F.col("l.lines").alias("line"), F.col("l.times").alias("times")
     )
     told = attach_groups(met, groups, ["line"], "n", ["_row"])
     inside = told.select(

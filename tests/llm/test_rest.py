@@ -303,7 +303,7 @@ def test_a_rare_script_has_contexts_of_its_own(spark):
 
 def test_registered():
     names = set(entry.queries())
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline(spark, tokenizer):
