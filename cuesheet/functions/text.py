@@ -112,7 +112,7 @@ def outside_brackets(
 
     All bracket kinds share one depth, and the depth never falls below zero.  Texts
     without nested or unclosed brackets need one pattern; the others are folded
-    character by character.
+    bracket by bracket.
     """
     o, z = P.char_set(opens), P.char_set(closes)
     # the CJK brackets are one run of code points
@@ -121,18 +121,21 @@ def outside_brackets(
     side_by_side = rf"(?s)^{other}*+(?:{o}{other}*+{z}{other}*+)*+$"
     inside = rf"[{P.DELIMS}](?={other}*+{z})"
 
-    def step(state: Column, ch: Column) -> Column:
-        opening, closing = ch.rlike(o), ch.rlike(z)
+    def step(state: Column, piece: Column) -> Column:
+        opening, closing = piece.rlike(rf"^{o}"), piece.rlike(rf"^{z}")
         depth = (
             F.when(opening, state["depth"] + 1)
             .when(closing, F.greatest(state["depth"] - 1, F.lit(0)))
             .otherwise(state["depth"])
         )
-        shown = F.when(opening | closing | (state["depth"] > 0), F.lit(_HIDDEN)).otherwise(ch)
+        hide = opening | closing | (state["depth"] > 0)
+        shown = F.when(hide, F.repeat(F.lit(_HIDDEN), F.length(piece))).otherwise(piece)
         return F.struct(depth.alias("depth"), F.concat(state["mask"], shown).alias("mask"))
 
+    # pieces are single brackets and what stands between them
+    bracket = P.char_set(opens + closes)
     fold = lambda t: F.aggregate(
-        F.split(t, ""),
+        F.split(t, rf"(?<={bracket})|(?={bracket})"),
         F.struct(F.lit(0).alias("depth"), F.lit("").alias("mask")),
         step,
         lambda s: s["mask"],

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .brackets import BEFORE_SLASH, BLANKS, HAS_BRACKET, LEAD, closing_brackets, drop_notes
 from .text import (
     annotation_key, first_match, let, markers, outside_brackets, section_key, seconds_of,
     strip, sub,
@@ -21,7 +22,8 @@ class Rule:
     """One row of the rule table.
 
     ``scope`` is ``field`` (whole field) or ``song`` (the part before a slash).
-    ``action`` ``translate`` maps the characters of ``regex`` to ``replacement``.
+    ``action`` ``translate`` maps the characters of ``regex`` to ``replacement``;
+    ``delete_note`` removes closing brackets with a blank or bar that ``regex`` does not follow.
     """
 
     rule_id: str
@@ -37,7 +39,6 @@ class Rule:
 _VERSION_WORD = (
     rf"(?<!{P.WORD})(?:remix|mix|live|ver\.?|edit|instrumental)(?!{P.WORD})"
 )
-_BEFORE_SLASH = rf"{W}*(?=/|\z)"
 
 # fixed values: the rule table; order of application is ``ord``
 DEFAULT_RULES: tuple[Rule, ...] = (
@@ -57,21 +58,17 @@ DEFAULT_RULES: tuple[Rule, ...] = (
     Rule("R05", 7, "single_quotes", "normalize", r"(?s)^'([^']*)'.*$", "$1"),
     Rule(
         "R07", 8, "performance_note", "delete_suffix",
-        rf"{W}*[（(](?:少し|ちょっと|うろ覚え|練習|[0-9０-９]+番のみ|short\.?|ワンコーラス"
-        rf"|途中まで)[）)]{_BEFORE_SLASH}", scope="song",
+        rf"{LEAD}[（(](?:少し|ちょっと|うろ覚え|練習|[0-9０-９]++番のみ|short\.?|ワンコーラス"
+        rf"|途中まで)[）)]{BEFORE_SLASH}", scope="song",
     ),
     Rule("R14", 9, "reading_note", "delete_suffix",
-         rf"{W}*[（(][ぁ-んァ-ヶー]+[）)]{_BEFORE_SLASH}", scope="song"),
+         rf"{LEAD}[（(][ぁ-んァ-ヶー]++[）)]{BEFORE_SLASH}", scope="song"),
     Rule(
         "R15", 10, "release_date", "delete_suffix",
-        rf"{W}*[\[（(]{W}*(?:18|19|20|21)[0-9]{{2}}(?:{W}*[/.\-]{W}*[0-9]{{1,2}})?"
-        rf"(?:{W}*[/.\-]{W}*[0-9]{{1,2}})?{W}*(?:年|月)?{W}*日?{W}*[\]）)]{W}*\z", scope="song",
-    ),
-    Rule(
-        "R06", 11, "translation_note", "delete_suffix",
-        rf"(?i){W}*[(（](?!.*{_VERSION_WORD})[^)）]*(?:{W}|\|)[^)）]*[)）]{_BEFORE_SLASH}",
-        scope="song",
+        rf"{LEAD}[\[（(]{W}*+(?:18|19|20|21)[0-9]{{2}}(?:{W}*+[/.\-]{W}*+[0-9]{{1,2}}){{0,2}}+"
+        rf"{W}*+(?:年|月)?+{W}*+日?+{W}*+[\]）)]{W}*+\z", scope="song",
     ),
+    Rule("R06", 11, "translation_note", "delete_note", _VERSION_WORD, scope="song"),
 )
 NOISE_LINE = r"^(?:締め|[0-9０-９]+[,，][0-9０-９]+曲リクエスト)$"
 
@@ -79,12 +76,11 @@ _PROTECTED = P.words(P.PROTECTED_TITLES)
 _PLAIN_NUMBER = r"^[0-9]{1,4}[.．][0-9]{1,4}$"
 
 
-HAS_BRACKET = r"[(（\[［【]"
-
-
 def rule_step(c: Column, rule: Rule) -> Column:
     if rule.action == "translate":
         return F.translate(c, rule.regex, rule.replacement)
+    if rule.action == "delete_note":
+        return drop_notes(c, rule.regex)
     return sub(c, rule.regex, rule.replacement)
 
 
@@ -167,71 +163,14 @@ def drop_transliterations(c: Column) -> Column:
     """Remove `` (romanised)`` brackets that carry no musical information."""
     return sub(
         c,
-        rf"[ \t\x{{3000}}]+[(（](?=[^()（）]{{1,80}}[)）])(?=[^()（）A-Za-z]*[A-Za-z])"
+        rf"(?<![ \t\x{{3000}}])[ \t\x{{3000}}]++[(（](?=[^()（）]{{1,80}}[)）])(?=[^()（）A-Za-z]*[A-Za-z])"
         rf"(?![^()（）]*{P.QUALIFIER}){W}*(?:{P.LATIN_INNER}|[\[\]［］])+{W}*[)）]",
     )
 
 
-def _balanced(o: str, z: str) -> str:
-    level = rf"[^{o}{z}]"
-    for _ in range(3):
-        level = rf"(?:[^{o}{z}]|{o}{level}*{z})"
-    return rf"{o}({level}*){z}"
-
-
-_PAIRS = ((r"\(", r"\)"), ("（", "）"), (r"\[", r"\]"), ("［", "］"))
-_ENDS_WITH_BRACKET = rf"[)）\]］]{W}*$"
-_SPACED_SUFFIX = rf"(?s)^(.*?)(?<={W})(?:" + "|".join(_balanced(*p) for p in _PAIRS) + r")$"
-_TIGHT_SUFFIX = (
-    r"(?s)^(.*?)(?:"
-    + "|".join(rf"{o}([^()（）\[\]［］]{{1,120}}){z}" for o, z in _PAIRS)
-    + r")$"
-)
-
-
-def _cut_deep_suffix(raw: Column) -> Column:
-    """``before`` and content of a closing bracket of any depth, \\x02 between them.
-
-    Counts brackets of the closing one's kind from the end; a text without a blank before
-    the matching bracket stays as it is.
-    """
-    close = F.right(raw, F.lit(1))
-    opening = F.translate(close, ")）]］", "(（[［")
-
-    def step(s: Column, ch: Column) -> Column:
-        depth = s["depth"] + F.when(ch == close, 1).when(ch == opening, -1).otherwise(0)
-        found = s["at"].isNull() & (ch == opening) & (depth == 0)
-        return F.struct(
-            depth.alias("depth"), (s["i"] + 1).alias("i"),
-            F.when(found, s["i"] + 1).otherwise(s["at"]).alias("at"),
-        )
-
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("at"))
-    at = F.aggregate(F.reverse(F.split(raw, "")), start, step, lambda s: s["at"])
-    before = F.substring(raw, F.lit(1), F.length(raw) - at)
-    content = F.substring(raw, F.length(raw) - at + 2, at - 2)
-    return F.when(before.rlike(rf"{W}\z"), F.concat(before, F.lit("\x02"), content)).otherwise(raw)
-
-
 def drop_latin_suffix(c: Column) -> Column:
     """Remove a closing bracket that repeats the name or romanises a Japanese name."""
 
-    def pieces(raw: Column, pattern: str) -> Column:
-        # one pass: the groups of the other bracket kinds are empty
-        cut = sub(raw, pattern, "$1\x02$2$3$4$5")
-        if pattern is _SPACED_SUFFIX:  # the pattern follows three levels
-            cut = F.when(
-                F.regexp_count(raw, F.lit(r"[(（\[［]")) > 3, _cut_deep_suffix(raw)
-            ).otherwise(cut)
-        return let(
-            cut,
-            lambda cut: F.struct(
-                F.when(cut.contains("\x02"), strip(F.substring_index(cut, "\x02", 1)))
-                .otherwise("").alias("before"),
-                strip(F.substring_index(cut, "\x02", -1)).alias("content"),
-            ),
-        )
-
     def redundant(p: Column) -> Column:
         same = (annotation_key(p["before"]) == annotation_key(p["content"])) & (
             annotation_key(p["before"]) != ""
@@ -242,12 +181,8 @@ def drop_latin_suffix(c: Column) -> Column:
         )
 
     def body(raw: Column) -> Column:
-        found = F.filter(
-            F.array(pieces(raw, _SPACED_SUFFIX), pieces(raw, _TIGHT_SUFFIX)), redundant
-        )
-        return F.when(
-            raw.rlike(_ENDS_WITH_BRACKET), F.coalesce(F.get(found, F.lit(0))["before"], raw)
-        ).otherwise(raw)
+        first = lambda readings: F.get(F.filter(readings, redundant), F.lit(0))["before"]
+        return closing_brackets(raw, lambda r: F.coalesce(first(r), raw))
 
     return let(strip(c), body)
 
@@ -261,11 +196,10 @@ _INDEX_MARK = (
     rf"|[#＃]{W}*[0-9]{{1,3}}{W}+)"
 )
 _EDGE_CHARS = "-—–−/／|｜￤∣丨:：;；"
-_YEAR = rf"{W}*[\[［【(（]{W}*(?:18|19|20|21)[0-9]{{2}}{W}*年?{W}*[\]］】)）]?{W}*\z"
-_TRAILING = (
-    rf"(?:[{P.WS_SET}\x{{FE0F}}\x{{200D}}]*(?:{P.EMOJI}|{P.TRAIL_MARKS}){W}*){{0,6}}"
-    rf"[{P.WS_SET}\x{{FE0F}}\x{{200D}}]*\z"
-)
+_YEAR = rf"{LEAD}[\[［【(（]{W}*+(?:18|19|20|21)[0-9]{{2}}{W}*+年?+{W}*+[\]］】)）]?+{W}*+\z"
+_SOFT = rf"[{P.WS_SET}\x{{FE0F}}\x{{200D}}]"
+# read from the end: up to six marks and the blanks around them
+_TRAILING = rf"^{_SOFT}*+(?:{W}*+(?:{P.EMOJI}|{P.TRAIL_MARKS}){_SOFT}*+){{0,6}}+"
 
 
 def drop_tree(c: Column) -> Column:
@@ -287,7 +221,7 @@ def drop_trailing_marks(c: Column) -> Column:
     return let(
         strip(c),
         lambda t: F.when(
-            F.right(t, F.lit(1)).rlike(rf"^(?:{P.EMOJI}|{P.TRAIL_MARKS})"), strip(sub(t, _TRAILING))
+            F.right(t, F.lit(1)).rlike(rf"^(?:{P.EMOJI}|{P.TRAIL_MARKS})"), strip(F.reverse(sub(F.reverse(t), _TRAILING)))
         ).otherwise(t),
     )
 
@@ -370,46 +304,50 @@ _NOTE_WORDS = (
     "Original Song|Original song|ORIGINAL SONG|Original|オリジナル(?:曲|ソング)?"
     "|弾き語り(?:初披露)?|初披露|初公開|途中まで|ワンコーラス|挑戦枠?"
 )
-_DAY_TAIL = rf"{W}*(?:[/.\-年]{W}*[0-9]{{1,2}}){W}*(?:[/.\-月]{W}*[0-9]{{1,2}})?{W}*日?"
-_ALIAS = r"[A-Za-z0-9 .,'’\"!?&+_\-]+"
+_DAY_TAIL = rf"{W}*+(?:[/.\-年]{W}*+[0-9]{{1,2}}){W}*+(?:[/.\-月]{W}*+[0-9]{{1,2}})?+{W}*+日?+"
+_ALIAS_SET = r"A-Za-z0-9 .,'’\"!?&+_\-"
+# one name of an alias; names that are blank count as long as one of the blanks is plain
+_NAME = rf"[{_ALIAS_SET}&&[^ ]][{_ALIAS_SET}]*+"
+_WIDE_BLANK = rf"[{P.WS_SET}&&[^ ]]"
+_HELD = rf"{_ALIAS_SET}{P.DELIMS}{P.WS_SET}"
+# Latin names with delimiters that end a text; they can only begin behind the last character
+# that an alias cannot hold, and the Japanese characters are among these
+_NEXT_NAME = rf"[{P.DELIMS}](?>{W}*+{_NAME}|(?={_WIDE_BLANK}*+ )){W}*+"
+ALIAS = (
+    rf"(?s)^((?>.*[^{_HELD}])[{_HELD}]*?)(?<!{W})"
+    rf"(?>{W}++{_NAME}|{W}(?={_WIDE_BLANK}*+ )){W}*+"
+    rf"(?:{_NEXT_NAME})++$"
+)
 
 
 def drop_performance_notes(c: Column) -> Column:
-    c = sub(c, rf"(?i){W}*[❄✨⭐★☆]*{W}*(?:チャレンジ|challenge){W}*$")
+    c = sub(c, rf"(?i){LEAD}(?:[❄✨⭐★☆]++{W}*+)?+(?:チャレンジ|challenge){W}*+$")
     c = sub(
         c,
-        rf"(?i){W}*[※＊❄✨⭐★☆]*{W}*(?:[\[【(（]{W}*)?(?:with{W}+acoustic{W}+gui?t[ae]?r"
+        rf"(?i){LEAD}(?:[※＊❄✨⭐★☆]++{W}*+)?+(?:[\[【(（]{W}*+)?+(?:with{W}+acoustic{W}+gui?t[ae]?r"
         rf"|with{W}+acoustic|acoustic{W}+gui?t[ae]?r|acoustic|{_NOTE_WORDS})"
-        rf"(?:{W}*[\]】)）])?{W}*$",
+        rf"(?:{W}*+[\]】)）])?+{W}*+$",
     )
-    c = sub(c, rf"(?i)[ \t\x{{3000}}]+(?:{_NOTE_WORDS}){W}*$")
-    return strip(sub(c, rf"{W}*[※＊]{W}*$"))
+    c = sub(c, rf"(?i)(?<![ \t\x{{3000}}])[ \t\x{{3000}}]++(?:{_NOTE_WORDS}){W}*+$")
+    return strip(sub(c, rf"{LEAD}[※＊]{W}*+$"))
 
 
 def drop_release_date(c: Column) -> Column:
-    c = sub(c, rf"{W}*[(（]{W}*[0-9]{{4}}{_DAY_TAIL}{W}*[)）]{W}*$")
-    c = sub(c, rf"{W}*[\[［【]{W}*[0-9]{{4}}{_DAY_TAIL}{W}*[\]］】]{W}*$")
+    c = sub(c, rf"{LEAD}[(（]{W}*+[0-9]{{4}}{_DAY_TAIL}{W}*+[)）]{W}*+$")
+    c = sub(c, rf"{LEAD}[\[［【]{W}*+[0-9]{{4}}{_DAY_TAIL}{W}*+[\]］】]{W}*+$")
     return drop_year(c)
 
 
 def drop_release_tail(c: Column) -> Column:
     c = drop_release_date(c)
-    c = sub(c, rf"(?s){W}+(?:18|19|20|21)[0-9]{{2}}{_DAY_TAIL}.*$")
-    c = sub(c, rf"(?i){W}+[0-9]+(?:st|nd|rd|th)?{W}*オリジナル(?:ソング|曲)?{W}*$")
-    return strip(sub(c, rf"{W}+オリジナル(?:ソング|曲){W}*$"))
+    c = sub(c, rf"(?s){BLANKS}(?:18|19|20|21)[0-9]{{2}}{_DAY_TAIL}.*$")
+    c = sub(c, rf"(?i){BLANKS}[0-9]++(?:st|nd|rd|th)?+{W}*+オリジナル(?:ソング|曲)?+{W}*+$")
+    return strip(sub(c, rf"{BLANKS}オリジナル(?:ソング|曲){W}*+$"))
 
 
 def clean_artist(c: Column) -> Column:
     """Performer without dates, work title, notes and Latin alias; ``X//`` stays."""
-    work = strip(sub(drop_release_date(drop_release_tail(c)), rf"{W}*【[^】]{{1,120}}】{W}*$"))
-    # the alias can only begin behind the last character that it cannot hold; the Japanese
-    # characters are among these
-    held = rf"{_ALIAS[1:-2]}{P.DELIMS}{P.WS_SET}"
-    part = rf"(?>{_ALIAS})"
-    alias = (
-        rf"(?s)^((?>.*[^{held}])[{held}]*?){W}+{part}(?:{W}*[{P.DELIMS}]{W}*{part})+{W}*$"
-    )
-
+    work = strip(sub(drop_release_date(drop_release_tail(c)), rf"{LEAD}【[^】]{{1,120}}】{W}*+$"))
     def restore(raw: Column) -> Column:
         cleaned = drop_trailing_marks(
             drop_release_tail(drop_performance_notes(clean_field_light(raw)))
@@ -422,7 +360,9 @@ def clean_artist(c: Column) -> Column:
             ).otherwise(v),
         )
 
-    named = let(work, lambda w: F.when(w.rlike(P.JAPANESE), sub(w, alias, "$1")).otherwise(w))
+    named = let(work, lambda w: F.when(
+        w.rlike(P.JAPANESE) & w.rlike(rf"{_NEXT_NAME}$"), sub(w, ALIAS, "$1")
+    ).otherwise(w))
     return let(strip(named), restore)
 
 
