@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,17 +148,20 @@ def decide(
 ) -> DataFrame:
     """One result row per video; the first rule that applies sets the status.
 
-    ``lists`` has ``video_id, source, tracks``.  Every join is on the video key against a
-    side with one row per video, so there is one shuffle key throughout.
+    ``lists`` has ``video_id, source, tracks`` and may have ``note``, how its list came about;
+    ``detail`` says why a video is kept, skipped or replaced, or repeats the note.  Of several
+    errors of a video the smallest is told.  Every join is on the video key against a side
+    with one row per video, so there is one shuffle key throughout.
     """
     ignored = ignore.select("video_id").distinct().withColumn("_ignored", F.lit(True))
     fetch = (
-        errors.groupBy("video_id").agg(F.first("error", ignorenulls=True).alias("_error"))
+        errors.groupBy("video_id").agg(F.min("error").alias("_error"))
         if errors is not None else None
     )
     found = lists.select(
         "video_id", F.col("source").alias("_source"),
         admitted(F.col("tracks"), require_artist).alias("_tracks"),
+        (F.col("note") if "note" in lists.columns else F.lit("")).alias("_note"),
     )
     df = videos.join(ignored, "video_id", "left").join(own, "video_id", "left")
     df = df.join(found, "video_id", "left")
@@ -190,11 +194,40 @@ def decide(
         F.when(F.col("_early"), "").otherwise(F.coalesce("_source", F.lit("local"))).alias("source"),
         F.when(publish, F.array_join(rendered_lines(F.col("_tracks")), "\n"))
         .otherwise("").alias("message"),
-        F.when(publish & upgrade, F.concat(F.lit("replaces "), "rpid")).otherwise("").alias("detail"),
+        _detail(upgrade).alias("detail"),
         F.when(F.col("status") == "error", F.col("_error")).otherwise("").alias("error"),
     )
 
 
+# fixed values: what a result says about itself
+_IGNORED = "忽略列表（用户指定）"
+_NO_LINK = "B 站简介首行没有 YouTube 链接"
+_ENOUGH = "rpid=%s 已发 %d 首（足量）"
+_NO_BETTER = "rpid=%s 升级检查：YouTube 无更全歌单，保留原评论"
+_TOO_FEW = "rpid=%s 升级检查：新提取 %d 首 vs 已发 %d 首，未达升级阈值（需 +%d），保留原评论"
+_REPLACES = "升级：删 rpid=%s 后发 %d 首（dry-run 不执行）"
+_NOTHING, _NO_RESULT = "未提取到有效歌曲（%s）", "本地与 AI 均无结果"
+
+
+def _detail(upgrade: Column) -> Column:
+    """Why a video is kept, skipped or replaced; else the note of its list."""
+    said = F.coalesce("_note", F.lit(""))
+    note = F.when(said == "", F.lit(_NO_RESULT)).otherwise(said)
+    status, own, rpid = F.col("status"), F.col("own_count"), F.col("rpid")
+    kept = (
+        F.when(own >= UPGRADE_STEP, F.format_string(_ENOUGH, rpid, own))
+        .when(F.col("_n") == 0, F.format_string(_NO_BETTER, rpid))
+        .otherwise(F.format_string(_TOO_FEW, rpid, "_n", own, F.lit(UPGRADE_STEP)))
+    )
+    return (
+        F.when(status == "ignored", _IGNORED).when(status == "no_yt_link", _NO_LINK)
+        .when(status == "already_posted", kept).when(status == "error", "")
+        .when(status == "skipped_no_songs", F.format_string(_NOTHING, note))
+        .when(upgrade & (status == "dry_run"), F.format_string(_REPLACES, rpid, "_n"))
+        .when(upgrade, F.concat(F.lit("replaces "), rpid)).otherwise(said)
+    )
+
+
 def segment_messages(messages: DataFrame, limit: int = SEGMENT_LIMIT) -> DataFrame:
     """Cut messages at line ends into segments below ``limit``; number 0 is the root.
 
@@ -255,16 +288,17 @@ def close_run(
     """Tables of the finished run; with ``path`` they are written, one partition per run.
 
     A dry run writes its results and summary only, never the snapshot or published keys.
-    Writing a run again replaces its own partition and nothing else, and the keys that were
-    published before stay as they are in the partition of their run.  Results are written
-    first; summary and published keys are taken from what was written.
+    Writing a run again replaces its own partition and nothing else, also where it has no rows
+    any more. A partition of ``published`` holds the keys that no other run's has, so each key
+    is stored once, however many runs there are.  Results are written first; summary and
+    published keys are taken from what was written.
     """
     spark = results.sparkSession
-    if path:
-        _write_run(results.drop("message"), f"{path}/video_results")
-        if run_id is None:
-            first = results.select("run_id").first()
-            run_id = first[0] if first else None
+    if run_id is None:
+        first = results.select("run_id").first()
+        run_id = first[0] if first else None
+    if path and run_id is not None:
+        write_run(results.drop("message"), f"{path}/video_results", run_id)
         stored = spark.read.schema(results.drop("message").schema).parquet(f"{path}/video_results")
         results = stored.where(F.col("run_id") == F.lit(run_id))
     total = F.sum("videos").over(Window.partitionBy("run_id"))  # a row per status
@@ -277,17 +311,32 @@ def close_run(
         "video_snapshots": videos.drop("raw_part"),
     }
     if path and run_id is not None:
-        _write_run(tables["runs"], f"{path}/runs")
+        write_run(tables["runs"], f"{path}/runs", run_id)
         if not dry_run:
-            for name in ("published", "video_snapshots"):
-                _write_run(tables[name].withColumn("run_id", F.lit(run_id)), f"{path}/{name}")
+            new = tables["published"].join(
+                _stored_keys(spark, f"{path}/published", run_id), "video_id", "left_anti"
+            )
+            write_run(new, f"{path}/published", run_id)
+            write_run(tables["video_snapshots"], f"{path}/video_snapshots", run_id)
     return tables
 
 
-def _write_run(table: DataFrame, path: str) -> None:
-    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "run_id"
-    ).parquet(path)
+def _stored_keys(spark, path: str, run_id: str) -> DataFrame:
+    """Published keys in the partitions of other runs; none while there is no table."""
+    shape = "video_id string, run_id string"
+    try:
+        stored = spark.read.schema(shape).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], shape)
+    return stored.where(F.col("run_id") != run_id).select("video_id").distinct()
+
+
+def write_run(table: DataFrame, path: str, run_id: str) -> None:
+    """Write a run's partition in place of what it was, also when it is empty now."""
+    rest = table.drop("run_id")
+    rest.write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
 
 
 def scan_report(videos: DataFrame, snapshot: DataFrame) -> DataFrame:

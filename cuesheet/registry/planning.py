@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..plans import publish
+from ..plans import publish, run
+from ..session import shared_dir
 from . import query
 from .lines import HMS, I, agg
-from .lists import BEST_SQL, MIX_LINE, MIX_NUMBERED_SQL, mix_messages, setlists_of
+from .lists import BEST_SQL, MIX_LINE, MIX_NUMBERED_SQL, SOURCES_SQL, mix_messages, setlists_of
 
 V = fx.VIDEOS_SQL
 OWNER = "42"
@@ -144,7 +145,7 @@ def _results(spark, sf, dry_run=True):
 
 
 _RESULTS_SQL = f"""
-  SELECT v.video_id, v.vid, v.yt_id, v.title, v.part_date, v.collection,
+  SELECT v.video_id, v.vid, v.yt_id, v.title, v.part_date, v.collection, own, n,
     CASE WHEN vid % 97 = 0 THEN 'ignored' WHEN own >= 3 THEN 'already_posted' WHEN yt_id = '' THEN 'no_yt_link'
          WHEN vid % 31 = 0 THEN 'error' WHEN n = 0 AND own IS NOT NULL THEN 'already_posted'
          WHEN n = 0 THEN 'skipped_no_songs' WHEN n < own + 3 THEN 'already_posted' ELSE 'POST' END AS status,
@@ -155,6 +156,21 @@ _RESULTS_SQL = f"""
 """
 
 
+def detail_sql(note: str) -> str:
+    """What a result says about itself; ``note`` is that of its list."""
+    rpid = "'rpid=' || video_id || '-2 "
+    return f"""CASE WHEN status = 'ignored' THEN '忽略列表（用户指定）'
+      WHEN status = 'no_yt_link' THEN 'B 站简介首行没有 YouTube 链接' WHEN status = 'error' THEN ''
+      WHEN own >= 3 THEN {rpid}已发 ' || own || ' 首（足量）'
+      WHEN status = 'already_posted' AND n = 0 THEN {rpid}升级检查：YouTube 无更全歌单，保留原评论'
+      WHEN status = 'already_posted' THEN {rpid}升级检查：新提取 ' || n || ' 首 vs 已发 ' || own
+           || ' 首，未达升级阈值（需 +3），保留原评论'
+      WHEN status = 'skipped_no_songs' THEN '未提取到有效歌曲（' || CASE WHEN {note} = '' THEN '本地与 AI 均无结果'
+           ELSE {note} END || '）'
+      WHEN own IS NOT NULL THEN '升级：删 rpid=' || video_id || '-2 后发 ' || n || ' 首（dry-run 不执行）'
+      ELSE {note} END"""
+
+
 @query(
     "p07_decide",
     f"""WITH d AS (SELECT video_id, item_no, min(secs) AS secs, min(song) AS song, min(artist) AS artist
@@ -163,7 +179,7 @@ _RESULTS_SQL = f"""
                FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY secs, item_no) AS rn FROM d) GROUP BY 1)
         SELECT video_id, replace(status, 'POST', 'dry_run') AS status, song_count,
                CASE WHEN status = 'POST' THEN m ELSE '' END AS message,
-               CASE WHEN status = 'POST' AND vid % 10 <> 9 THEN 'replaces ' || video_id || '-2' ELSE '' END AS detail,
+               {detail_sql("''")} AS detail,
                CASE WHEN status = 'error' THEN 'timeout' ELSE '' END AS error
         FROM ({_RESULTS_SQL}) LEFT JOIN m USING (vid)""",
 )
@@ -229,3 +245,112 @@ def p10_published(spark, sf):
 def p11(spark, sf):
     v = fx.videos(spark, sf)
     return publish.scan_report(v, fx.snapshot(v)).drop("raw_part")
+
+
+# --- the stages as one run ---------------------------------------------------------------
+
+
+def _answers(spark, sf):
+    """What the model said per video: a list, a wish for more, nothing finished, or nothing at all."""
+    rows = fx.items(spark, sf).where(F.col("item_no") % 5 != 0).groupBy("video_id", "item_no").agg(
+        F.min("secs").alias("secs"), F.min("song").alias("song"), F.min("artist").alias("artist")
+    ).withColumn("comment_id", F.lit(0).cast("bigint"))
+    line = F.concat(fx.hms(F.col("secs")), F.format_string(" %02d. ", "item_no"), "song", F.lit(" - "), "artist")
+    kind = F.col("video_id") % 4
+    said = F.when(kind == 2, "请提供歌手信息后再处理。").otherwise(F.col("text"))
+    choice = F.to_json(F.struct(F.array(F.struct(F.struct(said.alias("content")).alias("message"))).alias("choices")))
+    broken = F.to_json(F.struct(F.lit("incomplete").alias("status"), said.alias("output_text")))
+    return fx.as_comments(rows, line).where(kind != 0).select(
+        F.col("video_id").cast("string").alias("video_id"), F.when(kind == 3, broken).otherwise(choice).alias("json")
+    )
+
+
+def whole_run(spark, sf, path=None, dry_run=True):
+    vid = F.col("video_id").cast("bigint")
+    v = fx.videos(spark, sf)
+    named = lambda df: df.withColumn("video_id", F.col("video_id").cast("string"))
+    return run.run_once(
+        run.Inputs(
+            videos=v, snapshot=fx.snapshot(v), published=fx.published(v),
+            comments=named(fx.comments(spark, sf)),
+            descriptions=named(fx.descriptions(spark, sf).where(F.col("video_id") % 13 != 0)),
+            responses=_answers(spark, sf), published_comments=published_comments(spark, sf),
+            ignore=v.where(vid % 97 == 0),
+            errors=v.where(vid % 31 == 0).select("video_id", F.lit("timeout").alias("error")),
+        ),
+        owner=OWNER, run_id="r7", dry_run=dry_run, path=path,
+        run_at=F.lit("2024-01-02 00:00:00").cast("timestamp"),
+    )
+
+
+_BEST_OF_RUN = BEST_SQL.replace(
+    f"FROM ({I}) GROUP BY video_id, item_no", f"FROM ({I}) WHERE video_id % 13 <> 0 GROUP BY video_id, item_no"
+)
+_RUN_SQL = f"""
+  WITH said AS (SELECT video_id, item_no, min(secs) AS secs, min(song) AS song, min(artist) AS artist
+                FROM ({I}) WHERE item_no % 5 <> 0 GROUP BY 1, 2),
+  listed AS (SELECT DISTINCT video_id AS vid FROM ({SOURCES_SQL}) WHERE NOT is_description),
+  asked AS (SELECT DISTINCT video_id AS vid FROM said JOIN listed ON vid = video_id WHERE video_id % 4 <> 0),
+  picked AS (
+    SELECT video_id AS vid, item_no, secs, song, artist, true AS ai FROM said JOIN asked ON vid = video_id
+    WHERE video_id % 4 = 1
+    UNION ALL
+    SELECT video_id, item_no, secs, song, artist, false FROM ({_BEST_OF_RUN})
+    WHERE video_id NOT IN (SELECT vid FROM asked WHERE vid % 4 = 1)),
+  m AS (SELECT vid, any_value(ai) AS ai, count(*) AS n,
+               {agg(HMS + " || printf(' %02d. ', rn) || song || ' - ' || artist", 'rn')} AS message
+        FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY secs, item_no) AS rn FROM picked) GROUP BY vid),
+  base AS (
+    SELECT v.*, CASE WHEN vid % 10 <> 9 THEN vid % 7 END AS own, coalesce(n, 0) AS n, coalesce(ai, false) AS ai, m.message,
+           CASE WHEN coalesce(ai, false) THEN '' ELSE '本地兜底（' || CASE WHEN a.vid IS NULL THEN
+             '评论区无结构化歌单（不调 DS）' WHEN vid % 4 = 2 THEN 'AI 判定缺歌手' ELSE 'AI 整理失败: not completed' END || '）'
+           END AS note
+    FROM ({V}) v LEFT JOIN m USING (vid) LEFT JOIN asked a USING (vid) WHERE vid % 5 = 0 OR vid % 3 <> 0),
+  decided AS (
+    SELECT *, CASE WHEN vid % 97 = 0 THEN 'ignored' WHEN own >= 3 THEN 'already_posted' WHEN yt_id = '' THEN 'no_yt_link'
+         WHEN vid % 31 = 0 THEN 'error' WHEN n = 0 AND own IS NOT NULL THEN 'already_posted'
+         WHEN n = 0 THEN 'skipped_no_songs' WHEN n < own + 3 THEN 'already_posted' ELSE 'dry_run' END AS status
+    FROM base)
+"""
+_EARLY = "(status IN ('ignored', 'no_yt_link', 'error') OR coalesce(own >= 3, false))"
+
+
+@query(
+    "p10_full_run",
+    f"""{_RUN_SQL} SELECT video_id, status, CAST(CASE WHEN {_EARLY} THEN 0 ELSE n END AS INT) AS song_count,
+               CASE WHEN {_EARLY} THEN '' WHEN ai THEN 'ai' ELSE 'local' END AS source,
+               CASE WHEN status = 'dry_run' THEN message ELSE '' END AS message,
+               {detail_sql("note")} AS detail, CASE WHEN status = 'error' THEN 'timeout' ELSE '' END AS error
+        FROM decided""",
+)
+def p10_full_run(spark, sf):
+    """Candidates, extraction, choice and decision of one run, with the texts to publish."""
+    return whole_run(spark, sf)["results"].select(
+        "video_id", "status", "song_count", "source", "message", "detail", "error"
+    )
+
+
+@query(
+    "p10_full_run_written",
+    f"""{_RUN_SQL}
+        SELECT 'published' AS kind, video_id AS name, 1 AS n FROM ({V})
+        WHERE vid % 3 = 0 OR vid IN (SELECT vid FROM decided WHERE status IN ('dry_run', 'ignored'))
+        UNION ALL SELECT 'runs', replace(status, 'dry_run', 'posted'), count(*) FROM decided GROUP BY status
+        UNION ALL SELECT 'segments', video_id, 1 FROM decided WHERE status = 'dry_run'
+        UNION ALL SELECT 'notices', video_id, 1 FROM decided WHERE status IN ('dry_run', 'error')""",
+)
+def p10_full_run_written(spark, sf):
+    """The tables of a run that was written twice, as they are read back."""
+    path = shared_dir(spark, "run")
+    whole_run(spark, sf, path, dry_run=False)
+    tables = whole_run(spark, sf, path, dry_run=False)
+    of = lambda kind, name, n: spark.read.parquet(f"{path}/{kind}").select(
+        F.lit(kind).alias("kind"), F.col(name).alias("name"), n.cast("int").alias("n")
+    )
+    one = F.lit(1)
+    parts = [tables["published"].select(F.lit("published").alias("kind"), F.col("video_id").alias("name"), one.alias("n"))]
+    parts += [of("runs", "status", F.col("videos")), of("segments", "video_id", one), of("notices", "video_id", one)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -5,19 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..session import shared_dir
+from ..session import shared_dir, written
 from ..streaming import streams
 from . import query
 from .lines import HMS, I, agg
 
 
-@query(
-    "r01_stream_tracks",
-    f"""SELECT printf('yt%09d', comment_id) AS yt_id, item_no, secs, song, artist FROM (
-          SELECT *, count(*) OVER (PARTITION BY comment_id) AS n FROM ({I})) WHERE n >= 2""",
-)
-def r01(spark, sf):
-    """Payload files by month of the order, each read once."""
+def _payload_files(spark, sf, src):
+    """Payloads by month of the order; of the orders by 13 one is cut off and one is no text at all."""
     c = fx.comments(spark, sf, styles=(0,))
     said = F.struct(
         F.array(
@@ -31,16 +26,42 @@ def r01(spark, sf):
     dates = fx.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("comment_id"), F.month("o_orderdate").alias("month")
     )
-    raw = c.join(dates, "comment_id").select(
+    whole = F.to_json(said)
+    json = F.when(F.col("comment_id") % 13 == 5, F.expr("left(json, length(json) - 2)")).otherwise(F.col("json"))
+    raw = c.join(dates, "comment_id").withColumn("json", whole).select(
         F.format_string("yt%09d", "comment_id").alias("yt_id"), F.lit("comments").alias("part"),
-        F.lit(0).alias("part_pos"), F.to_json(said).alias("json"), "month",
+        F.lit(0).alias("part_pos"), json.alias("json"), "month",
     )
-    src, out, ckpt = (shared_dir(spark, f"tracks-{n}") for n in ("in", "out", "ckpt"))
     raw.repartition("month").drop("month").write.parquet(src)
-    found = streams.stream_tracks(spark, src, out, ckpt, files_per_batch=4)
+
+
+def _ingested(spark, sf):
+    src, out, ckpt = (shared_dir(spark, f"tracks-{n}") for n in ("in", "out", "ckpt"))
+    _payload_files(spark, sf, src)
+    return streams.stream_tracks(spark, src, out, ckpt, files_per_batch=3)
+
+
+@query(
+    "r01_stream_tracks",
+    f"""SELECT printf('yt%09d', comment_id) AS yt_id, item_no, secs, song, artist FROM (
+          SELECT *, count(*) OVER (PARTITION BY comment_id) AS n FROM ({I})) WHERE n >= 2 AND comment_id % 13 <> 5""",
+)
+def r01(spark, sf):
+    """Payload files by month of the order, each read once; broken payloads give no tracks."""
+    found, _ = _ingested(spark, sf)
     return found.select("yt_id", F.col("num").alias("item_no"), "secs", "song", "artist")
 
 
+@query(
+    "r01_stream_errors",
+    f"""SELECT printf('yt%09d', comment_id) AS yt_id, 'comments' AS part, 0 AS part_pos, 'not valid JSON' AS error
+        FROM ({I}) WHERE comment_id % 13 = 5 GROUP BY comment_id""",
+)
+def r01_errors(spark, sf):
+    """Broken payloads of all batches."""
+    return _ingested(spark, sf)[1].select("yt_id", "part", "part_pos", "error")
+
+
 @query(
     "r02_stream_upgrades",
     f"""WITH v AS (SELECT video_id, comment_id AS version, CAST(count(*) AS INT) AS n FROM ({I}) GROUP BY 1, 2),
@@ -70,6 +91,17 @@ def r02(spark, sf):
     return spark.read.schema(schema).parquet(out)
 
 
+def _copies(spark, sf):
+    """Lists with one title order, in two writings, at the time of their order."""
+    shout = F.when(F.col("comment_id") % 2 == 0, F.upper("song")).otherwise(F.col("song"))
+    line = F.concat(F.format_string("%02d. ", "item_no"), shout)
+    c = fx.as_comments(fx.items(spark, sf), line)
+    dates = fx.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("comment_id"), F.col("o_orderdate").cast("timestamp").alias("ts")
+    )
+    return c.join(dates, "comment_id").select("video_id", "comment_id", F.col("text").alias("message"), "ts")
+
+
 @query(
     "r03_stream_dedupe",
     f"""SELECT video_id, sig, count(*) AS kept FROM (SELECT DISTINCT video_id,
@@ -77,13 +109,7 @@ def r02(spark, sf):
 )
 def r03(spark, sf):
     """Lists with one title order count once per video, whatever their writing."""
-    shout = F.when(F.col("comment_id") % 2 == 0, F.upper("song")).otherwise(F.col("song"))
-    line = F.concat(F.format_string("%02d. ", "item_no"), shout)
-    c = fx.as_comments(fx.items(spark, sf), line)
-    dates = fx.table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("comment_id"), F.col("o_orderdate").cast("timestamp").alias("ts")
-    )
-    rows = c.join(dates, "comment_id").select("video_id", F.col("text").alias("message"), "ts")
+    rows = _copies(spark, sf).drop("comment_id")
     src, out, ckpt = (shared_dir(spark, f"dedupe-{n}") for n in ("in", "out", "ckpt"))
     rows.write.parquet(src)
     stream = spark.readStream.schema(rows.schema).parquet(src)
@@ -94,21 +120,70 @@ def r03(spark, sf):
     return kept.groupBy("video_id", F.md5(plain).alias("sig")).agg(F.count("*").alias("kept"))
 
 
+#: Days of a batch.
+_SPAN = 600
+_LIST_DAYS = f"""
+  SELECT video_id, comment_id, {agg('song')} AS body, o_orderdate::DATE AS day
+  FROM ({I}) JOIN orders ON o_orderkey = comment_id GROUP BY video_id, comment_id, o_orderdate
+"""
+
+
+@query(
+    "r03_stream_dedupe_bounded",
+    f"""WITH m AS (SELECT *, (day - min(day) OVER ()) AS d FROM ({_LIST_DAYS}))
+        SELECT video_id, md5(body) AS sig, count(*) AS kept FROM (
+          SELECT DISTINCT video_id, body, d // {_SPAN} AS batch FROM m WHERE d % {_SPAN} < {_SPAN - 10})
+        GROUP BY 1, 2""",
+)
+def r03_bounded(spark, sf):
+    """Batches of 600 days under a bound of one day: a copy in a later batch is kept again.
+
+    Ten days between batches hold only a mark that moves the watermark past all that was kept
+    before. Every third list comes again half a day later in its batch and goes; every fifth
+    comes once more two batches later with its old time, behind the watermark, and is late.
+    """
+    rows = _copies(spark, sf)
+    low = rows.agg(F.min("ts").alias("low")).first()["low"]
+    at = F.datediff("ts", F.lit(low))
+    rows = rows.withColumn("batch", F.floor(at / _SPAN).cast("int")).where(at % _SPAN < _SPAN - 10)
+    again = rows.where("comment_id % 3 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 12 HOURS"))
+    late = rows.where("comment_id % 5 = 0").withColumn("batch", F.col("batch") + 2)
+    marks = rows.select("batch").distinct().select(
+        F.lit(-1).cast("bigint").alias("video_id"), F.lit(-1).cast("bigint").alias("comment_id"),
+        F.concat(F.lit("mark "), F.col("batch").cast("string")).alias("message"),
+        F.timestamp_add("DAY", F.col("batch") * _SPAN + _SPAN - 1, F.lit(low)).alias("ts"), "batch",
+    )
+    sent = written(rows.unionByName(again).unionByName(late).unionByName(marks), "copies")
+    src, out, ckpt = (shared_dir(spark, f"bounded-{n}") for n in ("in", "out", "ckpt"))
+    batches = sorted(r["batch"] for r in sent.select("batch").distinct().collect())
+    for b in batches:
+        sent.where(F.col("batch") == b).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(sent.schema).parquet(src)
+        once = streams.stream_dedupe(stream, delay="1 day")
+        streams.run_available(once.writeStream.format("parquet").option("path", out), ckpt)
+    plain = F.lower(F.regexp_replace("message", r"(?m)^[0-9]+\. ", ""))
+    kept = spark.read.schema(once.schema).parquet(out).where("video_id >= 0")
+    return kept.groupBy("video_id", F.md5(plain).alias("sig")).agg(F.count("*").alias("kept"))
+
+
 @query(
     "r04_stream_status",
     """SELECT date_trunc('day', ts) AS window_start, 'c' || (user_id % 5) AS collection,
               event_type AS status, count(*) AS videos FROM events GROUP BY 1, 2, 3""",
 )
 def r04(spark, sf):
+    """Five deliveries, rows of a day in several of them, the log merged every second batch."""
     events = fx.table(spark, sf, "events")
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]")
-    results = stream.select(
-        F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("status"),
-        F.concat(F.lit("c"), (F.col("user_id") % 5).cast("string")).alias("collection"),
-    )
-    out, ckpt = (shared_dir(spark, f"status-{n}") for n in ("out", "ckpt"))
-    counts = streams.stream_status(results)
-    latest = streams.upsert_log(
-        counts, ["window_start", "collection", "status"], "videos", out, ckpt
-    )
+    src, out, ckpt = (shared_dir(spark, f"status-{n}") for n in ("in", "out", "ckpt"))
+    keys = ["window_start", "collection", "status"]
+    part = F.pmod(F.xxhash64(*events.columns), F.lit(5))
+    for k in range(5):
+        events.where(part == k).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(events.schema).parquet(src)
+        results = stream.select(
+            F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("status"),
+            F.concat(F.lit("c"), (F.col("user_id") % 5).cast("string")).alias("collection"),
+        )
+        counts = streams.stream_status(results, delay="60 days")
+        latest = streams.upsert_log(counts, keys, "videos", out, ckpt, merge_every=2)
     return latest.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -9,10 +9,14 @@ from pyspark.sql import types as T
 from ..operators.sets import normalize_display, with_signature
 from ..operators.text import classify_songlist_comments
 from ..operators.tracks import explode_tracks, parse_setlists
-from ..sources.bronze import walk_payloads
+from ..sources.bronze import bad_payloads, walk_payloads
 
 PAYLOAD_SCHEMA = "yt_id STRING, part STRING, part_pos INT, json STRING"
-TRACK_ROW = "yt_id STRING, comment_id BIGINT, item_pos INT, num INT, secs INT, label STRING, song STRING, artist STRING"
+STREAMED_TRACK = (
+    "yt_id STRING, part STRING, part_pos INT, comment_id BIGINT, item_pos INT, num INT, secs INT, "
+    "label STRING, song STRING, artist STRING"
+)
+STREAMED_ERROR = "yt_id STRING, part STRING, part_pos INT, error STRING"
 
 
 def run_available(writer, checkpoint: str):
@@ -25,9 +29,9 @@ def run_available(writer, checkpoint: str):
 # --- R1 ingest -----------------------------------------------------------------------------
 
 
-def tracks_of_payloads(payloads: DataFrame) -> DataFrame:
-    """Raw payloads to track rows; one payload at a time, no shuffle."""
-    comments = walk_payloads(payloads.where(F.col("part") != "initial"), ("comment",))
+def tracks_of_findings(found: DataFrame) -> DataFrame:
+    """Walked payloads to track rows; one payload at a time, no shuffle."""
+    comments = found.where((F.col("kind") == "comment") & (F.col("part") != "initial"))
     listed = classify_songlist_comments(comments).where("is_songlist")
     texts = listed.select(
         "yt_id", "part", "part_pos", F.col("ordinal").cast("bigint").alias("comment_id"), "text"
@@ -35,12 +39,19 @@ def tracks_of_payloads(payloads: DataFrame) -> DataFrame:
     return explode_tracks(normalize_display(parse_setlists(texts)))
 
 
+def tracks_of_payloads(payloads: DataFrame) -> DataFrame:
+    """Raw payloads to track rows; broken payloads are rows of ``bronze.bad_payloads``."""
+    return tracks_of_findings(walk_payloads(payloads, ("comment",)))
+
+
 def stream_tracks(
     spark: SparkSession, path: str, out: str, checkpoint: str, files_per_batch: int = 1000
-) -> DataFrame:
-    """Read each new payload file once, write its tracks, and return the table.
+) -> tuple[DataFrame, DataFrame]:
+    """Read each new payload file once; returns the tables of tracks and of broken payloads.
 
-    A batch that runs again after a failure overwrites its own folder.
+    A batch has two sinks. Its payloads are walked once, and what was found is written to the
+    batch's folder; tracks and errors (``yt_id, part, part_pos, error``) are taken from there.
+    A batch that runs again after a failure overwrites its own folders.
     """
     payloads = (
         spark.readStream.schema(PAYLOAD_SCHEMA)
@@ -48,10 +59,18 @@ def stream_tracks(
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        tracks_of_payloads(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        def put(table: DataFrame, kind: str) -> DataFrame:
+            folder = f"{out}/{kind}/batch_id={batch_id}"
+            table.write.mode("overwrite").parquet(folder)
+            return batch.sparkSession.read.schema(table.schema).parquet(folder)
+
+        found = put(walk_payloads(batch, ("comment", "error")), "found")
+        put(tracks_of_findings(found), "tracks")
+        put(bad_payloads(found), "errors")
 
     run_available(payloads.writeStream.foreachBatch(write), checkpoint)
-    return spark.read.parquet(out)
+    read = lambda kind, shape: spark.read.schema(f"{shape}, batch_id BIGINT").parquet(f"{out}/{kind}")
+    return read("tracks", STREAMED_TRACK), read("errors", STREAMED_ERROR)
 
 
 # --- R2 upgrades ----------------------------------------------------------------------------
@@ -155,12 +174,42 @@ def use_rocksdb(spark: SparkSession) -> None:
 # --- R3 duplicates --------------------------------------------------------------------------
 
 
+def _ends_of_copies(frame, ts):
+    """The earliest and the latest of the copies of a message in a frame, and rows without signature."""
+    import pandas as pd
+
+    marked = frame["sig"].notna()
+    ordered = frame[marked].sort_values(ts, kind="stable")
+    key = ["video_id", "sig"]
+    ends = ~ordered.duplicated(key) | ~ordered.duplicated(key, keep="last")
+    return pd.concat([ordered[ends], frame[~marked]])
+
+
+def thinned(signed: DataFrame, ts: str = "ts") -> DataFrame:
+    """Messages without the copies between the first and the last of a task's batch.
+
+    A map-side step in front of the state: a message that is copied very often is a few rows
+    per task in the shuffle. The first is what is kept, and the last stays because the first
+    may be late when it is not; it also carries the watermark.
+    """
+    ends = _detached(_ends_of_copies)
+
+    def thin(frames):
+        for frame in frames:
+            yield ends(frame, ts)
+
+    return signed.mapInPandas(thin, signed.schema)
+
+
 def stream_dedupe(messages: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame:
     """First message per video and signature, with bounded state.
 
-    Messages without a signature are no copies of each other: all of them stay.
+    A key stays in the state until the watermark (the latest event time met by earlier
+    batches less ``delay``) passes the event time of the message that was kept plus ``delay``;
+    a copy that comes after that is kept again. Messages older than the watermark are late and
+    dropped. Messages without a signature are no copies of each other: all of them stay.
     """
-    signed = with_signature(messages).withWatermark(ts, delay)
+    signed = thinned(with_signature(messages), ts).withWatermark(ts, delay)
     once = signed.where("sig is not null").dropDuplicatesWithinWatermark(["video_id", "sig"])
     return once.unionByName(signed.where("sig is null"))
 
@@ -180,13 +229,65 @@ def stream_status(
     )
 
 
-def upsert_log(updates: DataFrame, keys: list[str], value: str, out: str, checkpoint: str) -> DataFrame:
-    """Run an update-mode aggregate into a log of batches and read the latest values."""
+def upsert_log(
+    updates: DataFrame, keys: list[str], value: str, out: str, checkpoint: str, merge_every: int = 10
+) -> DataFrame:
+    """Run an update-mode aggregate into a compacted log and read the latest values.
+
+    Each batch is a folder ``log/batch_id=N``. After every ``merge_every`` batches those up to
+    the last one are merged with the version before into ``version/upto=N``, one row per key.
+    A reader takes the newest version and the few batches behind it. A batch or merge that
+    runs again overwrites its own folder with the same rows, so a rerun changes nothing.
+    """
     spark = updates.sparkSession
+    shape = updates.select(*keys, value).schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        batch.select(*keys, value).write.mode("overwrite").parquet(f"{out}/log/batch_id={batch_id}")
+        if (batch_id + 1) % merge_every == 0:
+            latest = latest_values(spark, shape, keys, value, out, upto=batch_id, merge_every=merge_every)
+            latest.write.mode("overwrite").parquet(f"{out}/version/upto={batch_id}")
 
     run_available(updates.writeStream.outputMode("update").foreachBatch(write), checkpoint)
-    log = spark.read.parquet(out)
-    return log.groupBy(*keys).agg(F.max_by(value, "batch_id").alias(value))
+    return latest_values(spark, shape, keys, value, out, merge_every=merge_every)
+
+
+def latest_values(
+    spark: SparkSession, shape: T.StructType, keys: list[str], value: str, out: str,
+    upto: int | None = None, merge_every: int = 10,
+) -> DataFrame:
+    """Latest value per key of a log of batches up to ``upto`` (all, if not given)."""
+    names = [f.name for f in _folders(spark, f"{out}/log")]
+    batches = sorted(int(n.split("=")[1]) for n in names)
+    batches = [b for b in batches if upto is None or b <= upto]
+    merged = [
+        int(f.name.split("=")[1]) for f in _folders(spark, f"{out}/version") if f.complete
+    ]
+    # the merge of a batch begins from the version before it
+    base = max((m for m in merged if m < (upto if upto is not None else max(batches, default=-1) + 1)), default=None)
+    rest = [b for b in batches if base is None or b > base]
+    read = lambda folder, at: spark.read.schema(shape).parquet(f"{out}/{folder}").withColumn("_at", F.lit(at))
+    parts = [read(f"version/upto={base}", -1)] if base is not None else []
+    parts += [read(f"log/batch_id={b}", b) for b in rest]
+    if not parts:
+        return spark.createDataFrame([], shape)
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy(*keys).agg(F.max_by(value, "_at").alias(value))
+
+
+class _Folder:
+    def __init__(self, name: str, complete: bool) -> None:
+        self.name, self.complete = name, complete
+
+
+def _folders(spark: SparkSession, path: str) -> list[_Folder]:
+    """Folders below ``path`` with the mark of a finished write, through Spark's file system."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    root = jvm.Path(path)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(root):
+        return []
+    found = [f.getPath() for f in fs.listStatus(root) if f.isDirectory()]
+    return [_Folder(p.getName(), fs.exists(jvm.Path(p, "_SUCCESS"))) for p in found]

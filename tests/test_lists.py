@@ -176,6 +176,48 @@ def test_closing_a_run_again_replaces_it(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "video_snapshots")).where("run_id = 'r1'").count() == 2
 
 
+def test_published_keys_are_stored_once(spark, tmp_path):
+    schema = "run_id string, video_id string, status string, message string"
+    videos = spark.createDataFrame([("v1", "p")], "video_id string, raw_part string")
+    old = spark.createDataFrame([("v0",)], "video_id string")
+    for run, video in (("r1", "v1"), ("r2", "v2"), ("r3", None), ("r1", "v1")):
+        results = spark.createDataFrame([(run, video, "posted", "m")] if video else [], schema)
+        publish.close_run(results, old, videos, str(tmp_path), dry_run=False, run_id=run)
+        old = spark.read.parquet(str(tmp_path / "published")).select("video_id")
+    stored = [tuple(r) for r in spark.read.parquet(str(tmp_path / "published")).collect()]
+    assert sorted(stored) == [("v0", "r1"), ("v1", "r1"), ("v2", "r2")]
+
+
+def test_a_run_with_no_rows_leaves_none_behind(spark, tmp_path):
+    schema = "run_id string, video_id string, status string, message string"
+    videos = spark.createDataFrame([("v1", "p")], "video_id string, raw_part string")
+    for rows in ([("r1", "v1", "posted", "m")], []):
+        results = spark.createDataFrame(rows, schema)
+        publish.close_run(results, videos.select("video_id").limit(0), videos, str(tmp_path), run_id="r1")
+    assert spark.read.parquet(str(tmp_path / "video_results")).count() == 0
+
+
+def test_choice_tells_how_a_list_came_about(spark):
+    from cuesheet.plans import run
+
+    said = [
+        ("a", '{"choices":[{"message":{"content":"0:01:00 01. x - y"}}]}', None),
+        ("b", '{"choices":[{"message":{"content":"请提供歌手信息后再处理。"}}]}', None),
+        ("c", None, "timeout"), ("d", '{"status":"failed","output_text":"01. z"}', None),
+        ("e", '{"choices":[{"message":{"content":"no list"}}]}', None),
+    ]
+    model = run.model_lists(spark.createDataFrame(said, "video_id string, json string, error string"))
+    track = "array<struct<item_pos:int,num:int,secs:int,label:string,song:string,artist:string>>"
+    local = spark.createDataFrame([(v, [(1, 1, 5, "", "l", "m")]) for v in "abcd"], f"video_id string, tracks {track}")
+    videos = spark.createDataFrame([(v,) for v in "abcdef"], "video_id string")
+    got = {r.video_id: (r.source, len(r.tracks or []), r.note) for r in run.choose_lists(videos, local, model).collect()}
+    assert got == {
+        "a": ("ai", 1, ""), "b": ("local", 1, "本地兜底（AI 判定缺歌手）"),
+        "c": ("local", 1, "本地兜底（AI 整理失败: timeout）"), "d": ("local", 1, "本地兜底（AI 整理失败: not completed）"),
+        "e": ("local", 0, ""), "f": ("local", 0, "本地兜底（评论区无结构化歌单（不调 DS））"),
+    }
+
+
 def test_rule_proposals_of_both_shapes(spark):
     said = [
         'Text [1] first {"rules": [{"category": "c", "regex": "x", "description": "d", "protection": ["p"],'
