@@ -49,28 +49,37 @@ def attach_groups(
 
 
 def ranked(rows: DataFrame, keys: list[str], order: list[str | Column], out: str) -> DataFrame:
-    """``row_number`` over ``keys`` by ``order``, balanced for any key and any kind of order.
+    """``row_number`` over ``keys`` by ``order``, balanced for any key and any kind of order."""
+    return running_total(rows, keys, order, F.lit(1), out)
+
+
+def running_total(
+    rows: DataFrame, keys: list[str], order: list[str | Column], weight: Column, out: str
+) -> DataFrame:
+    """Sum of ``weight`` up to and with each row over ``keys`` by ``order``, balanced for any key.
 
     Rows are dealt into ranges of (``keys``, ``order``) by sampled bounds, so a key with a
     third of all rows spans many ranges, and sparse or textual orders make no more ranges
     than dense ones.  The dealt rows are written once, as the bounds may differ from run to
-    run.  Each (key, range) is counted, a window over these counts (one row per range that a
-    key spans) gives the offsets, and rows are numbered inside one range only.
+    run.  Each (key, range) is summed, a window over these sums (one row per range that a
+    key spans) gives the offsets, and rows are added up inside one range only.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     names = [f"_o{i}" for i in range(len(order))]
-    dealt = rows.select("*", *[c.alias(n) for c, n in zip(order, names, strict=True)])
+    dealt = rows.select(
+        "*", *[c.alias(n) for c, n in zip(order, names, strict=True)], weight.cast("bigint").alias("_w")
+    )
     dealt = written(
         dealt.repartitionByRange(*keys, *names).withColumn("_range", F.spark_partition_id()), out
     )
-    sizes = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    sizes = dealt.groupBy(*keys, "_range").agg(F.sum("_w").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*keys, "_range").orderBy(*names)
+    inside = Window.partitionBy(*keys, "_range").orderBy(*names).rowsBetween(Window.unboundedPreceding, 0)
     cond = F.lit(True)
     for k in [*keys, "_range"]:
         cond = cond & F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}"))
-    numbered = dealt.withColumn("_in", F.row_number().over(inside))
+    numbered = dealt.withColumn("_in", F.sum("_w").over(inside))
     joined = numbered.alias("r").join(offsets.alias("o"), cond)
     return joined.select(
         *[F.col(f"r.{c}") for c in rows.columns],

@@ -193,14 +193,24 @@ def check_rules(
     """Run candidate rule sets over golden cases; a set passes when no case fails.
 
     A case fails when the cleaned input lacks the expected title or performer.  The few
-    rule sets are plan literals; the cases are the table that grows.
+    rule sets are plan literals; the cases are the table that grows, and it is read once: every
+    set is a column of that scan, and the columns are then stacked into rows.
     """
-    checked = None
-    for name, rules in rule_sets.items():
-        out = apply_title_rules(cases, rules, "input").withColumn("rule_set", F.lit(name))
-        checked = out if checked is None else checked.unionByName(out)
+    keep = cases.columns
+    checked, versions = cases, []
+    for i, (name, rules) in enumerate(rule_sets.items()):
+        clean, fired = f"_clean{i}", f"_fired{i}"
+        checked = apply_title_rules(checked, rules, "input").withColumnsRenamed(
+            {"input_clean": clean, "fired": fired}
+        )
+        versions.append(
+            F.struct(F.lit(name).alias("rule_set"), F.col(clean).alias("input_clean"), F.col(fired).alias("fired"))
+        )
+    if not versions:
+        raise ValueError("no rule set to check")
+    stacked = explode_rows(checked, F.array(*versions), keep, "v").select(*keep, "v.*")
     missing = lambda c: (F.coalesce(F.col(c), F.lit("")) != "") & ~F.col("input_clean").contains(F.col(c))
-    result = checked.withColumn("failed", missing("expect_song") | missing("expect_artist"))
+    result = stacked.withColumn("failed", missing("expect_song") | missing("expect_artist"))
     if detail:
         return result
     return result.groupBy("rule_set").agg(

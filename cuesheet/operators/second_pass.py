@@ -63,6 +63,67 @@ def build_requests(
     )
 
 
+# fixed values: shape and settings of a request
+REQUEST_LINE = (
+    "custom_id STRING, body STRUCT<model: STRING, input: ARRAY<STRUCT<role: STRING, content: STRING>>, "
+    "max_output_tokens: INT, temperature: INT, reasoning: STRUCT<effort: STRING>>"
+)
+_MOST_TOKENS, _TEMPERATURE, _EFFORT = 8000, 0, "high"
+
+
+def request_lines(
+    comments: DataFrame, template: str, model: str, instruction: str = "", text: str = "text",
+    most: int = 200_000, preclean: bool = False,
+) -> DataFrame:
+    """``video_id, part_no, line``: requests as JSON, the texts of a video in their order.
+
+    A request begins a new part at the text that starts at or behind a multiple of ``most``
+    characters, so it never holds more than that and one text. Where a text starts is a
+    running total over narrow rows of lengths; no cell ever holds all texts of a video.
+    """
+    value = F.col(text)
+    if preclean:
+        value = F.array_join(
+            F.transform(clean_lines(value), lambda l: drop_latin_suffix(drop_transliterations(l))),
+            "\n",
+        )
+    cost = F.length("_t") + len(_SEPARATOR)
+    placed = skew.running_total(
+        written(comments.select("video_id", "source_pos", value.alias("_t")), "requests"),
+        ["video_id"], ["source_pos"], cost, "_upto",
+    )
+    part = F.floor((F.col("_upto") - cost) / most).cast("int").alias("part_no")
+    said = placed.select("video_id", part, "_t", "_upto").groupBy("video_id", "part_no").agg(
+        F.expr(f"listagg(_t, '{_SEPARATOR.encode('unicode_escape').decode()}') WITHIN GROUP (ORDER BY _upto)").alias("_said")
+    )
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    asked = F.concat(F.lit(template + "\n"), F.col("_said"))
+    body = F.struct(
+        F.lit(model).alias("model"),
+        F.array(message("developer", F.lit(instruction)), message("user", asked)).alias("input"),
+        F.lit(_MOST_TOKENS).alias("max_output_tokens"), F.lit(_TEMPERATURE).alias("temperature"),
+        F.struct(F.lit(_EFFORT).alias("effort")).alias("reasoning"),
+    )
+    name = F.concat_ws("-", F.col("video_id").cast("string"), F.col("part_no").cast("string"))
+    return said.select("video_id", "part_no", F.to_json(F.struct(name.alias("custom_id"), body.alias("body"))).alias("line"))
+
+
+def write_requests(requests: DataFrame, path: str, file_chars: int = 64 << 20) -> DataFrame:
+    """Write request lines as JSON lines, a folder ``shard=N`` per ``file_chars`` characters.
+
+    Requests go into shards in the order of video and part, by a running total of their
+    lengths: the same requests are the same shards with the same lines in the same order,
+    whenever they are written. Returns what is there, as it is read back.
+    """
+    cost = F.length("line") + 1
+    placed = skew.running_total(requests, [], ["video_id", "part_no"], cost, "_upto")
+    shard = F.floor((F.col("_upto") - cost) / file_chars).cast("int").alias("shard")
+    dealt = placed.select(shard, F.col("line").alias("value"), "_upto")
+    ordered = dealt.repartition("shard").sortWithinPartitions("shard", "_upto").select("shard", "value")
+    ordered.write.mode("overwrite").partitionBy("shard").text(path)
+    return requests.sparkSession.read.schema("value STRING, shard INT").text(path)
+
+
 _RESPONSE = """
 status STRING, output_text STRING,
 output ARRAY<STRUCT<type: STRING, content: ARRAY<STRUCT<type: STRING, text: STRING>>>>,

@@ -134,29 +134,33 @@ def normalize_display(setlists: DataFrame) -> DataFrame:
 # --- best source per video ------------------------------------------------------------
 
 
+#: More than any two places of a source are apart.
+_PLACES = "20000000000000000000"
+
+
 def select_best_source(setlists: DataFrame) -> DataFrame:
     """One list per video: most entries, most performers, then the first source.
 
-    ``max_by`` combines on the map side: each task sends at most one list per video.
+    The lists are written once. What is compared is one number per list, so the winners come
+    from a hash aggregate of fixed width, and only their lists are read again.
     """
-    # an empty list scores null; a filter here would parse every text twice
-    scored = setlists.select(
-        "*",
-        F.struct(
-            F.when(F.size("tracks") > 0, F.size("tracks")).alias("n"),
-            F.size(
-                F.filter("tracks", lambda t: F.coalesce(t["artist"], F.lit("")) != "")
-            ).alias("with_artist"),
-            (F.col("source") != "description").alias("is_comment"),
-            (-F.col("source_pos")).alias("first"),
-        ).alias("_score"),
-    )
-    value = F.struct("source", "source_pos", "comment_id", "tracks")
-    score = F.when(F.col("_score.n").isNotNull(), F.col("_score"))
-    best = scored.groupBy("video_id").agg(F.max_by(value, score).alias("b")).where(
-        F.col("b").isNotNull()
+    with_artist = F.size(F.filter("tracks", lambda t: F.coalesce(t["artist"], F.lit("")) != ""))
+    rows = written(
+        setlists.select(
+            "video_id", "source", "source_pos", "comment_id", "tracks", F.size("tracks").alias("_n"),
+            with_artist.alias("_a"), F.monotonically_increasing_id().alias("_row"),
+        ),
+        "lists",
     )
-    return best.select("video_id", "b.source", "b.source_pos", "b.comment_id", "b.tracks")
+    comment = (F.col("source") != "description").cast("bigint")
+    counts = F.col("_n").cast("bigint") * (1 << 31) + F.col("_a").cast("bigint") * 2 + comment
+    # places before zero and null ones have their order too
+    place = F.coalesce(F.col("source_pos").cast("bigint"), F.lit((1 << 63) - 1)).cast("decimal(20,0)")
+    score = counts.cast("decimal(18,0)") * F.lit(_PLACES).cast("decimal(20,0)") - place
+    scored = rows.where("_n > 0").select("video_id", "_row", score.cast("decimal(38,0)").alias("_score"))
+    winners = scored.groupBy("video_id").agg(F.max_by("_row", "_score").alias("_row"))
+    best = rows.join(written(winners.select("_row"), "winners"), "_row", "left_semi")
+    return best.select("video_id", "source", "source_pos", "comment_id", "tracks")
 
 
 # --- rendering ----------------------------------------------------------------------

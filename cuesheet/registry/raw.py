@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..sources import bronze
+from ..session import shared_dir
 from . import query
 from .lines import HMS, I, agg
 
@@ -222,6 +223,29 @@ def s07(spark, sf):
     return bronze.latest_raw(raw).select("yt_id", "fetched_at", "json")
 
 
+@query(
+    "s07_read_latest",
+    """SELECT printf('yt%09d', o_custkey) AS yt_id, max(t) AS fetched_at, arg_max('{"k":' || o_orderkey || '}', t) AS json
+       FROM (SELECT *, o_orderdate::TIMESTAMP + to_microseconds(o_orderkey) AS t FROM orders)
+       WHERE o_custkey % 10 = 7 GROUP BY o_custkey""",
+)
+def s07_read(spark, sf):
+    """The cache as it was appended twice, read for a tenth of the videos."""
+    o = fx.table(spark, sf, "orders")
+    raw = o.select(
+        F.format_string("yt%09d", "o_custkey").alias("yt_id"), F.lit("initial").alias("part"),
+        F.lit(0).alias("part_pos"), F.to_json(F.struct(F.col("o_orderkey").alias("k"))).alias("json"),
+        F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey")).alias("fetched_at"),
+        "o_orderkey",
+    )
+    path = shared_dir(spark, "raw-cache")
+    for k in range(2):
+        bronze.append_raw(raw.where(F.col("o_orderkey") % 2 == k).drop("o_orderkey").coalesce(1), path, buckets=16)
+    wanted = o.where("o_custkey % 10 = 7").select(F.format_string("yt%09d", "o_custkey").alias("yt_id"))
+    found = bronze.read_latest(spark, path, wanted, buckets=16)
+    return found.select("yt_id", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"), "json")
+
+
 @query(
     "s08_load_published",
     """SELECT CAST(o_custkey AS VARCHAR) AS video_id, CAST(o_orderkey AS VARCHAR) AS rpid,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions.titles import DEFAULT_RULES
 from ..operators import rules, second_pass, sets, text, tracks
+from ..session import shared_dir
 from . import query
 from .lines import HMS, I, TITLE_FORMS, _written_titles, agg
 from .lists import setlists_of
@@ -24,6 +25,29 @@ def a01(spark, sf):
     return second_pass.build_requests(c.where("is_songlist"), "List:")
 
 
+@query(
+    "a01_request_files",
+    f"""WITH c AS (SELECT video_id, comment_id, {agg(HMS + " || printf(' %02d. ', item_no) || song || ' / ' || artist")}
+               AS t FROM ({I}) GROUP BY 1, 2 HAVING count(*) >= 2),
+             p AS (SELECT *, coalesce(sum(length(t) + 7) OVER (PARTITION BY video_id ORDER BY comment_id
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 400 AS part FROM c)
+        SELECT video_id || '-' || part::BIGINT AS custom_id, 'm' AS model, 'Be exact.' AS instruction, 8000 AS most,
+               'List:' || chr(10) || string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY comment_id) AS said
+        FROM p GROUP BY video_id, part""",
+)
+def a01_files(spark, sf):
+    """Requests of about 400 characters in JSON lines, read back."""
+    c = text.classify_songlist_comments(fx.comments(spark, sf, styles=(0,))).where("is_songlist")
+    lines = second_pass.request_lines(c, "List:", "m", "Be exact.", most=400)
+    found = second_pass.write_requests(lines, shared_dir(spark, "request-files"), file_chars=100_000)
+    r = F.from_json("value", second_pass.REQUEST_LINE)
+    return found.select(
+        r["custom_id"].alias("custom_id"), r["body"]["model"].alias("model"),
+        r["body"]["input"][0]["content"].alias("instruction"), r["body"]["max_output_tokens"].alias("most"),
+        r["body"]["input"][1]["content"].alias("said"),
+    )
+
+
 def _model_items(spark, sf):
     """What a second extraction says: every fifth item missing, every seventh in capitals."""
     rows = fx.items(spark, sf).where(F.col("item_no") % 5 != 0)

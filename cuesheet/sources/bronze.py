@@ -158,8 +158,10 @@ def extract_embedded_json(
 # --- S3-S5 free trees ----------------------------------------------------------------------
 
 
+PAYLOAD_SCHEMA = "yt_id STRING, part STRING, part_pos INT, json STRING"
 WALK_SCHEMA = (
-    "yt_id STRING, part STRING, part_pos INT, ordinal INT, kind STRING, text STRING, hint BOOLEAN"
+    "yt_id STRING, part STRING, part_pos INT, ordinal INT, kind STRING, text STRING, hint BOOLEAN, "
+    "payload BIGINT, nth INT"
 )
 
 
@@ -172,17 +174,25 @@ def walk_payloads(payloads: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> Da
     Kinds: ``comment`` text, ``simple`` and ``runs`` texts, ``token`` of a continuation
     (``hint``: its object mentions comments), ``any_token``, ``reply`` token, and ``error``,
     the one finding of a payload that is no valid JSON (see :func:`bad_payloads`).
+    ``payload`` numbers the payloads (write the findings before it is used twice), ``nth`` the
+    findings of a kind in one.
     """
 
     wanted = frozenset(kinds)
 
     def walk(batches):
         import json
+        from collections import Counter
 
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        names = ["yt_id", "part", "part_pos", "ordinal", "kind", "text", "hint"]
-        types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
+        names = ["yt_id", "part", "part_pos", "ordinal", "kind", "text", "hint", "payload", "nth"]
+        types = [
+            pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(),
+            pa.int64(), pa.int32(),
+        ]
+        payload = TaskContext.get().partitionId() << 33
 
         def get(node, *path):
             for key in path:
@@ -231,12 +241,14 @@ def walk_payloads(payloads: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> Da
                 if len(out[0]) >= 5000:
                     yield made(out)
                     out = [[] for _ in names]
+                payload += 1
+                met: Counter = Counter()
                 try:
                     root = json.loads(texts[i].as_py() or "null")
                 except (ValueError, RecursionError) as problem:
                     if "error" in wanted:
                         reason = "nested too deeply" if isinstance(problem, RecursionError) else "not valid JSON"
-                        for column, value in zip(out, (*key, 0, "error", reason, None)):
+                        for column, value in zip(out, (*key, 0, "error", reason, None, payload, 1)):
                             column.append(value)
                     continue
                 # explicit stack: depth of the tree is not limited by the call stack
@@ -248,7 +260,9 @@ def walk_payloads(payloads: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> Da
                             ordinal += 1
                             if kind not in wanted:
                                 continue
-                            for column, value in zip(out, (*key, ordinal, kind, text, hint)):
+                            met[kind] += 1
+                            row = (*key, ordinal, kind, text, hint, payload, met[kind])
+                            for column, value in zip(out, row):
                                 column.append(value)
                         stack.extend(reversed(list(node.values())))
                     elif isinstance(node, list):
@@ -280,14 +294,24 @@ def bad_payloads(payloads: DataFrame) -> DataFrame:
 
 
 def extract_comments(payloads: DataFrame) -> DataFrame:
-    """Comment texts in order: the main response first, then the replies."""
+    """Comment texts in order: the main response first, then the replies.
+
+    Only the numbers of comments per payload are put in order; their running total is where
+    the comments of a payload begin. It comes to the texts by payload, broadcast where Spark
+    finds it small enough, so that texts stay where they were found.
+    """
     found = written(_walked(payloads, F.col("part") != "initial", ("comment",)), "comments")
-    ranked = skew.ranked(
-        found, ["yt_id"], [_part_rank(), "part_pos", "ordinal"], "comment_pos"
+    counts = found.groupBy("yt_id", "part", "part_pos", "payload").agg(F.max("nth").cast("bigint").alias("_n"))
+    upto = skew.running_total(
+        counts, ["yt_id"], [_part_rank(), "part_pos", "payload"], F.col("_n"), "_upto"
+    )
+    before = written(upto.select("payload", (F.col("_upto") - F.col("_n")).alias("_before")), "offsets")
+    return found.join(before, "payload").select(
+        "yt_id", (F.col("_before") + F.col("nth")).alias("comment_pos"), "text"
     )
-    return ranked.select("yt_id", "comment_pos", "text")
 
 
+# fixed values: marks that are no words of a text
 _NOT_TEXT = (
     rf"[{P.WS_SET}\[\]【】()（）<>＜＞:：;；,，.。~～{P.DASHES}_{P.DELIMS}♪♫♬♩▶▷►▸▹・･●○◆◇■□]+"
 )
@@ -377,10 +401,41 @@ def latest_raw(raw_events: DataFrame) -> DataFrame:
     return best.select("yt_id", "part", "part_pos", "b.json", "b.fetched_at")
 
 
-def append_raw(raw_events: DataFrame, path: str, buckets: int = 256) -> None:
+BUCKETS = 256
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("yt_id"), F.lit(buckets)).cast("int")
+
+
+def append_raw(raw_events: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Append raw payloads; the bucket of a video prunes later reads by key."""
-    bucket = F.pmod(F.xxhash64("yt_id"), F.lit(buckets)).cast("int")
-    raw_events.withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").parquet(path)
+    raw_events.withColumn("bucket", _bucket(buckets)).write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def read_latest(
+    spark: SparkSession, path: str, wanted: DataFrame | None = None, buckets: int = BUCKETS
+) -> DataFrame:
+    """Latest payload per video and part of a cache that :func:`append_raw` wrote.
+
+    With ``wanted`` (``yt_id``) only the folders of its buckets are read (their numbers, at
+    most ``buckets``, are the filter). The latest row is found on keys, times and places in
+    the files, without the payloads; these are read for the rows that were found, and never
+    go through an aggregate. Of equal times the row that was written further on counts.
+    """
+    key = ["yt_id", "part", "part_pos"]
+    place = ["_file", "_row"]
+    table = spark.read.schema(f"{PAYLOAD_SCHEMA}, fetched_at TIMESTAMP, bucket INT").parquet(path).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
+    )
+    if wanted is not None:
+        numbers = [r["b"] for r in wanted.select(_bucket(buckets).alias("b")).distinct().collect()]
+        table = table.where(F.col("bucket").isin(numbers)).join(
+            wanted.select("yt_id").distinct(), "yt_id", "left_semi"
+        )
+    latest = table.groupBy(*key).agg(F.max(F.struct("fetched_at", *place)).alias("_b"))
+    latest = written(latest.select(*(F.col(f"_b.{c}") for c in place)), "latest")
+    return table.join(latest, place, "left_semi").select(*key, "json", "fetched_at")
 
 
 _PUBLISHED = """

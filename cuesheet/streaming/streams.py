@@ -9,9 +9,8 @@ from pyspark.sql import types as T
 from ..operators.sets import normalize_display, with_signature
 from ..operators.text import classify_songlist_comments
 from ..operators.tracks import explode_tracks, parse_setlists
-from ..sources.bronze import bad_payloads, walk_payloads
+from ..sources.bronze import PAYLOAD_SCHEMA, bad_payloads, walk_payloads
 
-PAYLOAD_SCHEMA = "yt_id STRING, part STRING, part_pos INT, json STRING"
 STREAMED_TRACK = (
     "yt_id STRING, part STRING, part_pos INT, comment_id BIGINT, item_pos INT, num INT, secs INT, "
     "label STRING, song STRING, artist STRING"
