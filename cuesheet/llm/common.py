@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir, written
 
-__all__ = ["blobs", "kept_rows", "only_keys", "shared_dir", "table", "text_key", "tune", "written"]
+__all__ = [
+    "blobs", "kept_rows", "numbered", "only_rows", "shared_dir", "table", "text_key", "tune", "written",
+]
 
 #: Rows of one Arrow batch: long texts stay within tens of megabytes.
 BATCH_ROWS = 500
@@ -46,13 +48,22 @@ def blobs(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [b or b"" for b in column.to_pylist()]
 
 
-def only_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``docs``, all columns as they are, whose key is listed; one row a key."""
-    rows = docs.select(F.struct("*").alias("doc"), *text_key())
-    return (
-        rows.join(keys.distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-        .select("doc.*")
-    )
+def numbered(docs: DataFrame, columns: list[Column | str] | None = None) -> tuple[DataFrame, str]:
+    """The rows (or some columns of them) written with a number each, and the number's column.
+
+    The number is the name of a row, whatever its id and text are: nulls, repeated ids and
+    equal rows stay apart. Its column has a name that no column of the rows has.
+    """
+    chosen = docs.select(*(columns or ["*"]))
+    taken, name = {c.lower() for c in chosen.columns}, "_row"
+    while name in taken:
+        name += "_"
+    return written(chosen.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def only_rows(rows: DataFrame, row: str, kept: DataFrame) -> DataFrame:
+    """Rows of a numbered table whose numbers are in ``kept`` (``row``), without the number."""
+    return rows.join(kept.select(F.col("row").alias(row)), row, "left_semi").drop(row)
 
 
 def kept_rows(docs: DataFrame, keep: Callable[[], Callable[[list[bytes]], list[bool]]]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only_keys, table, text_key, written
+from .common import numbered, only_rows, table, written
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -41,14 +41,13 @@ def _first_names(texts: DataFrame, size: int, route) -> DataFrame:
 
 
 def block_names(
-    docs: DataFrame, size: int = BLOCK, route=F.xxhash64
+    texts: DataFrame, size: int = BLOCK, route=F.xxhash64
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows with their digests, and the collision-free identity of every key's text.
+    """Rows with their digests, and the collision-free identity of every row's text.
 
-    The first has ``doc_id, k1, k2, text_sha256`` per row, the second ``k1, k2, tier, name``.
-
-    ``k1, k2`` (see :func:`text_key`) name a row; two keys get the same ``tier, name`` if
-    and only if their normalised texts are the same bytes.
+    ``texts`` is a written table ``row, doc_id, data`` of numbered rows. The first result has
+    ``doc_id, row, text_sha256``, the second ``row, tier, name``: two rows get the same
+    ``tier, name`` if and only if their texts are the same bytes.
 
     1. Texts are cut into blocks of ``size`` bytes. Distinct blocks are found by content in
        one shuffle with map-side combining, so a block that a third of all rows share
@@ -62,27 +61,23 @@ def block_names(
 
     Every round is written to the shared folder. A text of one block has tier 0, others 1.
     """
-    # a column of its own: an expression inside the cut would be evaluated for each block
-    texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), *text_key(), normalised().alias("data")
-    )
     hashes = written(
         texts.select(
-            "doc_id", "k1", "k2", F.unhex(F.sha2("data", 256)).alias("sha"),
+            "doc_id", "row", F.unhex(F.sha2("data", 256)).alias("sha"),
             _blocks(F.col("data"), size, route).alias("hs"),
         ),
         "blocks",
     )
     names = written(_first_names(texts, size, route).drop("block"), "names")
     shared = names.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    apart = hashes.select("k1", "k2", F.size("hs").alias("n"), F.posexplode("hs").alias("pos", "h"))
+    apart = hashes.select("row", F.size("hs").alias("n"), F.posexplode("hs").alias("pos", "h"))
     if shared.isEmpty():
-        level = apart.join(names, "h").select("k1", "k2", "n", "pos", F.col("block_name").alias("name"))
+        level = apart.join(names, "h").select("row", "n", "pos", F.col("block_name").alias("name"))
     else:
         level = _named_by_content(texts, apart, names, shared, size, route)
     longest = hashes.select(F.max(F.size("hs"))).first()[0] or 0
-    level = written(level.dropDuplicates(["k1", "k2", "pos"]), "level")
-    one = level.where("n = 1").select("k1", "k2", F.lit(0).alias("tier"), "name")
+    level = written(level, "level")
+    one = level.where("n = 1").select("row", F.lit(0).alias("tier"), "name")
     many = level.where("n > 1")
     width = longest
     while width > 1:
@@ -92,7 +87,7 @@ def block_names(
             for s, c in ((0, "a"), (1, "b"))
         ]
         pairs = written(
-            many.groupBy("k1", "k2", "n", at.alias("pos")).agg(*side)
+            many.groupBy("row", "n", at.alias("pos")).agg(*side)
             .withColumn("b", F.coalesce("b", F.lit(-1))),
             "pairs",
         )
@@ -104,23 +99,23 @@ def block_names(
             ),
             "pair-names",
         )
-        many = pairs.join(named, ["a", "b"]).select("k1", "k2", "n", "pos", "name")
+        many = pairs.join(named, ["a", "b"]).select("row", "n", "pos", "name")
         width = (width + 1) // 2
-    named = one.unionByName(many.select("k1", "k2", F.lit(1).alias("tier"), "name"))
-    return hashes.select("doc_id", "k1", "k2", F.lower(F.hex("sha")).alias("text_sha256")), named
+    named = one.unionByName(many.select("row", F.lit(1).alias("tier"), "name"))
+    return hashes.select("doc_id", "row", F.lower(F.hex("sha")).alias("text_sha256")), named
 
 
 def _named_by_content(texts, apart, names, shared, size, route) -> DataFrame:
     """Names of all occurrences, by content where a ``route`` value is shared."""
     plain = apart.join(shared, "h", "left_anti").join(names, "h")
     numbers = _first_names(texts, size, route).join(shared, "h", "left_semi")
-    texts = texts.select("k1", "k2", _blocks(F.col("data"), size, lambda b: b).alias("bs"))
+    texts = texts.select("row", _blocks(F.col("data"), size, lambda b: b).alias("bs"))
     exact = (
-        texts.select("k1", "k2", F.size("bs").alias("n"), F.posexplode("bs").alias("pos", "block"))
+        texts.select("row", F.size("bs").alias("n"), F.posexplode("bs").alias("pos", "block"))
         .withColumn("h", route(F.col("block"))).join(shared, "h", "left_semi")
         .join(numbers, ["h", "block"])
     )
-    columns = ["k1", "k2", "n", "pos"]
+    columns = ["row", "n", "pos"]
     # these numbers were counted anew: below all others
     return plain.select(*columns, F.col("block_name").alias("name")).unionByName(
         exact.select(*columns, (-F.col("block_name") - 2).alias("name"))
@@ -128,18 +123,22 @@ def _named_by_content(texts, apart, names, shared, size, route) -> DataFrame:
 
 
 def find_copies(docs: DataFrame, size: int = BLOCK, route=F.xxhash64) -> DataFrame:
-    """``doc_id, k1, k2, keep_id, group_size, kept, text_sha256`` for every row.
+    """``doc_id, row, keep_id, group_size, kept, text_sha256`` for every row.
 
     Texts are equal when identical after each run of white space became one blank; null
     counts as empty. Of equal texts the row with the smallest ``doc_id`` stays (ids that are
     null come last); of rows that share this id too, one stays. An empty table gives no
     rows; other columns are not read.
     """
-    rows, names = block_names(docs, size, route)
-    rows = written(
-        rows.join(names, ["k1", "k2"]).withColumn("_row", F.monotonically_increasing_id()), "texts"
-    )
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("data")]
+    texts, row = numbered(docs, columns)
+    return _found(texts.withColumnRenamed(row, "row"), size, route)
+
+
+def _found(texts: DataFrame, size: int, route) -> DataFrame:
+    rows, names = block_names(texts, size, route)
+    rows = written(rows.join(names, "row"), "texts")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     groups = written(
         rows.groupBy("tier", "name").agg(
             F.min(order).alias("_keep"), F.count("*").alias("group_size")
@@ -147,14 +146,20 @@ def find_copies(docs: DataFrame, size: int = BLOCK, route=F.xxhash64) -> DataFra
         "groups",
     )
     return rows.join(groups, ["tier", "name"]).select(
-        "doc_id", "k1", "k2", F.col("_keep.doc_id").alias("keep_id"), "group_size",
-        (F.col("_row") == F.col("_keep._row")).alias("kept"), "text_sha256",
+        "doc_id", "row", F.col("_keep.doc_id").alias("keep_id"), "group_size",
+        (F.col("row") == F.col("_keep.row")).alias("kept"), "text_sha256",
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` with all their columns, one of equal texts (see :func:`find_copies`)."""
-    return only_keys(docs, find_copies(docs).where("kept").select("k1", "k2"))
+    rows, row = numbered(docs)
+    # written, as the cut of a text would otherwise be computed from it for each block
+    texts = written(
+        rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("data")),
+        "normalised",
+    )
+    return only_rows(rows, row, _found(texts, BLOCK, F.xxhash64).where("kept"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blobs, only_keys, table, text_key, written
+from .common import blobs, numbered, only_rows, table, written
 from .components import components
 from .recompress import Sums, mix, word_names
 
@@ -63,9 +63,9 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """Every row's keys, its set and size, with group counts, hashes and packed text."""
+    """Every row's number, its set and size, with group counts, hashes and packed text."""
     fields = [
-        *((k, pa.int64()) for k in ("doc_id", "k1", "k2", "set", "n")), ("counts", pa.binary()),
+        *((k, pa.int64()) for k in ("doc_id", "row", "set", "n")), ("counts", pa.binary()),
         ("least", pa.list_(pa.int64())), ("packed", pa.binary()),
     ]
     schema = pa.schema(fields)
@@ -74,7 +74,7 @@ def _sets(docs: DataFrame) -> DataFrame:
         packer = zstandard.ZstdCompressor(level=3)
         for batch in source:
             out: list[list] = [[] for _ in schema.names]
-            ids = [batch.column(k).to_pylist() for k in ("doc_id", "k1", "k2")]
+            ids = [batch.column(k).to_pylist() for k in ("doc_id", "row")]
             for *key, data in zip(*ids, blobs(batch), strict=True):
                 names = shingles(data)
                 n = len(names)
@@ -92,9 +92,8 @@ def _sets(docs: DataFrame) -> DataFrame:
                 [pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema
             )
 
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), *text_key(), "text"]
-    return docs.select(*columns).mapInArrow(
-        build, "doc_id long, k1 long, k2 long, set long, n long, counts binary, "
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row", "text").mapInArrow(
+        build, "doc_id long, row long, set long, n long, counts binary, "
         "least array<long>, packed binary"
     )
 
@@ -468,16 +467,16 @@ def _most_promising(pairs: DataFrame, side: str) -> DataFrame:
 
 
 def _rooted(docs: DataFrame) -> DataFrame:
-    """``doc_id, k1, k2, n, root`` of every row; equal roots are one component."""
+    """``doc_id, row, n, root`` of every row of ``doc_id, row, text``; equal roots are one component."""
     every = written(_sets(docs), "sets")
-    rows = every.select("doc_id", "k1", "k2", "set", "n")
+    rows = every.select("doc_id", "row", "set", "n")
     sets = every.where("n > 0").select("set", "n", "counts", "least", "packed")
     sets = written(sets.dropDuplicates(["set"]), "texts")
     roots = components(links(sets))
     named = rows.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn(
         "root", F.coalesce("root", "set")
     )
-    return written(named.select("doc_id", "k1", "k2", "n", "root"), "roots")
+    return written(named.select("doc_id", "row", "n", "root"), "roots")
 
 
 def find_near_copies(docs: DataFrame) -> DataFrame:
@@ -490,7 +489,7 @@ def find_near_copies(docs: DataFrame) -> DataFrame:
     without an id have the smallest id of their component. Shingles and sets are known by
     64-bit names. Other columns are not read.
     """
-    named = _rooted(docs)
+    named = _rooted(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
     least = written(
         named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least"
     )
@@ -507,11 +506,11 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     Texts without words all stay.
     """
-    named = _rooted(docs)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "k1", "k2")
+    rows, row = numbered(docs)
+    named = _rooted(rows.select("doc_id", "text", F.col(row).alias("row")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     first = named.where("n > 0").groupBy("root").agg(F.min(order).alias("o"))
-    kept = first.select("o.k1", "o.k2").unionByName(named.where("n = 0").select("k1", "k2"))
-    return only_keys(docs, kept)
+    return only_rows(rows, row, first.select("o.row").unionByName(named.where("n = 0").select("row")))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

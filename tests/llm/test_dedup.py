@@ -118,12 +118,27 @@ def test_one_of_each_group_stays(docs, no_docs, rows):
     kept = ngram_join.drop_near_copies(docs)
     assert kept.columns == docs.columns
     _, groups = plain_components(rows)
-    wordless = {(rows[i][0], rows[i][1]) for i in range(len(rows)) if not split(rows[i][1])}
+    wordless = [i for i in range(len(rows)) if not split(rows[i][1])]
     with_words = [m for m in groups.values() if split(rows[m[0]][1])]
-    assert kept.count() == len(with_words) + len({(i or 0, t or "") for i, t in wordless})
+    assert kept.count() == len(with_words) + len(wordless)
     assert ngram_join.find_near_copies(no_docs).count() == 0
 
 
+def test_rows_are_known_by_number(spark):
+    """Null and repeated ids, equal rows, and a column that is named like the number."""
+    rows = [(None, "", 1), (None, "", 2), (0, "", 3), (0, None, 4), (0, "a b", 5), (None, "a b", 6), (0, "a b", 7),
+            (3, "c d e f g h", 8), (3, "C d e f g h", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int").repartition(2)
+    near = ngram_join.drop_near_copies(docs)
+    assert near.columns == docs.columns
+    stay = {r["_row"] for r in near.collect()}
+    assert {1, 2, 3, 4} <= stay and len(stay & {5, 7}) == 1 and 6 not in stay and len(stay & {8, 9}) == 1
+    exact = exact_dedup.drop_copies(docs)
+    assert exact.columns == docs.columns
+    stay = {r["_row"] for r in exact.collect()}
+    assert len(stay & {3, 4}) == 1 and not stay & {1, 2} and len(stay & {5, 7}) == 1 and {8, 9} <= stay and len(stay) == 4
+
+
 def test_tree_gives_every_pair_within_the_bound():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 6, (20, 64))
