@@ -29,6 +29,8 @@ TILE = 2048
 HELD = 2_000_000
 #: Most promising candidates of a set that are verified before all others, and how often.
 BEST, ROUNDS = 4, 1
+#: Bits of the map of needed texts (fixed; 8 MB), and of one row of it.
+BITS, _MAP = 1 << 26, 1 << 15
 _LEAF = 16
 #: Groups of so many points need no boxes above them.
 ONE_LEAF = 64
@@ -98,6 +100,23 @@ def _sets(docs: DataFrame) -> DataFrame:
     )
 
 
+def _picked(sets: DataFrame, needed: DataFrame) -> DataFrame:
+    """``sets`` without most of those that are not ``needed``, where they stand.
+
+    A bitmap of ``BITS`` bits, marked at the names that are needed, goes to every task, so
+    that few other texts come to the join behind it. Its size is fixed; the more names it
+    marks, the less it spares, and the join decides.
+    """
+    at = lambda c: F.pmod(F.col(c), F.lit(BITS))
+    maps = needed.groupBy((at("set") / _MAP).cast("int").alias("_map")).agg(
+        F.bitmap_construct_agg(at("set") % _MAP).alias("_bits")
+    )
+    byte = F.expr(f"conv(hex(substring(_bits, cast((_at % {_MAP}) div 8 as int) + 1, 1)), 16, 10)")
+    marked = byte.cast("int").bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0
+    placed = sets.withColumn("_at", at("set")).withColumn("_map", (F.col("_at") / _MAP).cast("int"))
+    return placed.join(F.broadcast(maps), "_map").where(marked).select(sets.columns)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of ``a, b`` those that link: the sets of both are built from their texts again.
 
@@ -106,7 +125,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a task builds its set once in a row.
     """
     needed = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set")))
-    texts = written(sets.select("set", "packed").join(needed.distinct(), "set"), "needed")
+    needed = written(needed.distinct(), "sets-needed")
+    texts = written(_picked(sets.select("set", "packed"), needed).join(needed, "set"), "needed")
     left = pairs.join(texts.withColumnsRenamed({"set": "a", "packed": "pa"}), "a")
     right = texts.withColumnsRenamed({"set": "b", "packed": "pb"})
 
