@@ -228,12 +228,13 @@ BEST_SQL = f"""
 @query(
     "g05_select_best_source",
     f"""SELECT video_id, CASE WHEN is_description THEN 'description' ELSE 'comment' END AS source,
-               comment_id, CAST(count(*) AS INT) AS n FROM ({BEST_SQL})
-        GROUP BY video_id, is_description, comment_id""",
+               comment_id, CAST(count(*) AS INT) AS n, {agg("song || ' - ' || artist")} AS content
+        FROM ({BEST_SQL}) GROUP BY video_id, is_description, comment_id""",
 )
 def g05(spark, sf):
     best = sets.select_best_source(extracted(spark, sf))
-    return best.select("video_id", "source", "comment_id", F.size("tracks").alias("n"))
+    said = F.array_join(F.transform("tracks", lambda t: F.concat_ws(" - ", t["song"], t["artist"])), "\n")
+    return best.select("video_id", "source", "comment_id", F.size("tracks").alias("n"), said.alias("content"))
 
 
 NUMBERED_SQL = f"""

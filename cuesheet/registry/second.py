@@ -146,11 +146,21 @@ def _pairs(spark, sf, key="comment_id"):
 
 
 _COUNTS = f"""
-  SELECT comment_id, count(*) AS s, count(*) FILTER (item_no % 5 <> 0) AS m, max(item_no) AS top
+  SELECT comment_id, count(*) AS s, count(*) FILTER (item_no % 5 <> 0) AS m, max(item_no) AS top,
+         string_agg(song || ' - ' || artist, chr(10) ORDER BY item_no) AS said,
+         string_agg(CASE WHEN item_no % 7 = 0 THEN upper(song) ELSE song END || ' - ' || artist, chr(10)
+                    ORDER BY item_no) FILTER (item_no % 5 <> 0) AS told
   FROM ({I}) GROUP BY comment_id
 """
 
 
+def content(tracks="tracks"):
+    """Titles and performers of a list, one entry a line."""
+    return F.array_join(F.transform(tracks, lambda t: F.concat_ws(" - ", t["song"], t["artist"])), "\n")
+
+
+
+
 @query(
     "a05_reconcile",
     f"""SELECT comment_id, item_no AS num, secs, CASE WHEN s = m THEN i.song WHEN item_no % 7 = 0
@@ -170,22 +180,24 @@ def a05(spark, sf):
 @query(
     "a06_choose_pipeline",
     f"""SELECT comment_id, CASE WHEN m > 0 THEN 'model' ELSE 'source' END AS chosen,
-               CAST(CASE WHEN m > 0 THEN m ELSE s END AS INT) AS n FROM ({_COUNTS})""",
+               CAST(CASE WHEN m > 0 THEN m ELSE s END AS INT) AS n, CASE WHEN m > 0 THEN told ELSE said END AS content
+        FROM ({_COUNTS})""",
 )
 def a06(spark, sf):
     chosen = second_pass.choose_result(_pairs(spark, sf), "pipeline")
-    return chosen.select("comment_id", "chosen", F.size("tracks").alias("n"))
+    return chosen.select("comment_id", "chosen", F.size("tracks").alias("n"), content().alias("content"))
 
 
 @query(
     "a06_choose_strict",
     f"""SELECT comment_id, CASE WHEN top = s AND m <> s THEN 'source' WHEN m = s THEN 'merged'
-               WHEN m > 0 AND s > m THEN 'source' ELSE 'source' END AS chosen, CAST(s AS INT) AS n
+               WHEN m > 0 AND s > m THEN 'source' ELSE 'source' END AS chosen, CAST(s AS INT) AS n,
+               said AS content
         FROM ({_COUNTS})""",
 )
 def a06_strict(spark, sf):
     chosen = second_pass.choose_result(_pairs(spark, sf), "strict")
-    return chosen.select("comment_id", "chosen", F.size("tracks").alias("n"))
+    return chosen.select("comment_id", "chosen", F.size("tracks").alias("n"), content().alias("content"))
 
 
 @query(
