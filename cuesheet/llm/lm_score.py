@@ -22,7 +22,7 @@ DEPTH = 6
 CUT = 3
 #: Bytes of text of one chunk of texts, and of the corpus for one block of contexts: they say
 #: what a task holds, and no result depends on them.
-CHUNK, BLOCK = 8 << 20, 8 << 20
+CHUNK, BLOCK = 8 << 20, 4 << 20
 #: Bytes of text that the borders of the blocks are sampled from.
 BORDERS = 8 << 20
 #: Byte that stands before a text and ends it; it is no part of UTF-8.
@@ -104,8 +104,8 @@ def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     coded = pa.array(codes).dictionary_encode()
     found = coded.dictionary.to_numpy()
     order = np.argsort(found)
-    place = np.empty(len(found), np.int64)
-    place[order] = np.arange(len(found))
+    place = np.empty(len(found), np.int32)  # fewer than 2 ** 31 codes meet in a task
+    place[order] = np.arange(len(found), dtype=np.int32)
     return found[order], place[coded.indices.to_numpy()]
 
 
@@ -344,7 +344,7 @@ class Block:
         for codes, n, place in self.depths:
             key = codes >> (8 - level)
             new = np.r_[True, key[1:] != key[:-1]]
-            first, node = np.flatnonzero(new), np.cumsum(new) - 1
+            first, node = np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - 1
             one = np.add.reduceat(n * (codes >> (7 - level) & 1), first)
             seen = np.stack([np.add.reduceat(n, first) - one, one], axis=-1)
             if place is None:
@@ -352,7 +352,7 @@ class Block:
                 weighted = own
             else:
                 _, weighted, born = out[-1][1:]
-                parent = np.empty(len(weighted), np.int64)
+                parent = np.empty(len(weighted), np.int32)
                 parent[born] = node[place]
                 own, below = None, np.bincount(parent, weighted, len(first))
                 weighted = below
@@ -449,6 +449,7 @@ def _answers(chunks: DataFrame) -> DataFrame:
     def up(key, source):
         codes, n, _, _ = _merged(source)
         keys, seen, below = Block(codes, n).top()
+        pa.default_memory_pool().release_unused()
         return pa.table(
             {"block": [key[0].as_py()], "keys": [keys.tobytes()], "seen": [seen.tobytes()],
              "below": [below.tobytes()]}
@@ -470,6 +471,7 @@ def _answers(chunks: DataFrame) -> DataFrame:
         codes, n, sizes, place = _merged(source)
         steps = Block(codes, n).steps(shared.value)[place]
         cells = [_stored(part) for part in np.split(steps, np.cumsum(sizes)[:-1])]
+        pa.default_memory_pool().release_unused()
         return pa.table(
             {"chunk": source.column("chunk"), "block": source.column("block"),
              "data": pa.array(cells, pa.binary())}
