@@ -9,7 +9,7 @@ from itertools import count as numbers
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,19 +22,14 @@ DEPTH = 6
 CUT = 3
 #: Bytes of text of one chunk of texts, and of the corpus for one block of contexts: they say
 #: what a task holds, and no result depends on them.
-CHUNK, BLOCK = 8 << 20, 4 << 20
+CHUNK, BLOCK = 4 << 20, 4 << 20
 #: Bytes of text that the borders of the blocks are sampled from.
 BORDERS = 8 << 20
 #: Byte that stands before a text and ends it; it is no part of UTF-8.
 END = 0xFF
-#: Log10 chances are kept in steps of so many a unit.
-STEP = 5000
 #: Commonest words whose counts every task holds (bounded: at most this many, each at most
 #: ``HEAD_BYTES`` long); counts of all other words come by a join.
 HEAD, HEAD_BYTES = 1 << 16, 32
-#: Symbols and bits of the small tree of :func:`_block`.
-CLASSES = 32
-BITS = 5
 
 
 def held_out(doc_id: Column) -> Column:
@@ -111,14 +106,14 @@ def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _stored(values: np.ndarray) -> bytes:
     """Compressed, equal bytes of the numbers next to each other."""
-    plain = np.ascontiguousarray(values, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    plain = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
     return len(values).to_bytes(8, "little") + pa.compress(plain, "zstd", asbytes=True)
 
 
-def _loaded(data: bytes) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    plain = pa.decompress(data[8:], decompressed_size=8 * size, codec="zstd", asbytes=True)
-    return np.frombuffer(plain, np.uint8).reshape(8, size).T.copy().view("<i8").reshape(-1)
+def _loaded(data: bytes, kind: type = np.int64) -> np.ndarray:
+    count, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    plain = pa.decompress(data[8:], decompressed_size=width * count, codec="zstd", asbytes=True)
+    return np.frombuffer(plain, np.uint8).reshape(width, count).T.copy().view(kind).reshape(-1)
 
 
 def _borders(texts: DataFrame) -> np.ndarray:
@@ -191,6 +186,7 @@ def _chunks(texts: DataFrame, borders: np.ndarray) -> DataFrame:
         for block in np.flatnonzero(edge[1:] > edge[:-1]):
             at = slice(edge[block], edge[block + 1])
             yield row(key, block, _stored(np.diff(found[at], prepend=0)), _stored(n[at]), b"")
+        pa.default_memory_pool().release_unused()
 
     def row(chunk: int, block: int, *cells: bytes) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -224,15 +220,6 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     ) + 1 / (1260 * y**5) - np.log(shift)
 
 
-def decisions(counts: np.ndarray, bits: int) -> np.ndarray:
-    """Counts of symbols (last axis) to those of both outcomes of each binary decision."""
-    out = []
-    for level in range(bits):
-        shape = (*counts.shape[:-1], 1 << level, 2, 1 << (bits - level - 1))
-        out.append(counts.reshape(shape).sum(axis=-1))
-    return np.concatenate(out, axis=-2)
-
-
 def _log_estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1.0) - math.log(math.pi)
 
@@ -269,56 +256,6 @@ def mixed(weight, p_own, p_below, seen_below):
     return np.where(seen_below, weight * p_own + (1 - weight) * p_below, p_own)
 
 
-def spread(p_one: np.ndarray, bits: int) -> np.ndarray:
-    """Chances of ones at the decisions (last axis) to chances of the symbols."""
-    out, at = np.ones((*p_one.shape[:-1], 1)), 0
-    for level in range(bits):
-        p = p_one[..., at : at + (1 << level)]
-        out = np.stack([out * (1 - p), out * p], axis=-1).reshape(*out.shape[:-1], 2 << level)
-        at += 1 << level
-    return out
-
-
-def _block(counts: np.ndarray, cell: np.ndarray, deep: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The same weighting in dense arrays over 32 symbols, below one pair of latest ones.
-
-    Scoring goes by :class:`Block`; this small form is what tests look into.
-
-    ``counts[oldest, third, class]``; ``deep[i, class]`` are those after the frequent branch
-    ``i`` that goes on from ``cell[i]`` (oldest * 32 + third). A node with such branches has
-    them as children, and a further child for all else that was seen at it.
-
-    Gives the block's counts, its weighted log probability per decision, and the chance of a
-    one per oldest, third, decision, and per branch, decision.
-    """
-    third = cell % CLASSES
-    n4 = decisions(counts.reshape(CLASSES**2, CLASSES), BITS)
-    n6 = decisions(deep, BITS)
-    log6, p6 = estimate(n6)
-    sums, held = np.zeros(n4.shape[:-1]), np.zeros_like(n4)
-    np.add.at(sums, cell, log6)
-    np.add.at(held, cell, n6)
-    log_rest, p_rest = estimate(n4 - held)
-    log4, weight, p_own = weigh(n4, sums + log_rest)
-    whole = np.ones(CLASSES**2, bool)  # nodes without branches are leaves
-    whole[cell] = False
-    log4[whole], weight[whole] = estimate(n4[whole])[0], 1.0
-    p = mixed(weight, p_own, p_rest, (n4 - held).sum(axis=-1) > 0)
-    q = mixed(weight[cell], p_own[cell], p6, n6.sum(axis=-1) > 0)
-
-    square = (CLASSES, CLASSES, -1)
-    seen4 = n4.sum(axis=-1) > 0
-    n3 = decisions(counts.sum(axis=0), BITS)
-    log3, weight, p_own = weigh(n3, log4.reshape(square).sum(axis=0))
-    p = mixed(weight, p_own, p.reshape(square), seen4.reshape(square))
-    q = mixed(weight[third], p_own[third], q, seen4[cell])
-    n2 = decisions(counts.sum(axis=(0, 1)), BITS)
-    log2, weight, p_own = weigh(n2, log3.sum(axis=0))
-    seen3 = n3.sum(axis=-1) > 0
-    p, q = mixed(weight, p_own, p, seen3), mixed(weight, p_own, q, seen3[third])
-    return counts.sum(axis=(0, 1)), log2, p, q
-
-
 class Block:
     """The tree from depth ``CUT`` on over the sorted codes of one block, level by level.
 
@@ -374,8 +311,8 @@ class Block:
             below.append(weighted)
         return np.concatenate(keys), np.concatenate(seen), np.concatenate(below)
 
-    def steps(self, upper: Upper) -> np.ndarray:
-        """Log10 chance of each code in steps."""
+    def logs(self, upper: Upper) -> np.ndarray:
+        """Log10 chance of each code."""
         codes = self.depths[0][0]
         total = np.zeros(len(codes))
         for level in range(8):
@@ -392,7 +329,7 @@ class Block:
             at = self.depths[-1][2][at]
             chance = upper.chance(node_key(self.depths[-1][0], level)[at], chance, has)
             total += np.log10(np.where(codes >> (7 - level) & 1, chance, 1 - chance))
-        return np.round(total * STEP).astype(np.int64)
+        return total
 
 
 def node_key(codes: np.ndarray, level: int) -> np.ndarray:
@@ -436,8 +373,11 @@ def _merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarr
     return codes, np.bincount(place, n, len(codes)).astype(np.int64), [len(p) for p in parts], place
 
 
-def _answers(chunks: DataFrame) -> DataFrame:
-    """``chunk, block, data``: the steps of the codes of each row of ``chunks``, in their order.
+def _answers(chunks: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """``chunk, block, data``: log10 chances of the codes of each row of ``chunks``, in their order.
+
+    They are kept in single precision and added in double. The tree above the blocks comes
+    with the rows, to be destroyed once they have been read.
 
     Every byte is eight binary decisions, each mixed over all depths from 0 to ``DEPTH``;
     every context that the training texts hold is a node, however seldom it is met. Blocks
@@ -469,17 +409,15 @@ def _answers(chunks: DataFrame) -> DataFrame:
 
     def down(key, source):
         codes, n, sizes, place = _merged(source)
-        steps = Block(codes, n).steps(shared.value)[place]
-        cells = [_stored(part) for part in np.split(steps, np.cumsum(sizes)[:-1])]
+        logs = Block(codes, n).logs(shared.value).astype(np.float32)[place]
+        cells = [_stored(part) for part in np.split(logs, np.cumsum(sizes)[:-1])]
         pa.default_memory_pool().release_unused()
         return pa.table(
             {"chunk": source.column("chunk"), "block": source.column("block"),
              "data": pa.array(cells, pa.binary())}
         )
 
-    out = written(rows.groupBy("block").applyInArrow(down, "chunk long, block long, data binary"), "answers")
-    shared.destroy()
-    return out
+    return rows.groupBy("block").applyInArrow(down, "chunk long, block long, data binary"), shared
 
 
 # ---- scores
@@ -529,7 +467,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     sizes = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct_ = sizes["n"] or 0, sizes["v"]
     chunks = _chunks(texts, _borders(texts))
-    answers = _answers(chunks)
+    answers, upper = _answers(chunks)
     shared = spark.sparkContext.broadcast(commonest(counts))
     schema = pa.schema(
         [("_row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()),
@@ -544,8 +482,10 @@ def score_texts(docs: DataFrame) -> DataFrame:
         docs = pa.ipc.open_stream(cells.pop(-1)).read_all().combine_chunks().to_batches()[0]
         data = blobs(docs)
         _, place = distinct(context_codes(data))
-        steps = np.concatenate([_loaded(cells[block]) for block in sorted(cells)])[place]
-        scores = np.add.reduceat(steps, np.cumsum([0, *(len(t) + 1 for t in data[:-1])])) / STEP
+        logs = np.concatenate([_loaded(cells.pop(block), np.float32) for block in sorted(cells)])[place]
+        begin = np.cumsum([0, *(len(t) + 1 for t in data[:-1])])
+        scores = np.add.reduceat(logs, begin, dtype=np.float64)
+        pa.default_memory_pool().release_unused()
         out: list[list] = [[] for _ in schema.names]
         ids = (docs.column(n).to_pylist() for n in ("_row", "doc_id"))
         for row, doc, text, score in zip(*ids, data, scores.tolist(), strict=True):
@@ -574,7 +514,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
         "words array<binary>, times array<long>"
     )
     rows = written(rows, "scored")
-    shared.destroy()  # the scores are stored; nothing computes them again
+    for held in (shared, upper):  # the scores are stored; nothing computes them again
+        held.destroy()
     rest = rows.select("_row", F.explode(F.arrays_zip("words", "times")).alias("w")).select(
         "_row", F.col("w.words").alias("key"), F.col("w.times").alias("times")
     )

@@ -187,28 +187,32 @@ def test_without_training_rows(spark):
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0)
 
 
-def test_next_symbol_chances_sum_to_one():
-    rng = np.random.default_rng(1)
-    counts = rng.poisson(0.3, (32, 32, 32)) * (rng.random((32, 32, 1)) < 0.2)
-    cell = np.array([3, 3, 700])
-    deep = np.minimum(counts.reshape(1024, 32)[cell], [[1], [0], [2]])
-    _, _, p, q = lm_score._block(counts, cell, deep)
-    assert p.shape == (32, 32, 31) and q.shape == (3, 31)
-    assert np.allclose(lm_score.spread(p, 5).sum(axis=-1), 1)
-    assert np.allclose(lm_score.spread(q, 5).sum(axis=-1), 1)
-
-
-def test_frequent_branches_sharpen_the_chances():
-    """A byte that always follows six others, and seldom the last four of them."""
-    counts = np.zeros((32, 32, 32), np.int64)
-    counts[4, 5, 7], counts[4, 5, 9] = 60, 60
-    deep = np.zeros((1, 32), np.int64)
-    deep[0, 7] = 60
-    _, log_deep, p, q = lm_score._block(counts, np.array([4 * 32 + 5]), deep)
-    _, log_plain, plain, _ = lm_score._block(counts, np.zeros(0, np.int64), np.zeros((0, 32), np.int64))
-    chance = lambda x: lm_score.spread(x, 5)[..., 7]
-    assert chance(q)[0] > 0.9 > 0.6 > chance(plain)[4, 5] > 0.4 > 0.1 > chance(p)[4, 5]
-    assert log_deep.sum() > log_plain.sum()
+def tree(train, asked):
+    """Log10 chances of ``asked`` (codes) under the tree of the training texts, all in one block."""
+    codes, n = np.unique(lm_score.context_codes(train), return_counts=True)
+    held = np.union1d(codes, asked)
+    counts = np.zeros(len(held), np.int64)
+    counts[np.searchsorted(held, codes)] = n
+    block = lm_score.Block(held, counts)
+    return block.logs(lm_score.Upper(*block.top()))[np.searchsorted(held, asked)]
+
+
+def test_next_byte_chances_sum_to_one():
+    """After contexts that are met often, once, in their latest bytes only, and never."""
+    train = [b"the hill and the hollow", b"over the hill", b"zyx rare", b""] * 3 + [b"alone once"]
+    for context in (b"he hil", b"lone o", b"!!!hil", b"\x01\x02\x03\x04\x05\x06", b"\xff" * 6):
+        asked = (int.from_bytes(context[::-1], "big") << 8) + np.arange(256)
+        assert math.isclose((10 ** tree(train, asked)).sum(), 1, rel_tol=1e-9)
+
+
+def test_long_contexts_sharpen_the_chances():
+    """A byte that always follows six others, and half the time the latest four of them."""
+    train = [b"abcdefg", b"uvcdefh"] * 30
+    after = lambda context, byte: 10 ** tree(
+        train, np.array([int.from_bytes(context[::-1], "big") << 8 | byte])
+    )[0]
+    assert after(b"abcdef", ord("g")) > 0.9 > 0.6 > after(b"xycdef", ord("g")) > 0.4
+    assert after(b"uvcdef", ord("g")) < 0.1
 
 
 def test_weighting_is_the_mean_of_all_prunings():
@@ -281,7 +285,7 @@ def test_every_context_counts_however_seldom(spark, block, monkeypatch):
     assert len(found) == len(texts)
     for r in found:
         data = texts[r["doc_id"]].encode()
-        assert abs(r["score"] - want[data]) <= (len(data) + 1) / lm_score.STEP
+        assert abs(r["score"] - want[data]) <= 1e-6 * (len(data) + 1)
 
 
 def test_a_rare_script_has_contexts_of_its_own(spark):
@@ -297,7 +301,7 @@ def test_a_rare_script_has_contexts_of_its_own(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     (score,) = [r["score"] for r in lm_score.score_texts(docs).collect() if r["doc_id"] == alone]
     size = len(greek.encode()) + 1
-    assert abs(score - plain_tree([greek.encode()], train)[greek.encode()]) <= size / lm_score.STEP
+    assert abs(score - plain_tree([greek.encode()], train)[greek.encode()]) <= 1e-6 * size
     assert -score * math.log2(10) / size < 2.5
 
 
