@@ -20,9 +20,9 @@ FOLDS, HELD_OUT = 7, 2
 DEPTH = 6
 #: Latest bytes of a context that are never parted by two blocks; the tree above is made of sums.
 CUT = 3
-#: Bytes of text of one chunk of texts, and of the corpus for one block of contexts: they say
-#: what a task holds, and no result depends on them.
-CHUNK, BLOCK = 4 << 20, 4 << 20
+#: Bytes of text of one chunk of texts, of the texts of a chunk that are coded at a time, and of
+#: the corpus for one block of contexts: they say what a task holds, and no result depends on them.
+CHUNK, PIECE, BLOCK = 8 << 20, 2 << 20, 4 << 20
 #: Bytes of text that the borders of the blocks are sampled from.
 BORDERS = 8 << 20
 #: Byte that stands before a text and ends it; it is no part of UTF-8.
@@ -104,6 +104,25 @@ def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[order], place[coded.indices.to_numpy()]
 
 
+def places(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The different codes of the texts in order, and the place of each code among them.
+
+    Texts are coded a ``PIECE`` at a time, and the places come piece by piece, so that
+    the codes of all texts never stand side by side.
+    """
+    held, first, size = [], 0, 0
+    for i, text in enumerate(texts, 1):
+        size += len(text) + 1
+        if size >= PIECE or i == len(texts):
+            held.append(distinct(context_codes(texts[first:i])))
+            first, size = i, 0
+    if not held:
+        return np.zeros(0, np.int64), []
+    codes, at = distinct(np.concatenate([found for found, _ in held]))
+    begin = np.cumsum([0, *(len(found) for found, _ in held)])
+    return codes, [at[b : b + len(found)][place] for b, (found, place) in zip(begin, held, strict=False)]
+
+
 def _stored(values: np.ndarray) -> bytes:
     """Compressed, equal bytes of the numbers next to each other."""
     plain = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
@@ -174,9 +193,11 @@ def _chunks(texts: DataFrame, borders: np.ndarray) -> DataFrame:
     def chunk(key: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
         data = blobs(rows)
-        found, place = distinct(context_codes(data))
+        found, parts = places(data)
         learn = np.repeat(rows.column("train").to_numpy(zero_copy_only=False), [len(t) + 1 for t in data])
-        n = np.bincount(place[learn], minlength=len(found))
+        n = np.zeros(len(found), np.int64)
+        for place, train in zip(parts, np.split(learn, np.cumsum([len(p) for p in parts])), strict=False):
+            n += np.bincount(place[train], minlength=len(found))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_batch(rows)
@@ -481,8 +502,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
         cells = dict(zip(source.column("block").to_pylist(), source.column("data").to_pylist(), strict=True))
         docs = pa.ipc.open_stream(cells.pop(-1)).read_all().combine_chunks().to_batches()[0]
         data = blobs(docs)
-        _, place = distinct(context_codes(data))
-        logs = np.concatenate([_loaded(cells.pop(block), np.float32) for block in sorted(cells)])[place]
+        _, parts = places(data)
+        logs = np.concatenate([_loaded(cells.pop(block), np.float32) for block in sorted(cells)])
+        logs = np.concatenate([logs[place] for place in parts])
         begin = np.cumsum([0, *(len(t) + 1 for t in data[:-1])])
         scores = np.add.reduceat(logs, begin, dtype=np.float64)
         pa.default_memory_pool().release_unused()

@@ -197,6 +197,17 @@ def tree(train, asked):
     return block.logs(lm_score.Upper(*block.top()))[np.searchsorted(held, asked)]
 
 
+def test_codes_do_not_depend_on_pieces(monkeypatch):
+    texts = [b"one two", b"", b"two one two", b"x" * 50, b""]
+    want, (whole,) = lm_score.places(texts)
+    assert (want[whole] == lm_score.context_codes(texts)).all()
+    for piece in (1, 9, 30):
+        monkeypatch.setattr(lm_score, "PIECE", piece)
+        found, parts = lm_score.places(texts)
+        assert len(parts) > 1 and (found == want).all() and (np.concatenate(parts) == whole).all()
+    assert lm_score.places([])[1] == []
+
+
 def test_next_byte_chances_sum_to_one():
     """After contexts that are met often, once, in their latest bytes only, and never."""
     train = [b"the hill and the hollow", b"over the hill", b"zyx rare", b""] * 3 + [b"alone once"]
@@ -275,6 +286,7 @@ def plain_tree(texts, train, depth=6):
 def test_every_context_counts_however_seldom(spark, block, monkeypatch):
     """Long common texts, and passages that a few training texts share."""
     monkeypatch.setattr(lm_score, "BLOCK", block)
+    monkeypatch.setattr(lm_score, "PIECE", block)
     rng = np.random.default_rng(4)
     common = [" ".join(rng.choice(["over", "under", "the", "hill", "and"], 40)) for _ in range(30)]
     texts = [f"{t} {'rare zyx' if i % 9 == 0 else ''} {i}" for i, t in enumerate(common)] + ["", "zyx rare", "Q"]
