@@ -29,7 +29,7 @@ LEAST_WEIGHT = 4.0
 STEMS = (4, 5, 6)
 
 # fixed values: letters that look alike, and digits and signs that stand for letters
-_ALIKE = dict(zip("абвгдезиклмнорстухьіјѕԁԛԝαβγεικνορτυχω", "a6brae3nkmmhopctyxbijsdqwabyeiknoptuxw", strict=False))
+_ALIKE = dict(zip("авекмнорстухьіјѕԁԛԝαβγεικνορτυχω", "abekmhopctyxbijsdqwabyeiknoptuxw", strict=True))
 _DIGITS = dict(zip("0134578@$!", "oieastbasi", strict=True))
 _WIDE = {0xFF01 + i: 0x21 + i for i in range(94)}
 _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])

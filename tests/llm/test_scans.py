@@ -247,3 +247,14 @@ def test_languages_without_training(no_docs, spark):
     pages = spark.createDataFrame([(1, "http://a.b/", "<p>x</p>")], "page_id long, url string, html string")
     (row,) = langid.identify(no_docs, pages).collect()
     assert (row["page_id"], row["lang"]) == (1, None)
+
+
+def test_folding_maps_to_letters_and_parts_no_word():
+    for letter, to in toxicity._ALIKE.items():
+        assert "a" <= to <= "z" and toxicity.fold(f"x{letter}y") == [f"x{to}y"]
+    for digit, to in toxicity._DIGITS.items():
+        assert toxicity.fold(f"x{digit}y") == [f"x{to}y"]
+    for letter in map(chr, [*range(0x3B1, 0x3CA), *range(0x430, 0x460)]):
+        assert len(toxicity.fold(f"x{letter}y")) == 1
+    assert toxicity.fold("бот") == ["бot"]
+    assert toxicity.fold("сор wоrd") == ["cop", "word"]
