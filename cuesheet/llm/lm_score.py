@@ -118,9 +118,12 @@ def places(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
             first, size = i, 0
     if not held:
         return np.zeros(0, np.int64), []
-    codes, at = distinct(np.concatenate([found for found, _ in held]))
-    begin = np.cumsum([0, *(len(found) for found, _ in held)])
-    return codes, [at[b : b + len(found)][place] for b, (found, place) in zip(begin, held, strict=False)]
+    if len(held) == 1:
+        return held[0][0], [held[0][1]]
+    codes = np.concatenate([found for found, _ in held])
+    codes.sort(kind="stable")  # merges what is in order already
+    codes = codes[np.r_[True, codes[1:] != codes[:-1]]]
+    return codes, [np.searchsorted(codes, found).astype(np.int32)[place] for found, place in held]
 
 
 def _stored(values: np.ndarray) -> bytes:
