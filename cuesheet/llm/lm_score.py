@@ -22,7 +22,7 @@ DEPTH = 6
 CUT = 3
 #: Bytes of text of one chunk of texts, of the texts of a chunk that are coded at a time, and of
 #: the corpus for one block of contexts: they say what a task holds, and no result depends on them.
-CHUNK, PIECE, BLOCK = 8 << 20, 2 << 20, 4 << 20
+CHUNK, PIECE, BLOCK = 8 << 20, 4 << 20, 4 << 20
 #: Bytes of text that the borders of the blocks are sampled from.
 BORDERS = 8 << 20
 #: Byte that stands before a text and ends it; it is no part of UTF-8.
