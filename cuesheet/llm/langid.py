@@ -8,14 +8,17 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blobs, table, written
+from .common import blobs, numbered, table, written
 
 FOLDS = 5
-#: Training rows of one language and languages at most.
-SAMPLE, LANGUAGES = 2_000, 100
+#: Training rows of one language at most.
+SAMPLE = 2_000
+#: Languages of one scan of the texts (13 MB of chances); more languages take more scans.
+BLOCK = 100
 #: Bits of the hash that part the rows of a language before the last few are ranked.
 PARTS = 12
 #: Hash buckets of byte triples.
@@ -72,44 +75,39 @@ def first_ids(known: DataFrame, most: int) -> DataFrame:
     """
     place = F.xxhash64("doc_id")
     rows = known.select("lang", "doc_id", F.shiftright(place, 64 - PARTS).alias("part"))
-    sizes: dict[str, list[tuple[int, int]]] = {}
-    for r in rows.groupBy("lang", "part").agg(F.count("*").alias("n")).collect():
-        sizes.setdefault(r["lang"], []).append((r["part"], r["n"]))
-    cuts = []
-    for lang, parts in sizes.items():
-        room = most
-        for part, n in sorted(parts):
-            if n >= room:
-                break
-            room -= n
-        cuts.append((lang, part, room))
-    cut = F.broadcast(known.sparkSession.createDataFrame(cuts, "lang string, cut long, room long"))
-    rows = rows.join(cut, "lang").where("part <= cut")
+    upto = Window.partitionBy("lang").orderBy("part").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )  # at most 2^PARTS counts of a language
+    sizes = rows.groupBy("lang", "part").agg(F.count("*").alias("n")).withColumn(
+        "upto", F.sum("n").over(upto)
+    )
+    cuts = written(
+        sizes.where(F.lit(most).between(F.col("upto") - F.col("n") + 1, F.col("upto"))).select(
+            "lang", F.col("part").alias("cut"), (most - (F.col("upto") - F.col("n"))).alias("room")
+        ),
+        "cuts",
+    )  # a row for each language with ``most`` rows
+    rows = rows.join(cuts, "lang", "left").where("cut is null or part <= cut")
     order = Window.partitionBy("lang").orderBy(place, "doc_id").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     last = rows.where("part = cut").groupBy("lang", "doc_id", "room").agg(F.count("*").alias("n"))
     last = last.withColumn("upto", F.sum("n").over(order)).where("upto - n < room")
-    return rows.where("part < cut").select("doc_id").unionByName(last.select("doc_id")).distinct()
+    early = rows.where("cut is null or part < cut").select("doc_id")
+    return early.unionByName(last.select("doc_id")).distinct()
 
 
-def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and log chances of the triple buckets, from a bounded sample.
+def learn(docs: DataFrame) -> tuple[list[str], list[Broadcast]]:
+    """Languages and log chances of the triple buckets, in blocks of ``BLOCK`` languages.
 
-    At most ``SAMPLE`` training rows of each of the ``LANGUAGES`` commonest languages, the
-    first by a hash of the id; their texts are read whole.
+    Every language that has a training row is one; it is learned from at most ``SAMPLE``
+    training rows, the first by a hash of the id, whose texts are read whole. The driver
+    holds one block at a time. Without training rows there is one block of no language.
     """
     known = docs.where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     )
-    names = [
-        r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    ]
-    names.sort()
-    if not names:
-        return [], np.zeros((0, BUCKETS), np.float32)
-    ids = first_ids(known.where(F.col("lang").isin(names)), SAMPLE)
+    ids = written(first_ids(known, SAMPLE), "sample")
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -135,46 +133,67 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             )
 
     ddl = "lang string, counts binary"
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id")
+    sample = known.select("doc_id", "lang", "text").join(ids, "doc_id")
     summed = sample.select("lang", "text").mapInArrow(count, ddl).repartition("lang").mapInArrow(add, ddl)
-    total = np.zeros((len(names), BUCKETS), np.float64)
-    for r in summed.toLocalIterator():
-        if r["lang"] in names:
-            total[names.index(r["lang"])] += np.frombuffer(r["counts"], np.int64)
-    smooth = total + 0.5
-    return names, np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
+    names, blocks, held = [], [], []
+
+    def close() -> None:
+        logs = np.log(np.stack(held)).astype(np.float32) if held else np.zeros((0, BUCKETS), np.float32)
+        blocks.append(docs.sparkSession.sparkContext.broadcast(logs))
+        held.clear()
+
+    for r in summed.orderBy("lang").toLocalIterator():
+        smooth = np.frombuffer(r["counts"], np.int64) + 0.5
+        names.append(r["lang"])
+        held.append(smooth / smooth.sum())
+        if len(held) == BLOCK:
+            close()
+    if held or not blocks:
+        close()
+    return names, blocks
 
 
 _ROW = [
     ("kind", pa.string()), ("id", pa.int64()), ("host", pa.string()), ("suffix", pa.string()),
-    ("declared", pa.string()), ("text", pa.list_(pa.float64())),
+    ("declared", pa.string()), ("row", pa.int64()), ("text", pa.list_(pa.float64())),
+    ("best", pa.float64()),
 ]
-_DDL = "kind string, id long, host string, suffix string, declared string, text array<double>"
+_DDL = (
+    "kind string, id long, host string, suffix string, declared string, row long, "
+    "text array<double>, best double"
+)
+
 
+def likelihoods(chances: np.ndarray, data: bytes) -> np.ndarray:
+    """Log likelihoods of a text; a long one is counted first, so memory has a bound."""
+    at = triples(data)
+    share = min(1.0, WEIGHT / max(1, len(at)))
+    if len(at) <= BUCKETS:
+        return chances[:, at].sum(axis=1, dtype=np.float64) * share
+    return chances.astype(np.float64) @ np.bincount(at, minlength=BUCKETS) * share
 
-def _evidence(rows: DataFrame, names: list[str], chances: np.ndarray, pages: bool) -> DataFrame:
-    """Per row the log likelihoods of its text, what it declares and where it is from."""
-    shared = rows.sparkSession.sparkContext.broadcast(chances)
+
+def _scan(rows: DataFrame, known: set[str], block: Broadcast, pages: bool) -> DataFrame:
+    """Per row its evidence for one block of languages, as distances from the ``best`` of them."""
     schema = pa.schema(_ROW)
-    known = set(names)
 
     def look(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chances = shared.value
+        chances = block.value
         for batch in source:
             out: list[list] = [[] for _ in schema.names]
-            columns = [batch.column(n).to_pylist() for n in ("id", "place")]
-            for key, place, data in zip(*columns, blobs(batch, "content"), strict=True):
+            columns = [batch.column(n).to_pylist() for n in ("id", "place", "row")]
+            for key, place, row, data in zip(*columns, blobs(batch, "content"), strict=True):
                 host, suffix, says = place or "", "", None
                 if pages:
                     host, suffix = address(place)
                     says = declared(data)
                     says = "none" if says is None else says if says in known else "other"
                     data = visible(data)
-                at = triples(data)
-                sums = chances[:, at].sum(axis=1, dtype=np.float64) * min(1.0, WEIGHT / max(1, len(at)))
+                sums = likelihoods(chances, data)
+                best = float(sums.max()) if len(sums) else 0.0
                 values = (
-                    "page" if pages else "document", key, host, suffix, says or "none",
-                    (sums - sums.max()).tolist() if len(sums) else [],
+                    "page" if pages else "document", key, host, suffix, says or "none", row,
+                    (sums - best).tolist(), best,
                 )
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
@@ -182,7 +201,35 @@ def _evidence(rows: DataFrame, names: list[str], chances: np.ndarray, pages: boo
                 [pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema
             )
 
-    return rows.select("id", "place", "content").mapInArrow(look, _DDL)
+    return rows.select("id", "place", "content", "row").mapInArrow(look, _DDL)
+
+
+def _evidence(rows: DataFrame, names: list[str], blocks: list[Broadcast], pages: bool) -> DataFrame:
+    """Per row the log likelihoods of its text, what it declares and where it is from.
+
+    Each block of languages is one scan of the texts; several scans meet by row numbers.
+    """
+    known = set(names)
+    if len(blocks) == 1:
+        plain = rows.withColumn("row", F.lit(0).cast("long"))
+        return _scan(plain, known, blocks[0], pages).drop("row", "best")
+    stored, row = numbered(rows)
+    stored = stored.withColumnRenamed(row, "row")
+    found = None
+    for i, block in enumerate(blocks):
+        part = written(_scan(stored, known, block, pages), "scan").withColumnsRenamed(
+            {"text": f"text{i}", "best": f"best{i}"}
+        )
+        found = found.join(part.select("row", f"text{i}", f"best{i}"), "row") if found else part
+    top = F.greatest(*(f"best{i}" for i in range(len(blocks))))
+
+    def moved(i: int) -> Column:
+        return F.transform(f"text{i}", lambda x: x + (F.col(f"best{i}") - F.col("top")))
+
+    return found.withColumn("top", top).select(
+        "kind", "id", "host", "suffix", "declared",
+        F.concat(*map(moved, range(len(blocks)))).alias("text"),
+    )
 
 
 def _sums(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
@@ -214,7 +261,7 @@ def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
     host is smoothed with its like. Without documents that have a language, ``lang`` is
     null. Frequent hosts and suffixes meet their priors in joins that Spark may split.
     """
-    names, chances = learn(docs)
+    names, blocks = learn(docs)
     size = len(names)
     as_docs = docs.select(
         F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("place"),
@@ -224,8 +271,8 @@ def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
         F.col("page_id").cast("long").alias("id"), F.col("url").cast("string").alias("place"),
         F.col("html").alias("content"),
     )
-    rows = _evidence(as_docs, names, chances, False).unionByName(
-        _evidence(as_pages, names, chances, True)
+    rows = _evidence(as_docs, names, blocks, False).unionByName(
+        _evidence(as_pages, names, blocks, True)
     )
     ids = [
         F.when(F.col("kind") == kind, F.col("id")).alias(name)
@@ -257,7 +304,7 @@ def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
             F.zip_with("sums", "kind_sums", lambda s, t: (s + PRIOR / (size + 2)) / (t + PRIOR)),
             lambda p: F.log(p),
         ).alias("by_declared"),
-    )  # at most two kinds of languages + 2 rows
+    )  # for both kinds a row per language, and two more
     suffixes = _sums(rows, ["kind", "suffix"], size).join(F.broadcast(everything), "kind").select(
         "kind", "suffix", _smoothed(F.col("sums"), F.col("n"), F.col("top")).alias("by_suffix")
     )

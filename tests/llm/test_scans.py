@@ -3,6 +3,8 @@
 import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -227,6 +229,97 @@ def test_languages(spark):
             assert r["lang"] == ({100: "aa", 101: "bb"}.get(r["page_id"]) or ["aa", "bb"][r["page_id"] % 2])
 
 
+def plain_languages(docs, pages):
+    """The chances of :func:`langid.identify`, one row after the other."""
+    def buckets(data):
+        data = b" " + bytes(b + 32 if 65 <= b <= 90 else b for b in data) + b" "
+        codes = (data[i] << 16 | data[i + 1] << 8 | data[i + 2] for i in range(len(data) - 2))
+        return [(c * 2654435761 % 2**32) >> 17 for c in codes]
+
+    counts = {}
+    for i, text, lang, _ in docs:
+        if lang is not None and i is not None and zlib.crc32(str(i).encode()) % 5:
+            counts.setdefault(lang, Counter()).update(buckets((text or "").encode()))
+    names = sorted(counts)
+    size, rows = len(names), []
+    for kind, table in (("document", docs), ("page", pages)):
+        for row in table:
+            data, host, suffix, says = (row[1] or "").encode(), row[-1] or "", "", "none"
+            if kind == "page":
+                data = (row[2] or "").encode()
+                host, suffix = langid.address(row[1])
+                says = langid.declared(data)
+                says = "none" if says is None else says if says in names else "other"
+                data = langid.visible(data)
+            at = buckets(data)
+            logs = []
+            for lang in names:
+                n = sum(counts[lang].values()) + 0.5 * 32768
+                logs.append(sum(math.log((counts[lang][b] + 0.5) / n) for b in at) * min(1, 40 / max(1, len(at))))
+            share = [math.exp(x - max(logs)) for x in logs]
+            rows.append((kind, row[0], host, suffix, says, logs, [x / sum(share) for x in share]))
+
+    def sums(key):
+        found = {}
+        for row in rows:
+            held = found.setdefault(key(row), [0, [0.0] * size])
+            held[0] += 1
+            held[1] = [a + b for a, b in zip(held[1], row[6])]
+        return found
+
+    kinds, says = sums(lambda r: r[0]), sums(lambda r: (r[0], r[4]))
+    suffixes, hosts = sums(lambda r: (r[0], r[3])), sums(lambda r: (r[0], r[3], r[2]))
+    out = []
+    for kind, key, host, suffix, said, logs, share in rows:
+        scores = []
+        for j in range(size):
+            (nk, sk), (nx, sx), (nh, sh) = kinds[kind], suffixes[kind, suffix], hosts[kind, suffix, host]
+            top = (sk[j] + 4 / size) / (nk + 4)
+            by_suffix = (sx[j] + 4 * top) / (nx + 4)
+            prior = (max(sh[j] - share[j], 0) + 4 * by_suffix) / (nh - 1 + 4)
+            by_declared = (says[kind, said][1][j] + 4 / (size + 2)) / (sk[j] + 4)
+            scores.append(logs[j] + math.log(by_declared) + math.log(prior))
+        best = max(scores)
+        chance = 1 / sum(math.exp(x - best) for x in scores)
+        out.append((kind, key, names[scores.index(best)], chance))
+    return out
+
+
+@pytest.mark.parametrize("block", [100, 2, 1])
+def test_chances_of_languages_are_those_of_plain_code(spark, block, monkeypatch):
+    """Every language that has training rows is one, whatever the size of a block."""
+    monkeypatch.setattr(langid, "BLOCK", block)
+    rng = random.Random(block)
+    letters = {"aa": "abcde", "bb": "cdefg", "cc": "efghi", "dd": "абвгд", "ee": "ab漢字"}
+
+    def text(lang, k):
+        return " ".join("".join(rng.choice(letters[lang]) for _ in range(3)) for _ in range(k))
+
+    docs = [
+        (i, text(lang, rng.randint(0, 4)), lang if i % 7 else None, f"s{rng.randrange(4)}")
+        for i, lang in enumerate([*letters] * 12)
+    ]
+    docs += [(3, "abc", "aa", "s1")] * 3 + [(None, None, None, None), (900, "", "bb", ""), (901, "ab " * 20_000, None, "s0")]
+    pages = [
+        (i, f"http://h{rng.randrange(3)}.{rng.choice('xy')}/p", f'<html lang="{rng.choice(["aa", "bb", "zz"])}"><p>{text(lang, 2)}')
+        for i, lang in enumerate([*letters] * 6)
+    ]
+    pages += [(77, "http://1.2.3.4/", "<p>abc"), (78, None, None), (None, "nothing", ""), (79, "http://h0.x/", "")]
+    found = langid.identify(
+        spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"),
+        spark.createDataFrame(pages, "page_id long, url string, html string"),
+    ).collect()
+
+    got = sorted(
+        (("document", r["doc_id"]) if r["doc_id"] is not None else ("page", r["page_id"])) + (r["lang"], r["chance"])
+        for r in found if r["doc_id"] is not None or r["page_id"] is not None
+    )
+    want = sorted(r for r in plain_languages(docs, pages) if r[1] is not None)
+    assert len(found) == len(docs) + len(pages) and len({r[2] for r in got}) == 5
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=1e-4)
+
+
 def test_language_sample_is_the_first_rows_by_hash(spark):
     """2,000 rows of a common language, repeated ids counted, all of a rare one."""
     assert langid.SAMPLE >= 2_000
@@ -236,7 +329,7 @@ def test_language_sample_is_the_first_rows_by_hash(spark):
     placed = sorted(
         (r["h"], r["doc_id"]) for r in known.where("lang = 'aa'").select("doc_id", F.xxhash64("doc_id").alias("h")).collect()
     )
-    for most in (1, 299, 2_000, 6_549, 6_550, 7_000):
+    for most in (1, 299, 300, 301, 2_000, 6_549, 6_550, 6_551, 7_000):
         found = [r["doc_id"] for r in langid.first_ids(known, most).collect()]
         rare = [i for i in found if i >= 10_000]
         assert len(found) == len(set(found)) and len(rare) == min(most, 300)
