@@ -5,8 +5,9 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import patterns as P
 
@@ -170,6 +171,35 @@ def fold_width(c: Column) -> Column:
     return F.when(c.rlike(r"[\x{FF01}-\x{FF9F}\x{3000}]"), folded).otherwise(c)
 
 
+# blocks whose characters are their own compatibility form and join with none before them
+_OWN_FORM = (
+    r"\x00-\x7F\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2023}\x{2190}-\x{21FF}\x{2500}-\x{27BF}"
+    r"\x{3001}-\x{3029}\x{3041}-\x{3096}\x{30A1}-\x{30FE}\x{4E00}-\x{9FFF}\x{1F300}-\x{1F64F}"
+)
+
+
+def with_nfkc(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add ``name``: the Unicode compatibility form of ``value``; Spark has no function for it.
+
+    Widths are folded in the JVM. Only texts that are left with a character outside the plain
+    blocks go to Python, the others as nulls.
+    """
+
+    def fold(texts):
+        import unicodedata
+
+        import pyarrow as pa
+
+        return pa.array(
+            [None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()],
+            pa.string(),
+        )
+
+    wide = df.withColumn(name, fold_width(value))
+    other = F.when(F.col(name).rlike(f"[^{_OWN_FORM}]"), F.col(name))
+    return wide.withColumn(name, F.coalesce(F.arrow_udf(fold, StringType())(other), F.col(name)))
+
+
 # --- loose comparison --------------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ from ..functions import skew
 from ..functions.memo import per_context
 from ..functions.rows import explode_rows
 from ..functions.text import (
-    clean_lines, first_match, fold_width, let, loose_key, normalize, seconds_of, strip, sub,
+    clean_lines, first_match, let, loose_key, normalize, seconds_of, strip, sub, with_nfkc,
 )
 from ..functions.titles import TRACK_TYPE, drop_latin_suffix, drop_transliterations, track
 from ..session import written
@@ -235,9 +235,37 @@ def parse_response_tracks(responses: DataFrame, text: str = "response") -> DataF
 _PAREN_TAIL = r"[(（]([^()（）]{1,30})[)）][" + P.WS_SET + r"]*$"
 
 
-def _merge_reason(source: Column, model: Column, paren_ok: Column, is_song: bool) -> Column:
+#: Control character between the fields of a list in one text.
+_MARK = "\x02"
+
+
+def _folded_fields(df: DataFrame, name: str, tracks: str) -> DataFrame:
+    """Add ``name``: song and performer of each track in their compatibility form.
+
+    Four parts a track: each field, and the field without its bracket at the end. Lists that
+    are not merged by position are left out.
+    """
+    def parts(field: Column) -> Column:
+        plain = F.translate(strip(F.coalesce(field, F.lit(""))), _MARK, "")
+        return F.array(plain, strip(sub(plain, _PAREN_TAIL)))
+
+    listed = F.flatten(
+        F.transform(tracks, lambda t: F.concat(parts(t["song"]), parts(t["artist"])))
+    )
+    merged = (F.size("model") == F.size("source")) & (F.size("model") > 0)
+    return with_nfkc(df, name, F.when(merged, F.array_join(listed, _MARK)))
+
+
+def _with_folded(pairs: DataFrame) -> DataFrame:
+    return _folded_fields(_folded_fields(pairs, "_model", "model"), "_source", "source")
+
+
+def _merge_reason(
+    source: Column, model: Column, source_form: Column, bare_form: Column, model_form: Column,
+    paren_ok: Column, is_song: bool,
+) -> Column:
     """Why a field keeps its value; the name starts with the side that wins."""
-    s_key, m_key = loose_key(fold_width(source)), loose_key(fold_width(model))
+    s_key, m_key, bare = loose_key(source_form), loose_key(model_form), loose_key(bare_form)
     latin = F.length(sub(model, "[^A-Za-z]"))
     cjk = F.length(sub(model, rf"[^{P.CJK_RUN[1:-1]}]"))
     japanese_lost = (
@@ -252,7 +280,6 @@ def _merge_reason(source: Column, model: Column, paren_ok: Column, is_song: bool
         & ~model.rlike(P.JAPANESE) & (s_key != "") & (m_key != "") & (s_key != m_key)
         & F.startswith(longer, shorter) & tail.rlike("^[a-z]{1,3}$")
     )
-    bare = loose_key(fold_width(strip(sub(source, _PAREN_TAIL))))
     inner = first_match(source, _PAREN_TAIL, 1)
     if is_song:
         paren = paren_ok & (bare != "") & (bare == m_key) & inner.rlike(P.CJK_RUN) & ~inner.rlike("[A-Za-z]")
@@ -272,8 +299,13 @@ def _merge_reason(source: Column, model: Column, paren_ok: Column, is_song: bool
     )
 
 
-def merged_by_position(model: Column, source: Column) -> Column:
-    """Array of merged tracks with ``song_reason`` and ``artist_reason``."""
+def merged_by_position(
+    model: Column, source: Column, model_forms: Column, source_forms: Column
+) -> Column:
+    """Array of merged tracks with ``song_reason`` and ``artist_reason``.
+
+    The forms are those of :func:`_folded_fields`, four a track.
+    """
     cjk_tail = lambda t: (
         first_match(t["song"], _PAREN_TAIL, 1).rlike(P.CJK_RUN)
         & ~first_match(t["song"], _PAREN_TAIL, 1).rlike("[A-Za-z]")
@@ -284,10 +316,17 @@ def merged_by_position(model: Column, source: Column) -> Column:
     )
     text = lambda c: strip(F.coalesce(c, F.lit("")))
 
-    def merge(m: Column, s: Column, paren_ok: Column) -> Column:
+    def merge(m: Column, s: Column, i: Column, paren_ok: Column) -> Column:
+        s_form = lambda k: F.get(source_forms, i * 4 + k)
+        m_form = lambda k: F.get(model_forms, i * 4 + k)
+
         def fields(f: Column) -> Column:
-            song_r = _merge_reason(f["ss"], f["ms"], paren_ok, True)
-            artist_r = _merge_reason(f["sa"], f["ma"], F.lit(True), False)
+            song_r = _merge_reason(
+                f["ss"], f["ms"], s_form(0), s_form(1), m_form(0), paren_ok, True
+            )
+            artist_r = _merge_reason(
+                f["sa"], f["ma"], s_form(2), s_form(3), m_form(2), F.lit(True), False
+            )
             pick = lambda r, src, mod: F.when(F.startswith(r, F.lit("model")), mod).otherwise(src)
             return let(
                 F.struct(song_r.alias("s"), artist_r.alias("a")),
@@ -311,7 +350,7 @@ def merged_by_position(model: Column, source: Column) -> Column:
         )
 
     return let(
-        few, lambda ok: F.zip_with(model, source, lambda m, s: merge(m, s, ok))
+        few, lambda ok: F.transform(model, lambda m, i: merge(m, F.get(source, i), i, ok))
     )
 
 
@@ -328,13 +367,15 @@ def pair_lists(model: DataFrame, source: DataFrame, key: str = "video_id") -> Da
 
 @per_context
 def _merged_pair(model: str, source: str) -> Column:
+    """For a table of :func:`_with_folded`."""
     m, s = F.col(model), F.col(source)
+    m_forms, s_forms = F.split(F.col(f"_{model}"), _MARK), F.split(F.col(f"_{source}"), _MARK)
     reasoned = F.transform(
         m,
         lambda t: t.withField("song_reason", F.lit("model:counts_differ"))
         .withField("artist_reason", F.lit("model:counts_differ")),
     )
-    return F.when((F.size(m) == F.size(s)) & (F.size(m) > 0), merged_by_position(m, s)).otherwise(
+    return F.when((F.size(m) == F.size(s)) & (F.size(m) > 0), merged_by_position(m, s, m_forms, s_forms)).otherwise(
         reasoned
     )
 
@@ -346,7 +387,7 @@ def reconcile(pairs: DataFrame) -> DataFrame:
     different length keep the model rows.
     """
     keep = [c for c in pairs.columns if c not in ("model", "source")]
-    rows = explode_rows(pairs, _merged_pair("model", "source"), keep, "t")
+    rows = explode_rows(_with_folded(pairs), _merged_pair("model", "source"), keep, "t")
     return rows.select(*keep, "t.*")
 
 
@@ -390,6 +431,7 @@ def choose_result(
         F.col("chosen") == "source", F.col("source")
     )
     if policy == "strict":
+        picked = _with_folded(picked)
         lists = lists.when(F.col("chosen") == "merged", _plain_merged("model", "source"))
     out = [*keep, "chosen", F.coalesce(lists, F.array().cast(TRACKS)).alias("tracks")]
     if raw_text:

@@ -16,8 +16,8 @@ from ..functions.memo import per_context
 from ..functions.rows import explode_rows
 from ..session import written
 from ..functions.text import (
-    clean_lines, fold_width, let, logical_lines, markers, normalize, section_key, seconds_of,
-    strip, sub,
+    clean_lines, let, logical_lines, markers, normalize, section_key, seconds_of,
+    strip, sub, with_nfkc,
 )
 from ..functions.titles import (
     drop_line_lead, drop_quotes, drop_tree, drop_trailing_marks, drop_weird_lead, first_time,
@@ -206,24 +206,34 @@ def classify_songlist_comments(
 # --- setlist section -----------------------------------------------------------------
 
 
-def _heading_key(line: Column) -> Column:
-    key = section_key(drop_tree(sub(fold_width(line), rf"^(?:[{P.LEAD_SET}]*(?:{P.EMOJI}|{P.ICON_MARKS}))+{W}*")))
+_HEADING_LEAD = rf"^(?:[{P.LEAD_SET}]*(?:{P.EMOJI}|{P.ICON_MARKS}))+{W}*"
+
+
+def _heading_key(head: Column) -> Column:
+    key = section_key(drop_tree(sub(head, _HEADING_LEAD)))
     return strip(sub(key, rf"[【】\[\]［］()（）<>＜＞《》〈〉「」『』#＃&＆＋+]|{P.EMOJI}"))
 
 
-def section_lines(lines: Column) -> Column:
-    """Lines after the last setlist heading, up to the next other heading."""
+def section_lines(lines: Column, heads: Column) -> Column:
+    """Lines after the last setlist heading, up to the next other heading.
+
+    ``heads``: the same lines in their compatibility form, without icons at their beginning.
+    """
     timeless = lambda l: first_time(l) == ""
-    setlist = lambda l: (
-        _heading_key(l).rlike(rf"(?i)^{P.words(P.SETLIST_HEADINGS)}$")
+    setlist = lambda l, head: (
+        _heading_key(head).rlike(rf"(?i)^{P.words(P.SETLIST_HEADINGS)}$")
         & timeless(l) & split_fields(drop_tree(l)).isNull()
     )
-    other = lambda l: timeless(l) & _heading_key(l).rlike(rf"(?i)^{P.words(P.OTHER_HEADINGS)}$")
-    start = F.array_max(F.transform(lines, lambda l, i: F.when(setlist(markers(l)), i)))
+    other = lambda l, head: timeless(l) & _heading_key(head).rlike(rf"(?i)^{P.words(P.OTHER_HEADINGS)}$")
+    start = F.array_max(
+        F.transform(lines, lambda l, i: F.when(setlist(markers(l), F.get(heads, i)), i))
+    )
 
-    def until_stop(tail: Column) -> Column:
+    def until_stop(tail: Column, first: Column) -> Column:
         stop = F.array_min(
-            F.transform(tail, lambda l, i: F.when((i > 0) & other(markers(l)), i))
+            F.transform(
+                tail, lambda l, i: F.when((i > 0) & other(markers(l), F.get(heads, first + i)), i)
+            )
         )
         return let(
             F.coalesce(stop, F.size(tail)),
@@ -233,20 +243,23 @@ def section_lines(lines: Column) -> Column:
     return let(
         start,
         lambda s: F.when(s.isNull(), lines).otherwise(
-            let(F.slice(lines, s + 2, F.size(lines)), until_stop)
+            let(F.slice(lines, s + 2, F.size(lines)), lambda tail: until_stop(tail, s + 1))
         ),
     )
 
 
 @per_context
-def _section_of(lines: str) -> Column:
-    return section_lines(F.col(lines))
+def _section_of(lines: str, heads: str) -> Column:
+    return section_lines(F.col(lines), F.split(F.col(heads), "\n"))
 
 
 def select_setlist_section(comments: DataFrame, text: str = "text") -> DataFrame:
     """Add ``lines`` cut down to the preferred section."""
     src = comments if "lines" in comments.columns else with_lines(comments, text)
-    return src.withColumn("lines", _section_of("lines"))
+    # one text, as functions in Python cannot be called for elements of an array
+    heads = F.array_join(F.transform("lines", lambda l: sub(markers(l), _HEADING_LEAD)), "\n")
+    named = with_nfkc(src, "_heads", heads)
+    return named.withColumn("lines", _section_of("lines", "_heads")).drop("_heads")
 
 
 # --- ranking --------------------------------------------------------------------------

@@ -260,6 +260,18 @@ def test_wide_letters_compare_equal(lists):
     assert [(r.song, r.song_reason) for r in merged] == [("Ｂｌｕｅ", "model:latin_tail")]
 
 
+def test_styled_letters_compare_equal(lists):
+    source = lists({1: [(1, "𝐁𝐥𝐮𝐞!", "㍿ x"), (2, "冬（原曲㈱）", "é")]})
+    model = lists({1: [(1, "Blue", "株式会社 x"), (2, "冬", "e\u0301")]})
+    merged = second_pass.reconcile(second_pass.pair_lists(model, source)).orderBy("item_pos").collect()
+    assert [(r.song, r.song_reason) for r in merged] == [
+        ("𝐁𝐥𝐮𝐞!", "source:fuller_spelling"), ("冬（原曲㈱）", "source:bracket_suffix"),
+    ]
+    pairs = second_pass.pair_lists(model, source)
+    (row,) = second_pass.choose_result(pairs, "strict").collect()
+    assert row.chosen in ("merged", "source") and "_model" not in row.asDict()
+
+
 def test_numbered_source_wins(spark, lists):
     model = lists({1: [(1, "a", "A"), (2, "b", "B"), (3, "c", "C")]})
     source = lists({1: [(1, "a", "A"), (2, "b", "B")]})

@@ -132,6 +132,30 @@ def test_section_headings_of_any_width(spark):
     assert [r.lines for r in got] == [["1:00 c / d"]] * 2
 
 
+def test_section_headings_in_styled_letters(spark):
+    """Headings are compared in their compatibility form, combined marks and all."""
+    texts = [
+        "雑談\n0:10 a / b\n🎵𝐒𝐞𝐭𝐥𝐢𝐬𝐭\n1:00 c / d\n雑談\n2:00 e / f", "0:10 a / b\nⓈⓔⓣⓛⓘⓢⓣ\n1:00 c / d",
+        "0:10 a / b\n【セ\u200bトリ】\n1:00 c / d".replace("\u200b", ""), "0:10 a / b",
+    ]
+    got = text.select_setlist_section(comments(spark, texts)).orderBy("comment_id").collect()
+    assert [r.lines for r in got] == [["1:00 c / d"]] * 3 + [["0:10 a / b"]]
+
+
+def test_compatibility_form(spark):
+    import random
+    import unicodedata
+
+    rng = random.Random(4)
+    pool = [chr(c) for c in range(1, 0x1FBFF) if not 0xD800 <= c <= 0xDFFF]
+    marks = ["か", "\u3099", "ｶ", "ﾞ", "é", "e", "\u0301", "㌔", "㈱", "½", "　", "가", "\u11a8", "a", " "]
+    texts = ["".join(rng.choice(marks if rng.random() < 0.5 else pool) for _ in range(8)) for _ in range(3000)]
+    texts += ["plain", "曲名 / 歌手", "", None, *(a + b for a in marks for b in marks)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in X.with_nfkc(df, "form", F.col("t")).collect():
+        assert r.form == (None if r.t is None else unicodedata.normalize("NFKC", r.t)), ascii(r.t)
+
+
 def test_width(one):
     assert one(X.fold_width, ["Ａｂ１！", "ｶﾞﾗｽﾊﾟﾝ", "ｾﾄﾘ　x", "plain", None]) == ["Ab1!", "ガラスパン", "セトリ x", "plain", None]
 
