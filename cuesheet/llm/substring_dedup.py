@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, table, text_key, written
+from .common import blobs, numbered, table, text_key, written
 from .recompress import BREAK, Sums, segments, word_names
 
 #: Words of a window.
@@ -270,6 +270,40 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return clean.unionByName(stripped)
 
 
+def drop_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``docs`` without the words that :func:`remove_repeats` counts, all columns and rows kept.
+
+    A text that loses words becomes its kept words joined by one space (empty if none is
+    left); every other text, null and empty ones too, stays as it is. Rows are known by a
+    written number, so repeated ids and null ids stay apart; any other column may be there.
+    """
+    names = docs.columns
+    stored, row = numbered(docs)
+    texts, ranges = repeated_ranges(stored.select(F.col(row).alias("doc_id"), "text"), width)
+    hit = texts.join(ranges, "row").select(
+        F.col("doc_id").alias(row), F.col("ranges").alias(f"{row}_ranges")
+    )
+
+    def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            column, texts = [], batch.column("text")
+            at = batch.column(f"{row}_ranges").to_pylist()
+            for text, data, ranges in zip(texts.to_pylist(), blobs(batch), at, strict=True):
+                if ranges:
+                    words = data.split()
+                    gone = np.zeros(len(words), bool)
+                    for r in ranges:
+                        gone[r["from"] : r["to"]] = True
+                    text = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode()
+                column.append(text)
+            columns = [
+                pa.array(column, texts.type) if name == "text" else batch.column(name) for name in names
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return stored.join(hit, row, "left").mapInArrow(cut, docs.schema)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that are removed as parts of repeated windows."""
     return remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("kept", "kept_sha256")

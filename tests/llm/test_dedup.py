@@ -201,7 +201,22 @@ def test_repeated_windows(docs, rows, chunk, monkeypatch):
     assert sorted(repr(tuple(r)) for r in found.collect()) == plain_repeats(rows, 35)
 
 
+def test_dropping_repeats_keeps_rows_and_columns(docs, rows):
+    found = substring_dedup.drop_repeats(docs)
+    assert found.schema == docs.schema
+    got = {r["row"]: r for r in found.collect()}
+    texts = [split(r[1]) for r in rows]
+    seen = Counter(tuple(w[i : i + 35]) for w in texts for i in range(len(w) - 34))
+    assert len(got) == len(rows)
+    for r, w in zip(rows, texts, strict=True):
+        hit = [i for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1]
+        gone = {k for i in hit for k in range(i, i + 35)}
+        left = b" ".join(x for k, x in enumerate(w) if k not in gone).decode() if hit else r[1]
+        assert tuple(got[r[7]]) == (r[0], left, *r[2:])
+
+
 def test_no_windows(no_docs):
+    assert substring_dedup.drop_repeats(no_docs).count() == 0
     assert substring_dedup.remove_repeats(no_docs).count() == 0
 
 
