@@ -74,10 +74,10 @@ def r01_errors(spark, sf):
 )
 def r02(spark, sf):
     """Comments of a video in order are the versions of its list."""
-    streams.use_rocksdb(spark)
     counts = fx.items(spark, sf).groupBy("video_id", F.col("comment_id").alias("version")).agg(
         F.count("*").cast("int").alias("song_count")
     )
+    counts = written(counts, "versions")
     src, out, ckpt = (shared_dir(spark, f"upgrades-{n}") for n in ("in", "out", "ckpt"))
     # versions arrive in three deliveries, so the published count is read back from the state
     bounds = counts.agg(F.min("version").alias("a"), F.max("version").alias("b")).first()
@@ -86,9 +86,7 @@ def r02(spark, sf):
         counts.where(third == k).repartition(4, "video_id").write.mode("append").parquet(src)
     schema = streams.upgrade_schema(counts.schema["video_id"].dataType.simpleString())
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(src)
-    run = streams.stream_upgrades(stream).writeStream.format("parquet").option("path", out)
-    streams.run_available(run, ckpt)
-    return spark.read.schema(schema).parquet(out)
+    return streams.stream_upgrades(stream, out, ckpt)
 
 
 def _copies(spark, sf):

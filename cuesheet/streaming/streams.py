@@ -82,75 +82,53 @@ def upgrade_schema(key: str = "BIGINT") -> str:
     return f"video_id {key}, version BIGINT, song_count INT"
 
 
-def _first_per_threshold(frame, step):
-    """Rows that can still matter: per video the first version at each threshold.
+def upgrades_of(rows: DataFrame, published: DataFrame, step: int = STEP) -> DataFrame:
+    """Versions among ``rows`` worth publishing behind the ``published`` ones.
 
-    The published count is 0, 1 or 2 whenever a row matters, so only the thresholds 1 and
-    ``step`` + 1 .. 2 ``step`` - 1 exist.
+    Per video only the first version at each threshold can matter: the published count is 0
+    to ``step`` - 1 whenever a row matters, so only 1 and ``step`` + 1 .. 2 ``step`` - 1 are
+    thresholds. Combined before the shuffle, they make a video with very many versions a few
+    numbers per task.
     """
-    import pandas as pd
+    found = F.struct(F.col("version").isNull().alias("late"), "version", "song_count")
+    first = lambda least: F.min(F.when(F.col("song_count") >= least, found))
+    firsts = rows.groupBy("video_id").agg(
+        first(1).alias("_new"), *[first(n + step).alias(f"_from{n}") for n in range(1, step)]
+    )
+    counts = published.groupBy(F.col("video_id").alias("_id")).agg(F.max("song_count").alias("_count"))
+    known = firsts.join(counts, F.col("video_id").eqNullSafe(F.col("_id")), "left")
+    new = F.when(F.col("_count").isNull(), F.col("_new"))
+    longer = F.lit(None)
+    for n in range(1, step):
+        longer = F.when(F.coalesce(F.col("_count"), new["song_count"]) == n, F.col(f"_from{n}")).otherwise(longer)
+    chosen = known.select("video_id", F.explode(F.array(new, longer)).alias("_v")).where(F.col("_v").isNotNull())
+    return chosen.select("video_id", "_v.version", "_v.song_count")
 
-    ordered = frame.sort_values("version", kind="stable")
-    kept = [
-        ordered[ordered["song_count"] >= least].drop_duplicates("video_id")
-        for least in (1, *range(step + 1, 2 * step))
-    ]
-    return pd.concat(kept).drop_duplicates()
+
+def _published(spark: SparkSession, schema: str, out: str, before: int | None = None) -> DataFrame:
+    """Published versions of the batches before ``before`` (all, if not given)."""
+    batches = [int(f.name.split("=")[1]) for f in _folders(spark, out)]
+    paths = [f"{out}/batch_id={b}" for b in batches if before is None or b < before]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def stream_upgrades(setlists: DataFrame, step: int = STEP) -> DataFrame:
+def stream_upgrades(setlists: DataFrame, out: str, checkpoint: str, step: int = STEP) -> DataFrame:
     """Versions of a video worth publishing: the first list, then one clearly longer.
 
-    State per video is the published count.  Batches are thinned before the shuffle, and
-    the processor reads its rows once with constant memory, so a video with very many
-    versions is no burden.
+    State per video is the published count, and the published versions themselves hold it:
+    a batch joins its videos with them and writes its own to ``out/batch_id=N``, all videos
+    at once. A batch that runs again after a failure looks at the batches before it only and
+    overwrites its own folder.
     """
-    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
-
-    first_rows = _detached(_first_per_threshold)
     schema = upgrade_schema(setlists.schema["video_id"].dataType.simpleString())
-    as_number = setlists.schema["video_id"].dataType.simpleString() == "bigint"
 
-    def thin(frames):
-        for frame in frames:
-            yield first_rows(frame, step)
-
-    class Upgrades(StatefulProcessor):
-        def init(self, handle):
-            shape = T.StructType([T.StructField("published", T.IntegerType())])
-            self.published = handle.getValueState("published", shape)
-
-        def handleInputRows(self, key, rows, timerValues):
-            import pandas as pd
-
-            kept = None
-            for frame in rows:
-                frame = frame if kept is None else pd.concat([kept, frame])
-                kept = first_rows(frame, step)
-            count = self.published.get()[0] if self.published.exists() else 0
-            out = []
-            for row in kept.sort_values("version").itertuples(index=False):
-                if count >= step:
-                    break
-                if row.song_count >= (1 if count == 0 else count + step):
-                    count = int(row.song_count)
-                    out.append((key[0], int(row.version), count))
-            if out:
-                self.published.update((count,))
-            kinds = {"version": "int64", "song_count": "int32"}
-            if as_number:
-                kinds["video_id"] = "int64"
-            yield pd.DataFrame(out, columns=["video_id", "version", "song_count"]).astype(kinds)
-
-        def close(self):
-            pass
-
-    thinned = setlists.select("video_id", "version", F.col("song_count").cast("int")).mapInPandas(
-        thin, schema
-    )
-    return thinned.groupBy("video_id").transformWithStateInPandas(
-        Upgrades(), schema, "append", "none"
-    )
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("video_id", "version", F.col("song_count").cast("int"))
+        earlier = _published(batch.sparkSession, schema, out, before=batch_id)
+        upgrades_of(rows, earlier, step).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    run_available(setlists.writeStream.foreachBatch(write), checkpoint)
+    return _published(setlists.sparkSession, schema, out)
 
 
 def _detached(fn):
@@ -162,14 +140,6 @@ def _detached(fn):
     return copy
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """State store that the stateful processor needs."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-
-
 # --- R3 duplicates --------------------------------------------------------------------------
 
 

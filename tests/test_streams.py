@@ -81,3 +81,24 @@ def test_log_of_batches_is_merged_and_survives_a_rerun(spark, tmp_path):
     assert latest() == [("a", 9), ("b", 7), ("c", 5)]
     read = streams.latest_values(spark, shape, ["k"], "n", out, merge_every=2).inputFiles()
     assert all("batch_id=4" in f or "upto=3" in f for f in read)  # no batch that is merged already
+
+
+def test_upgrades_of_many_videos_need_no_call_per_video(spark, tmp_path):
+    """Three deliveries: published counts carry over, late versions come behind what is out."""
+    src, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    schema = streams.upgrade_schema()
+    batches = [
+        [(1, 10, 0), (1, 11, 1), (1, 12, 3), (2, 20, 2), (3, 30, 5), (4, 40, 1), (4, 41, 4), (6, 60, 0), (7, 70, 1)],
+        [(1, 13, 4), (1, 14, 9), (2, 21, 4), (3, 31, 9), (4, 42, 9), (5, 50, 2), (5, 51, 5), (6, 61, None)],
+        [(2, 22, 5), (2, 19, 6), (6, 62, 2), (None, 1, 1), (7, 69, 4), (7, 71, 5)],
+    ]
+    for rows in [*batches, []]:  # the last run finds nothing new
+        if rows:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        found = streams.stream_upgrades(spark.readStream.schema(schema).parquet(src), out, ckpt)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == sorted([
+        (1, 11, 1), (1, 13, 4), (2, 20, 2), (2, 19, 6), (3, 30, 5), (4, 40, 1), (4, 41, 4), (5, 50, 2),
+        (5, 51, 5), (6, 62, 2), (None, 1, 1), (7, 70, 1), (7, 69, 4),
+    ], key=str)
+    plan = streams.upgrades_of(found, found)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
