@@ -96,7 +96,7 @@ def styled_lines(style: Column) -> Column:
 def as_comments(tracks: DataFrame, line: Column) -> DataFrame:
     """Join the item lines of each comment, in item order."""
     grouped = tracks.groupBy("video_id", "comment_id").agg(
-        F.array_sort(F.collect_list(F.struct("item_no", line.alias("line")))).alias("_p")
+        F.sort_array(F.collect_list(F.struct("item_no", line.alias("line")))).alias("_p")
     )
     return grouped.select(
         "video_id", F.lit("comment").alias("source"), F.col("comment_id").alias("source_pos"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Callable
 
@@ -34,15 +35,21 @@ def first_match(c: Column, pattern: str, group: int = 0) -> Column:
 
 def markers(c: Column) -> Column:
     """Full-width digits and the marks used around numbers, to ASCII."""
-    return F.translate(c, "０１２３４５６７８９：．＃", "0123456789:.#")
+    ascii = lambda t: F.translate(t, "０１２３４５６７８９：．＃", "0123456789:.#")
+    return let(c, lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(ascii(t)))
 
 
 def clean_lines(c: Column) -> Column:
     """Array of trimmed, non-empty lines."""
+    # most texts are spared the steps that look at every character
+    def when_any(t: Column, marks: str, step: Callable[[Column], Column]) -> Column:
+        any_of = lambda v: functools.reduce(Column.__or__, [v.contains(m) for m in marks.split("|")])
+        return let(t, lambda v: F.when(any_of(v), step(v)).otherwise(v))
+
     c = F.coalesce(c, F.lit(""))
-    c = sub(c, r"\r\n?", "\n")
-    c = F.translate(c, "\u00a0\u200b", " ")
-    c = sub(c, r"[ \t]+", " ")
+    c = when_any(c, "\r", lambda t: sub(t, r"\r\n?", "\n"))
+    c = when_any(c, "\u00a0|\u200b", lambda t: F.translate(t, "\u00a0\u200b", " "))
+    c = when_any(c, "\t|  ", lambda t: sub(t, r"[ \t]+", " "))
     return F.filter(F.transform(F.split(c, "\n"), strip), lambda l: l != "")
 
 

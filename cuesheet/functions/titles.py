@@ -662,6 +662,44 @@ _PLAIN_LINE = (
 )
 
 
+# "1:02:03 [4] title / performer" and "4. 題名 performer" in plain words. No performer cleanup
+# changes these either, when they hold no year and no note ends them
+_NO_NOTE = (
+    "(?<!(?i:challenge|チャレンジ|acoustic|g[ui]{0,2}t[ae]?r|original|song|オリジナル|曲|ソング|語り|披露|公開|まで"
+    "|コーラス|挑戦|枠))"
+)
+_SERIAL_FORMS = (
+    "#{n} +", "【{n}】 *", "[⟦〚]{n}[⟧〛] *", r"\[{n}\] *", r"\({n}\) *", "{n}曲[/／] *", "{n}, *", "{n} - *",
+    r"{n}\. *", "{n}。 *",
+)
+_PLAIN_TITLE = (
+    rf"(?=.*{P.JAPANESE})(?!(?i:encore|アンコール)\x{{3000}}){_NOT_PLAIN}"
+    rf"[{_LETTER}][{_LETTER}0-9ー々 \x{{3000}}#&!?,]*[{_LETTER}0-9ー々!?]"
+)
+_PLAIN_NUMBERED = (
+    rf"^(?:({P.TS_VALID}) +)?(?:{'|'.join(f.format(n='([0-9]{1,3})') for f in _SERIAL_FORMS)})"
+    rf"(?![^年]*年)(?!(?i:{_SPACED_WORDS}))"
+    rf"(?:({_PLAIN_NAME})(?: [{P.DELIMS}{P.DASHES}] |[/／|])({_PLAIN_NAME})"
+    rf"|({_PLAIN_TITLE})[ \x{{3000}}]({_NOT_PLAIN}[A-Za-z][A-Za-z0-9_]*)){_NO_NOTE}$"
+)
+
+
+def plain_numbered(line: Column, other) -> Column:
+    """Track of a numbered line in plain words; ``other(line)`` of all other lines."""
+    found = lambda p: track(
+        F.lit(None), F.get(p, F.lit(1)), seconds_of(F.get(p, F.lit(0))),
+        F.get(p, F.lit(0)), F.get(p, F.lit(2)), F.get(p, F.lit(3)),
+    )
+
+    def body(l: Column) -> Column:
+        return let(
+            sub(l, _PLAIN_NUMBERED, "$1\x02$2$3$4$5$6$7$8$9$10$11\x02$12$14\x02$13$15"),
+            lambda r: F.when(r != l, let(F.split(r, "\x02"), found)).otherwise(other(l)),
+        )
+
+    return let(line, body)
+
+
 def parse_line(line: Column) -> Column:
     """Timed line to a track struct (without position), or null."""
     short = lambda p: track(

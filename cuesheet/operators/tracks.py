@@ -18,7 +18,7 @@ from ..functions.titles import (
     NOISE_LINE, TRACK_TYPE, _ICONS, _TIME_LEAD, clean_artist, clean_field, clean_field_light,
     drop_line_lead, drop_performance_notes, drop_release_date, drop_release_tail, drop_weird_lead,
     first_time, is_bad_field, is_section_pair, multi_fields, parse_line, performer_with_note,
-    split_fields, track,
+    plain_numbered, split_fields, track,
 )
 from .merge import merged_lines
 
@@ -161,6 +161,11 @@ def _performer_fields(body: Column) -> Column:
 
 def numbered_line(line: Column) -> Column:
     """Numbered line to a track struct, or null."""
+    return plain_numbered(line, numbered_any_line)
+
+
+def numbered_any_line(line: Column) -> Column:
+    """``numbered_line`` without the short cut."""
 
     def parse(t: Column) -> Column:
         rest = sub(strip(sub(t, _TIMES_AND_TREES)), rf"^{_ICONS}")
@@ -192,7 +197,7 @@ def first_by_key(items: Column, key) -> Column:
 
     Sorts (key, position) pairs, keeps the head of each run, and sorts back: n log n.
     """
-    pairs = F.array_sort(
+    pairs = F.sort_array(
         F.transform(
             items,
             lambda t, i: F.struct(
@@ -207,7 +212,7 @@ def first_by_key(items: Column, key) -> Column:
             p, lambda x, j: (j == 0) | (x["k"] != F.get(p, F.greatest(j - 1, F.lit(0)))["k"])
         )
         return F.transform(
-            F.array_sort(F.transform(first, lambda x: x["i"])), lambda i: F.get(items, i)
+            F.sort_array(F.transform(first, lambda x: x["i"])), lambda i: F.get(items, i)
         )
 
     return let(pairs, heads)

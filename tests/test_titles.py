@@ -144,3 +144,20 @@ def test_artist_metadata(one):
          "小松原ミノル Komatsu / Minoru", "Udo (2020/02/14)", "mako チャレンジ"],
     )
     assert got == ["大谷健人", "DISH//", "柏木透", "HIRUNEZ", "小松原ミノル", "Udo", "mako"]
+
+
+def test_plain_numbered_lines_take_the_short_cut(one):
+    """Lines in plain words need no candidates; notes, years and bad fields go the long way, with equal tracks."""
+    from cuesheet.operators.tracks import numbered_any_line, numbered_line
+
+    plain = [
+        "0:15:07 #3 Part blue / Supplier#000012", "【3】夜に駆ける - A b", "1:02:03 ⟦3⟧ a/b", "[3] a／b", "(3) a | b",
+        "3曲/a / b", "3, a / b", "3 - a / b", "3. a / b", "3。a / b", "3. 曲Part　blue Supplier_000012",
+    ]
+    other = [
+        "3. a / b acoustic", "3. 曲 acoustic guitar", "3. 曲x Love Song", "3. a / 2020年5月1日", "3. a / b チャレンジ",
+        "3. OP / ED", "3. a (cover) / b", "99:99 3. a / b", "3. アンコール　夜 b", "3 a / b", "0:15:07 a / b",
+    ]
+    found = one(lambda c: T.plain_numbered(c, lambda l: F.lit(None)), plain + other)
+    assert [f is not None for f in found] == [True] * len(plain) + [False] * len(other)
+    assert one(numbered_line, plain + other) == one(numbered_any_line, plain + other)
