@@ -84,10 +84,15 @@ def raw_payloads(spark, sf):
     The reply part of an order holds its items with an odd number.
     """
     rows = fx.items(spark, sf)
-    said = F.struct(
+    # only the names travel; the trees are built around them in each payload
+    packed = rows.groupBy("comment_id").agg(
+        F.array_sort(F.collect_list(F.struct("item_no", fx.hms(F.col("secs")).alias("at"), "song", "artist"))).alias("e")
+    )
+    odd = lambda x: x["item_no"] % 2 == 1
+    said = lambda x: F.struct(
         F.struct(
             F.struct(
-                F.struct(F.struct(F.concat(F.lit("c"), F.col("item_no").cast("string"), F.lit(" "), "song").alias("content")).alias("content")).alias("properties")
+                F.struct(F.struct(F.concat(F.lit("c"), x["item_no"].cast("string"), F.lit(" "), x["song"]).alias("content")).alias("content")).alias("properties")
             ).alias("commentEntityPayload"),
         ).alias("payload"),
         F.struct(
@@ -96,7 +101,7 @@ def raw_payloads(spark, sf):
                     F.struct(
                         F.struct(
                             F.struct(
-                                F.concat_ws("-", F.lit("tok"), F.col("comment_id").cast("string"), F.col("item_no").cast("string")).alias("token")
+                                F.concat_ws("-", F.lit("tok"), F.col("comment_id").cast("string"), x["item_no"].cast("string")).alias("token")
                             ).alias("continuationCommand")
                         ).alias("continuationEndpoint")
                     ).alias("continuationItemRenderer")
@@ -104,16 +109,13 @@ def raw_payloads(spark, sf):
             ).alias("contents")
         ).alias("commentRepliesRenderer"),
     )
-    runs = F.struct(
+    runs = lambda x: F.struct(
         F.array(
-            F.struct(fx.hms(F.col("secs")).alias("text")), F.struct(F.concat(F.lit(" "), "song", F.lit(" / "), "artist").alias("text"))
+            F.struct(x["at"].alias("text")),
+            F.struct(F.concat(F.lit(" "), x["song"], F.lit(" / "), x["artist"]).alias("text")),
         ).alias("runs")
     )
-    bare = F.struct(fx.hms(F.col("secs")).alias("simpleText"))
-    odd = F.col("item_no") % 2 == 1
-    packed = rows.groupBy("comment_id").agg(
-        F.array_sort(F.collect_list(F.struct("item_no", odd.alias("odd"), said.alias("said"), runs.alias("runs"), bare.alias("bare")))).alias("e")
-    )
+    bare = lambda x: F.struct(x["at"].alias("simpleText"))
     yt = F.format_string("yt%09d", "comment_id")
     endpoint = lambda tok, note: F.struct(
         F.struct(F.struct(tok.alias("token")).alias("continuationCommand")).alias("continuationEndpoint"),
@@ -122,9 +124,9 @@ def raw_payloads(spark, sf):
     initial = F.to_json(
         F.struct(
             F.struct(
-                F.transform("e", lambda x: x["runs"]).alias("z"),
-                F.transform("e", lambda x: x["bare"]).alias("b"),
-                F.transform("e", lambda x: x["runs"]).alias("a"),
+                F.transform("e", runs).alias("z"),
+                F.transform("e", bare).alias("b"),
+                F.transform("e", runs).alias("a"),
             ).alias("z_first"),
             F.array(
                 endpoint(F.concat(F.lit("other"), F.col("comment_id").cast("string")), "next"),
@@ -132,16 +134,16 @@ def raw_payloads(spark, sf):
             ).alias("tabs"),
         )
     )
-    part = lambda keep: F.to_json(
-        F.struct(F.transform(F.filter("e", keep), lambda x: x["said"]).alias("mutations"))
-    )
-    parts = F.array(
-        F.struct(F.lit("initial").alias("part"), initial.alias("json")),
-        F.struct(F.lit("comments").alias("part"), part(lambda x: ~x["odd"]).alias("json")),
-        F.struct(F.lit("reply").alias("part"), part(lambda x: x["odd"]).alias("json")),
+    part = lambda keep: F.to_json(F.struct(F.transform(F.filter("e", keep), said).alias("mutations")))
+    # parts first, so that a reader of one part renders no other
+    parts = F.array(*[F.lit(p) for p in ("initial", "comments", "reply")])
+    json = (
+        F.when(F.col("part") == "initial", initial)
+        .when(F.col("part") == "comments", part(lambda x: ~odd(x)))
+        .otherwise(part(odd))
     )
-    return packed.select("comment_id", yt.alias("yt_id"), F.explode(parts).alias("p")).select(
-        "comment_id", "yt_id", "p.part", F.lit(0).alias("part_pos"), "p.json"
+    return packed.select("comment_id", "e", F.explode(parts).alias("part")).select(
+        "comment_id", yt.alias("yt_id"), "part", F.lit(0).alias("part_pos"), json.alias("json")
     )
 
 

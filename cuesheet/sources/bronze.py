@@ -168,21 +168,22 @@ WALK_SCHEMA = (
 ALL_KINDS = ("comment", "simple", "runs", "token", "any_token", "reply", "error")
 
 
-def walk_payloads(payloads: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> DataFrame:
+def walk_payloads(
+    payloads: DataFrame, kinds: tuple[str, ...] = ALL_KINDS, initial: tuple[str, ...] | None = None
+) -> DataFrame:
     """Findings of each payload (``yt_id, part, part_pos, json``) in document order.
 
     Kinds: ``comment`` text, ``simple`` and ``runs`` texts, ``token`` of a continuation
     (``hint``: its object mentions comments), ``any_token``, ``reply`` token, and ``error``,
     the one finding of a payload that is no valid JSON (see :func:`bad_payloads`).
     ``payload`` numbers the payloads (write the findings before it is used twice), ``nth`` the
-    findings of a kind in one.
+    findings of a kind in one.  ``initial``: the kinds of first pages, when they are others.
     """
 
-    wanted = frozenset(kinds)
+    every, first = frozenset(kinds), frozenset(kinds if initial is None else initial)
 
     def walk(batches):
         import json
-        from collections import Counter
 
         import pyarrow as pa
         from pyspark import TaskContext
@@ -193,6 +194,10 @@ def walk_payloads(payloads: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> Da
             pa.int64(), pa.int32(),
         ]
         payload = TaskContext.get().partitionId() << 33
+        keys_read = frozenset(
+            "commentEntityPayload simpleText runs continuationEndpoint continuationCommand "
+            "commentRepliesRenderer".split()
+        )
 
         def get(node, *path):
             for key in path:
@@ -204,33 +209,33 @@ def walk_payloads(payloads: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> Da
                 [pa.array(c, t) for c, t in zip(out, types)], names=names
             )
 
-        def findings(item):
-            # most objects hold none of the keys
-            if "commentEntityPayload" in item:
+        def findings(item, wanted):
+            if "comment" in wanted and "commentEntityPayload" in item:
                 content = get(item, "commentEntityPayload", "properties", "content", "content")
-            else:
-                content = None
-            if isinstance(content, str):
-                yield "comment", content, None
-            if isinstance(item.get("simpleText"), str):
+                if isinstance(content, str):
+                    yield "comment", content, None
+            if "simple" in wanted and isinstance(item.get("simpleText"), str):
                 yield "simple", item["simpleText"], None
-            if isinstance(item.get("runs"), list):
-                texts = (r.get("text") for r in item["runs"] if isinstance(r, dict))
-                yield "runs", "".join(t for t in texts if isinstance(t, str)), None
-            token = get(item, "continuationEndpoint", "continuationCommand", "token")
-            if token and "token" in wanted:
-                told = json.dumps(item, ensure_ascii=False)
-                yield "token", str(token), "comment" in told.lower() or "コメント" in told
-            token = get(item, "continuationCommand", "token")
-            if token:
-                yield "any_token", str(token), None
-            contents = get(item, "commentRepliesRenderer", "contents")
-            for one in contents if isinstance(contents, list) else ():
-                token = get(
-                    one, "continuationItemRenderer", "continuationEndpoint", "continuationCommand", "token"
-                )
+            if "runs" in wanted and isinstance(item.get("runs"), list):
+                texts = [r.get("text") for r in item["runs"] if isinstance(r, dict)]
+                yield "runs", "".join([t for t in texts if isinstance(t, str)]), None
+            if "token" in wanted and "continuationEndpoint" in item:
+                token = get(item, "continuationEndpoint", "continuationCommand", "token")
+                if token:
+                    told = json.dumps(item, ensure_ascii=False)
+                    yield "token", str(token), "comment" in told.lower() or "コメント" in told
+            if "any_token" in wanted and "continuationCommand" in item:
+                token = get(item, "continuationCommand", "token")
                 if token:
-                    yield "reply", str(token), None
+                    yield "any_token", str(token), None
+            if "reply" in wanted and "commentRepliesRenderer" in item:
+                contents = get(item, "commentRepliesRenderer", "contents")
+                for one in contents if isinstance(contents, list) else ():
+                    token = get(
+                        one, "continuationItemRenderer", "continuationEndpoint", "continuationCommand", "token"
+                    )
+                    if token:
+                        yield "reply", str(token), None
 
         for batch in batches:
             out = [[] for _ in names]
@@ -242,7 +247,8 @@ def walk_payloads(payloads: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> Da
                     yield made(out)
                     out = [[] for _ in names]
                 payload += 1
-                met: Counter = Counter()
+                wanted = first if key[1] == "initial" else every
+                met = dict.fromkeys(wanted, 0)
                 try:
                     root = json.loads(texts[i].as_py() or "null")
                 except (ValueError, RecursionError) as problem:
@@ -251,22 +257,21 @@ def walk_payloads(payloads: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> Da
                         for column, value in zip(out, (*key, 0, "error", reason, None, payload, 1)):
                             column.append(value)
                     continue
-                # explicit stack: depth of the tree is not limited by the call stack
-                stack, ordinal = [root], 0
+                # explicit stack: depth of the tree is not limited by the call stack; only
+                # objects and lists go onto it, and most objects hold none of the keys
+                stack, ordinal = [[root]], 0
                 while stack:
                     node = stack.pop()
-                    if isinstance(node, dict):
-                        for kind, text, hint in findings(node):
-                            ordinal += 1
-                            if kind not in wanted:
-                                continue
-                            met[kind] += 1
-                            row = (*key, ordinal, kind, text, hint, payload, met[kind])
-                            for column, value in zip(out, row):
-                                column.append(value)
-                        stack.extend(reversed(list(node.values())))
-                    elif isinstance(node, list):
-                        stack.extend(reversed(node))
+                    if type(node) is dict:
+                        if not keys_read.isdisjoint(node):
+                            for kind, text, hint in findings(node, wanted):
+                                ordinal += 1
+                                met[kind] += 1
+                                row = (*key, ordinal, kind, text, hint, payload, met[kind])
+                                for column, value in zip(out, row):
+                                    column.append(value)
+                        node = node.values()
+                    stack.extend([v for v in reversed(node) if type(v) is dict or type(v) is list])
             yield made(out)
 
     return payloads.select("yt_id", "part", "part_pos", "json").mapInArrow(walk, WALK_SCHEMA)
@@ -344,7 +349,11 @@ def crawl_frontier(payloads: DataFrame, seen: DataFrame, cap: int | None = None)
     Tokens in ``seen`` (``yt_id, token``) are left out.  With ``cap`` a video gets at most
     so many reply pages, the reply tokens already in ``seen`` included.
     """
-    initial = _walked(payloads, F.col("part") == "initial", ("token", "any_token")).where(
+    found = payloads
+    if "kind" not in payloads.columns:
+        # one walk for both queues
+        found = written(walk_payloads(payloads, ("reply",), ("token", "any_token")), "tokens")
+    initial = _walked(found, F.col("part") == "initial", ("token", "any_token")).where(
         F.col("hint") | (F.col("kind") == "any_token")
     )
     order = F.struct((F.col("kind") != "token").alias("late"), "part_pos", "ordinal")
@@ -352,7 +361,7 @@ def crawl_frontier(payloads: DataFrame, seen: DataFrame, cap: int | None = None)
         "yt_id", F.lit("comments").alias("kind"), "token", F.lit(1).alias("pos")
     )
     start = start.join(seen.select("yt_id", "token"), ["yt_id", "token"], "left_anti")
-    replies = _walked(payloads, F.col("part") != "initial", ("reply",))
+    replies = _walked(found, F.col("part") != "initial", ("reply",))
     first = replies.groupBy("yt_id", F.col("text").alias("token")).agg(
         F.min(F.struct(_part_rank().alias("r"), "part_pos", "ordinal")).alias("_o")
     )

@@ -49,6 +49,23 @@ def test_frontier(spark):
     assert {(r.kind, r.token) for r in got} == {("comments", "other"), ("reply", "b")}
 
 
+def test_frontier_walks_once(spark):
+    page = {"tabs": [{"continuationEndpoint": {"continuationCommand": {"token": "m"}}, "label": "Comments"}]}
+    reply = {"commentRepliesRenderer": {"contents": [{"continuationItemRenderer": {
+        "continuationEndpoint": {"continuationCommand": {"token": "r"}}}}]}}
+    rows = [("y", "initial", 0, json.dumps([page, reply])), ("y", "reply", 0, json.dumps([page, reply]))]
+    df = spark.createDataFrame(rows, "yt_id string, part string, part_pos int, json string")
+    got = bronze.crawl_frontier(df, spark.createDataFrame([("y", "x")], "yt_id string, token string"), cap=1)
+    # the payloads are not parsed again by the plan that reads their tokens
+    assert "MapInArrow" not in got._jdf.queryExecution().toString()
+    assert {(r.kind, r.token) for r in got.collect()} == {("comments", "m"), ("reply", "r")}
+    # a first page has kinds of its own
+    walked = bronze.walk_payloads(df, ("reply",), ("any_token",)).collect()
+    assert sorted((r.part, r.kind, r.text, r.nth) for r in walked) == [
+        ("initial", "any_token", "m", 1), ("initial", "any_token", "r", 2), ("reply", "reply", "r", 1),
+    ]
+
+
 def test_raw_append(spark, tmp_path):
     df = spark.createDataFrame([("y", "initial", 0, "{}", 1), ("y", "initial", 0, "{1}", 2)], "yt_id string, part string, part_pos int, json string, fetched_at int")
     bronze.append_raw(df, str(tmp_path / "raw"))
