@@ -194,10 +194,14 @@ def walk_payloads(
             pa.int64(), pa.int32(),
         ]
         payload = TaskContext.get().partitionId() << 33
-        keys_read = frozenset(
-            "commentEntityPayload simpleText runs continuationEndpoint continuationCommand "
-            "commentRepliesRenderer".split()
-        )
+        encode = json.JSONEncoder(ensure_ascii=False).encode
+        key_of = {
+            "comment": "commentEntityPayload", "simple": "simpleText", "runs": "runs",
+            "token": "continuationEndpoint", "any_token": "continuationCommand",
+            "reply": "commentRepliesRenderer",
+        }
+        keys_of = lambda wanted: frozenset(key_of[k] for k in wanted if k in key_of)
+        plans = {True: (first, keys_of(first)), False: (every, keys_of(every))}
 
         def get(node, *path):
             for key in path:
@@ -205,8 +209,9 @@ def walk_payloads(
             return node
 
         def made(out):
+            columns = zip(*out) if out else [()] * len(names)
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, types)], names=names
+                [pa.array(c, t) for c, t in zip(columns, types)], names=names
             )
 
         def findings(item, wanted):
@@ -222,7 +227,7 @@ def walk_payloads(
             if "token" in wanted and "continuationEndpoint" in item:
                 token = get(item, "continuationEndpoint", "continuationCommand", "token")
                 if token:
-                    told = json.dumps(item, ensure_ascii=False)
+                    told = encode(item)
                     yield "token", str(token), "comment" in told.lower() or "コメント" in told
             if "any_token" in wanted and "continuationCommand" in item:
                 token = get(item, "continuationCommand", "token")
@@ -238,24 +243,23 @@ def walk_payloads(
                         yield "reply", str(token), None
 
         for batch in batches:
-            out = [[] for _ in names]
+            out = []
             keys = [batch.column(i).to_pylist() for i in range(3)]
             texts = batch.column(3)
             # one payload at a time leaves the column
             for i, key in enumerate(zip(*keys)):
-                if len(out[0]) >= 5000:
+                if len(out) >= 5000:
                     yield made(out)
-                    out = [[] for _ in names]
+                    out = []
                 payload += 1
-                wanted = first if key[1] == "initial" else every
+                wanted, keys_read = plans[key[1] == "initial"]
                 met = dict.fromkeys(wanted, 0)
                 try:
                     root = json.loads(texts[i].as_py() or "null")
                 except (ValueError, RecursionError) as problem:
                     if "error" in wanted:
                         reason = "nested too deeply" if isinstance(problem, RecursionError) else "not valid JSON"
-                        for column, value in zip(out, (*key, 0, "error", reason, None, payload, 1)):
-                            column.append(value)
+                        out.append((*key, 0, "error", reason, None, payload, 1))
                     continue
                 # explicit stack: depth of the tree is not limited by the call stack; only
                 # objects and lists go onto it, and most objects hold none of the keys
@@ -267,11 +271,11 @@ def walk_payloads(
                             for kind, text, hint in findings(node, wanted):
                                 ordinal += 1
                                 met[kind] += 1
-                                row = (*key, ordinal, kind, text, hint, payload, met[kind])
-                                for column, value in zip(out, row):
-                                    column.append(value)
+                                out.append((*key, ordinal, kind, text, hint, payload, met[kind]))
                         node = node.values()
-                    stack.extend([v for v in reversed(node) if type(v) is dict or type(v) is list])
+                    for value in reversed(node):
+                        if type(value) is dict or type(value) is list:
+                            stack.append(value)
             yield made(out)
 
     return payloads.select("yt_id", "part", "part_pos", "json").mapInArrow(walk, WALK_SCHEMA)
