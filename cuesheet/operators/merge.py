@@ -20,8 +20,7 @@ from ..functions import patterns as P
 from ..functions.memo import per_context
 from ..functions.rows import explode_rows
 from ..functions.text import let, strip, sub
-from ..functions.titles import PLAIN_PAIR
-from .text import line_flags, with_lines
+from .text import SURE_LINES, line_flags, with_lines
 
 _SEP = "\x02"
 _ANY = r"[^\n]*\n"
@@ -49,16 +48,6 @@ _WALK = "|".join(
 )
 _MERGED = "$2$3$4$6$9$10 $1$5$7$8$11$12\n"
 
-# a valid time in front and two letters in a row behind it: no other class can apply,
-# except the word lists that end a line
-_SURELY_TIMED = (
-    rf"^(?:[0-9]{{1,3}}\. )?{P.TS_OPEN}?{P.TS_VALID}(?!.*(?:宣伝|告知|お知らせ){P.WS}*$)"
-    rf".*?(?:[A-Za-z]{{2}}|{P.JAPANESE}{{2}})"
-)
-_SURELY_TIME = rf"^{P.TS_VALID}$"
-# two plain names and no word that ends or starts a notice
-_SURELY_SONG = rf"(?!.*(?:宣伝|告知|お知らせ|編集中です)){PLAIN_PAIR}"
-
 
 def _tagged(f: Column) -> Column:
     joined = F.concat(f["fields"]["song"], F.lit(" / "), f["fields"]["artist"])
@@ -90,15 +79,19 @@ def _tagged(f: Column) -> Column:
     return F.concat(tag, F.lit("\n"))
 
 
+def tagged_line(l: Column, strict_range: bool = False) -> Column:
+    """Tag, payload and line end; lines known by their shape are not parsed."""
+    chain = F
+    for pattern, form, _ in SURE_LINES:
+        whole = form[1:] == "$0"
+        text = F.concat(F.lit(form[0]), l) if whole else sub(l, pattern, form)
+        chain = chain.when(l.rlike(pattern), F.concat(text, F.lit("\n")))
+    return chain.otherwise(let(line_flags(l, strict_range), _tagged))
+
+
 def merged_lines(lines: Column, strict_range: bool = False) -> Column:
     """Array of merged lines; lines that can never become a track are dropped."""
-    tag = lambda l: (
-        F.when(l.rlike(_SURELY_TIMED), F.concat(F.lit("W"), l, F.lit("\n")))
-        .when(l.rlike(_SURELY_TIME), F.concat(F.lit("S"), l, F.lit("\n")))
-        .when(l.rlike(_SURELY_SONG), F.concat(F.lit("L"), l, F.lit("\n")))
-        .otherwise(let(line_flags(l, strict_range), _tagged))
-    )
-    tagged = F.array_join(F.transform(lines, tag), "")
+    tagged = F.array_join(F.transform(lines, lambda l: tagged_line(l, strict_range)), "")
     walked = F.split(sub(tagged, _WALK, _MERGED), "\n")
     return F.filter(F.transform(walked, strip), lambda l: l != "")
 

@@ -177,3 +177,24 @@ def test_numbered_and_shape(spark):
     assert [(r.n, r.is_contiguous, r.is_ascending) for r in shape] == [
         (3, True, True), (2, False, False), (1, False, False),
     ]
+
+
+def test_lines_known_by_shape(one):
+    from cuesheet.functions.text import let
+    from cuesheet.operators import merge
+
+    times = ["0:15:07", "15:07", "0:15:99", "0:15:995", "1:2", "99:59", "0:61:00", "１:02:03"]
+    names = ["Song / Artist", "曲／歌手", "Mc / Talk", "encore a / b", "告知 / b", "a | b", "ab", "", "song - 告知♪",
+             "編集中です / a", "丨ab / c", "第3曲 / b"]
+    forms = ["{t}", "{t} {n}", "({t} {n})", "({t}) {n}", "[{t} {n}]", "[{t}] {n}", "『{t} {n}』", "12. {t} {n}", "{n}", "{t} ;",
+             "{t}~", "{t} ~ 1:02:03", "▶ {t}", "▶{t} {n}", "3曲目：{n}", "3曲目 {t}~0:18:07「{n}」", "第3曲目: {n}", "({n})"]
+    lines = sorted({f.format(t=t, n=n) for f in forms for t in times for n in names})
+    lines += ["7", "7.", "7)", "1234.", "(Romaji Note)", "(mc)", "(a)", "()", "0:01 ab 告知♪", "(0:01 Romaji)", "- 0:01 ab"]
+    slow = lambda l: let(
+        text.line_flags(l), lambda f: F.to_json(F.struct(*[f[c].alias(c) for c in text.FLAG_COLUMNS]))
+    )
+    got, want = one(lambda l: F.to_json(text.line_classes(l)), lines), one(slow, lines)
+    assert [x for x in zip(lines, got, want) if x[1] != x[2]] == []
+    tag = lambda l: let(text.line_flags(l), merge._tagged)
+    got, want = one(merge.tagged_line, lines), one(tag, lines)
+    assert [x for x in zip(lines, got, want) if x[1] != x[2]] == []
