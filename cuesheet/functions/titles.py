@@ -684,6 +684,10 @@ _PLAIN_NUMBERED = (
 )
 
 
+# a plain line with a time and no number: the numbered extraction finds nothing in it
+_PLAIN_UNNUMBERED = rf"^{P.TS_VALID} +{_PLAIN_NAME}(?: [{P.DELIMS}{P.DASHES}] |[/／|]){_PLAIN_NAME}$"
+
+
 def plain_numbered(line: Column, other) -> Column:
     """Track of a numbered line in plain words; ``other(line)`` of all other lines."""
     found = lambda p: track(
@@ -694,30 +698,52 @@ def plain_numbered(line: Column, other) -> Column:
     def body(l: Column) -> Column:
         return let(
             sub(l, _PLAIN_NUMBERED, "$1\x02$2$3$4$5$6$7$8$9$10$11\x02$12$14\x02$13$15"),
-            lambda r: F.when(r != l, let(F.split(r, "\x02"), found)).otherwise(other(l)),
+            lambda r: F.when(r != l, let(F.split(r, "\x02"), found))
+            .when(~l.rlike(_PLAIN_UNNUMBERED), other(l)),
         )
 
     return let(line, body)
 
 
-def parse_line(line: Column) -> Column:
-    """Timed line to a track struct (without position), or null."""
+def _plain_parts(line: Column) -> Column:
+    """Time, number, title and performer of a plain line, parted; other lines as they are."""
+    return sub(line, _PLAIN_LINE, "$1$2\x02$3\x02$4\x02$5")
+
+
+def _plain_track(parts: Column) -> Column:
     short = lambda p: track(
         F.lit(None), number(F.get(p, F.lit(1))), seconds_of(F.get(p, F.lit(0))),
         F.get(p, F.lit(0)), F.get(p, F.lit(2)), F.get(p, F.lit(3)),
     )
+    return let(F.split(parts, "\x02"), short)
+
+
+def parse_line(line: Column) -> Column:
+    """Timed line to a track struct (without position), or null."""
 
     def body(l: Column) -> Column:
         return let(
-            sub(l, _PLAIN_LINE, "$1$2\x02$3\x02$4\x02$5"),
-            lambda r: F.when(r.contains("\x02"), let(F.split(r, "\x02"), short)).otherwise(
-                parse_any_line(l)
-            ),
+            _plain_parts(l),
+            lambda r: F.when(r != l, _plain_track(r)).otherwise(parse_any_line(l)),
         )
 
     return let(line, body)
 
 
+def parse_plain_text(text: Column, other: Column) -> Column:
+    """Tracks of a text in which every line is plain; ``other`` for all other texts.
+
+    Such lines hold one time, are left alone by every cleanup, and never merge with one another.
+    """
+    plain = lambda parts: F.forall(parts, lambda r: r.contains("\x02"))
+    # a text that holds a blank twice or the mark itself goes the long way
+    odd = F.coalesce(text.contains("  ") | text.contains("\x02"), F.lit(True))
+    parts = F.when(~odd, F.transform(F.split(text, "\n"), _plain_parts))
+    return let(
+        parts, lambda ps: F.when(plain(ps), F.transform(ps, _plain_track)).otherwise(other)
+    )
+
+
 def parse_any_line(line: Column) -> Column:
     """``parse_line`` without the short cut."""
 

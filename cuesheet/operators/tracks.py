@@ -17,8 +17,8 @@ from ..functions.text import seconds_of, strip, sub
 from ..functions.titles import (
     NOISE_LINE, TRACK_TYPE, _ICONS, _TIME_LEAD, clean_artist, clean_field, clean_field_light,
     drop_line_lead, drop_performance_notes, drop_release_date, drop_release_tail, drop_weird_lead,
-    first_time, is_bad_field, is_section_pair, multi_fields, parse_line, performer_with_note,
-    plain_numbered, split_fields, track,
+    first_time, is_bad_field, is_section_pair, multi_fields, parse_line, parse_plain_text,
+    performer_with_note, plain_numbered, split_fields, track,
 )
 from .merge import merged_lines
 
@@ -31,13 +31,16 @@ def renumber(tracks: Column) -> Column:
     return F.transform(tracks, lambda t, i: t.withField("item_pos", (i + 1).cast("int")))
 
 
+def merged_tracks(text: Column, strict_range: bool = False) -> Column:
+    """Tracks of the merged lines of a text, without positions."""
+    lines = F.filter(F.transform(logical_lines(text), drop_weird_lead), lambda l: l != "")
+    parsed = F.transform(merged_lines(lines, strict_range), parse_line)
+    return F.filter(parsed, lambda t: t.isNotNull())
+
+
 @per_context
 def plain_tracks(text: str, strict_range: bool = False) -> Column:
-    lines = F.filter(
-        F.transform(logical_lines(F.col(text)), drop_weird_lead), lambda l: l != ""
-    )
-    parsed = F.transform(merged_lines(lines, strict_range), parse_line)
-    return renumber(F.filter(parsed, lambda t: t.isNotNull()))
+    return renumber(parse_plain_text(F.col(text), merged_tracks(F.col(text), strict_range)))
 
 
 def parse_setlists(
@@ -196,6 +199,7 @@ def first_by_key(items: Column, key) -> Column:
     """Items whose ``key`` was not seen earlier in the array; a null key is always kept.
 
     Sorts (key, position) pairs, keeps the head of each run, and sorts back: n log n.
+    Keys that are all different need none of it.
     """
     pairs = F.sort_array(
         F.transform(
@@ -215,7 +219,11 @@ def first_by_key(items: Column, key) -> Column:
             F.sort_array(F.transform(first, lambda x: x["i"])), lambda i: F.get(items, i)
         )
 
-    return let(pairs, heads)
+    keys = F.transform(items, key)
+    return let(
+        F.size(keys) == F.size(F.array_distinct(keys)),
+        lambda different: F.when(different, items).otherwise(let(pairs, heads)),
+    )
 
 
 @per_context

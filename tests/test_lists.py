@@ -318,3 +318,24 @@ def test_gate(spark):
     eager = DEFAULT_RULES + (Rule("X", 99, "x", "delete_suffix", "ラ$", scope="song"),)
     got = {r.rule_set: (r.failures, r.passed) for r in rules.check_rules({"a": DEFAULT_RULES, "b": eager}, cases).collect()}
     assert got == {"a": (0, True), "b": (1, False)}
+
+
+def test_plain_texts_take_the_long_way_too(one):
+    from cuesheet.functions.titles import TRACK_TYPE, parse_plain_text
+    from cuesheet.operators.tracks import merged_tracks, numbered_any_line, numbered_line
+
+    plain = ["0:15:07 1. Song / Artist", "12) 15:07 曲 - 歌い手", "[0:15] a|b", "1:02:03 Song 2 / Artist #3"]
+    odd = ["0:15:07", "0:15:07 a  / b", "Song / Artist", "0:15:99 a / b", "0:15 end / a", "0:15 a / 告知", "",
+           " 0:15 a / b", "0:15 a / b 0:16 c / d", "3曲目：a / b", "0:15 a\u3000b / c", "0:15 a / \x02b", "1. 0:15 x",
+           "0:15 #3 a / b", "0:15 a / b ", "0:15 1, a / b", "0:15 mc / talk", "１:02:03 a / b", "0:15 Re: a / b"]
+    texts = ["\n".join(plain), *plain, *odd, None]
+    texts += [f"{x}\n{y}" for x in plain[:2] + odd for y in plain[1:3] + odd]
+    # what the first line means may hang on the second: only texts of plain lines are cut short
+    taken = one(lambda t: F.size(parse_plain_text(t, F.array().cast(f"array<{TRACK_TYPE}>"))), texts)
+    assert taken[:5] == [4, 1, 1, 1, 1] and max(taken[5:24]) <= 0
+    got = one(lambda t: F.to_json(parse_plain_text(t, merged_tracks(t))), texts)
+    want = one(lambda t: F.to_json(merged_tracks(t)), texts)
+    assert [x for x in zip(texts, got, want) if x[1] != x[2]] == []
+    lines = [x for x in plain + odd if "\x02" not in x]
+    got, want = (one(lambda l: F.to_json(f(l)), lines) for f in (numbered_line, numbered_any_line))
+    assert [x for x in zip(lines, got, want) if x[1] != x[2]] == []
