@@ -331,7 +331,10 @@ def is_timed_text(c: Column) -> Column:
     """Holds a time, and letters, kana or kanji besides times and marks."""
     value = F.translate(F.coalesce(c, F.lit("")), " ​", " ")
     rest = sub(sub(value, _ANY_TIME), _NOT_TEXT)
-    return value.rlike(_ANY_TIME) & rest.rlike("[A-Za-zぁ-んァ-ヶ一-龯々]")
+    # a time takes the one character before it along, marks hold no letters: two in a row leave one
+    return value.rlike(_ANY_TIME) & (
+        value.rlike("[A-Za-zぁ-んァ-ヶ]{2}") | rest.rlike("[A-Za-zぁ-んァ-ヶ一-龯々]")
+    )
 
 
 def extract_descriptions(payloads: DataFrame) -> DataFrame:

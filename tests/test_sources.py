@@ -66,6 +66,17 @@ def test_frontier_walks_once(spark):
     ]
 
 
+def test_timed_texts(one):
+    from pyspark.sql import functions as F
+
+    texts = {"0:15": False, "a0:15": False, "ab0:15": True, "丨丨 0:15": False, "歌 0:15": True, "ab": False, "0:15 ♪あ": True,
+             "0:155 ab": False, "ab 0:15 0:16": True, "a0:15 b0:16": False, "x:0:15": True, "": False, None: False}
+    assert one(bronze.is_timed_text, list(texts)) == list(texts.values())
+    slow = lambda c: F.regexp_replace(F.regexp_replace(c, bronze._ANY_TIME, ""), bronze._NOT_TEXT, "").rlike("[A-Za-zぁ-んァ-ヶ一-龯々]")
+    times = [t for t in texts if t and "0:15" in t and "0:155" not in t]
+    assert one(slow, times) == one(bronze.is_timed_text, times)
+
+
 def test_raw_append(spark, tmp_path):
     df = spark.createDataFrame([("y", "initial", 0, "{}", 1), ("y", "initial", 0, "{1}", 2)], "yt_id string, part string, part_pos int, json string, fetched_at int")
     bronze.append_raw(df, str(tmp_path / "raw"))
