@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, only_rows, table, written
+from .common import numbered, only_rows, placed, table, written
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -151,9 +151,12 @@ def _found(texts: DataFrame, size: int, route) -> DataFrame:
     )
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with all their columns, one of equal texts (see :func:`find_copies`)."""
-    rows, row = numbered(docs)
+def drop_copies(docs: DataFrame, stored: bool = False) -> DataFrame:
+    """Rows of ``docs`` with all their columns, one of equal texts (see :func:`find_copies`).
+
+    ``stored``: ``docs`` is a stored Parquet table as it was read, so no copy of it is written.
+    """
+    rows, row = placed(docs) if stored else numbered(docs)
     # written, as the cut of a text would otherwise be computed from it for each block
     texts = written(
         rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("data")),

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blobs, numbered, only_rows, table, written
+from .common import bit_maps, blobs, marked, numbered, only_rows, placed, table, written
 from .components import components
 from .recompress import Sums, mix, word_names
 
@@ -29,8 +29,12 @@ TILE = 2048
 HELD = 2_000_000
 #: Most promising candidates of a set that are verified before all others, and how often.
 BEST, ROUNDS = 4, 1
-#: Bits of the map of needed texts (fixed; 8 MB), and of one row of it.
-BITS, _MAP = 1 << 26, 1 << 15
+#: Bits of the map of needed texts (fixed; 8 MB).
+BITS = 1 << 26
+#: Sets of a rare shingle that are compared with each other by their room; all of more are kept.
+NEIGHBOURS = 8
+#: Parts of a prefix that places are told apart by.
+PARTS = 32
 _LEAF = 16
 #: Groups of so many points need no boxes above them.
 ONE_LEAF = 64
@@ -104,17 +108,11 @@ def _picked(sets: DataFrame, needed: DataFrame) -> DataFrame:
     """``sets`` without most of those that are not ``needed``, where they stand.
 
     A bitmap of ``BITS`` bits, marked at the names that are needed, goes to every task, so
-    that few other texts come to the join behind it. Its size is fixed; the more names it
-    marks, the less it spares, and the join decides.
+    that few other texts come to the joins behind it. Its size is fixed; the more names it
+    marks, the less it spares, and the joins decide.
     """
-    at = lambda c: F.pmod(F.col(c), F.lit(BITS))
-    maps = needed.groupBy((at("set") / _MAP).cast("int").alias("_map")).agg(
-        F.bitmap_construct_agg(at("set") % _MAP).alias("_bits")
-    )
-    byte = F.expr(f"conv(hex(substring(_bits, cast((_at % {_MAP}) div 8 as int) + 1, 1)), 16, 10)")
-    marked = byte.cast("int").bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0
-    placed = sets.withColumn("_at", at("set")).withColumn("_map", (F.col("_at") / _MAP).cast("int"))
-    return placed.join(F.broadcast(maps), "_map").where(marked).select(sets.columns)
+    at = F.pmod("set", F.lit(BITS))
+    return marked(sets, at, bit_maps(needed.select(at.alias("at"))))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -126,7 +124,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """
     needed = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set")))
     needed = written(needed.distinct(), "sets-needed")
-    texts = written(_picked(sets.select("set", "packed"), needed).join(needed, "set"), "needed")
+    texts = written(_picked(sets.select("set", "packed"), needed), "needed")
     left = pairs.join(texts.withColumnsRenamed({"set": "a", "packed": "pa"}), "a")
     right = texts.withColumnsRenamed({"set": "b", "packed": "pb"})
 
@@ -192,18 +190,27 @@ def _sketch(sets: DataFrame) -> np.ndarray:
         COUNTERS // _PIECE // 8, "piece"
     ).mapInArrow(add, ddl)
     total = np.zeros((COUNTERS // _PIECE, _PIECE), np.int64)
-    for r in summed.toLocalIterator():
+    for r in written(summed, "sketch").toLocalIterator():
         total[r["piece"]] += np.frombuffer(r["counts"], np.int64)
     return total.reshape(-1)
 
 
-def _postings(sets: DataFrame, labels: DataFrame, total: np.ndarray) -> DataFrame:
-    """``token, label, set, n``: the prefix shingles of every set that may be shared.
+def _prefix(n):
+    """Shingles of ``n`` of which linked sets share one."""
+    return n - -(-4 * n // 5) + 1
+
+
+def _postings(sets: DataFrame, total: np.ndarray) -> DataFrame:
+    """``token, set, n``: the prefix shingles of every set that may be shared.
 
     Shingles are ordered by sketch level, then by name: rare ones first. Two linked sets
     share one of their first n - ceil(0.8 n) + 1 shingles in any common order.
-    ``token`` runs of rare shingles with one label are dropped on the way; those of frequent
-    ones are kept here, their rows spread by set.
+    A set of ``n`` shingles that shares none before place ``p`` (from 0) with another one of
+    ``m`` has at most ``n - p`` in common with it, so links ask for ``4 m <= 5 n - 9 p``, its
+    ``room``, of the first shingle that both share. Places travel with the size, as one of
+    ``PARTS`` parts of the prefix. Sets of a rare shingle are dropped on the
+    way if they and no other set of it have room for each other; those of frequent ones are
+    kept here, their rows spread by set. Texts stay where they are.
     """
     level = (2 * np.log2(total + 1.0)).astype(np.uint8)
     often = int(4 * total.mean() + 256)
@@ -213,20 +220,20 @@ def _postings(sets: DataFrame, labels: DataFrame, total: np.ndarray) -> DataFram
         level, hot = shared.value
         for batch in source:
             held = []
-            columns = (batch.column(n).to_pylist() for n in ("set", "label", "n", "packed"))
-            for name, label, n, packed in zip(*columns, strict=True):
+            columns = (batch.column(n).to_pylist() for n in ("set", "n", "packed"))
+            for name, n, packed in zip(*columns, strict=True):
                 names = _unpacked(packed)
                 at = (names >> U(44)).astype(np.int64)
-                order = np.argsort(level[at], kind="stable")[: n - -(-4 * n // 5) + 1]
+                order = np.argsort(level[at], kind="stable")[: _prefix(n)]
                 size = len(order)
                 held.append(
-                    (names[order].view(np.int64), np.full(size, label), np.full(size, name),
-                     np.full(size, n), np.where(hot[at[order]], name % 64, -1))
+                    (names[order].view(np.int64), np.full(size, name),
+                     n * PARTS + np.arange(size) * PARTS // size, np.where(hot[at[order]], name % 64, -1))
                 )
             if held:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(c)) for c in zip(*held, strict=True)],
-                    names=["token", "label", "set", "n", "salt"],
+                    names=["token", "set", "sized", "salt"],
                 )
 
     def drop(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,20 +252,35 @@ def _postings(sets: DataFrame, labels: DataFrame, total: np.ndarray) -> DataFram
     def kept(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         if not rows.num_rows:
             return
-        token, label = rows.column("token").to_numpy(), rows.column("label").to_numpy()
-        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        token, sized, salt = (rows.column(c).to_numpy() for c in ("token", "sized", "salt"))
+        n = sized // PARTS
+        # the first place of the part
+        room = 5 * n - 9 * -(-(sized % PARTS) * _prefix(n) // PARTS)
+        # by size; sets on both sides of such a step do not link
+        first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (5 * n[:-1] < 4 * n[1:])])
         size = np.diff(np.r_[first, len(token)])
-        low, high = np.minimum.reduceat(label, first), np.maximum.reduceat(label, first)
-        keep = np.repeat(low < high, size) | (rows.column("salt").to_numpy() >= 0)
-        yield from rows.select(["token", "label", "set", "n"]).filter(pa.array(keep)).to_batches()
-
-    marked = sets.select("set", "n", "packed").join(
-        labels.withColumnsRenamed({"node": "set", "root": "label"}), "set", "left"
-    ).withColumn("label", F.coalesce("label", "set"))
-    rows = marked.mapInArrow(emit, "token long, label long, set long, n long, salt long")
+        group = np.repeat(np.arange(len(first)), size)
+        keep = (salt >= 0) | (size > NEIGHBOURS)[group]
+        for step in range(1, min(NEIGHBOURS, len(token))):
+            fits = (group[step:] == group[:-step]) & (4 * n[step:] <= room[:-step]) & (4 * n[:-step] <= room[step:])
+            keep[step:] |= fits
+            keep[:-step] |= fits
+        columns = [rows.column("token"), rows.column("set"), pa.chunked_array([n])]
+        yield from pa.table(columns, names=["token", "set", "n"]).filter(pa.array(keep)).to_batches()
+
+    ddl = "token long, set long, sized long, salt long"
+    rows = sets.select("set", "n", "packed").mapInArrow(emit, ddl)
     return (
-        rows.repartition(F.col("token"), F.col("salt")).sortWithinPartitions("token")
-        .mapInArrow(drop, "token long, label long, set long, n long")
+        rows.repartition(F.col("token"), F.col("salt")).sortWithinPartitions("token", "sized")
+        .mapInArrow(drop, "token long, set long, n long")
+    )
+
+
+def _labelled(live: DataFrame, labels: DataFrame) -> DataFrame:
+    """``live`` with the label of every set: its root, or itself."""
+    roots = labels.select(F.col("node").alias("set"), F.col("root").alias("_root"))
+    return live.drop("label").join(roots, "set", "left").select(
+        "token", F.coalesce("_root", "set").alias("label"), "set", "n"
     )
 
 
@@ -465,18 +487,14 @@ def links(sets: DataFrame) -> DataFrame:
     )
     near = written(_verified(pairs, sets), "links")
     labels = components(near, rounds=2)
-    live = written(_postings(sets, labels, _sketch(sets)), "postings")
+    live = written(_labelled(written(_postings(sets, _sketch(sets)), "prefixes"), labels), "postings")
     for _ in range(ROUNDS):
         pairs = written(_candidates(live, sets, BEST), "pairs")
         best = written(
             _most_promising(pairs, "a").unionByName(_most_promising(pairs, "b")).distinct(), "best"
         )
         near = written(near.unionByName(_verified(best, sets)), "links")
-        labels = components(near, rounds=3).withColumnsRenamed({"node": "set", "root": "_root"})
-        live = written(
-            live.join(labels, "set", "left").withColumn("label", F.coalesce("_root", "set")).drop("_root"),
-            "postings",
-        )
+        live = written(_labelled(live, components(near, rounds=3)), "postings")
     rest = written(_candidates(live, sets).select("a", "b"), "pairs")
     return near.unionByName(_verified(rest, sets))
 
@@ -490,8 +508,9 @@ def _rooted(docs: DataFrame) -> DataFrame:
     """``doc_id, row, n, root`` of every row of ``doc_id, row, text``; equal roots are one component."""
     every = written(_sets(docs), "sets")
     rows = every.select("doc_id", "row", "set", "n")
-    sets = every.where("n > 0").select("set", "n", "counts", "least", "packed")
-    sets = written(sets.dropDuplicates(["set"]), "texts")
+    # one row of equal sets
+    first = every.where("n > 0").groupBy("set").agg(F.min("row").alias("row"))
+    sets = only_rows(every.select("row", "set", "n", "counts", "least", "packed"), "row", first)
     roots = components(links(sets))
     named = rows.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn(
         "root", F.coalesce("root", "set")
@@ -521,12 +540,13 @@ def find_near_copies(docs: DataFrame) -> DataFrame:
     ).unionByName(alone)
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, stored: bool = False) -> DataFrame:
     """Rows of ``docs`` with all their columns, one of each component: the smallest id.
 
-    Texts without words all stay.
+    Texts without words all stay. ``stored``: ``docs`` is a stored Parquet table as it was
+    read, so no copy of it is written.
     """
-    rows, row = numbered(docs)
+    rows, row = placed(docs) if stored else numbered(docs)
     named = _rooted(rows.select("doc_id", "text", F.col(row).alias("row")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     first = named.where("n > 0").groupBy("root").agg(F.min(order).alias("o"))

@@ -20,6 +20,9 @@ _SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
+#: Only around own writes: a result that a caller reads twice keeps its shuffle files.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings that the operators expect."""
@@ -32,11 +35,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     For costly rows that a plan needs twice: nothing is computed a second time, and a
-    lost executor costs a read.
+    lost executor costs a read. The shuffle files of the job go when it has ended.
     """
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(_SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

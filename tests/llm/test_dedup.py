@@ -2,13 +2,15 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cuesheet.llm import exact_dedup, ngram_join, substring_dedup
+from cuesheet import session
+from cuesheet.llm import common, exact_dedup, ngram_join, substring_dedup
 from cuesheet.llm.components import components
 from cuesheet.llm.recompress import BREAK, segments, word_names
 
@@ -124,6 +126,51 @@ def test_one_of_each_group_stays(docs, no_docs, rows):
     assert ngram_join.find_near_copies(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("drop", [exact_dedup.drop_copies, ngram_join.drop_near_copies])
+def test_stored_rows_are_known_by_their_places(docs, drop, monkeypatch):
+    """A stored table is not copied, whatever its columns are named."""
+    stored = session.written(docs.withColumn("_file", F.lit("f")).withColumn("_AT", F.lit(1)).repartition(3), "in")
+    named = []
+    for module in (common, exact_dedup, ngram_join):
+        monkeypatch.setattr(module, "written", lambda df, name: named.append(name) or session.written(df, name))
+    kept = drop(stored, stored=True)
+    assert "numbered" not in named and kept.columns == stored.columns
+    want = drop(stored)
+    assert "numbered" in named
+    rest = lambda df: sorted(map(repr, df.select("doc_id", F.length("text"), F.col("doc_id").isNull()).collect()))
+    assert rest(kept) == rest(want) and kept.count() < stored.count()
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in map(str, blocks.getAllFiles().mkString("\n").split("\n")) if "shuffle_" in f}
+    before = files()
+    made = session.written(spark.range(1000).groupBy(F.col("id") % 7).count(), "counts")
+    assert made.count() == 7
+    for _ in range(50):
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.2)
+    # the count above has one of its own, of one row a task
+    assert sum(1 for f in left if f.endswith(".data")) <= spark.sparkContext.defaultParallelism
+
+
+def test_sets_without_room_for_a_link_are_no_candidates(spark):
+    """A shingle that unlike sizes share, or like ones only at the ends of their prefixes."""
+    word = lambda i: f"{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{i // 676}"
+    text = lambda start, n: " ".join(word(start + i) for i in range(n))
+    both = " v w x y z"
+    docs = spark.createDataFrame(
+        [(1, text(0, 20) + both), (2, text(100, 200) + both), (3, text(400, 300)), (4, text(401, 300))],
+        "doc_id long, text string",
+    ).coalesce(1).withColumn("row", F.col("doc_id"))
+    sets = ngram_join._sets(docs)
+    total = np.zeros(ngram_join.COUNTERS, np.int64)  # all are rare: the order is that of the names
+    left = ngram_join._postings(sets, total).join(sets.select("set", "doc_id"), "set")
+    assert {r["doc_id"] for r in left.select("doc_id").distinct().collect()} == {3, 4}
+
+
 def test_rows_are_known_by_number(spark):
     """Null and repeated ids, equal rows, and a column that is named like the number."""
     rows = [(None, "", 1), (None, "", 2), (0, "", 3), (0, None, 4), (0, "a b", 5), (None, "a b", 6), (0, "a b", 7),
