@@ -43,6 +43,12 @@ def tracks_of_payloads(payloads: DataFrame) -> DataFrame:
     return tracks_of_findings(walk_payloads(payloads, ("comment",)))
 
 
+def _spread(batch: DataFrame) -> DataFrame:
+    """The payloads of few files over all cores: to walk and parse one costs far more than to move it."""
+    cores = batch.sparkSession.sparkContext.defaultParallelism
+    return batch.repartition(cores) if batch.rdd.getNumPartitions() < cores else batch
+
+
 def stream_tracks(
     spark: SparkSession, path: str, out: str, checkpoint: str, files_per_batch: int = 1000
 ) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +69,7 @@ def stream_tracks(
             table.write.mode("overwrite").parquet(folder)
             return batch.sparkSession.read.schema(table.schema).parquet(folder)
 
-        found = put(walk_payloads(batch, ("comment", "error")), "found")
+        found = put(walk_payloads(_spread(batch), ("comment", "error")), "found")
         put(tracks_of_findings(found), "tracks")
         put(bad_payloads(found), "errors")
 

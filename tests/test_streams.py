@@ -28,6 +28,16 @@ def test_broken_payloads_are_rows_of_their_batch(spark, tmp_path):
         assert errors.select("batch_id").distinct().count() == 3
 
 
+def test_one_file_of_payloads_is_walked_by_all_cores(spark, tmp_path):
+    src, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    rows = [(f"v{i}", "comments", i, "no json") for i in range(60)]
+    spark.createDataFrame(rows, streams.PAYLOAD_SCHEMA).coalesce(1).write.parquet(src)
+    _, errors = streams.stream_tracks(spark, src, out, ckpt)
+    assert sorted(r.part_pos for r in errors.collect()) == list(range(60))
+    walked = list((tmp_path / "out/found/batch_id=0").glob("part-*.parquet"))
+    assert len(walked) == spark.sparkContext.defaultParallelism > 1
+
+
 def test_copies_between_the_ends_go_before_the_state():
     frame = pd.DataFrame(
         [("v", "s", 3, "c"), ("v", "s", 1, "a"), ("v", "s", 2, "b"), ("v", "t", 9, "d"), ("w", "s", 5, "e"),
