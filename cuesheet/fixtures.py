@@ -37,16 +37,18 @@ def spread(df: DataFrame) -> DataFrame:
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per track: ``video_id, comment_id, item_no, secs, song, artist``."""
     names = ("lineitem", "orders", "part", "supplier")
-    return spark.sql(
-        ITEMS.format(**{n: "{" + n + "}" for n in names}),
-        **{n: table(spark, sf_dir, n) for n in names},
-    )
+    tables = {n: table(spark, sf_dir, n) for n in names}
+    # dealt by comment before the names come, rows stay where they are up to the text of a comment
+    tables["lineitem"] = tables["lineitem"].select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"
+    ).repartition("l_orderkey")
+    return spark.sql(ITEMS.format(**{n: "{" + n + "}" for n in names}), **tables)
 
 
 def hms(secs: Column) -> Column:
-    return F.format_string(
-        "%d:%02d:%02d", (secs / 3600).cast("int"), ((secs % 3600) / 60).cast("int"), secs % 60
-    )
+    two = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
+    hours = (secs / 3600).cast("int").cast("string")
+    return F.concat(hours, F.lit(":"), two((secs % 3600) / 60), F.lit(":"), two(secs % 60))
 
 
 def mmss(secs: Column) -> Column:

@@ -39,8 +39,8 @@ def markers(c: Column) -> Column:
     return let(c, lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(ascii(t)))
 
 
-def clean_lines(c: Column) -> Column:
-    """Array of trimmed, non-empty lines."""
+def _uniform(c: Column) -> Column:
+    """Text with uniform line ends and blanks, its lines not yet trimmed."""
     # most texts are spared the steps that look at every character
     def when_any(t: Column, marks: str, step: Callable[[Column], Column]) -> Column:
         any_of = lambda v: functools.reduce(Column.__or__, [v.contains(m) for m in marks.split("|")])
@@ -49,10 +49,18 @@ def clean_lines(c: Column) -> Column:
     c = F.coalesce(c, F.lit(""))
     c = when_any(c, "\r", lambda t: sub(t, r"\r\n?", "\n"))
     c = when_any(c, "\u00a0|\u200b", lambda t: F.translate(t, "\u00a0\u200b", " "))
-    c = when_any(c, "\t|  ", lambda t: sub(t, r"[ \t]+", " "))
+    return when_any(c, "\t|  ", lambda t: sub(t, r"[ \t]+", " "))
+
+
+def _trimmed_lines(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "\n"), strip), lambda l: l != "")
 
 
+def clean_lines(c: Column) -> Column:
+    """Array of trimmed, non-empty lines."""
+    return _trimmed_lines(_uniform(c))
+
+
 def normalize(c: Column) -> Column:
     return F.array_join(clean_lines(c), "\n")
 
@@ -80,7 +88,8 @@ _TS_IN_LINE = (
     rf"(^|[^0-9])((?:{P.TS_OPEN}{P.WS}*)?{P.TS}(?:{P.WS}*{P.TS_CLOSE})?)(?![0-9])"
 )
 _CUT_OFF_INVALID = rf"{_CUT}(?!(?:{P.TS_OPEN}{P.WS}*)?{P.TS_VALID})"
-_TWO_TIMES = r"(?s)[0-9]:[0-9]{2}(?::[0-9]{2})?+.*?[0-9]:[0-9]{2}"
+# on one line of the text
+_TWO_TIMES = r"[0-9]:[0-9]{2}(?::[0-9]{2})?+[^\n]*?[0-9]:[0-9]{2}"
 # "Nth song 38:12~43:24 title" keeps both times on one line
 INLINE_RANGE_KEEP = (
     rf"(?s)^第?{P.WS}*[0-9]{{1,3}}{P.WS}*(?:曲目|曲)[：:{P.WS_SET}]*{P.TS}{P.WS}*"
@@ -90,12 +99,14 @@ INLINE_RANGE_KEEP = (
 
 def _split_line(line: Column) -> Column:
     cut = lambda l: sub(sub(l, _TS_IN_LINE, f"$1{_CUT}$2"), _CUT_OFF_INVALID)
+    # translate looks up every character, replace searches for bytes
+    whole = lambda marked: F.replace(marked, F.lit(_CUT), F.lit(""))
     pieces = lambda marked: F.when(
-        F.length(marked) - F.length(F.translate(marked, _CUT, "")) >= 2,
+        F.octet_length(marked) - F.octet_length(whole(marked)) >= 2,
         F.filter(F.transform(F.split(marked, _CUT), strip), lambda s: s != ""),
-    ).otherwise(F.array(F.translate(marked, _CUT, "")))
+    ).otherwise(F.array(whole(marked)))
     return let(
-        strip(markers(line)),
+        line,
         # most lines hold one time at most
         lambda l: F.when(~l.rlike(_TWO_TIMES), F.array(l))
         .when(l.rlike(INLINE_RANGE_KEEP), F.array(l))
@@ -105,7 +116,21 @@ def _split_line(line: Column) -> Column:
 
 def logical_lines(c: Column) -> Column:
     """Lines of a text, with several timed entries on one line cut apart."""
-    return F.filter(F.flatten(F.transform(clean_lines(c), _split_line)), lambda l: l != "")
+    cut = lambda lines: F.filter(F.flatten(F.transform(lines, _split_line)), lambda l: l != "")
+    return let(
+        markers(_uniform(c)),
+        # in most texts no line is cut
+        lambda t: F.when(~t.rlike(_TWO_TIMES), _trimmed_lines(t)).otherwise(cut(_trimmed_lines(t))),
+    )
+
+
+def logical_text(c: Column) -> Column:
+    """The logical lines of a text, normalised and joined."""
+    # pieces are trimmed and hold no blank twice, unless the mark of the cut stood between blanks
+    return let(
+        F.array_join(logical_lines(c), "\n"),
+        lambda t: F.when(F.contains(c, F.lit(_CUT)), normalize(t)).otherwise(t),
+    )
 
 
 # --- bracket depth -------------------------------------------------------------

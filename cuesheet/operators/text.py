@@ -60,6 +60,16 @@ def times_in(c: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda t: seconds_of(t).isNotNull()))
 
 
+#: The same in texts whose digits are plain; the group of times out of range is empty.
+_PLAIN_TIME = rf"(?<![0-9])(?:({P.TS_VALID})|{P.TS})(?![0-9])"
+
+
+def times_in_plain(c: Column) -> Column:
+    """``times_in`` of a text that is normalised and holds no full-width digits or colons."""
+    found = F.regexp_extract_all(c, F.lit(_PLAIN_TIME), F.lit(1))
+    return F.array_remove(F.array_distinct(found), "")
+
+
 def extract_timestamps(comments: DataFrame, text: str = "text") -> DataFrame:
     """One row per distinct time label: ``pos, label, secs``."""
     keep = [c for c in comments.columns if c != text]

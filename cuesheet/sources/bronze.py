@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import skew
 from ..functions.rows import explode_rows
-from ..functions.text import logical_lines, normalize, sub
-from ..operators.text import times_in
+from ..functions.text import let, logical_text, sub
+from ..operators.text import times_in_plain
 from ..session import written
 
 W = P.WS
@@ -394,12 +394,15 @@ def crawl_frontier(payloads: DataFrame, seen: DataFrame, cap: int | None = None)
 
 def pick_rendition(renditions: DataFrame) -> DataFrame:
     """Best of several renditions of a comment: times, then lines, then length."""
-    lines = logical_lines(F.col("text"))
-    norm = normalize(F.array_join(lines, "\n"))
-    scored = renditions.withColumn("text", norm)
-    n_lines = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
-    score = F.size(times_in(F.col("text"))) * 100000 + n_lines * 100 + F.length("text")
-    scored = scored.withColumn("score", score.cast("bigint"))
+    def scored(t: Column) -> Column:
+        # no line of a normalised text is empty
+        n_lines = F.when(t == "", 0).otherwise(F.size(F.split(t, "\n")))
+        score = F.size(times_in_plain(t)) * 100000 + n_lines * 100 + F.length(t)
+        return F.struct(t.alias("text"), score.cast("bigint").alias("score"))
+
+    scored = renditions.withColumn("_s", let(logical_text(F.col("text")), scored)).select(
+        "video_id", "comment_id", "kind", "pos", "_s.text", "_s.score"
+    )
     value = F.struct("kind", "text", "score")
     rank = F.when(F.col("text") != "", F.struct("score", (-F.col("pos")).alias("p")))
     best = scored.groupBy("video_id", "comment_id").agg(F.max_by(value, rank).alias("b")).where(

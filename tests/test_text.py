@@ -198,3 +198,15 @@ def test_lines_known_by_shape(one):
     tag = lambda l: let(text.line_flags(l), merge._tagged)
     got, want = one(merge.tagged_line, lines), one(tag, lines)
     assert [x for x in zip(lines, got, want) if x[1] != x[2]] == []
+
+
+def test_logical_text_and_plain_times(one):
+    """The short ways of the rendition choice, next to the long ones."""
+    rng = random.Random(11)
+    parts = ["0:15", "1:02:03", "99:99", "1:02:033", "10:15:61", "１：２３", "12：30．", "\x01", " ", "  ", "\t", "\n", "\r\n",
+             " ", "​", "　", "\x0b", "[0:30]", "『1:00』", "歌", "abc", "/", "1曲目 ", "~", ":", "7", "", "0:15 a 0:30 b"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + ["", None]
+    found = one(X.logical_text, texts)
+    assert found == one(lambda c: X.normalize(F.array_join(X.logical_lines(c), "\n")), texts)
+    assert one(text.times_in_plain, found) == one(text.times_in, found)
+    assert one(X.logical_text, ["a 0:15 b 0:30 c \x01 d"]) == ["a\n0:15 b\n0:30 c d"]
