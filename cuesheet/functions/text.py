@@ -148,9 +148,7 @@ def outside_brackets(
     bracket by bracket.
     """
     o, z = P.char_set(opens), P.char_set(closes)
-    # the CJK brackets are one run of code points
-    rest = "".join(ch for ch in opens + closes if not "\u3008" <= ch <= "\u3011")
-    other = P.char_set(rest).replace("[", "[^", 1)[:-1] + r"\x{3008}-\x{3011}]"
+    other = P.other_set(opens + closes)
     side_by_side = rf"(?s)^{other}*+(?:{o}{other}*+{z}{other}*+)*+$"
     inside = rf"[{P.DELIMS}](?={other}*+{z})"
 
