@@ -269,14 +269,12 @@ def _heading_key(head: Column) -> Column:
 def section_lines(lines: Column, heads: Column) -> Column:
     """Lines after the last setlist heading, up to the next other heading.
 
-    ``heads``: the same lines in their compatibility form, without icons at their beginning.
+    ``heads``: the same lines in their compatibility form, without icons at their beginning;
+    empty for lines with a time.
     """
-    timeless = lambda l: first_time(l) == ""
-    setlist = lambda l, head: (
-        _heading_key(head).rlike(rf"(?i)^{P.words(P.SETLIST_HEADINGS)}$")
-        & timeless(l) & split_fields(drop_tree(l)).isNull()
-    )
-    other = lambda l, head: timeless(l) & _heading_key(head).rlike(rf"(?i)^{P.words(P.OTHER_HEADINGS)}$")
+    named = lambda head, words: (head != "") & _heading_key(head).rlike(rf"(?i)^{P.words(words)}$")
+    setlist = lambda l, head: named(head, P.SETLIST_HEADINGS) & split_fields(drop_tree(l)).isNull()
+    other = lambda head: named(head, P.OTHER_HEADINGS)
     start = F.array_max(
         F.transform(lines, lambda l, i: F.when(setlist(markers(l), F.get(heads, i)), i))
     )
@@ -284,7 +282,7 @@ def section_lines(lines: Column, heads: Column) -> Column:
     def until_stop(tail: Column, first: Column) -> Column:
         stop = F.array_min(
             F.transform(
-                tail, lambda l, i: F.when((i > 0) & other(markers(l), F.get(heads, first + i)), i)
+                tail, lambda l, i: F.when((i > 0) & other(F.get(heads, first + i)), i)
             )
         )
         return let(
@@ -309,7 +307,8 @@ def select_setlist_section(comments: DataFrame, text: str = "text") -> DataFrame
     """Add ``lines`` cut down to the preferred section."""
     src = comments if "lines" in comments.columns else with_lines(comments, text)
     # one text, as functions in Python cannot be called for elements of an array
-    heads = F.array_join(F.transform("lines", lambda l: sub(markers(l), _HEADING_LEAD)), "\n")
+    head = lambda l: F.when(first_time(l) == "", sub(l, _HEADING_LEAD)).otherwise("")
+    heads = F.array_join(F.transform("lines", lambda l: let(markers(l), head)), "\n")
     named = with_nfkc(src, "_heads", heads)
     return named.withColumn("lines", _section_of("lines", "_heads")).drop("_heads")
 

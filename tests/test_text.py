@@ -210,3 +210,27 @@ def test_logical_text_and_plain_times(one):
     assert found == one(lambda c: X.normalize(F.array_join(X.logical_lines(c), "\n")), texts)
     assert one(text.times_in_plain, found) == one(text.times_in, found)
     assert one(X.logical_text, ["a 0:15 b 0:30 c \x01 d"]) == ["a\n0:15 b\n0:30 c d"]
+
+
+def test_bracket_mask_classes():
+    """Runs outside brackets are tested by plain ranges only (negated classes take ten times as long)."""
+    import re
+
+    from cuesheet.functions import patterns as P
+
+    brackets = P.BRACKETS_OPEN + P.BRACKETS_CLOSE
+    found = P.other_set(brackets)
+    assert not found.startswith("[^")
+    spans = [(int(a, 16), int(b, 16)) for a, b in re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", found)]
+    held = set().union(*(range(a, b + 1) for a, b in spans))
+    assert set(range(0x110000)) - held == {ord(ch) for ch in brackets}
+
+
+def test_timed_lines_need_no_heading_key(spark):
+    lines = ["0:15 セトリ", "♪ セトリ", "1:00 a / b", "雑談", "2:00 c / d"]
+    got = text.select_setlist_section(comments(spark, ["\n".join(lines)]))
+    assert [r.lines for r in got.collect()] == [["1:00 a / b"]]
+    # the key of a line with a time is left out, here with a head that would be a heading
+
+    cut = text.section_lines(F.array(*[F.lit(l) for l in lines]), F.array(*[F.lit("")] * 5))
+    assert spark.range(1).select(cut).first()[0] == lines
