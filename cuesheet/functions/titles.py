@@ -262,12 +262,17 @@ _PLAIN_FIELD = rf"^{_PLAIN_NAME}$"
 PLAIN_PAIR = rf"^({_PLAIN_NAME})(?: [{P.DELIMS}{P.DASHES}] |[/／|])({_PLAIN_NAME})$"
 
 
+def tidy_unless_plain(c: Column) -> Column:
+    """``tidy_field``, which leaves plain names alone; most names are plain once the rules have run."""
+    return let(c, lambda t: F.when(t.rlike(_PLAIN_FIELD), t).otherwise(tidy_field(t)))
+
+
 def clean_field(c: Column, rules=DEFAULT_RULES) -> Column:
     """Rule table plus field cleanup; protected titles come back untouched."""
 
     def body(raw: Column) -> Column:
         full = F.when(raw.rlike(protected_pattern(rules)), strip(raw)).otherwise(
-            tidy_field(apply_rules(raw, rules, check_protected=False))
+            tidy_unless_plain(apply_rules(raw, rules, check_protected=False))
         )
         # the short cut knows the default rules only
         return F.when(raw.rlike(_PLAIN_FIELD), raw).otherwise(full) if rules is DEFAULT_RULES else full
@@ -283,7 +288,7 @@ def clean_field_light(c: Column) -> Column:
     return let(
         strip(c),
         lambda raw: F.when(raw.rlike(_PLAIN_FIELD) | raw.rlike(_PROTECTED), raw).otherwise(
-            tidy_field(suffix_steps(raw, SUFFIX_RULES))
+            tidy_unless_plain(suffix_steps(raw, SUFFIX_RULES))
         ),
     )
 
@@ -320,34 +325,52 @@ ALIAS = (
 )
 
 
+# last characters of the notes that end a performer, or of what may follow them
+_NOTE_END = rf"[A-Za-z&&[ercglERCGL]]$|[ジ曲グルり露開でス戦枠※＊\]】)）]$|{W}$"
+
+
 def drop_performance_notes(c: Column) -> Column:
-    c = sub(c, rf"(?i){LEAD}(?:[❄✨⭐★☆]++{W}*+)?+(?:チャレンジ|challenge){W}*+$")
-    c = sub(
-        c,
-        rf"(?i){LEAD}(?:[※＊❄✨⭐★☆]++{W}*+)?+(?:[\[【(（]{W}*+)?+(?:with{W}+acoustic{W}+gui?t[ae]?r"
-        rf"|with{W}+acoustic|acoustic{W}+gui?t[ae]?r|acoustic|{_NOTE_WORDS})"
-        rf"(?:{W}*+[\]】)）])?+{W}*+$",
-    )
-    c = sub(c, rf"(?i)(?<![ \t\x{{3000}}])[ \t\x{{3000}}]++(?:{_NOTE_WORDS}){W}*+$")
-    return strip(sub(c, rf"{LEAD}[※＊]{W}*+$"))
+    def steps(t: Column) -> Column:
+        t = sub(t, rf"(?i){LEAD}(?:[❄✨⭐★☆]++{W}*+)?+(?:チャレンジ|challenge){W}*+$")
+        t = sub(
+            t,
+            rf"(?i){LEAD}(?:[※＊❄✨⭐★☆]++{W}*+)?+(?:[\[【(（]{W}*+)?+(?:with{W}+acoustic{W}+gui?t[ae]?r"
+            rf"|with{W}+acoustic|acoustic{W}+gui?t[ae]?r|acoustic|{_NOTE_WORDS})"
+            rf"(?:{W}*+[\]】)）])?+{W}*+$",
+        )
+        t = sub(t, rf"(?i)(?<![ \t\x{{3000}}])[ \t\x{{3000}}]++(?:{_NOTE_WORDS}){W}*+$")
+        return strip(sub(t, rf"{LEAD}[※＊]{W}*+$"))
+
+    return let(c, lambda t: F.when(t.rlike(_NOTE_END), steps(t)).otherwise(strip(t)))
 
 
 def drop_release_date(c: Column) -> Column:
-    c = sub(c, rf"{LEAD}[(（]{W}*+[0-9]{{4}}{_DAY_TAIL}{W}*+[)）]{W}*+$")
-    c = sub(c, rf"{LEAD}[\[［【]{W}*+[0-9]{{4}}{_DAY_TAIL}{W}*+[\]］】]{W}*+$")
-    return drop_year(c)
+    def steps(t: Column) -> Column:
+        t = sub(t, rf"{LEAD}[(（]{W}*+[0-9]{{4}}{_DAY_TAIL}{W}*+[)）]{W}*+$")
+        t = sub(t, rf"{LEAD}[\[［【]{W}*+[0-9]{{4}}{_DAY_TAIL}{W}*+[\]］】]{W}*+$")
+        return drop_year(t)
+
+    return let(c, lambda t: F.when(t.rlike(HAS_BRACKET), steps(t)).otherwise(strip(t)))
 
 
 def drop_release_tail(c: Column) -> Column:
-    c = drop_release_date(c)
-    c = sub(c, rf"(?s){BLANKS}(?:18|19|20|21)[0-9]{{2}}{_DAY_TAIL}.*$")
-    c = sub(c, rf"(?i){BLANKS}[0-9]++(?:st|nd|rd|th)?+{W}*+オリジナル(?:ソング|曲)?+{W}*+$")
-    return strip(sub(c, rf"{BLANKS}オリジナル(?:ソング|曲){W}*+$"))
+    def dated(t: Column) -> Column:
+        tail = rf"(?s){BLANKS}(?:18|19|20|21)[0-9]{{2}}{_DAY_TAIL}.*$"
+        return F.when(t.rlike("(?:18|19|20|21)[0-9]{2}"), sub(t, tail)).otherwise(t)
+
+    def original(t: Column) -> Column:
+        cut = sub(t, rf"(?i){BLANKS}[0-9]++(?:st|nd|rd|th)?+{W}*+オリジナル(?:ソング|曲)?+{W}*+$")
+        cut = sub(cut, rf"{BLANKS}オリジナル(?:ソング|曲){W}*+$")
+        return F.when(t.contains("オリジナル"), cut).otherwise(t)
+
+    return strip(let(let(drop_release_date(c), dated), original))
 
 
 def clean_artist(c: Column) -> Column:
     """Performer without dates, work title, notes and Latin alias; ``X//`` stays."""
-    work = strip(sub(drop_release_date(drop_release_tail(c)), rf"{LEAD}【[^】]{{1,120}}】{W}*+$"))
+    title = lambda t: F.when(t.contains("【"), strip(sub(t, rf"{LEAD}【[^】]{{1,120}}】{W}*+$"))).otherwise(t)
+    work = let(drop_release_date(drop_release_tail(c)), title)
+
     def restore(raw: Column) -> Column:
         cleaned = drop_trailing_marks(
             drop_release_tail(drop_performance_notes(clean_field_light(raw)))
@@ -360,10 +383,13 @@ def clean_artist(c: Column) -> Column:
             ).otherwise(v),
         )
 
-    named = let(work, lambda w: F.when(
+    named = lambda w: F.when(
         w.rlike(P.JAPANESE) & w.rlike(rf"{_NEXT_NAME}$"), sub(w, ALIAS, "$1")
-    ).otherwise(w))
-    return let(strip(named), restore)
+    ).otherwise(w)
+    # what follows changes no plain name that a note does not end
+    return let(
+        work, lambda w: F.when(w.rlike(_PLAIN_PERFORMER), w).otherwise(let(strip(named(w)), restore))
+    )
 
 
 # --- song / artist -------------------------------------------------------------------
@@ -668,6 +694,7 @@ _NO_NOTE = (
     "(?<!(?i:challenge|チャレンジ|acoustic|g[ui]{0,2}t[ae]?r|original|song|オリジナル|曲|ソング|語り|披露|公開|まで"
     "|コーラス|挑戦|枠))"
 )
+_PLAIN_PERFORMER = rf"^(?![^年]*年){_PLAIN_NAME}{_NO_NOTE}$"
 _SERIAL_FORMS = (
     "#{n} +", "【{n}】 *", "[⟦〚]{n}[⟧〛] *", r"\[{n}\] *", r"\({n}\) *", "{n}曲[/／] *", "{n}, *", "{n} - *",
     r"{n}\. *", "{n}。 *",

@@ -161,3 +161,15 @@ def test_plain_numbered_lines_take_the_short_cut(one):
     found = one(lambda c: T.plain_numbered(c, lambda l: F.lit(None)), plain + other)
     assert [f is not None for f in found] == [True] * len(plain) + [False] * len(other)
     assert one(numbered_line, plain + other) == one(numbered_any_line, plain + other)
+
+
+def test_plain_performers_skip_the_note_steps(spark, one):
+    from cuesheet.functions import titles as T
+
+    names = {"Supplier#1": "Supplier#1", "Supplier#1 1999/04/23 アニメ": "Supplier#1", "Supplier#1【作品】": "Supplier#1",
+             "Supplier#1 弾き語り": "Supplier#1", "Supplier#1 Original Song": "Supplier#1", " a ※": "a", " x9 ": "x9", "X//": "X//"}
+    assert one(T.clean_artist, list(names)) == list(names.values())
+    assert one(T.drop_performance_notes, [" a 9 ", "a challenge ", "a ★挑戦枠", "a\t"]) == ["a 9", "a", "a", "a"]
+    for name in ("Supplier#1", "small gear"):
+        assert one(lambda c: c.rlike(T._PLAIN_PERFORMER), [name]) == [True]
+    assert one(lambda c: c.rlike(T._PLAIN_PERFORMER), ["a 2020年", "a 初披露", "a acoustic"]) == [False] * 3
