@@ -230,7 +230,6 @@ def test_timed_lines_need_no_heading_key(spark):
     lines = ["0:15 セトリ", "♪ セトリ", "1:00 a / b", "雑談", "2:00 c / d"]
     got = text.select_setlist_section(comments(spark, ["\n".join(lines)]))
     assert [r.lines for r in got.collect()] == [["1:00 a / b"]]
-    # the key of a line with a time is left out, here with a head that would be a heading
-
+    # the key of a line with a time is left out, here with an empty head
     cut = text.section_lines(F.array(*[F.lit(l) for l in lines]), F.array(*[F.lit("")] * 5))
     assert spark.range(1).select(cut).first()[0] == lines
