@@ -124,11 +124,21 @@ def comments(spark: SparkSession, sf_dir: str, styles=CHAT_STYLES) -> DataFrame:
     return built.withColumn("text", F.coalesce(flat, F.col("text")))
 
 
-def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One description per video with one entry per line number (at most seven)."""
-    rows = items(spark, sf_dir).groupBy("video_id", "item_no").agg(
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One entry per line number of a video (at most seven), from all its comments."""
+    return items(spark, sf_dir).groupBy("video_id", "item_no").agg(
         F.min("secs").alias("secs"), F.min("song").alias("song"), F.min("artist").alias("artist")
-    ).withColumn("comment_id", F.lit(-1).cast("bigint"))
+    )
+
+
+def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One description per video with one line per entry."""
+    return described(entries(spark, sf_dir))
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """Descriptions that list the ``entries``."""
+    rows = rows.withColumn("comment_id", F.lit(-1).cast("bigint"))
     built = as_comments(rows, styled_lines(F.lit(0)))
     return built.withColumn("source", F.lit("description")).withColumn(
         "source_pos", F.lit(2**62).cast("bigint")

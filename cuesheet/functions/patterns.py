@@ -6,6 +6,8 @@ is ASCII only and the texts are full of U+3000 and U+00A0.
 
 from __future__ import annotations
 
+import string
+
 # --- white space -----------------------------------------------------------
 WS_CHARS = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
@@ -15,9 +17,11 @@ WS_CHARS = (
 # one property test instead of a chain of ranges; the four separators complete the set
 WS_SET = r"\p{IsWhite_Space}\x1C-\x1F"
 WS = f"[{WS_SET}]"
-LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+# one test a character: alternatives and single characters beyond Latin-1 are tried one by one
+LINE_BREAK = r"[\n\x0B\f\r\x1C\x1D\x1E\x{85}\x{2028}-\x{2029}](?:(?<=\r)\n)?+"
 
 # --- characters and scripts -------------------------------------------------
+ASCII_LETTERS = string.ascii_letters  # spelled out in a set, they are tested at once
 JAPANESE = r"[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]"
 CJK_RUN = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{f900}-\x{faff}]"
 KANJI = r"[\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]"
@@ -102,6 +106,8 @@ OTHER_HEADINGS = (
     "タイムライン", "timeline", "雑談パート", "雑談", "talk", "mc", "感想", "告知", "チャプター",
     "chapter", "chapters",
 )
+# words of notices; the first characters of all are in the range, which passes most texts over
+NOTICE = r"(?=[\x{304A}-\x{7DE8}])(?:宣伝|告知|お知らせ|編集中です)"
 # titles whose symbols belong to the name; a field holding one is left alone
 PROTECTED_TITLES = (
     "DISH//", "Don't say \"lazy\"", "God knows...", "ハロ／ハワユ", "ryo(supercell)",
@@ -109,12 +115,48 @@ PROTECTED_TITLES = (
 )
 
 
+def _literal(ch: str) -> str:
+    return "\\" + ch if ch in "\\^$.|?*+()[]{}/" else ch
+
+
 def words(items) -> str:
     """Alternation of literal words."""
-    specials = set("\\^$.|?*+()[]{}/")
-    return "(?:" + "|".join(
-        "".join("\\" + ch if ch in specials else ch for ch in w) for w in items
-    ) + ")"
+    return "(?:" + "|".join("".join(map(_literal, w)) for w in items) + ")"
+
+
+# characters of other blocks that are an ASCII letter in another case
+_OTHER_CASE = {"s": "\u017f", "k": "\u212a", "i": "\u0130\u0131"}
+
+
+def _any_case(ch: str) -> str:
+    if ch.isascii() and ch.isalpha():
+        return char_set(ch.lower() + ch.upper() + _OTHER_CASE.get(ch.lower(), ""))
+    return _literal(ch)
+
+
+def holds_word(items) -> str:
+    """Pattern that is found where ``(?iu)`` and ``words(items)`` is; what it matches may be shorter.
+
+    The flags compare every letter in both cases, word by word at each character. Here both cases
+    are spelled out, words share their beginnings, and characters that begin no word are passed over.
+    """
+    cased = lambda c: not c.isascii() and not c.lower() == c == c.upper()
+    if not items or not all(items) or any(map(cased, "".join(items))):
+        return rf"(?iu){words(items)}"
+
+    def branch(tails: list[tuple[str, ...]]) -> str:
+        by: dict[str, list] = {}
+        for first, *rest in tails:
+            by.setdefault(first, []).append(rest)
+        found = [first + ("" if [] in rests else branch(rests)) for first, rests in by.items()]
+        return found[0] if len(found) == 1 else f"(?:{'|'.join(found)})"
+
+    firsts = {c for w in items for c in w[0].lower() + w[0].upper() + _OTHER_CASE.get(w[0].lower(), "")}
+    # one range for all that is not ASCII: a set of single characters is slow to test
+    far = sorted(c for c in firsts if not c.isascii())
+    near = char_set("".join(sorted(c for c in firsts if c.isascii())))[1:-1]
+    span = rf"\x{{{ord(far[0]):X}}}-\x{{{ord(far[-1]):X}}}" if far else ""
+    return f"(?=[{near}{span}])" + branch([tuple(map(_any_case, w)) for w in items])
 
 
 def char_set(chars: str) -> str:

@@ -40,6 +40,10 @@ _VERSION_WORD = (
     rf"(?<!{P.WORD})(?:remix|mix|live|ver\.?|edit|instrumental)(?!{P.WORD})"
 )
 
+# fixed values: notes in round brackets behind a title; the second is its reading
+_PERFORMANCE_NOTE = "(?:少し|ちょっと|うろ覚え|練習|[0-9０-９]++番のみ|short\\.?|ワンコーラス|途中まで)"
+_READING_NOTE = "[ぁ-んァ-ヶー]++"
+
 # fixed values: the rule table; order of application is ``ord``
 DEFAULT_RULES: tuple[Rule, ...] = (
     Rule("R01", 1, "fullwidth_digits", "translate", "０１２３４５６７８９", "0123456789"),
@@ -58,11 +62,10 @@ DEFAULT_RULES: tuple[Rule, ...] = (
     Rule("R05", 7, "single_quotes", "normalize", r"(?s)^'([^']*)'.*$", "$1"),
     Rule(
         "R07", 8, "performance_note", "delete_suffix",
-        rf"{LEAD}[（(](?:少し|ちょっと|うろ覚え|練習|[0-9０-９]++番のみ|short\.?|ワンコーラス"
-        rf"|途中まで)[）)]{BEFORE_SLASH}", scope="song",
+        rf"{LEAD}[（(]{_PERFORMANCE_NOTE}[）)]{BEFORE_SLASH}", scope="song",
     ),
     Rule("R14", 9, "reading_note", "delete_suffix",
-         rf"{LEAD}[（(][ぁ-んァ-ヶー]++[）)]{BEFORE_SLASH}", scope="song"),
+         rf"{LEAD}[（(]{_READING_NOTE}[）)]{BEFORE_SLASH}", scope="song"),
     Rule(
         "R15", 10, "release_date", "delete_suffix",
         rf"{LEAD}[\[（(]{W}*+(?:18|19|20|21)[0-9]{{2}}(?:{W}*+[/.\-]{W}*+[0-9]{{1,2}}){{0,2}}+"
@@ -249,15 +252,22 @@ def tidy_field(c: Column) -> Column:
 # A name of letters, digits, single marks and inner blanks that starts with a letter is
 # changed by no cleanup step: every step needs a bracket, a quote, an edge mark, a leading
 # number or a full-width character.  Names that a word list could match are left out.
-_LETTER = (
-    r"A-Za-z\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}"
-)
-_PLAIN_TAIL = rf"(?:[{_LETTER}0-9ー々 #&!?,]*[{_LETTER}0-9ー々!?])?"
+_FAR_LETTER = r"\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}"
+
+
+def _name_set(ascii_marks: str = "", far_marks: str = "") -> str:
+    """Letters and some marks; the set of ASCII characters is tested before the ranges of the others."""
+    return rf"[[{P.ASCII_LETTERS}{ascii_marks}][{far_marks}{_FAR_LETTER}]]"
+
+
+_LETTER = _name_set()
+_NAME_END = _name_set("0123456789!?", "ー々")
+_PLAIN_TAIL = rf"(?:{_name_set(r'0123456789 #\&!?,', 'ー々')}*{_NAME_END})?"
 _NOT_PLAIN = (
     rf"(?!(?i:encore|アンコール) )(?!(?i:{P.words(P.BAD_FIELD_WORDS)}|{P.words(P.TALK_WORDS)})"
-    rf"(?![{_LETTER}0-9ー々!?]))"
+    rf"(?!{_NAME_END}))"
 )
-_PLAIN_NAME = rf"{_NOT_PLAIN}[{_LETTER}]{_PLAIN_TAIL}"
+_PLAIN_NAME = rf"{_NOT_PLAIN}{_LETTER}{_PLAIN_TAIL}"
 _PLAIN_FIELD = rf"^{_PLAIN_NAME}$"
 PLAIN_PAIR = rf"^({_PLAIN_NAME})(?: [{P.DELIMS}{P.DASHES}] |[/／|])({_PLAIN_NAME})$"
 
@@ -679,12 +689,14 @@ _NUMBER_AFTER_TIME = (
 
 
 # "1:02:03 04. title / performer" with two plain names, the time bare, numbered or in
-# brackets; everything else needs the long way
+# brackets; everything else needs the long way. One note that the rules R07 or R14 delete may
+# stand behind the title: nothing else changes it, and without it the title is a plain name
 _SPACED_WORDS = "|".join(" *".join(w) for w in P.SECTION_WORDS)
 _PLAIN_LINE = (
     rf"^(?:(?:[0-9]{{1,3}}[.)] +)?({P.TS_VALID}) +|{P.TS_OPEN}({P.TS_VALID}){P.TS_CLOSE} *)"
-    rf"(?:([0-9]{{1,3}})\. +)?(?!.*(?:宣伝|告知|お知らせ|編集中です))"
-    rf"(?!(?i:{_SPACED_WORDS}))({_PLAIN_NAME})(?: [{P.DELIMS}{P.DASHES}] |[/／|])({_PLAIN_NAME})$"
+    rf"(?:([0-9]{{1,3}})\. +)?(?!.*{P.NOTICE})"
+    rf"(?!(?i:{_SPACED_WORDS}))({_PLAIN_NAME})(?: *[（(](?:{_PERFORMANCE_NOTE}|{_READING_NOTE})[）)])?"
+    rf"(?: [{P.DELIMS}{P.DASHES}] |[/／|])({_PLAIN_NAME})$"
 )
 
 
@@ -701,7 +713,7 @@ _SERIAL_FORMS = (
 )
 _PLAIN_TITLE = (
     rf"(?=.*{P.JAPANESE})(?!(?i:encore|アンコール)\x{{3000}}){_NOT_PLAIN}"
-    rf"[{_LETTER}][{_LETTER}0-9ー々 \x{{3000}}#&!?,]*[{_LETTER}0-9ー々!?]"
+    rf"{_LETTER}{_name_set(r'0123456789 #\&!?,', 'ー々　')}*{_NAME_END}"
 )
 _PLAIN_NUMBERED = (
     rf"^(?:({P.TS_VALID}) +)?(?:{'|'.join(f.format(n='([0-9]{1,3})') for f in _SERIAL_FORMS)})"

@@ -12,7 +12,8 @@ from ..session import written
 from .tracks import first_by_key
 
 W = P.WS
-_HONORIFIC = rf"(?:さん|様|氏){W}*$"
+# the first characters of all are in the range, which passes over other characters
+_HONORIFIC = rf"(?=[\x{{3055}}-\x{{6C0F}}])(?:さん|様|氏){W}*$"
 
 
 def _replace_tracks(setlists: DataFrame, tracks: Column) -> DataFrame:
@@ -24,7 +25,7 @@ def _replace_tracks(setlists: DataFrame, tracks: Column) -> DataFrame:
 def without_honorifics(tracks: Column, least: int = 3, share: float = 0.6) -> Column:
     named = F.filter(tracks, lambda t: strip(F.coalesce(t["artist"], F.lit(""))) != "")
     polite = F.filter(tracks, lambda t: F.coalesce(t["artist"], F.lit("")).rlike(_HONORIFIC))
-    habit = (F.size(polite) >= least) & (F.size(polite) >= share * F.size(named))
+    habit = let(F.size(polite), lambda n: (n >= least) & (n >= share * F.size(named)))
     plain = lambda t: t.withField("artist", strip(sub(t["artist"], _HONORIFIC)))
     return F.when(habit, F.transform(tracks, plain)).otherwise(tracks)
 
@@ -35,9 +36,10 @@ def strip_honorifics(setlists: DataFrame, least: int = 3, share: float = 0.6) ->
 
 
 def squeezed(tracks: Column) -> Column:
-    tight = lambda t: t.withField(
-        "artist", strip(sub(t["artist"], rf"(?<={P.KANJI}){W}+(?={P.KANJI})"))
-    )
+    # a name in ASCII holds no kanji
+    plain = lambda a: F.octet_length(a) == F.length(a)
+    joined = lambda a: F.when(plain(a), a).otherwise(sub(a, rf"(?<={P.KANJI}){W}+(?={P.KANJI})"))
+    tight = lambda t: t.withField("artist", strip(joined(t["artist"])))
     return F.transform(tracks, tight)
 
 
@@ -55,7 +57,9 @@ def _identity(t: Column) -> Column:
 
 
 def deduped(tracks: Column) -> Column:
-    return let(tracks, lambda ts: first_by_key(ts, _identity))
+    # entries at different times are different, so most lists need no keys
+    apart = lambda ts: F.size(ts) == F.size(F.array_distinct(F.transform(ts, lambda t: t["secs"])))
+    return let(tracks, lambda ts: F.when(apart(ts), ts).otherwise(first_by_key(ts, _identity)))
 
 
 def dedupe_tracks(setlists: DataFrame) -> DataFrame:
@@ -138,20 +142,30 @@ def normalize_display(setlists: DataFrame) -> DataFrame:
 _PLACES = "20000000000000000000"
 
 
-def select_best_source(setlists: DataFrame) -> DataFrame:
-    """One list per video: most entries, most performers, then the first source.
+#: What the lists are compared by.
+COUNTS = ("_n", "_a", "_row")
 
-    The lists are written once. What is compared is one number per list, so the winners come
-    from a hash aggregate of fixed width, and only their lists are read again.
-    """
+
+def counted_lists(setlists: DataFrame) -> DataFrame:
+    """The lists, written, with what :func:`select_best_source` compares: ``COUNTS``."""
     with_artist = F.size(F.filter("tracks", lambda t: F.coalesce(t["artist"], F.lit("")) != ""))
-    rows = written(
+    return written(
         setlists.select(
             "video_id", "source", "source_pos", "comment_id", "tracks", F.size("tracks").alias("_n"),
             with_artist.alias("_a"), F.monotonically_increasing_id().alias("_row"),
         ),
         "lists",
     )
+
+
+def select_best_source(setlists: DataFrame) -> DataFrame:
+    """One list per video: most entries, most performers, then the first source.
+
+    The lists are written once, unless they come from :func:`counted_lists`. What is compared is
+    one number per list, so the winners come from a hash aggregate of fixed width, and only their
+    lists are read again.
+    """
+    rows = setlists if set(COUNTS) <= set(setlists.columns) else counted_lists(setlists)
     comment = (F.col("source") != "description").cast("bigint")
     counts = F.col("_n").cast("bigint") * (1 << 31) + F.col("_a").cast("bigint") * 2 + comment
     # places before zero and null ones have their order too

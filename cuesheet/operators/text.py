@@ -173,7 +173,7 @@ FLAG_COLUMNS = (
 
 _AT = rf"{P.TS_VALID}(?![:0-9])"
 # no word that ends or starts a notice
-_NO_NOTICE = "(?!.*(?:宣伝|告知|お知らせ|編集中です))"
+_NO_NOTICE = f"(?!.*{P.NOTICE})"
 _PAIR = PLAIN_PAIR.removeprefix("^").removesuffix("$")
 #: Lines whose classes follow from their shape: pattern, tagged form for the merge, classes.
 #: A valid time in front and two letters in a row behind it leave no class; a time in round or
@@ -226,19 +226,22 @@ def classify_lines(lines: DataFrame, strict_range: bool = False) -> DataFrame:
 
 # --- which texts are setlists ---------------------------------------------------------
 
-_TIME_LOOSE = rf"(?:^|[^0-9:])({P.TS})(?![0-9])"
+# digits one by one are one set of bits, a range with another character is not
+_TIME_LOOSE = rf"(?:^|[^0123456789:])({P.TS})(?![0-9])"
 
 
 def setlist_line_count(c: Column, marker_words=P.MARKER_WORDS) -> Column:
     """Timed lines with a rest that holds no marker word; 0 for texts of one line."""
-    marker = rf"(?iu){P.words(marker_words)}"
+    marker = P.holds_word(marker_words)
     lines = F.filter(
         F.transform(F.split(F.coalesce(c, F.lit("")), P.LINE_BREAK), strip), lambda l: l != ""
     )
     rest_ok = lambda rest: (rest != "") & ~rest.rlike(marker)
-    timed = lambda l: F.when(
-        l.rlike(_TIME_LOOSE), let(strip(sub(l, _TIME_LOOSE)), rest_ok)
-    ).otherwise(F.lit(False))
+    # only a line without a time stays as it is
+    timed = lambda l: let(
+        sub(l, _TIME_LOOSE),
+        lambda rest: F.when(rest != l, let(strip(rest), rest_ok)).otherwise(F.lit(False)),
+    )
     return let(
         lines, lambda a: F.when(F.size(a) >= 2, F.size(F.filter(a, timed))).otherwise(F.lit(0))
     )

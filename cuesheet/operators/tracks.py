@@ -219,9 +219,8 @@ def first_by_key(items: Column, key) -> Column:
             F.sort_array(F.transform(first, lambda x: x["i"])), lambda i: F.get(items, i)
         )
 
-    keys = F.transform(items, key)
     return let(
-        F.size(keys) == F.size(F.array_distinct(keys)),
+        F.size(items) == F.size(F.array_distinct(F.transform(items, key))),
         lambda different: F.when(different, items).otherwise(let(pairs, heads)),
     )
 

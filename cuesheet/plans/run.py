@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import second_pass
-from ..operators.sets import normalize_display, select_best_source
+from ..operators.sets import COUNTS, counted_lists, normalize_display, select_best_source
 from ..operators.text import classify_songlist_comments
 from ..operators.tracks import parse_setlists
 from ..session import written
@@ -45,6 +45,15 @@ class Inputs:
     errors: DataFrame | None = None
 
 
+def listed_comments(comments: DataFrame) -> DataFrame:
+    """The setlist comments, with their flag.
+
+    Counts of lines are no columns behind the filter: the optimiser would count for both.
+    """
+    listed = classify_songlist_comments(comments.select(*_TEXT)).where("is_songlist")
+    return listed.select(*_TEXT, F.lit(True).alias("is_songlist"))
+
+
 def local_lists(comments: DataFrame, descriptions: DataFrame) -> DataFrame:
     """Track lists of all texts of a run: setlist comments and every description."""
     listed = comments.where("is_songlist").select(*_TEXT)
@@ -107,10 +116,8 @@ def run_once(
         "candidates",
     )
     mine = lambda table: table.join(candidates.select("video_id"), "video_id", "left_semi")
-    comments = written(
-        classify_songlist_comments(mine(inputs.comments).select(*_TEXT)).where("is_songlist"), "listed"
-    )
-    lists = written(local_lists(comments, mine(inputs.descriptions)), "lists")
+    comments = written(listed_comments(mine(inputs.comments)), "listed")
+    lists = counted_lists(local_lists(comments, mine(inputs.descriptions)))
     asked = mine(inputs.responses).join(comments.select("video_id").distinct(), "video_id", "left_semi")
     chosen = choose_lists(candidates, select_best_source(lists), written(model_lists(asked), "model"))
     own = publish.own_state(mine(inputs.published_comments), owner)
@@ -123,7 +130,7 @@ def run_once(
     )
     texts = results.where("message <> ''").select("run_id", "video_id", "message")
     out = {
-        "candidates": candidates, "lists": lists, "results": results,
+        "candidates": candidates, "lists": lists.drop(*COUNTS), "results": results,
         "segments": publish.segment_messages(texts),
         "notices": publish.notice_outbox(results, at).withColumn("run_id", F.lit(run_id)),
     }

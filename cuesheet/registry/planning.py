@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..plans import publish, run
-from ..session import shared_dir
+from ..session import shared_dir, written
 from . import query
 from .lines import HMS, I, agg
 from .lists import BEST_SQL, MIX_LINE, MIX_NUMBERED_SQL, SOURCES_SQL, mix_messages, setlists_of
@@ -88,7 +88,7 @@ def p04(spark, sf):
     return publish.plan_refetch(v, cached, said, now).select("video_id", "refetch")
 
 
-def published_comments(spark, sf):
+def published_comments(videos):
     """Two comments per video; the own one has ``video_id % 7`` list rows."""
     vid = F.col("video_id").cast("bigint")
     rows = F.array_join(
@@ -98,7 +98,7 @@ def published_comments(spark, sf):
         ),
         "\n",
     )
-    v = fx.videos(spark, sf).select("video_id", "title", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("pos"))
+    v = videos.select("video_id", "title", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("pos"))
     own = F.col("pos") >= 2
     return v.select(
         "video_id", "pos", F.concat_ws("-", "video_id", F.col("pos").cast("string")).alias("rpid"),
@@ -114,7 +114,7 @@ def published_comments(spark, sf):
     f"SELECT video_id, video_id || '-2' AS rpid, CAST(vid % 7 AS INT) AS own_count FROM ({V}) WHERE vid % 10 <> 9",
 )
 def p05(spark, sf):
-    return publish.own_state(published_comments(spark, sf), OWNER)
+    return publish.own_state(published_comments(fx.videos(spark, sf)), OWNER)
 
 
 @query(
@@ -140,7 +140,7 @@ def _results(spark, sf, dry_run=True):
     ).select(F.col("video_id").cast("string").alias("video_id"), "source", "tracks")
     errors = v.where(vid % 31 == 0).select("video_id", F.lit("timeout").alias("error"))
     ignore = v.where(vid % 97 == 0)
-    own = publish.own_state(published_comments(spark, sf), OWNER)
+    own = publish.own_state(published_comments(v), OWNER)
     return publish.decide(v, own, lists, ignore, errors, dry_run=dry_run, run_id="r1"), v
 
 
@@ -250,11 +250,9 @@ def p11(spark, sf):
 # --- the stages as one run ---------------------------------------------------------------
 
 
-def _answers(spark, sf):
+def _answers(entries):
     """What the model said per video: a list, a wish for more, nothing finished, or nothing at all."""
-    rows = fx.items(spark, sf).where(F.col("item_no") % 5 != 0).groupBy("video_id", "item_no").agg(
-        F.min("secs").alias("secs"), F.min("song").alias("song"), F.min("artist").alias("artist")
-    ).withColumn("comment_id", F.lit(0).cast("bigint"))
+    rows = entries.where(F.col("item_no") % 5 != 0).withColumn("comment_id", F.lit(0).cast("bigint"))
     line = F.concat(fx.hms(F.col("secs")), F.format_string(" %02d. ", "item_no"), "song", F.lit(" - "), "artist")
     kind = F.col("video_id") % 4
     said = F.when(kind == 2, "请提供歌手信息后再处理。").otherwise(F.col("text"))
@@ -265,20 +263,25 @@ def _answers(spark, sf):
     )
 
 
-def whole_run(spark, sf, path=None, dry_run=True):
+def run_inputs(spark, sf, keep=lambda table, name: table):
+    """All tables of a run; ``keep`` stores those that are rendered, for more runs than one."""
     vid = F.col("video_id").cast("bigint")
-    v = fx.videos(spark, sf)
+    v = keep(fx.videos(spark, sf), "videos")
+    entries = keep(fx.entries(spark, sf), "entries")
     named = lambda df: df.withColumn("video_id", F.col("video_id").cast("string"))
+    return run.Inputs(
+        videos=v, snapshot=fx.snapshot(v), published=fx.published(v),
+        comments=keep(named(fx.comments(spark, sf)), "comments"),
+        descriptions=keep(named(fx.described(entries).where(F.col("video_id") % 13 != 0)), "descriptions"),
+        responses=keep(_answers(entries), "responses"), published_comments=published_comments(v),
+        ignore=v.where(vid % 97 == 0),
+        errors=v.where(vid % 31 == 0).select("video_id", F.lit("timeout").alias("error")),
+    )
+
+
+def whole_run(inputs, path=None, dry_run=True):
     return run.run_once(
-        run.Inputs(
-            videos=v, snapshot=fx.snapshot(v), published=fx.published(v),
-            comments=named(fx.comments(spark, sf)),
-            descriptions=named(fx.descriptions(spark, sf).where(F.col("video_id") % 13 != 0)),
-            responses=_answers(spark, sf), published_comments=published_comments(spark, sf),
-            ignore=v.where(vid % 97 == 0),
-            errors=v.where(vid % 31 == 0).select("video_id", F.lit("timeout").alias("error")),
-        ),
-        owner=OWNER, run_id="r7", dry_run=dry_run, path=path,
+        inputs, owner=OWNER, run_id="r7", dry_run=dry_run, path=path,
         run_at=F.lit("2024-01-02 00:00:00").cast("timestamp"),
     )
 
@@ -325,7 +328,7 @@ _EARLY = "(status IN ('ignored', 'no_yt_link', 'error') OR coalesce(own >= 3, fa
 )
 def p10_full_run(spark, sf):
     """Candidates, extraction, choice and decision of one run, with the texts to publish."""
-    return whole_run(spark, sf)["results"].select(
+    return whole_run(run_inputs(spark, sf))["results"].select(
         "video_id", "status", "song_count", "source", "message", "detail", "error"
     )
 
@@ -341,9 +344,9 @@ def p10_full_run(spark, sf):
 )
 def p10_full_run_written(spark, sf):
     """The tables of a run that was written twice, as they are read back."""
-    path = shared_dir(spark, "run")
-    whole_run(spark, sf, path, dry_run=False)
-    tables = whole_run(spark, sf, path, dry_run=False)
+    path, inputs = shared_dir(spark, "run"), run_inputs(spark, sf, written)
+    whole_run(inputs, path, dry_run=False)
+    tables = whole_run(inputs, path, dry_run=False)
     of = lambda kind, name, n: spark.read.parquet(f"{path}/{kind}").select(
         F.lit(kind).alias("kind"), F.col(name).alias("name"), n.cast("int").alias("n")
     )
