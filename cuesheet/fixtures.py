@@ -95,14 +95,20 @@ def styled_lines(style: Column) -> Column:
     )
 
 
-def as_comments(tracks: DataFrame, line: Column) -> DataFrame:
-    """Join the item lines of each comment, in item order."""
+ITEM = ("item_no", "secs", "song", "artist")
+
+
+def as_comments(tracks: DataFrame, line: Column, with_items: bool = False) -> DataFrame:
+    """Join the item lines of each comment, in item order; the items may go along as an array."""
+    also = ITEM[1:] if with_items else ()
     grouped = tracks.groupBy("video_id", "comment_id").agg(
-        F.sort_array(F.collect_list(F.struct("item_no", line.alias("line")))).alias("_p")
+        F.sort_array(F.collect_list(F.struct("item_no", line.alias("line"), *also))).alias("_p")
     )
+    items = [F.transform("_p", lambda p: F.struct(*[p[c].alias(c) for c in ITEM])).alias("items")]
     return grouped.select(
         "video_id", F.lit("comment").alias("source"), F.col("comment_id").alias("source_pos"),
         "comment_id", F.array_join(F.transform("_p", lambda p: p["line"]), "\n").alias("text"),
+        *(items if with_items else []),
     )
 
 
@@ -116,24 +122,24 @@ def style_sql(styles: tuple[int, ...], key: str = "comment_id") -> str:
     return f"(CAST([{', '.join(map(str, styles))}] AS INT[]))[{key} % {len(styles)} + 1]"
 
 
-def comments(spark: SparkSession, sf_dir: str, styles=CHAT_STYLES) -> DataFrame:
+def comments(spark: SparkSession, sf_dir: str, styles=CHAT_STYLES, with_items: bool = False) -> DataFrame:
     """Comments of all orders; the styles alternate over ``comment_id``."""
-    built = as_comments(items(spark, sf_dir), styled_lines(style_of(styles)))
+    built = as_comments(items(spark, sf_dir), styled_lines(style_of(styles)), with_items)
     # style 4 puts all items on one line
     flat = F.when(style_of(styles) == 4, F.regexp_replace("text", "\n", " "))
     return built.withColumn("text", F.coalesce(flat, F.col("text")))
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One entry per line number of a video (at most seven), from all its comments."""
-    return items(spark, sf_dir).groupBy("video_id", "item_no").agg(
+def entries(tracks: DataFrame) -> DataFrame:
+    """One entry per line number of a video (at most seven), from all its ``items``."""
+    return tracks.groupBy("video_id", "item_no").agg(
         F.min("secs").alias("secs"), F.min("song").alias("song"), F.min("artist").alias("artist")
     )
 
 
 def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One description per video with one line per entry."""
-    return described(entries(spark, sf_dir))
+    return described(entries(items(spark, sf_dir)))
 
 
 def described(rows: DataFrame) -> DataFrame:

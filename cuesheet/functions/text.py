@@ -65,8 +65,8 @@ def normalize(c: Column) -> Column:
     return F.array_join(clean_lines(c), "\n")
 
 
-def seconds_of(label: Column) -> Column:
-    """``H:MM:SS`` or ``M:SS`` to seconds; null when malformed or out of range."""
+def valid_seconds(label: Column) -> Column:
+    """``seconds_of`` a label that is known to be a valid one in ASCII."""
     parts = lambda p: F.when(
         F.size(p) == 3,
         F.get(p, F.lit(0)).try_cast("int") * 3600
@@ -75,9 +75,13 @@ def seconds_of(label: Column) -> Column:
     ).otherwise(
         F.get(p, F.lit(0)).try_cast("int") * 60 + F.get(p, F.lit(1)).try_cast("int")
     )
+    return let(F.split(label, ":"), parts)
+
+
+def seconds_of(label: Column) -> Column:
+    """``H:MM:SS`` or ``M:SS`` to seconds; null when malformed or out of range."""
     return let(
-        markers(label),
-        lambda t: F.when(t.rlike(rf"^{P.TS_VALID}$"), let(F.split(t, ":"), parts)),
+        markers(label), lambda t: F.when(t.rlike(rf"^{P.TS_VALID}$"), valid_seconds(t))
     )
 
 

@@ -11,7 +11,7 @@ from . import patterns as P
 from .brackets import BEFORE_SLASH, BLANKS, HAS_BRACKET, LEAD, closing_brackets, drop_notes
 from .text import (
     annotation_key, first_match, let, markers, outside_brackets, section_key, seconds_of,
-    strip, sub,
+    strip, sub, valid_seconds,
 )
 
 W = P.WS
@@ -751,7 +751,7 @@ def _plain_parts(line: Column) -> Column:
 
 def _plain_track(parts: Column) -> Column:
     short = lambda p: track(
-        F.lit(None), number(F.get(p, F.lit(1))), seconds_of(F.get(p, F.lit(0))),
+        F.lit(None), number(F.get(p, F.lit(1))), valid_seconds(F.get(p, F.lit(0))),
         F.get(p, F.lit(0)), F.get(p, F.lit(2)), F.get(p, F.lit(3)),
     )
     return let(F.split(parts, "\x02"), short)

@@ -263,17 +263,18 @@ def _answers(entries):
     )
 
 
-def run_inputs(spark, sf, keep=lambda table, name: table):
-    """All tables of a run; ``keep`` stores those that are rendered, for more runs than one."""
+def run_inputs(spark, sf):
+    """All tables of a run; what is rendered is stored, and the items are built once for all of them."""
     vid = F.col("video_id").cast("bigint")
-    v = keep(fx.videos(spark, sf), "videos")
-    entries = keep(fx.entries(spark, sf), "entries")
+    v = written(fx.videos(spark, sf), "videos")
+    comments = written(fx.comments(spark, sf, with_items=True), "comments")
+    entries = written(fx.entries(comments.select("video_id", F.inline("items"))), "entries")
     named = lambda df: df.withColumn("video_id", F.col("video_id").cast("string"))
     return run.Inputs(
         videos=v, snapshot=fx.snapshot(v), published=fx.published(v),
-        comments=keep(named(fx.comments(spark, sf)), "comments"),
-        descriptions=keep(named(fx.described(entries).where(F.col("video_id") % 13 != 0)), "descriptions"),
-        responses=keep(_answers(entries), "responses"), published_comments=published_comments(v),
+        comments=named(comments.drop("items")),
+        descriptions=written(named(fx.described(entries).where(F.col("video_id") % 13 != 0)), "descriptions"),
+        responses=written(_answers(entries), "responses"), published_comments=published_comments(v),
         ignore=v.where(vid % 97 == 0),
         errors=v.where(vid % 31 == 0).select("video_id", F.lit("timeout").alias("error")),
     )
@@ -344,7 +345,7 @@ def p10_full_run(spark, sf):
 )
 def p10_full_run_written(spark, sf):
     """The tables of a run that was written twice, as they are read back."""
-    path, inputs = shared_dir(spark, "run"), run_inputs(spark, sf, written)
+    path, inputs = shared_dir(spark, "run"), run_inputs(spark, sf)
     whole_run(inputs, path, dry_run=False)
     tables = whole_run(inputs, path, dry_run=False)
     of = lambda kind, name, n: spark.read.parquet(f"{path}/{kind}").select(
